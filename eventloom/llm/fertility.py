@@ -27,6 +27,8 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 SYMBOLS = "#*$%&|<>"
 #: Measures are counted on this grid for exact medians of bounded size.
 GRID = 1000
+#: Bands of at most so many groups go to all executors.
+MAX_BROADCAST = 10_000
 
 MEASURES = T.StructType(
     [
@@ -158,7 +160,9 @@ def judge(docs: DataFrame, *, rules: dict[str, tuple[float, float]] = BANDS, **o
     no rows, and further columns of ``docs`` are not read.
     """
     measures = stash(measure(docs, **options), "fertility")
-    edges = bands(measures, rules)
+    edges = stash(bands(measures, rules), "bands")
+    if edges.count() <= MAX_BROADCAST:
+        edges = F.broadcast(edges)  # so few rows; more of them are joined by exchange
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     inside = F.lit(True)
     for m in rules:
