@@ -25,7 +25,7 @@ TOPICS = {
     "relate": ["with", "from", "by"],
 }
 OTHER = "other"
-TOLERANCE, MAX_ROUNDS, ROUNDS_A_JOB = 1e-13, 60, 4
+TOLERANCE, MAX_ROUNDS, ROUNDS_A_JOB = 1e-6, 96, 8
 #: Cells up to so many go to all executors, more are joined by exchange.
 MAX_BROADCAST = 100_000
 SEED = "mix"
@@ -66,8 +66,8 @@ def tempered_targets(cells: DataFrame, dims: dict[str, float]) -> DataFrame:
 def rake(cells: DataFrame, dims: list[str], *, tolerance: float = TOLERANCE, max_rounds: int = MAX_ROUNDS) -> DataFrame:
     """``cells`` (dimensions, tokens, target_<dimension>) with the fitted ``weight``.
 
-    Stops when no marginal is off by more than ``tolerance`` of its target, or after
-    ``max_rounds``. Cells without tokens keep weight 0. The targets of all dimensions add
+    Stops when no marginal is off by more than ``tolerance`` of its target (looked at every
+    ``ROUNDS_A_JOB`` rounds), or after ``max_rounds``. Cells without tokens keep weight 0. The targets of all dimensions add
     up to the same total.
     """
     fitted = stash(cells.withColumn("weight", F.col("tokens").cast("double")), "cells")
@@ -163,7 +163,8 @@ def _oracle() -> str:
         f"sum_{d} AS (SELECT {d} AS v, pow(sum(tokens), {p}) AS p, (SELECT sum(tokens) FROM cells)::DOUBLE AS total FROM cells GROUP BY {d})" for d, p in TEMPER.items()
     )
     joins = " ".join(f"JOIN sum_{d} s{d} ON cells.{d} IS NOT DISTINCT FROM s{d}.v" for d in TEMPER)
-    step, carry = "fit", "source, lang, topic, tokens, t_source, t_lang, t_topic"
+    carry = "source, lang, topic, tokens, t_source, t_lang, t_topic"
+    off = "greatest(" + ", ".join(f"abs(sum(w) OVER (PARTITION BY it, {d}) - t_{d}) / greatest(t_{d}, 1e-300)" for d in TEMPER) + ")"
     inner = f"SELECT {carry}, it, w FROM fit WHERE it < {MAX_ROUNDS}"
     for d in TEMPER:
         inner = f"SELECT {carry}, it, CASE WHEN sum(w) OVER (PARTITION BY {d}) > 0 THEN w * t_{d} / sum(w) OVER (PARTITION BY {d}) ELSE 0 END AS w FROM ({inner})"
@@ -179,8 +180,10 @@ WITH RECURSIVE hit AS (
   SELECT source, lang, topic, tokens, {targets}, 0 AS it, tokens AS w FROM cells {joins}
   UNION ALL
   SELECT {carry}, it + 1, w FROM ({inner})
+), ended AS (
+  SELECT coalesce(min(it), {MAX_ROUNDS}) AS last FROM (SELECT it, max(off) AS off FROM (SELECT it, {off} AS off FROM fit) GROUP BY it) WHERE it > 0 AND it % {ROUNDS_A_JOB} = 0 AND off <= {TOLERANCE}
 ), rated AS (
-  SELECT source, lang, topic, CASE WHEN tokens > 0 THEN w / tokens ELSE 0 END AS rate FROM {step} WHERE it = {MAX_ROUNDS}
+  SELECT source, lang, topic, CASE WHEN tokens > 0 THEN w / tokens ELSE 0 END AS rate FROM fit WHERE it = (SELECT last FROM ended)
 ), prob AS (
   SELECT source, lang, topic, CASE WHEN max(rate) OVER () > 0 THEN rate / max(rate) OVER () ELSE 0 END AS p FROM rated
 )
