@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fertility, fingerprints, mixing, packing, quality, sharding, toxicity
+from . import fertility, fingerprints, mixing, packing, quality, secrets, sharding, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(mixing.mix(table(spark, sf_dir, "documents")))
 
 
+def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.digest(fingerprints.fingerprint(table(spark, sf_dir, "documents")))
 
@@ -47,6 +51,7 @@ def queries() -> dict[str, Query]:
         "op4_toxicity": op4_toxicity,
         "op5_packing": op5_packing,
         "op7_mixing": op7_mixing,
+        "op8_secret_scans": op8_secret_scans,
         "op9_fingerprints": op9_fingerprints,
         "op10_quality_rules": op10_quality_rules,
     }
