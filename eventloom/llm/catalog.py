@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fertility, fingerprints, mixing, packing, quality, secrets, sharding, toxicity
+from . import fertility, fingerprints, licenses, mixing, packing, quality, secrets, sharding, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(licenses.scan(table(spark, sf_dir, "documents")))
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -46,6 +50,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_license_scans": op1_license_scans,
         "op2_quality_classifier": op2_quality_classifier,
         "op3_sharding": op3_sharding,
         "op4_toxicity": op4_toxicity,
@@ -59,6 +64,7 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_license_scans": licenses.ORACLE_SQL,
         "op3_sharding": sharding.ORACLE_SQL,
         "op7_mixing": mixing.ORACLE_SQL,
     }
