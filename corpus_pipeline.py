@@ -1,20 +1,53 @@
-"""From raw documents to packed training sequences, one operator a stage."""
+"""From raw documents to packed training sequences, one operator a stage.
+
+Each stage takes what its predecessor kept and returns rows with the columns of
+``documents``, but for the last one, which returns the packed pieces.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from eventloom.llm import packing
+from eventloom.llm import bagminhash, mixing, packing, quality, secrets
 from eventloom.llm.common import stash, table
 
 
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return bagminhash.keep_one(docs)
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets of any layer masked in the text."""
+    clean = docs.withColumn("text", secrets.redacted(F.col("text")))
+    return clean.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else clean
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A sample that meets the target weights of sources, languages and topics."""
+    return mixing.sample(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places in the sequences."""
     return packing.digest(packing.pack_documents(docs))
 
 
-STAGES = [("packing", pack)]
+STAGES = [
+    ("quality classifier", good_quality),
+    ("near-dedup", distinct),
+    ("secret scans", without_secrets),
+    ("mixing", mixed),
+    ("packing", packed),
+]
 
-#: Stages use trained models and tokenizers, which SQL can't express.
+#: SQL has neither the trained classifier nor the tokenizer; the tests compare with plain versions.
 ORACLE_SQL = None
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fertility, fingerprints, licenses, mixing, packing, quality, secrets, sharding, toxicity
+from . import bagminhash, fertility, fingerprints, licenses, mixing, packing, quality, secrets, sharding, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack_documents(table(spark, sf_dir, "documents")))
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bagminhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(mixing.mix(table(spark, sf_dir, "documents")))
 
@@ -55,6 +59,7 @@ def queries() -> dict[str, Query]:
         "op3_sharding": op3_sharding,
         "op4_toxicity": op4_toxicity,
         "op5_packing": op5_packing,
+        "op6_near_dedup": op6_near_dedup,
         "op7_mixing": op7_mixing,
         "op8_secret_scans": op8_secret_scans,
         "op9_fingerprints": op9_fingerprints,
