@@ -15,8 +15,9 @@ from pyspark.sql.window import Window
 
 from .common import hidden, stash
 
-#: A target share is in proportion to the dimension's tokens to this power: below 1 lifts what is rare.
-TEMPER = {"source": 0.7, "lang": 0.8, "topic": 0.8}
+#: A target share is in proportion to the dimension's tokens to this power: below 1 lifts what is rare, 1 holds it.
+#: Targets that pull against each other (a topic that one language hardly has) cost most of the sample.
+TEMPER = {"source": 0.7, "lang": 0.9, "topic": 1.0}
 #: Words that speak for a topic; the topic with most of them wins, the earlier on a tie.
 TOPICS = {
     "report": ["was", "had", "were"],
