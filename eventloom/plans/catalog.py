@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import trends
+
 Query = Callable[[SparkSession, str], DataFrame]
+PARTS = [trends]
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: query for part in PARTS for name, query in part.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: text for part in PARTS for name, text in part.ORACLE.items()}
