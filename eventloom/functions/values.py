@@ -75,7 +75,7 @@ def authenticity_level(score: Column) -> Column:
 
 def ratio_percent(ratio: Column) -> Column:
     """A share or percentage as a whole percentage from 0 to 100; null stays null."""
-    return F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.when((ratio > 0) & (ratio <= 1), F.floor(ratio * 100 + 0.5)).otherwise(F.floor(ratio + 0.5)).cast("double")))
+    return F.when(ratio.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.when((ratio > 0) & (ratio <= 1), F.floor(ratio * 100 + 0.5)).otherwise(F.floor(ratio + 0.5)).cast("double"))))
 
 
 def ratio_tone(ratio: Column, plain: bool = False) -> Column:

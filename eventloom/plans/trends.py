@@ -85,7 +85,7 @@ ORACLE = {
     ),
     "forecast": sql(
         ["activity"],
-        "SELECT event_id, step::INTEGER AS step, (last_date + step::INTEGER)::VARCHAR AS date, round(greatest(0, latest + (latest - oldest)::DOUBLE / greatest(n - 1, 1) * step), 1) AS predict_count FROM (SELECT event_id, max(date) AS last_date, arg_max(cnt, ix) AS latest, arg_min(cnt, ix) AS oldest, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY ix DESC) AS rn FROM daily) WHERE rn <= 3 GROUP BY event_id), range(1, 4) t(step)",
+        "SELECT event_id, step::BIGINT AS step, (last_date + step::INTEGER)::VARCHAR AS date, round(greatest(0, latest + (latest - oldest)::DOUBLE / greatest(n - 1, 1) * step), 1) AS predict_count FROM (SELECT event_id, max(date) AS last_date, arg_max(cnt, ix) AS latest, arg_min(cnt, ix) AS oldest, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY ix DESC) AS rn FROM daily) WHERE rn <= 3 GROUP BY event_id), range(1, 4) t(step)",
         DAILY,
     ),
     "event_time": sql(["activity"], "SELECT event_id, arg_min(date, (-cnt, ix))::VARCHAR || 'T12:00:00' AS event_time FROM daily GROUP BY event_id", DAILY),
@@ -98,7 +98,7 @@ ORACLE = {
     ),
     "stage_curve": sql(
         ["activity"],
-        "SELECT event_id, step::INTEGER AS step, lpad(((21 + 2 * step) % 24)::VARCHAR, 2, '0') || ':30' AS clock, vals[step]::BIGINT AS value FROM (SELECT event_id, " + _CURVE + " AS vals FROM (SELECT event_id, stage, last_percent AS v FROM peaks JOIN stages USING (event_id))), range(1, 4) t(step)",
+        "SELECT event_id, step::BIGINT AS step, lpad(((21 + 2 * step) % 24)::VARCHAR, 2, '0') || ':30' AS clock, vals[step]::BIGINT AS value FROM (SELECT event_id, " + _CURVE + " AS vals FROM (SELECT event_id, stage, last_percent AS v FROM peaks JOIN stages USING (event_id))), range(1, 4) t(step)",
         DAILY,
         _PERCENT,
         BUCKETS,
