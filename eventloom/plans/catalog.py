@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import events, landing, scalars, trends
+from . import composites, events, landing, scalars, trends
 
 Query = Callable[[SparkSession, str], DataFrame]
-PARTS = [trends, scalars, events, landing]
+PARTS = [trends, scalars, events, landing, composites]
 
 
 def _widened(query: Query) -> Query:
