@@ -12,11 +12,15 @@ block that holds it is halved level by level, each half going on as a process of
 that follows from the shingle and the half alone. So a shingle costs in the order of the
 logarithm of its weight, and points later than all positions' times are never drawn.
 
-Bands of the signature meet by hash; what shares a band is verified exactly on the
-multisets. Copies of one text are one member. In a band's bucket a few leaders are
+Bands of the signature meet by hash; of what shares a band, pairs are left out whose
+bits of 128 positions differ far more than those of similar texts do, and the others are
+verified exactly on the multisets. Copies of one text are one member. In a band's bucket a few leaders are
 compared with the others, more of them from round to round, and only with members that
-no chain of verified pairs has joined to them yet, until nothing is left to compare. So
-a large group of near copies costs a few comparisons a member, and no link between
+no chain of verified pairs has joined to them yet, until nothing is left to compare.
+Leaders are first those whose buckets are fullest, as they stand in the middle of their
+group. One minus the similarity is a metric, so the distances of two members to their
+bucket's first leader bound their own, and pairs that must be too far are not compared.
+So a large group of near copies costs a few comparisons a member, and no link between
 different groups is lost.
 """
 
@@ -26,7 +30,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,8 +42,13 @@ SHINGLE_WORDS = 5
 THRESHOLD = 0.8
 BANDS, BAND_ROWS = 32, 5
 SIGNATURE = BANDS * BAND_ROWS
-#: Leaders of a bucket in the first round; each later round has so many times more.
-LEADERS = 4
+#: Leaders of a bucket in the first round, and how many times more each later round has.
+LEADERS, MORE_LEADERS = 1, 8
+#: One bit each of so many positions. Texts as similar as asked differ in a tenth of them on average; over a
+#: quarter has a chance of under one in a million.
+BITS, MOST_BITS = 128, 32
+#: Members that are compared with one copy of a leader's text.
+FAN_OUT = 1024
 #: Shingles that signatures are drawn for at once, and one document more.
 BLOCK_SHINGLES = 1 << 16
 
@@ -176,33 +184,32 @@ SIGNED = T.StructType(
         T.StructField("doc_id", T.LongType()),
         T.StructField("copy_key", T.BinaryType()),
         T.StructField("bands", T.ArrayType(T.LongType())),
-        T.StructField("sketch", T.BinaryType()),
+        T.StructField("bits0", T.LongType()),
+        T.StructField("bits1", T.LongType()),
     ]
 )
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bands and a sketch (the low byte of each position) of each text; none for texts without words."""
-    for batch in chunks(batches, 256):
+    """Bands and bits of each text; none for texts without words."""
+    kinds = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.int64(), pa.int64()]
+    for batch in chunks(batches, 128):
         doc_ids, keys, texts = (batch.column(k).to_pylist() for k in range(3))
-        bands, sketches = [None] * len(texts), [None] * len(texts)
+        bands, bits = [None] * len(texts), [[None] * len(texts), [None] * len(texts)]
         held: list[int] = []
         bags: list = []
+        waiting = 0
 
         def flush():
             if bags:
                 marks = signatures(bags)
-                hashes = band_hashes(marks)
-                low = (marks >> np.uint64(8)).astype(np.uint8)
-                for i, h, s in zip(held, hashes, low):
-                    bands[i], sketches[i] = h.tolist(), s.tobytes()
+                ones = np.packbits((marks[:, :BITS] >> np.uint64(8)).astype(np.uint8) & 1, axis=1).view("<i8")
+                for i, h, o in zip(held, band_hashes(marks), ones):
+                    bands[i], bits[0][i], bits[1][i] = h.tolist(), int(o[0]), int(o[1])
             held.clear(), bags.clear()
 
-        waiting = 0
         for i, text in enumerate(texts):
-            if text is None or not text.strip():
-                continue
-            bag = shingles(text)
+            bag = shingles(text or "")
             if not len(bag[0]):
                 continue
             held.append(i), bags.append(bag)
@@ -211,35 +218,31 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 flush()
                 waiting = 0
         flush()
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(doc_ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=SIGNED.names
-        )
-
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((doc_ids, keys, bands, *bits), kinds)], names=SIGNED.names)
 
-@F.pandas_udf(T.DoubleType())
-def _estimate(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([float((np.frombuffer(x, np.uint8) == np.frombuffer(y, np.uint8)).mean()) for x, y in zip(a, b)], dtype=float)
 
+def _compare():
+    """Rows come by leader, the leader's own text first; yields the pairs and their similarities."""
 
-@F.pandas_udf(T.DoubleType())
-def _exact(a: pd.Series, b: pd.Series) -> pd.Series:
-    known: dict = {}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, leader = None, None
+        for batch in chunks(batches):
+            out = []
+            for b, salt, doc, text in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                if (b, salt) != at:
+                    at, leader = (b, salt), None
+                if doc == b:
+                    leader = shingles(text or "")
+                elif leader is not None:
+                    out.append((doc, b, similarity(leader, shingles(text or ""))))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.float64()))], names=["a", "b", "similarity"])
 
-    def bag(text):
-        if text not in known:
-            if len(known) > 256:
-                known.clear()
-            known[text] = shingles(text)
-        return known[text]
-
-    return pd.Series([similarity(bag(x), bag(y)) for x, y in zip(a, b)], dtype=float)
+    return run
 
 
 #: Ids of at most so many documents go to all executors to fetch their texts; beyond that texts are joined by exchange.
 MAX_BROADCAST = 1_000_000
-#: How far a sketch's estimate may fall short of the threshold: over six standard errors.
-SLACK = 0.2
-
 
 def components(edges: DataFrame) -> DataFrame:
     """node, component (its least node) of an undirected graph ``a``, ``b``, by alternating large and small stars."""
@@ -259,17 +262,22 @@ def components(edges: DataFrame) -> DataFrame:
         before = seen
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, threshold: float, label: str) -> DataFrame:
-    """The pairs (``a``, ``b``) whose texts are as similar as asked, by sketch, then exactly."""
-    sketches = nodes.where("sketch is not null").select("doc_id", "sketch")
-    near = pairs.join(sketches.select(F.col("doc_id").alias("a"), F.col("sketch").alias("sa")), "a").join(sketches.select(F.col("doc_id").alias("b"), F.col("sketch").alias("sb")), "b")
-    near = stash(near.where(_estimate("sa", "sb") >= threshold - SLACK).select("a", "b"), label)
-    wanted = stash(near.select(F.col("a").alias("doc_id")).unionByName(near.select(F.col("b").alias("doc_id"))).distinct(), label)
+def _compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (``a``, and its leader ``b``) with their exact ``similarity``.
+
+    A leader's text is sent once for every ``FAN_OUT`` members, each member's once a pair.
+    """
+    wanted = stash(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "wanted")
     if wanted.count() <= MAX_BROADCAST:
         wanted = F.broadcast(wanted)
-    held = stash(texts.join(wanted, "doc_id", "left_semi"), label)
-    both = near.join(held.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(held.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-    return stash(both.where(_exact("ta", "tb") >= threshold).select("a", "b").distinct(), label)
+    held = stash(texts.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]), "texts")
+    sizes = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / FAN_OUT).cast("int").alias("salts"))
+    dealt = pairs.join(sizes, "b").select("a", "b", F.pmod(F.hash("a"), F.col("salts")).alias("salt"))
+    members = dealt.join(held.withColumnRenamed("doc_id", "a"), "a").select("b", "salt", F.col("a").alias("doc"), "text")
+    leaders = sizes.select("b", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).join(held.withColumnRenamed("doc_id", "b"), "b").select("b", "salt", F.col("b").alias("doc"), "text")
+    rows = members.unionByName(leaders).repartition("b", "salt").sortWithinPartitions("b", "salt", F.col("doc") != F.col("b"))
+    found = rows.mapInArrow(_compare(), "a long, b long, similarity double")
+    return stash(found.groupBy("a", "b").agg(F.max("similarity").alias("similarity")), "compared")
 
 
 def near_duplicates(docs: DataFrame, *, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -288,33 +296,50 @@ def near_duplicates(docs: DataFrame, *, threshold: float = THRESHOLD, id_col: st
     signed = stash(source.select("doc_id", F.unhex(F.md5("text")).alias("copy_key"), "text").mapInArrow(_sign, SIGNED), "signed")
     copies = signed.where("copy_key is not null").groupBy("copy_key").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     whole = F.coalesce(F.col("first"), F.col("doc_id"))
-    nodes = signed.join(copies, "copy_key", "left").select("doc_id", whole.alias("rep"), *[F.when(F.col("doc_id") == whole, F.col(c)).alias(c) for c in ("bands", "sketch")])
+    nodes = signed.join(copies, "copy_key", "left").select("doc_id", whole.alias("rep"), *[F.when(F.col("doc_id") == whole, F.col(c)).alias(c) for c in ("bands", "bits0", "bits1")])
     nodes = stash(nodes, "nodes")
 
-    members = nodes.where("bands is not null").select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("doc")).distinct()
-    busy = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    members = stash(members.join(busy, "bucket", "left_semi"), "members")
-    labelled, tested, links, leaders = members.withColumn("component", F.col("doc")), None, None, LEADERS
+    members = nodes.where("bands is not null").select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("doc"), "bits0", "bits1").distinct()
+    busy = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = stash(members.join(busy, "bucket"), "members")
+    middle = members.groupBy("doc").agg(F.sum("n").alias("score"))
+    members = stash(members.drop("n").join(middle, "doc"), "members")
+    labelled = members.withColumns({"component": F.col("doc"), "away": F.lit(None).cast("double")})
+    tested, links, leaders = None, None, LEADERS
     while True:
         # The first leaders of each bucket; Spark keeps so many a task before the exchange.
-        w = Window.partitionBy("bucket").orderBy(F.xxhash64("doc"), "doc")
-        lead = labelled.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= leaders).select("bucket", F.col("doc").alias("lead"), F.col("component").alias("lead_component"))
-        pairs = labelled.join(lead, "bucket").where("component <> lead_component")
-        pairs = pairs.select(F.least("doc", "lead").alias("a"), F.greatest("doc", "lead").alias("b")).distinct()
+        w = Window.partitionBy("bucket").orderBy(F.desc("score"), "doc")
+        lead = labelled.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= leaders)
+        lead = lead.select(*[F.col(c).alias(f"lead_{c}") for c in ("bucket", "doc", "bits0", "bits1", "component", "away")])
+        far = F.bit_count(F.col("bits0").bitwiseXOR(F.col("lead_bits0"))) + F.bit_count(F.col("bits1").bitwiseXOR(F.col("lead_bits1")))
+        same = (F.col("bucket") == F.col("lead_bucket")) & (F.col("component") != F.col("lead_component")) & (far <= MOST_BITS)
+        # Distances to the bucket's first leader, where they are known, bound that of the pair.
+        same &= F.coalesce(F.abs(F.col("away") - F.col("lead_away")) <= 1 - threshold + 1e-9, F.lit(True))
+        pairs = labelled.join(lead, same)
+        # A pair once, under one of its leaders.
+        pairs = pairs.groupBy(F.least("doc", "lead_doc").alias("x"), F.greatest("doc", "lead_doc").alias("y")).agg(F.min("lead_doc").alias("b")).select((F.col("x") + F.col("y") - F.col("b")).alias("a"), "b")
         if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+            pairs = pairs.join(tested, (F.least("a", "b") == F.col("t_x")) & (F.greatest("a", "b") == F.col("t_y")), "left_anti")
         pairs = stash(pairs, "pairs")
-        found = _verified(pairs, nodes, source, threshold, "verified")
-        tested = pairs if tested is None else tested.unionByName(pairs)
+        compared = _compared(pairs, source)
+        found = compared.where(F.col("similarity") >= threshold).select("a", "b")
+        seen = pairs.select(F.least("a", "b").alias("t_x"), F.greatest("a", "b").alias("t_y"))
+        tested = seen if tested is None else tested.unionByName(seen)
         links = found if links is None else links.unionByName(found)
         joined = stash(components(links), "components")
-        labelled = members.join(joined.withColumnRenamed("node", "doc"), "doc", "left").select("bucket", "doc", F.coalesce("component", "doc").alias("component"))
+        now = labelled.drop("component").join(joined.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
         # Buckets with members of several components, some of which no leader has been compared with.
-        open_ = labelled.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where(f"low <> high and n > {leaders + 1}")
-        labelled = stash(labelled.join(open_.select("bucket"), "bucket", "left_semi"), "open")
+        open_ = now.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high"), F.max(F.struct("score", -F.col("doc"))).alias("top"))
+        open_ = open_.where(f"low <> high and n > {leaders + 1}")
+        now = now.join(open_.select("bucket", (-F.col("top.col2")).alias("leader")), "bucket")
+        if leaders == LEADERS:
+            known = compared.select("a", "b", "similarity").unionByName(compared.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
+            known = known.select(F.col("a").alias("doc"), F.col("b").alias("leader"), (1 - F.col("similarity")).alias("known"))
+            now = now.join(known, ["doc", "leader"], "left").withColumn("away", F.when(F.col("doc") == F.col("leader"), 0.0).otherwise(F.col("known"))).drop("known")
+        labelled = stash(now.drop("leader"), "open")
         if labelled.isEmpty():
             break
-        leaders *= 4
+        leaders *= MORE_LEADERS
     ends = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
     out = nodes.select("doc_id", "rep").join(joined.withColumnRenamed("node", "rep"), "rep", "left").join(ends, "rep", "left")
     return out.select("doc_id", F.coalesce("component", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
