@@ -28,12 +28,12 @@ SENTENCES = [
     ("LGPL_3", r"licensed under (the )?(terms of )?(the )?gnu (lesser|library) general public license.* version 3"),
     ("LGPL_2", r"licensed under (the )?(terms of )?(the )?gnu (lesser|library) general public license.* version 2"),
     ("AGPL_3", r"licensed under (the )?(terms of )?(the )?gnu affero general public license.* version 3"),
-    ("GPL_3", r"(licensed|released|distributed) under (the )?(terms of )?(the )?gnu general public license,? version 3"),
-    ("GPL_2", r"(licensed|released|distributed) under (the )?(terms of )?(the )?gnu general public license,? version 2"),
+    ("GPL_3", r"(licensed|released|distributed) under (the )?(terms of )?(the )?gnu general public license version 3"),
+    ("GPL_2", r"(licensed|released|distributed) under (the )?(terms of )?(the )?gnu general public license version 2"),
     ("GPL_FREE_SOFTWARE", r"you can redistribute it and or modify it under the terms of the gnu general public license"),
     ("GPL_HOPE", r"distributed in the hope that it will be useful but without any warranty"),
     ("GPL_COPY", r"you should have received a copy of the gnu general public license"),
-    ("APACHE_2", r"(licensed|released|distributed) under (the )?(terms of )?(the )?apache license,? version 2\.0"),
+    ("APACHE_2", r"(licensed|released|distributed) under (the )?(terms of )?(the )?apache license version 2\.0"),
     ("APACHE_NOT_USE", r"you may not use this file except in compliance with the license"),
     ("APACHE_OBTAIN", r"you may obtain a copy of the license at"),
     ("APACHE_AS_IS", r"software distributed under the license is distributed on an as is basis"),
@@ -58,7 +58,7 @@ SENTENCES = [
     ("BSD_BINARY", r"redistributions in binary form must reproduce the above copyright notice"),
     ("BSD_ENDORSE", r"may be used to endorse or promote products"),
     ("BSD_AS_IS", r"this software is provided by the copyright holders and contributors as is"),
-    ("MPL_2", r"subject to the terms of the mozilla public license,? v(ersion )?\.? ?2\.0"),
+    ("MPL_2", r"subject to the terms of the mozilla public license v(ersion )?\.? ?2\.0"),
     ("EPL_2", r"eclipse public license v(ersion )?\.? ?2\.0"),
     ("UNLICENSE", r"this is free and unencumbered software released into the public domain"),
     ("PUBLIC_DOMAIN", r"(placed|released|is) in(to)? the public domain"),
@@ -81,6 +81,7 @@ RULES = [
     ("MIT", ["MIT_GRANT", "MIT_NOTICE", "MIT_AS_IS", "MIT_LIABLE"]),
     ("MIT", ["MIT_GRANT", "MIT_NOTICE", "MIT_AS_IS"]),
     ("MIT", ["MIT_GRANT", "MIT_AS_IS"]),
+    ("MIT", ["MIT_GRANT", "MIT_NOTICE"]),
     ("ISC", ["ISC_GRANT", "ISC_AS_IS"]),
     ("ISC", ["ISC_GRANT"]),
     ("Apache-2.0", ["APACHE_2"]),
@@ -117,7 +118,7 @@ RULES = [
 _ANCHOR = "|".join(ANCHORS)
 #: A sentence ends at a line end, or at a mark with white space behind it.
 _END, _ENDED = r"([.!?;])[ \t\r\n]+", "\n"
-_NOISE, _EDGE = r"[^\p{L}\p{N}.,]+", r"^[ .,]+|[ .,]+$"
+_NOISE, _EDGE = r"[^\p{L}\p{N}.]+", r"^[ .]+|[ .]+$"
 
 
 def sentences(text: Column) -> Column:
@@ -132,11 +133,10 @@ def normalised(sentence: Column) -> Column:
 
 
 def identifier(sentence: Column) -> Column:
-    """Of a normalised sentence; commas are optional in the patterns."""
+    """Of a normalised sentence."""
     out = F.lit(UNKNOWN)
-    bare = F.regexp_replace(sentence, ",", "")
     for name, pattern in reversed(SENTENCES):
-        out = F.when(bare.rlike(pattern), F.lit(name)).otherwise(out)
+        out = F.when(sentence.rlike(pattern), F.lit(name)).otherwise(out)
     return out
 
 
@@ -190,7 +190,7 @@ WITH near AS (
 ), cut AS (
   SELECT doc_id, coalesce(list_filter(string_split(regexp_replace(t, '{_END}', '\\1' || chr(10), 'g'), chr(10)), lambda s: regexp_matches(lower(s), '{_ANCHOR}')), []) AS sentences FROM near
 ), named AS (
-  SELECT doc_id, sentences, list_transform(list_transform(sentences, lambda s: replace(regexp_replace(regexp_replace(lower(s), '{_NOISE}', ' ', 'g'), '{_EDGE}', '', 'g'), ',', '')),
+  SELECT doc_id, sentences, list_transform(list_transform(sentences, lambda s: regexp_replace(regexp_replace(lower(s), '{_NOISE}', ' ', 'g'), '{_EDGE}', '', 'g')),
          lambda b: CASE {case} ELSE '{UNKNOWN}' END) AS ids FROM cut
 ), runs AS (
   SELECT *, ',' || array_to_string(list_transform(ids, lambda i: ',' || i || ','), '') || ',' AS run FROM named
