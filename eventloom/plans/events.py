@@ -188,7 +188,7 @@ QUERIES = {
     "dedup_store": lambda s, d: dedup.dedup_store(_sim_prints(s, d).where("seq % 2 = 1"), _sim_prints(s, d).where("seq % 2 = 0")).select("seq"),
     "comment_dup_count": lambda s, d: dedup.comment_dup_count(_sim_prints(s, d)).select("seq", F.col("duplicate_count").cast("long").alias("duplicate_count")),
     "dedup_url": lambda s, d: dedup.dedup_url(posts(s, d).select("seq", F.concat(F.lit("u"), (F.col("doc_id") % 300).cast("string")).alias("source_url")), posts(s, d).select(F.concat(F.lit("u"), (F.col("doc_id") * 7 % 150).cast("string")).alias("source_url"))),
-    "set_difference": lambda s, d: posts(s, d).select("source", "platform").distinct().join(posts(s, d).where("doc_id % 3 = 0").select("source", "platform").distinct(), ["source", "platform"], "left_anti"),
+    "set_difference": lambda s, d: posts(s, d).select("source", "platform").distinct().join(posts(s, d).where("platform = '微博'").select("source", "platform").distinct(), ["source", "platform"], "left_anti"),
 }
 
 # SQL twins
@@ -324,5 +324,5 @@ ORACLE = {
  r AS (SELECT *, CASE WHEN pred > 0 THEN hit / pred::DOUBLE ELSE 0 END AS pr, CASE WHEN support > 0 THEN hit / support::DOUBLE ELSE 0 END AS rc FROM m) SELECT CASE WHEN l THEN 'positive' ELSE 'negative' END AS label, support, round(pr, 4) AS precision, round(rc, 4) AS recall, round(CASE WHEN pr + rc > 0 THEN 2 * pr * rc / (pr + rc) ELSE 0 END, 4) AS f1, round((SELECT count(*) FILTER (y = p) / count(*)::DOUBLE FROM x), 4) AS accuracy FROM r""",
     "domain_shift": "SELECT doc_id % 2 AS kind, round(avg(CASE WHEN doc_id % 10 < 7 OR quality = 1 THEN 1.0::DOUBLE ELSE 0 END), 4) AS accuracy FROM labels GROUP BY 1",
     "dedup_url": "SELECT min(doc_id) AS seq, 'u' || (doc_id % 300)::VARCHAR AS source_url FROM documents WHERE doc_id % 300 NOT IN (SELECT doc_id * 7 % 150 FROM documents) GROUP BY doc_id % 300",
-    "set_difference": sql(["posts"], "SELECT source, platform FROM posts EXCEPT SELECT source, platform FROM posts WHERE doc_id % 3 = 0"),
+    "set_difference": sql(["posts"], "SELECT source, platform FROM posts EXCEPT SELECT source, platform FROM posts WHERE platform = '微博'"),
 }

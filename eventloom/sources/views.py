@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 START, SPAN = 1704067200, 2592000
-AS_OF = START + SPAN
+AS_OF = START + 20 * 86400
 PLATFORMS = ["微博", "知乎", "新浪新闻", "人民网", "澎湃新闻"]
 TIERS = ["官方平台", "认证机构", "头部认证个人", "认证个人", "普通用户", None, "官方机构"]
 
