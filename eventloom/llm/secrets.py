@@ -2,8 +2,8 @@
 
 A text is scanned for secrets; then its encoded parts are unwrapped (percent escapes,
 Unicode escapes, base64, compressed bytes), each result is a layer that is scanned and
-unwrapped again, until nothing new turns up. A layer that was seen before is not taken
-up again, so cycles end. Each layer knows for its every character which span of the
+unwrapped again, until nothing new turns up. A layer that was seen before, with the same text from the same
+places of the document, is not taken up again, so cycles end. Each layer knows for its every character which span of the
 document it came from, so that findings are given as spans of the document.
 """
 
@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import binascii
 import bz2
+import hashlib
 import lzma
 import re
 import zlib
@@ -69,6 +70,13 @@ class Layer:
     def span(self, start: int, end: int) -> tuple[int, int]:
         return int(self.starts[start:end].min()), int(self.ends[start:end].max())
 
+    def key(self) -> bytes:
+        """A digest of the text and of where each of its characters came from."""
+        out = hashlib.blake2b(self.text.encode("utf-8", "surrogatepass"), digest_size=20)
+        out.update(np.ascontiguousarray(self.starts, np.int64))
+        out.update(np.ascontiguousarray(self.ends, np.int64))
+        return out.digest()
+
 
 def _characters(data: bytes) -> tuple[str, np.ndarray, np.ndarray]:
     """Text of the bytes (UTF-8, else one character a byte) with the byte span of each character."""
@@ -249,13 +257,14 @@ def find(text: str, limit: int = MAX_DECODED) -> tuple[list, list, int, int]:
     base = scan(text)
     if not _encoded(text):
         return base, base, 0, 0
-    every, seen, work, layers, oversized = set(base), {text}, deque([Layer(text)]), 0, 0
+    top = Layer(text)
+    every, seen, work, layers, oversized = set(base), {top.key()}, deque([top]), 0, 0
     while work:
         for child in unwrap(work.popleft(), limit):
             if child is None:
                 oversized += 1
-            elif child.text and child.text not in seen:
-                seen.add(child.text)
+            elif child.text and (key := child.key()) not in seen:
+                seen.add(key)
                 limit -= len(child.text)
                 if limit < 0:
                     oversized += 1

@@ -302,6 +302,15 @@ def test_layers(wrapped):
     assert secrets.find(secrets.redact(text))[1] == []
 
 
+def test_equal_layers_at_other_places_are_found(spark):
+    for wrapped in (base64.b64encode(b"password = hunter22222").decode(), base64.b64encode(gzip.compress(KEY)).decode()):
+        text = f"one {wrapped} two\nthree {wrapped} four"
+        places = [m.start() for m in re.finditer(re.escape(wrapped), text)]
+        assert [a for a, _, _ in secrets.find(text)[1]] == places
+        clean = spark.createDataFrame([(text,)], "text string").select(secrets.redacted(F.col("text")).alias("text")).first().text
+        assert wrapped not in clean and clean.count("[redacted") == 2
+
+
 def test_cycles_end_and_bombs_are_counted():
     assert secrets.find("%25" * 50)[2] >= 1
     bomb = base64.b64encode(gzip.compress(b"a" * 10_000_000)).decode()
