@@ -18,6 +18,7 @@ import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -29,8 +30,12 @@ from pyspark.sql import types as T
 from .common import chunks
 
 KINDS = ("assign", "access", "hex")
-#: Decoded characters a document may unwrap to; what would go beyond is counted in ``n_oversized``.
+#: Compressed bytes that unwrap to more are counted in ``n_oversized`` and read in blocks, each a layer.
 MAX_DECODED = 1 << 26
+#: Bytes of a block, and those that it shares with the next one.
+BLOCK, OVERLAP = 1 << 22, 1 << 20
+#: Where bombs end: compressed layers within each other (counted in ``n_oversized``, too), and bytes that the blocks of one hold.
+MAX_DEPTH, MAX_BLOCKS = 64, 1 << 32
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")  # the runs of 20 and more are the same as those filtered afterwards
@@ -42,6 +47,7 @@ _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 _PART = re.compile(r"[A-Za-z0-9+]{16,}={0,2}")
 _WRAPPED = re.compile(r"(?:[A-Za-z0-9+/]{64}\r?\n)+[A-Za-z0-9+/]{1,64}={0,2}|(?:[A-Za-z0-9+/]{76}\r?\n)+[A-Za-z0-9+/]{1,76}={0,2}")
 _PACKED = re.compile(r"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]|\x28\xb5\x2f\xfd|BZh[1-9]1AY|\xfd7zXZ\x00")
+_BYTES = re.compile("[\x00-\xff]+")
 _TO_PLAIN64 = str.maketrans("-_", "+/")
 _BLANK = str.maketrans("\t\n\r\v\f", "     ")
 
@@ -60,21 +66,29 @@ def scan(text: str) -> list[tuple[int, int, int]]:
 class Layer:
     """A text and, for each of its characters, the span of the document that it came from."""
 
-    __slots__ = ("text", "starts", "ends")
+    __slots__ = ("text", "starts", "ends", "unpacked")
 
-    def __init__(self, text: str, starts=None, ends=None):
-        self.text = text
+    def __init__(self, text: str, starts=None, ends=None, unpacked: bool = False):
+        self.text, self.unpacked = text, unpacked
         self.starts = np.arange(len(text)) if starts is None else starts
         self.ends = np.arange(1, len(text) + 1) if ends is None else ends
 
+    @classmethod
+    def within(cls, text: str, start: int, end: int) -> Layer:
+        """A text out of compressed bytes: every character came from the same span, which takes no memory."""
+        return cls(text, np.broadcast_to(np.int64(start), len(text)), np.broadcast_to(np.int64(end), len(text)), True)
+
     def span(self, start: int, end: int) -> tuple[int, int]:
         return int(self.starts[start:end].min()), int(self.ends[start:end].max())
 
     def key(self) -> bytes:
         """A digest of the text and of where each of its characters came from."""
         out = hashlib.blake2b(self.text.encode("utf-8", "surrogatepass"), digest_size=20)
-        out.update(np.ascontiguousarray(self.starts, np.int64))
-        out.update(np.ascontiguousarray(self.ends, np.int64))
+        if self.unpacked and len(self.text):
+            out.update(f"{self.starts[0]} {self.ends[0]}".encode())
+        else:
+            out.update(np.ascontiguousarray(self.starts, np.int64))
+            out.update(np.ascontiguousarray(self.ends, np.int64))
         return out.digest()
 
 
@@ -91,35 +105,86 @@ def _characters(data: bytes) -> tuple[str, np.ndarray, np.ndarray]:
     return text, starts, np.append(starts[1:], len(data))
 
 
-def _inflate(data: bytes, limit: int) -> bytes | None:
-    """What compressed bytes hold, or None; an EOFError says that it is over the limit."""
+def _text(data: bytes) -> str:
+    """As of ``_characters``."""
+    try:
+        return data.decode("utf-8")
+    except UnicodeDecodeError:
+        return data.decode("latin-1")
+
+
+def _wide(data: bytes) -> Iterator[str]:
+    """Bytes with a NUL read as UTF-16 of either order, a character for every two bytes."""
+    if b"\0" in data and len(data) > 1:
+        for kind in ("<u2", ">u2"):
+            yield np.frombuffer(data[: len(data) // 2 * 2], kind).astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+
+
+def _pieces(data: bytes) -> Iterator[bytes]:
+    """What compressed bytes hold, some at a time; nothing from where they are not compressed data after all."""
     try:
-        if data.startswith(b"\x1f\x8b"):
-            tool = zlib.decompressobj(31)
-        elif data.startswith(b"\x28\xb5\x2f\xfd"):
+        if data.startswith(b"\x28\xb5\x2f\xfd"):
             import zstandard
 
-            tool = zstandard.ZstdDecompressor().decompressobj()
-            out = tool.decompress(data) if (size := zstandard.frame_content_size(data)) < 0 or size <= limit else None
-            if out is None or len(out) > limit:
-                raise EOFError
-            return out
-        elif data.startswith(b"BZh"):
-            tool = bz2.BZ2Decompressor()
-        elif data.startswith(b"\xfd7zXZ\x00"):
-            tool = lzma.LZMADecompressor()
-        elif data[:1] == b"x":
-            tool = zlib.decompressobj()
-        else:
-            return None
-        out = tool.decompress(data, limit + 1)
-    except EOFError:
-        raise
-    except Exception:  # not compressed data after all
-        return None
-    if len(out) > limit:
-        raise EOFError
-    return out or None
+            reader = zstandard.ZstdDecompressor().stream_reader(data)
+            while out := reader.read(BLOCK):
+                yield out
+        elif data.startswith(b"\x1f\x8b") or data[:1] == b"x":
+            tool = zlib.decompressobj(31 if data[:1] == b"\x1f" else 15)
+            while out := tool.decompress(data, BLOCK):
+                yield out
+                data = tool.unconsumed_tail
+            if out := tool.flush():
+                yield out
+        elif data.startswith((b"BZh", b"\xfd7zXZ\x00")):
+            tool = bz2.BZ2Decompressor() if data[:1] == b"B" else lzma.LZMADecompressor()
+            while out := tool.decompress(data, BLOCK):
+                yield out
+                data = b""
+                if tool.eof:
+                    break
+    except Exception:
+        return
+
+
+def _blocks(pieces: Iterator[bytes]) -> Iterator[bytes]:
+    """Blocks that end behind a line end where there is one; each shares OVERLAP bytes with the one before."""
+    held = bytearray()
+    for piece in pieces:
+        held += piece
+        while len(held) > BLOCK:
+            cut = held.rfind(b"\n", BLOCK - OVERLAP, BLOCK) + 1 or BLOCK
+            yield bytes(held[:cut])
+            start = cut - OVERLAP
+            del held[: held.find(b"\n", start, start + OVERLAP // 2) + 1 or start]
+    if held:
+        yield bytes(held)
+
+
+def _unpack(data: bytes, start: int, end: int, limit: int) -> Iterator[Layer | None]:
+    """Layers out of compressed bytes: one, or None and one for each block if they hold over ``limit``."""
+    pieces, held, size = _pieces(data), [], 0
+    for piece in pieces:
+        held.append(piece)
+        size += len(piece)
+        if size > limit:
+            yield None
+            left = MAX_BLOCKS
+            for block in _blocks(chain(held, pieces)):
+                left -= len(block)
+                if left < 0:
+                    return
+                yield from _layers_of(block, start, end)
+            return
+    if held:
+        yield from _layers_of(b"".join(held), start, end)
+
+
+def _layers_of(data: bytes, start: int, end: int) -> Iterator[Layer]:
+    yield Layer.within(_text(data), start, end)
+    for text in _wide(data):
+        if _holds(text):
+            yield Layer.within(text, start, end)
 
 
 def _replaced(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
@@ -174,25 +239,35 @@ def _base64_bytes(token: str) -> bytes | None:
         return None
 
 
-def _payload(layer: Layer, places: np.ndarray, token: str, limit: int) -> Layer | None:
-    """The text in a base64 token whose characters stand at ``places`` of the layer."""
+def _payload(layer: Layer, places: np.ndarray, token: str, limit: int) -> Iterator[Layer | None]:
+    """The layers in a base64 token whose characters stand at ``places`` of the layer.
+
+    Readable UTF-8 is a layer; other bytes are if there is a secret or something to unwrap in
+    them, read as UTF-8, else one character a byte, or as UTF-16.
+    """
     data = _base64_bytes(token)
     if not data:
-        return None
-    whole = int(layer.starts[places].min()), int(layer.ends[places].max())
-    inner = _inflate(data, limit)
-    if inner is not None:
-        text = _characters(inner)[0]
-        return Layer(text, np.full(len(text), whole[0]), np.full(len(text), whole[1]))
+        return
+    found = False
+    for inner in _unpack(data, int(layer.starts[places].min()), int(layer.ends[places].max()), limit):
+        found = True
+        yield inner
+    if found:
+        return
+    wide = ((t, 2 * np.arange(len(t)), 2 * np.arange(1, len(t) + 1)) for t in _wide(data))
+    for text, a, b in chain([_characters(data)], wide):
+        if len(text) >= 6 and (_readable(data, text) or _holds(text)):
+            first, last = places[a * 4 // 3], places[np.minimum(len(places) - 1, (b * 4 + 2) // 3 - 1)]
+            yield Layer(text, layer.starts[first], layer.ends[last])
+
+
+def _readable(data: bytes, text: str) -> bool:
+    if not text.translate(_BLANK).isprintable():
+        return False
     try:
-        data.decode("utf-8")
+        return data.decode("utf-8") == text
     except UnicodeDecodeError:
-        return None
-    text, a, b = _characters(data)
-    if len(text) < 6 or not text.translate(_BLANK).isprintable():
-        return None
-    first, last = places[a * 4 // 3], places[np.minimum(len(places) - 1, (b * 4 + 2) // 3 - 1)]
-    return Layer(text, layer.starts[first], layer.ends[last])
+        return False
 
 
 def unwrap(layer: Layer, limit: int) -> Iterator[Layer | None]:
@@ -203,40 +278,22 @@ def unwrap(layer: Layer, limit: int) -> Iterator[Layer | None]:
     if ("\\" in text or "&#" in text) and (found := _replaced(layer, _ESCAPE, _escape)):
         yield found
     for m in _BASE64.finditer(text):
-        # The whole run first; if it holds nothing, its parts between marks that paths and names are made with.
-        for start, token in [(m.start(), m.group()), *((m.start() + p.start(), p.group()) for p in _PART.finditer(m.group()))]:
-            try:
-                found = _payload(layer, np.arange(start, start + len(token)), token, limit)
-            except EOFError:
-                yield None
-                break
-            if found is not None:
+        # The whole run first; if it holds nothing readable, its parts between marks that paths and names are made with.
+        for start, token in [(m.start(), m.group()), *((m.start() + p.start(), p.group()) for p in _PART.finditer(m.group()) if p.group() != m.group())]:
+            done = False
+            for found in _payload(layer, np.arange(start, start + len(token)), token, limit):
                 yield found
-                if token == m.group():
-                    break
+                done = done or found is None or found.unpacked or found.text.translate(_BLANK).isprintable()
+            if done and token == m.group():
+                break
     if "\n" in text:
         for m in _WRAPPED.finditer(text):
             keep = np.array([i for i, c in enumerate(m.group()) if c not in "\r\n"])
-            try:
-                found = _payload(layer, m.start() + keep, "".join(m.group().split()), limit)
-            except EOFError:
-                found = None
-                yield None
-            if found is not None:
-                yield found
-    if not text.isascii() or "\x1f" in text or "BZh" in text or re.search("x[\x01\x5e]", text):
+            yield from _payload(layer, m.start() + keep, "".join(m.group().split()), limit)
+    if _PACKED.search(text):
         for m in _PACKED.finditer(text):
-            end = m.start()
-            run = re.match("[\x00-\xff]+", text[end:])
-            try:
-                inner = _inflate(run.group().encode("latin-1"), limit)
-            except EOFError:
-                yield None
-                continue
-            if inner is not None:
-                a, b = layer.span(m.start(), m.start() + run.end())
-                plain = _characters(inner)[0]
-                yield Layer(plain, np.full(len(plain), a), np.full(len(plain), b))
+            run = _BYTES.match(text, m.start())
+            yield from _unpack(run.group().encode("latin-1"), *layer.span(m.start(), run.end()), limit)
 
 
 def _encoded(text: str) -> bool:
@@ -245,35 +302,46 @@ def _encoded(text: str) -> bool:
         ("%" in text and _PERCENT.search(text))
         or (("\\" in text or "&#" in text) and _ESCAPE.search(text))
         or _BASE64.search(text)
-        or "\x1f\x8b" in text
-        or "\x28\xb5\x2f\xfd" in text
-        or "BZh" in text
-        or "\xfd7zXZ" in text
+        or _PACKED.search(text)
     )
 
 
+def _holds(text: str) -> bool:
+    return _encoded(text) or bool(scan(text))
+
+
 def find(text: str, limit: int = MAX_DECODED) -> tuple[list, list, int, int]:
-    """Findings of the text itself, of the text and all layers, the number of layers, and of those beyond the limit."""
+    """Findings of the text itself, of the text and all layers, the number of layers, and of compressed ones over the limit."""
     base = scan(text)
     if not _encoded(text):
         return base, base, 0, 0
     top = Layer(text)
-    every, seen, work, layers, oversized = set(base), {top.key()}, deque([top]), 0, 0
-    while work:
-        for child in unwrap(work.popleft(), limit):
+    every, seen, layers, oversized = set(base), {top.key()}, 0, 0
+    # What compressed bytes hold is worked off at once, so that one such text is held for each depth.
+    stack = [(deque([top]), iter(()))]
+    while stack:
+        work, children = stack[-1]
+        for child in children:
             if child is None:
                 oversized += 1
             elif child.text and (key := child.key()) not in seen:
                 seen.add(key)
-                limit -= len(child.text)
-                if limit < 0:
-                    oversized += 1
-                    continue
                 layers += 1
                 for start, kind, end in scan(child.text):
                     a, b = child.span(start, end)
                     every.add((a, kind, b))
-                work.append(child)
+                if not child.unpacked:
+                    work.append(child)
+                elif len(stack) <= MAX_DEPTH:
+                    stack.append((deque([child]), iter(())))
+                    break
+                else:
+                    oversized += _encoded(child.text)
+        else:
+            if work:
+                stack[-1] = work, unwrap(work.popleft(), limit)
+            else:
+                stack.pop()
     return base, sorted(every), layers, oversized
 
 
@@ -306,8 +374,8 @@ def find_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     ``base`` has those of the text as it stands, ``spans`` these and those of all layers.
     Null texts are empty; null ids stay null; repeated rows give repeated results; further
-    columns are not read; an empty table gives no rows. ``n_oversized`` counts layers that
-    were left out since the document unwraps to over ``MAX_DECODED`` characters.
+    columns are not read; an empty table gives no rows. ``n_oversized`` counts compressed
+    layers of over ``MAX_DECODED`` bytes, which are read in blocks, and those too deep.
     """
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_find_all, FINDINGS)
 

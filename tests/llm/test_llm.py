@@ -1,8 +1,10 @@
 """The training-data operators against plain versions, and their edge cases."""
 
 import base64
+import bz2
 import gzip
 import hashlib
+import lzma
 import random
 import re
 import urllib.parse
@@ -10,6 +12,7 @@ import zlib
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -311,6 +314,31 @@ def test_equal_layers_at_other_places_are_found(spark):
         assert wrapped not in clean and clean.count("[redacted") == 2
 
 
+@pytest.mark.parametrize("data", ["a\u00a0b password=hunter2222".encode(), "a\u3000\u200b password=hunter2222".encode(), b"\0\1password=hunter2222", "\xfc password=hunter2222".encode("latin-1"), *("\xfc password=hunter2222".encode(k) for k in ("utf-16", "utf-16-le", "utf-16-be"))])
+def test_payloads_with_any_characters(data):
+    text = f"before {base64.b64encode(data).decode()} behind"
+    assert secrets.find(text)[1] and secrets.find(secrets.redact(text))[1] == []
+
+
+def test_large_layers_are_read_and_leave_later_ones(monkeypatch):
+    monkeypatch.setattr(secrets, "BLOCK", 1 << 14)
+    monkeypatch.setattr(secrets, "OVERLAP", 1 << 12)
+    small = base64.b64encode(b"password = hunter22222").decode()
+    for packed in (gzip.compress, zlib.compress, bz2.compress, lzma.compress, zstandard.compress):
+        for fill in (b"some words\n", b"z"):
+            for held in (KEY, small.encode()):
+                large = base64.b64encode(packed(fill * 20_000 + b" " + held + b" " + fill * 3_000)).decode()
+                text = f"{large} then {small}"
+                base, every, _, oversized = secrets.find(text, 10_000)
+                assert not base and {a for a, _, _ in every} == {0, text.index(small)} and oversized == 1
+    # Blocks share enough, wherever they end.
+    for n in range(16_300, 16_400, 7):
+        assert secrets.find(base64.b64encode(gzip.compress(b"\n" * n + KEY + b"\n" * 9_000)).decode(), 10_000)[1]
+    # Escapes in a text that is longer than the limit.
+    assert secrets.find("word " * 100 + urllib.parse.quote(urllib.parse.quote("token=abc/defgh é")) + " %41" + "".join(f"%{c:02X}" for c in KEY), 100)[1]
+    assert secrets.find(f"{large} {small}" * 2, 10_000)[3] == 2
+
+
 def test_cycles_end_and_bombs_are_counted():
     assert secrets.find("%25" * 50)[2] >= 1
     bomb = base64.b64encode(gzip.compress(b"a" * 10_000_000)).decode()
