@@ -5,6 +5,9 @@ known licence sentences; a document's sequence of identifiers is then matched ag
 ordered rules. A rule that matches uses up its sentences, so the longer and more special
 rules come first. Everything is DataFrame functions; only documents with a licensing word
 are split into sentences.
+
+A line is a sentence, or some, unless a pattern needs the lines of a paragraph together: then
+the wrapped sentence is taken as a whole. The SQL twin reads lines only.
 """
 
 from __future__ import annotations
@@ -121,13 +124,6 @@ _END, _ENDED = r"([.!?;])[ \t\r\n]+", "\n"
 _NOISE, _EDGE = r"[^\p{L}\p{N}.]+", r"^[ .]+|[ .]+$"
 
 
-def sentences(text: Column) -> Column:
-    """Sentences with a licensing word, as they stand; none for null texts and those without such a word."""
-    near = F.when(F.lower(text).rlike(_ANCHOR), text)
-    parts = F.split(F.regexp_replace(near, _END, "$1\n"), "\n")
-    return F.coalesce(F.filter(parts, lambda s: F.lower(s).rlike(_ANCHOR)), F.array().cast("array<string>"))
-
-
 def normalised(sentence: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(sentence), _NOISE, " "), _EDGE, "")
 
@@ -140,6 +136,47 @@ def identifier(sentence: Column) -> Column:
     return out
 
 
+#: Wrapped sentences end at a mark with white space behind it, and before a line without letters and digits.
+_GROUP = r"(?<=[.!?;])[ \t\r\n]+|\n(?=[^\p{L}\p{N}\n]*(?:\n|$))"
+#: A line end with the marks of a comment.
+_WRAP = r"[ \t\r]*\n[ \t\r*#/;>%|!-]*"
+#: Anchors over line ends, and what patterns without an anchor begin to match at; a line with only the latter counts if a pattern has it.
+_NEAR = "|".join([*(a.replace(" ", "[^a-z]+") for a in ANCHORS), r"creative[^a-z]+commons", r"\bcc[^a-z0-9]*(0|by)", r"\bc[^a-z0-9]+[0-9]{4}"])
+
+
+def _named(text: Column) -> Column:
+    return F.struct(text.alias("s"), identifier(normalised(text)).alias("id"))
+
+
+def _of_group(lines: Column, whole: Column) -> Column:
+    """Sentences of a group: its lines, unless its lines together are a known one that they hold in part."""
+    known = F.filter(lines, lambda x: x["id"] != UNKNOWN)
+    first = F.array_position(F.transform(known, lambda x: x["id"]), whole["id"])
+    put = F.transform(known, lambda x, i: F.when(i == first - 1, whole).otherwise(x))
+    return (
+        F.when(whole.isNull() | (whole["id"] == UNKNOWN), lines)
+        .when(first == 0, F.concat(F.array(whole), known))
+        .when(F.size(known) < F.size(lines), put)
+        .otherwise(lines)
+    )
+
+
+def sentences(text: Column) -> Column:
+    """Sentences that may speak of licensing, as they stand (line ends as spaces), and their identifiers; none for null texts."""
+    near = F.when(F.lower(text).rlike(_NEAR), text)
+
+    def of(group: Column) -> Column:
+        lines = F.transform(F.filter(F.split(group, "\n"), lambda s: F.lower(s).rlike(_NEAR)), _named)
+        lines = F.filter(lines, lambda x: (x["id"] != UNKNOWN) | F.lower(x["s"]).rlike(_ANCHOR))
+        whole = F.when(F.instr(group, "\n") > 0, _named(F.regexp_replace(group, _WRAP, " ")))
+        # Bound once by an array of one, as either is used more than once.
+        both = F.array(F.struct(lines.alias("lines"), whole.alias("whole")))
+        return F.flatten(F.transform(both, lambda x: _of_group(x["lines"], x["whole"])))
+
+    groups = F.filter(F.split(near, _GROUP), lambda g: F.lower(g).rlike(_NEAR))
+    return F.coalesce(F.flatten(F.transform(groups, of)), F.array().cast("array<struct<s:string,id:string>>"))
+
+
 def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, sentences, sentence_ids, licenses (arrays) and n_unknown of every row of ``docs``.
 
@@ -148,8 +185,8 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     order of the rules. Null and empty texts have none; null ids stay null; repeated rows
     give repeated results; further columns are not read; an empty table gives no rows.
     """
-    out = docs.select(F.col(id_col).alias("doc_id"), sentences(F.col(text_col).cast("string")).alias("sentences"))
-    out = out.withColumn("sentence_ids", F.transform("sentences", lambda s: identifier(normalised(s))))
+    out = docs.select(F.col(id_col).alias("doc_id"), sentences(F.col(text_col).cast("string")).alias("__named"))
+    out = out.select("doc_id", F.col("__named.s").alias("sentences"), F.col("__named.id").alias("sentence_ids"))
     # Each identifier stands between two commas of its own, so that runs that touch are told apart.
     out = out.withColumn("__run", F.concat(F.lit(","), F.array_join(F.transform("sentence_ids", lambda s: F.concat(F.lit(","), s, F.lit(","))), ""), F.lit(",")))
     found = []

@@ -98,6 +98,60 @@ def test_licenses(spark, text, ids, names):
     assert (r.sentence_ids, r.licenses) == (ids, names)
 
 
+BSD = """# Copyright (c) 2020, Somebody
+# All rights reserved.
+#
+# Redistribution and use in source and binary forms, with or without
+# modification, are permitted provided that the following conditions are met:
+#
+# 1. Redistributions of source code must retain the above copyright
+#    notice, this list of conditions and the following disclaimer.
+# 2. Redistributions in binary form must reproduce the above
+#    copyright notice, this list of conditions and the following disclaimer.
+#
+# THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND
+# CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED."""
+GPL = """ * This program is free software; you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation.
+ *
+ * This program is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY.
+ * You should have received a copy of the GNU General Public License
+ * along with this program."""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted."""
+WRAPPED_MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software, to deal in it without restriction, including the rights to
+use, copy, sublicense, and/or sell copies, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in
+all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY
+KIND."""
+
+
+@pytest.mark.parametrize(
+    "text, names",
+    [
+        (BSD, ["BSD-2-Clause", "all-rights-reserved"]),
+        (GPL, ["GPL-any"]),
+        (ISC, ["ISC"]),
+        (WRAPPED_MIT, ["MIT"]),
+        ("Text. Available under CC BY-SA 4.0. More", ["CC-BY-SA"]),
+        ("Released under Creative Commons Attribution 4.0.", ["CC-BY"]),
+        ("All of it under CC0", ["CC0"]),
+        ("Distributed under Creative\nCommons Attribution 4.0", ["CC-BY"]),
+        ("We like the creative commons and cc by mail", []),
+    ],
+)
+def test_wrapped_and_anchor_free_licenses(spark, text, names):
+    r = licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert r.licenses == names and len(r.sentences) == len(r.sentence_ids)
+
+
 # 2 and 4
 
 
