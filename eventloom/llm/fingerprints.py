@@ -7,8 +7,9 @@ is found by binary search over spans.
 
 A fingerprint keeps the prefix array and the one of the reversed text at positions that
 are multiples of a power of two, the smallest that gives at most ``SAMPLES`` of them.
-Grids of different texts are nested, so that fingerprints alone locate how far two texts
-agree from the start and from the end, again by binary search.
+Grids of different texts are nested, so that fingerprints alone tell which cells of the
+grid agree: the differences of neighbouring samples are equal, counted in place from the
+start and from the end. Cells that are moved against both ends are not told.
 """
 
 from __future__ import annotations
@@ -120,31 +121,41 @@ class Print:
         return out
 
 
-def _agree(a: list[int], b: list[int], p: Print, q: Print) -> int:
-    """Code points that agree from one end, to the coarser grid; all of the shorter if it is a whole grid of the other."""
+def _at(samples: list[int], step: int, cells: int) -> np.ndarray:
+    """Row k: the prefix hashes modulo prime k before each cell of the coarser grid and behind the last."""
+    # The last sample is the whole text, wherever the grid ends.
+    found = np.array([0, *(samples[min(i * step, len(samples)) - 1] for i in range(1, cells + 1))], np.uint64)
+    return np.stack([found >> np.uint64(31), found & np.uint64((1 << 31) - 1)])
+
+
+def _agree(a: list[int], b: list[int], p: Print, q: Print) -> list[tuple[int, int]]:
+    """Spans that agree in place from one end, by cells of the coarser grid."""
     shift = max(p.shift, q.shift)
-    step_a, step_b = 1 << (shift - p.shift), 1 << (shift - q.shift)
-    low, high = 0, min(p.n, q.n) >> shift
-    while low < high:
-        mid = (low + high + 1) // 2
-        # The last sample is the whole text, wherever the grid ends.
-        x = a[min(mid * step_a, len(a)) - 1]
-        y = b[min(mid * step_b, len(b)) - 1]
-        if x == y:
-            low = mid
-        else:
-            high = mid - 1
-    return low << shift
+    # Texts of one length have an equal last cell, however short.
+    cells = -(-p.n // (1 << shift)) if p.n == q.n else min(p.n, q.n) >> shift
+    x, y = _at(a, 1 << (shift - p.shift), cells), _at(b, 1 << (shift - q.shift), cells)
+    # Both stand at the same power of B; adding the prime keeps the differences positive.
+    same = ((x[:, 1:] + PRIMES[:, None] - x[:, :-1]) % PRIMES[:, None] == (y[:, 1:] + PRIMES[:, None] - y[:, :-1]) % PRIMES[:, None]).all(axis=0)
+    return [(i << shift, min((i + 1) << shift, p.n, q.n)) for i in np.flatnonzero(same).tolist()]
+
+
+def _covered(spans: list[tuple[int, int]]) -> int:
+    out = at = 0
+    for start, end in sorted(spans):
+        out += max(0, end - max(at, start))
+        at = max(at, end)
+    return out
 
 
 def likeness(p: Print, q: Print) -> float:
-    """Share of the longer text that agrees with the other from the start or the end; 1 for equal texts."""
+    """Share of the longer text in spans that agree with the other in place from the start or the end; 1 for equal texts."""
     if p.n == q.n and p.head[-1:] == q.head[-1:]:
         return 1.0
-    longer = max(p.n, q.n)
     if not min(p.n, q.n):
         return 0.0
-    return min(1.0, (_agree(p.head, q.head, p, q) + _agree(p.tail, q.tail, p, q)) / longer, (min(p.n, q.n)) / longer)
+    head, tail = _agree(p.head, q.head, p, q), _agree(p.tail, q.tail, p, q)
+    # What is covered in the one and in the other, as a span may meet two of the other.
+    return min(_covered(head + [(t.n - e, t.n - s) for s, e in tail]) for t in (p, q)) / max(p.n, q.n)
 
 
 PRINTS = T.StructType(

@@ -414,6 +414,19 @@ def test_prefix_hashes():
     assert fingerprints.spans_equal(pa, 0, pb, 2, 16) and not fingerprints.spans_equal(pa, 0, pb, 2, 17)
 
 
+def test_likeness_counts_inner_spans():
+    random.seed(9)
+    text = "".join(random.choice("abcdefgh ") for _ in range(3200))
+    edited = text[:10] + "X" + text[11:-10] + "X" + text[-9:]
+    thirds = text[:500] + "X" + text[501:1600] + "X" + text[1601:2700] + "X" + text[2701:]
+    one, two, three = (fingerprints.Print(fingerprints.points_of(t)) for t in (text, edited, thirds))
+    assert fingerprints.likeness(one, two) >= 0.9 and fingerprints.likeness(one, three) >= 0.85
+    # Cells in place from the end, behind a longer start and before another edit.
+    longer = fingerprints.Print(fingerprints.points_of("YYY" + edited))
+    assert fingerprints.likeness(one, longer) >= 0.9
+    assert fingerprints.likeness(one, fingerprints.Print(fingerprints.points_of(text[::-1]))) < 0.1
+
+
 def test_fingerprints_equal_the_plain_form(docs, monkeypatch):
     monkeypatch.setattr(fingerprints, "TASK_ROWS", 30)
     rows = sorted((r.doc_id, r.text) for r in docs.collect())
