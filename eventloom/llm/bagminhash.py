@@ -12,20 +12,22 @@ block that holds it is halved level by level, each half going on as a process of
 that follows from the shingle and the half alone. So a shingle costs in the order of the
 logarithm of its weight, and points later than all positions' times are never drawn.
 
-Bands of the signature meet by hash; of what shares a band, pairs are left out whose
-bits of 128 positions differ far more than those of similar texts do, and the others are
-verified exactly on the multisets. Copies of one text are one member. In a band's bucket a few leaders are
-compared with the others, more of them from round to round, and only with members that
-no chain of verified pairs has joined to them yet, until nothing is left to compare.
-Leaders are first those whose buckets are fullest, as they stand in the middle of their
-group. One minus the similarity is a metric, so the distances of two members to their
-bucket's first leader bound their own, and pairs that must be too far are not compared.
-So a large group of near copies costs a few comparisons a member, and no link between
-different groups is lost.
+Bands of the signature meet by hash, and every pair that shares a band is verified exactly
+on the multisets or shown not to matter. Copies of one text are one member. First each
+bucket's members are compared with one of them, that whose buckets are fullest, as it
+stands in the middle of its group: one row a member and bucket. Buckets whose members are
+then joined are done. Of the others, groups are made: buckets that share members, or single
+buckets where those are fewer pairs. In a group each member outside its largest component
+is compared with all members of other components. This is done block by block in tasks:
+two blocks' multisets become 0/1 matrices over the shingles that both blocks have, whose
+product counts what each two texts share. A block gives only the links that join two
+components, never a row a pair. Texts whose sizes differ too much for the threshold don't
+meet. No pair is left out by chance or by a cap once it shares a band.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -34,7 +36,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from .common import chunks, stash
 
@@ -42,19 +43,30 @@ SHINGLE_WORDS = 5
 THRESHOLD = 0.8
 BANDS, BAND_ROWS = 32, 5
 SIGNATURE = BANDS * BAND_ROWS
-#: Leaders of a bucket in the first round, and how many times more each later round has.
-LEADERS, MORE_LEADERS = 1, 8
-#: One bit each of so many positions. Texts as similar as asked differ in a tenth of them on average; over a
-#: quarter has a chance of under one in a million.
-BITS, MOST_BITS = 128, 32
 #: Members that are compared with one copy of a leader's text.
 FAN_OUT = 1024
 #: Shingles that signatures are drawn for at once, and one document more.
 BLOCK_SHINGLES = 1 << 16
+#: A block of what stands outside a group's largest component holds about so many texts or shingles.
+LEFT_TEXTS, LEFT_SHINGLES = 2048, 1 << 20
+#: A task reads about so many shingles of the group for one such block.
+RIGHT_SHINGLES = 1 << 22
+#: Columns of the matrices at once.
+SLICE = 4096
 
 _G1, _G2, _G3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _MEMO_WORDS = 1 << 19
-_memo: dict[bytes, int] = {}
+
+
+class _Codes(dict):
+    """64 bits for each word."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = code = zlib.crc32(word) << 32 | zlib.crc32(word[::-1] + b"|")
+        return code
+
+
+_memo = _Codes()
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -66,9 +78,6 @@ def _mix(h: np.ndarray) -> np.ndarray:
 def _word_codes(words: list[bytes]) -> np.ndarray:
     if len(_memo) > _MEMO_WORDS:
         _memo.clear()
-    for w in set(words):
-        if w not in _memo:
-            _memo[w] = zlib.crc32(w) << 32 | zlib.crc32(w[::-1] + b"|")
     return np.fromiter(map(_memo.__getitem__, words), np.uint64, len(words))
 
 
@@ -90,8 +99,9 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     total = int(a[1].sum() + b[1].sum())
     if not total:
         return 1.0
-    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    common = int(np.minimum(a[1][i], b[1][j]).sum())
+    at = np.minimum(np.searchsorted(a[0], b[0]), len(a[0]) - 1) if len(a[0]) else np.zeros(0, np.int64)
+    met = a[0][at] == b[0] if len(at) else np.zeros(len(b[0]), bool)
+    common = int(np.minimum(a[1][at[met]], b[1][met]).sum()) if len(at) else 0
     return common / (total - common)
 
 
@@ -122,26 +132,50 @@ def signatures(bags: list[tuple[np.ndarray, np.ndarray]], size: int = SIGNATURE)
         blocks.append((doc[on], element[on], weight[on], np.full(n, low), np.full(n, high), np.zeros(n), np.zeros(n, np.uint64)))
         low, high = high, 2 * high
     going = tuple(np.concatenate(x) for x in zip(*blocks))
+
+    def hit(d: np.ndarray, at: np.ndarray, point: np.ndarray) -> None:
+        place = d * size + (point % np.uint64(size)).astype(np.int64)
+        better = at < times[place]
+        place, at, point = place[better], at[better], point[better]
+        np.minimum.at(times, place, at)
+        won = at == times[place]
+        marks[place[won]] = point[won] | np.uint64(1)
+
     # Points are drawn up to a time by which a document's positions are likely all hit; it doubles where some are not.
     horizon = size * (np.log(size) + 1) / np.maximum(total, 1)
     while True:
         parked = []
         while len(going[0]):
+            # Units go on as they are, so all their points up to the horizon come at once.
+            unit = going[4] - going[3] == 1
+            units, going = tuple(y[unit] for y in going), tuple(y[~unit] for y in going)
+            while len(units[0]):
+                d, e, w, lo, hi, x, k = units
+                n = np.maximum(horizon[d] - x, 0).astype(np.int64) + 2
+                of, first = np.repeat(np.arange(len(d)), n), np.cumsum(n) - n
+                kth = k[of] + (np.arange(len(of)) - first[of]).astype(np.uint64)
+                seed = _node(e, lo, hi)[of] + _G3 * kth
+                at = np.cumsum(-np.log(_uniform(seed)))
+                at += (x - np.r_[0.0, at][first])[of]
+                soon = at <= horizon[d][of]
+                hit(d[of[soon]], at[soon], _mix(seed[soon] ^ _G2))
+                drawn = np.bincount(of[soon], minlength=len(d))
+                x = np.where(drawn > 0, at[first + np.maximum(drawn, 1) - 1], x)
+                state = (d, e, w, lo, hi, x, k + drawn.astype(np.uint64))
+                parked.append(tuple(y[drawn < n] for y in state))
+                units = tuple(y[drawn == n] for y in state)
+            if not len(going[0]):
+                break
             d, e, w, lo, hi, x, k = going
             seed = _node(e, lo, hi) + _G3 * k
             at = x - np.log(_uniform(seed)) / (hi - lo)
             soon = at <= horizon[d]
             if not soon.all():
                 parked.append(tuple(y[~soon] for y in going))
-                d, e, w, lo, hi, k, seed, at = (y[soon] for y in (d, e, w, lo, hi, k, seed, at))
-            point = _mix(seed ^ _G2)
+                d, e, w, lo, hi, seed, at = (y[soon] for y in (d, e, w, lo, hi, seed, at))
+            # A wider interval has one point only: it falls apart around it, half by half.
+            point = side = _mix(seed ^ _G2)
             next_up = []
-            # Units go on as they are. A wider interval has one point only: it falls apart around it, half by half.
-            unit = hi - lo == 1
-            next_up.append((d[unit], e[unit], w[unit], lo[unit], hi[unit], at[unit], k[unit] + np.uint64(1)))
-            hit_d, hit_at, hit_point = [d[unit]], [at[unit]], [point[unit]]
-            d, e, w, lo, hi, at, point = (y[~unit] for y in (d, e, w, lo, hi, at, point))
-            side = point
             while len(d):
                 mid = (lo + hi) // 2
                 side = _mix(side + _G1)
@@ -153,17 +187,10 @@ def signatures(bags: list[tuple[np.ndarray, np.ndarray]], size: int = SIGNATURE)
                 inside = lo < w  # else the point lies above the weight
                 d, e, w, lo, hi, at, point, side = (y[inside] for y in (d, e, w, lo, hi, at, point, side))
                 unit = hi - lo == 1
-                hit_d.append(d[unit]), hit_at.append(at[unit]), hit_point.append(point[unit])
+                hit(d[unit], at[unit], point[unit])
                 next_up.append(tuple(y[unit] for y in (d, e, w, lo, hi, at, np.zeros(len(d), np.uint64))))
                 d, e, w, lo, hi, at, point, side = (y[~unit] for y in (d, e, w, lo, hi, at, point, side))
-            hit_d, hit_at, hit_point = (np.concatenate(y) for y in (hit_d, hit_at, hit_point))
-            place = hit_d * size + (hit_point % np.uint64(size)).astype(np.int64)
-            better = hit_at < times[place]
-            place, hit_at, hit_point = place[better], hit_at[better], hit_point[better]
-            np.minimum.at(times, place, hit_at)
-            won = hit_at == times[place]
-            marks[place[won]] = hit_point[won] | np.uint64(1)
-            going = tuple(np.concatenate(y) for y in zip(*next_up))
+            going = tuple(np.concatenate(y) for y in zip(*next_up)) if next_up else tuple(y[:0] for y in going)
         # All points up to the horizon are drawn, so a position that is hit is final.
         undone = (total > 0) & (times.reshape(docs, size).max(axis=1) > horizon)
         if not undone.any():
@@ -184,28 +211,25 @@ SIGNED = T.StructType(
         T.StructField("doc_id", T.LongType()),
         T.StructField("copy_key", T.BinaryType()),
         T.StructField("bands", T.ArrayType(T.LongType())),
-        T.StructField("bits0", T.LongType()),
-        T.StructField("bits1", T.LongType()),
+        T.StructField("size", T.LongType()),
     ]
 )
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bands and bits of each text; none for texts without words."""
-    kinds = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.int64(), pa.int64()]
+    """Bands and number of shingles of each text; none for texts without words."""
+    kinds = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.int64()]
     for batch in chunks(batches, 128):
         doc_ids, keys, texts = (batch.column(k).to_pylist() for k in range(3))
-        bands, bits = [None] * len(texts), [[None] * len(texts), [None] * len(texts)]
+        bands, sizes = [None] * len(texts), [None] * len(texts)
         held: list[int] = []
         bags: list = []
         waiting = 0
 
         def flush():
             if bags:
-                marks = signatures(bags)
-                ones = np.packbits((marks[:, :BITS] >> np.uint64(8)).astype(np.uint8) & 1, axis=1).view("<i8")
-                for i, h, o in zip(held, band_hashes(marks), ones):
-                    bands[i], bits[0][i], bits[1][i] = h.tolist(), int(o[0]), int(o[1])
+                for i, bag, h in zip(held, bags, band_hashes(signatures(bags))):
+                    bands[i], sizes[i] = h.tolist(), int(bag[1].sum())
             held.clear(), bags.clear()
 
         for i, text in enumerate(texts):
@@ -218,7 +242,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 flush()
                 waiting = 0
         flush()
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((doc_ids, keys, bands, *bits), kinds)], names=SIGNED.names)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((doc_ids, keys, bands, sizes), kinds)], names=SIGNED.names)
 
 
 def _compare():
@@ -241,6 +265,117 @@ def _compare():
     return run
 
 
+class _Block:
+    """Texts of one side of a group: ids, components, sizes, and every shingle with its text; a shingle's k-th occurrence counts as one of its own."""
+
+    def __init__(self) -> None:
+        self.docs, self.parts, self.bags, self.held = [], [], [], 0
+
+    def add(self, doc: int, part: int, text: str) -> None:
+        hashes, counts = shingles(text or "")
+        if counts.max(initial=1) > 1:
+            first = np.cumsum(counts) - counts
+            nth = np.arange(counts.sum()) - np.repeat(first, counts)
+            hashes = np.repeat(hashes, counts)
+            hashes = np.where(nth > 0, _mix(hashes + _G3 * nth.astype(np.uint64)), hashes)
+        self.docs.append(doc), self.parts.append(part), self.bags.append(hashes)
+        self.held += len(hashes)
+
+    def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        sizes = np.array([len(b) for b in self.bags], np.int64)
+        return sizes, np.concatenate(self.bags), np.repeat(np.arange(len(sizes)), sizes)
+
+
+class _Union:
+    def __init__(self) -> None:
+        self.parent: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        while (up := self.parent.get(x, x)) != x:
+            self.parent[x] = self.parent.get(up, up)
+            x = up
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.find(x), self.find(y)
+        self.parent[max(x, y)] = min(x, y)
+        return x != y
+
+
+class _Left:
+    """A block that others are held against."""
+
+    def __init__(self, block: _Block) -> None:
+        self.block, self.union = block, _Union()
+        self.sizes, shingle, owner = block.arrays()
+        self.vocabulary, code = np.unique(shingle, return_inverse=True)
+        order = np.argsort(code, kind="stable")
+        self.code, self.owner = code[order], owner[order]
+
+    def links(self, other: _Block, threshold: float) -> list[tuple[int, int]]:
+        """Pairs of this block and ``other`` that reach the threshold and join two components."""
+        sizes, shingle, owner = other.arrays()
+        common = np.zeros((len(self.sizes), len(sizes)))
+        if len(self.vocabulary) and len(shingle):
+            at = np.minimum(np.searchsorted(self.vocabulary, shingle), len(self.vocabulary) - 1)
+            met = self.vocabulary[at] == shingle
+            at, owner = at[met], owner[met]
+            used = np.zeros(len(self.vocabulary), bool)
+            used[at] = True
+            column = np.cumsum(used) - 1
+            mine = used[self.code]
+            my_column, my_owner = column[self.code[mine]], self.owner[mine]
+            order = np.argsort(column[at], kind="stable")
+            column, owner = column[at[order]], owner[order]
+            for start in range(0, int(used.sum()), SLICE):
+                sides = []
+                for cols, owners, n in ((my_column, my_owner, len(self.sizes)), (column, owner, len(sizes))):
+                    low, high = np.searchsorted(cols, [start, start + SLICE])
+                    ones = np.zeros((n, SLICE), np.float32)
+                    ones[owners[low:high], cols[low:high] - start] = 1
+                    sides.append(ones)
+                common += sides[0] @ sides[1].T
+        alike = common / np.maximum(self.sizes[:, None] + sizes[None] - common, 1)
+        mine, theirs = (np.array([self.union.find(p) for p in b.parts]) for b in (self.block, other))
+        out = []
+        for i, j in np.argwhere((alike >= threshold) & (mine[:, None] != theirs[None])):
+            if self.union.join(self.block.parts[i], other.parts[j]):
+                out.append((self.block.docs[i], other.docs[j]))
+        return out
+
+
+def _joining(threshold: float):
+    """Rows come by group and block, those of the block first; yields links that join two components."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, left, block = None, None, _Block()
+
+        def links() -> list[tuple[int, int]]:
+            return left.links(block, threshold) if isinstance(left, _Left) and block.docs else []
+
+        def batch_of(found: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in range(2)], names=["a", "b"])
+
+        for batch in chunks(batches):
+            found = []
+            for *at, right, doc, part, text in zip(*(batch.column(k).to_pylist() for k in range(len(batch.schema)))):
+                if at != key:
+                    found += links()
+                    key, left, block = at, None, _Block()
+                if right and left is None:
+                    left, block = _Left(block), _Block()
+                block.add(doc, part, text)
+                if left is not None and (block.held > BLOCK_SHINGLES or len(block.docs) >= 512):
+                    found += links()
+                    block = _Block()
+            if found:
+                yield batch_of(found)
+        if found := links():
+            yield batch_of(found)
+
+    return run
+
+
 #: Ids of at most so many documents go to all executors to fetch their texts; beyond that texts are joined by exchange.
 MAX_BROADCAST = 1_000_000
 
@@ -262,22 +397,68 @@ def components(edges: DataFrame) -> DataFrame:
         before = seen
 
 
-def _compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (``a``, and its leader ``b``) with their exact ``similarity``.
+def _texts_of(ids: DataFrame, texts: DataFrame) -> DataFrame:
+    """The rows of ``texts`` with these ids, written."""
+    ids = stash(ids.distinct(), "wanted")
+    if ids.count() <= MAX_BROADCAST:
+        ids = F.broadcast(ids)
+    return stash(texts.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]), "texts")
+
+
+def _linked(pairs: DataFrame, held: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (``a``, and its leader ``b``) that reach the threshold.
 
     A leader's text is sent once for every ``FAN_OUT`` members, each member's once a pair.
     """
-    wanted = stash(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "wanted")
-    if wanted.count() <= MAX_BROADCAST:
-        wanted = F.broadcast(wanted)
-    held = stash(texts.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]), "texts")
     sizes = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / FAN_OUT).cast("int").alias("salts"))
     dealt = pairs.join(sizes, "b").select("a", "b", F.pmod(F.hash("a"), F.col("salts")).alias("salt"))
     members = dealt.join(held.withColumnRenamed("doc_id", "a"), "a").select("b", "salt", F.col("a").alias("doc"), "text")
     leaders = sizes.select("b", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).join(held.withColumnRenamed("doc_id", "b"), "b").select("b", "salt", F.col("b").alias("doc"), "text")
     rows = members.unionByName(leaders).repartition("b", "salt").sortWithinPartitions("b", "salt", F.col("doc") != F.col("b"))
-    found = rows.mapInArrow(_compare(), "a long, b long, similarity double")
-    return stash(found.groupBy("a", "b").agg(F.max("similarity").alias("similarity")), "compared")
+    return rows.mapInArrow(_compare(), "a long, b long, similarity double").where(F.col("similarity") >= threshold).select("a", "b").distinct()
+
+
+def _groups(now: DataFrame) -> DataFrame:
+    """``group``, ``whole`` (its buckets together), doc, component, size: what of the buckets has to meet.
+
+    ``now`` has the buckets whose members are of several components. Buckets that share members make
+    one group, as texts mostly share many buckets; where the buckets alone are fewer pairs, each is one.
+    """
+    least = now.groupBy("bucket").agg(F.min("component").alias("low"), F.count(F.lit(1)).alias("n"))
+    tied = components(now.join(least, "bucket").select(F.col("component").alias("a"), F.col("low").alias("b")))
+    placed = now.join(tied.select(F.col("node").alias("component"), F.col("component").alias("region")), "component", "left")
+    placed = stash(placed.withColumn("region", F.coalesce("region", "component")), "placed")
+    members = placed.select("region", "doc", "component", "size").distinct()
+    together = members.groupBy("region").agg(F.count(F.lit(1)).cast("double").alias("m"))
+    alone = placed.groupBy("region", "bucket").agg(F.count(F.lit(1)).cast("double").alias("n")).groupBy("region").agg(F.sum(F.col("n") * F.col("n")).alias("pairs"))
+    whole = together.join(alone, "region").select("region", (F.col("m") * F.col("m") <= F.col("pairs")).alias("whole"))
+    by_region = members.join(whole.where("whole"), "region").select(F.col("region").alias("group"), "whole", "doc", "component", "size")
+    by_bucket = placed.join(whole.where("not whole"), "region").select(F.col("bucket").alias("group"), "whole", "doc", "component", "size")
+    return by_region.unionByName(by_bucket)
+
+
+def _joining_links(now: DataFrame, held: DataFrame, threshold: float) -> DataFrame:
+    """Links that join the components of groups: those outside a group's largest component against all members."""
+    key = ["group", "whole", "class"]
+    groups = stash(_groups(now), "groups")
+    count = groups.groupBy("group", "whole", "component").agg(F.count(F.lit(1)).alias("n"))
+    largest = count.groupBy("group", "whole").agg(F.max(F.struct("n", "component")).alias("top")).select("group", "whole", F.col("top.component").alias("largest"))
+    # Texts that reach the threshold are of the same size class or of neighbouring ones.
+    size_class = F.floor(F.log(F.col("size").cast("double")) / math.log(1 / threshold) + 1e-9).cast("long") if threshold < 1 else F.col("size")
+    groups = stash(groups.join(largest, ["group", "whole"]).withColumn("class", size_class).withColumn("outside", F.col("component") != F.col("largest")), "sided")
+    blocks = groups.where("outside").groupBy(*key).agg(F.ceil(F.greatest(F.count(F.lit(1)) / LEFT_TEXTS, F.sum("size") / LEFT_SHINGLES)).cast("int").alias("lefts"))
+    reach = groups.withColumn("class", F.explode(F.array(*[F.col("class") + k for k in (-1, 0, 1)])))
+    wide = reach.groupBy(*key).agg(F.ceil(F.sum("size") / RIGHT_SHINGLES).cast("int").alias("rights"))
+    grid = stash(blocks.join(wide, key), "grid")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    one = lambda n: F.pmod(F.xxhash64("doc"), F.col(n)).cast("int")
+    columns = [*key, "i", "j", "side", "doc", "component"]
+    left = groups.where("outside").join(grid, key).withColumn("i", one("lefts")).withColumn("j", every("rights")).withColumn("side", F.lit(0)).select(*columns)
+    right = reach.join(grid, key).withColumn("j", one("rights")).withColumn("i", every("lefts")).withColumn("side", F.lit(1)).select(*columns)
+    rows = left.unionByName(right).join(held.withColumnRenamed("doc_id", "doc"), "doc")
+    at = [*key, "i", "j"]
+    rows = rows.select(*at, "side", "doc", "component", "text").repartition(*at).sortWithinPartitions(*at, "side")
+    return stash(rows.mapInArrow(_joining(threshold), "a long, b long"), "joining")
 
 
 def near_duplicates(docs: DataFrame, *, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -296,50 +477,27 @@ def near_duplicates(docs: DataFrame, *, threshold: float = THRESHOLD, id_col: st
     signed = stash(source.select("doc_id", F.unhex(F.md5("text")).alias("copy_key"), "text").mapInArrow(_sign, SIGNED), "signed")
     copies = signed.where("copy_key is not null").groupBy("copy_key").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     whole = F.coalesce(F.col("first"), F.col("doc_id"))
-    nodes = signed.join(copies, "copy_key", "left").select("doc_id", whole.alias("rep"), *[F.when(F.col("doc_id") == whole, F.col(c)).alias(c) for c in ("bands", "bits0", "bits1")])
+    nodes = signed.join(copies, "copy_key", "left").select("doc_id", whole.alias("rep"), "size", F.when(F.col("doc_id") == whole, F.col("bands")).alias("bands"))
     nodes = stash(nodes, "nodes")
 
-    members = nodes.where("bands is not null").select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("doc"), "bits0", "bits1").distinct()
+    members = nodes.where("bands is not null").select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("doc"), "size").distinct()
     busy = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = stash(members.join(busy, "bucket"), "members")
     middle = members.groupBy("doc").agg(F.sum("n").alias("score"))
-    members = stash(members.drop("n").join(middle, "doc"), "members")
-    labelled = members.withColumns({"component": F.col("doc"), "away": F.lit(None).cast("double")})
-    tested, links, leaders = None, None, LEADERS
-    while True:
-        # The first leaders of each bucket; Spark keeps so many a task before the exchange.
-        w = Window.partitionBy("bucket").orderBy(F.desc("score"), "doc")
-        lead = labelled.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= leaders)
-        lead = lead.select(*[F.col(c).alias(f"lead_{c}") for c in ("bucket", "doc", "bits0", "bits1", "component", "away")])
-        far = F.bit_count(F.col("bits0").bitwiseXOR(F.col("lead_bits0"))) + F.bit_count(F.col("bits1").bitwiseXOR(F.col("lead_bits1")))
-        same = (F.col("bucket") == F.col("lead_bucket")) & (F.col("component") != F.col("lead_component")) & (far <= MOST_BITS)
-        # Distances to the bucket's first leader, where they are known, bound that of the pair.
-        same &= F.coalesce(F.abs(F.col("away") - F.col("lead_away")) <= 1 - threshold + 1e-9, F.lit(True))
-        pairs = labelled.join(lead, same)
-        # A pair once, under one of its leaders.
-        pairs = pairs.groupBy(F.least("doc", "lead_doc").alias("x"), F.greatest("doc", "lead_doc").alias("y")).agg(F.min("lead_doc").alias("b")).select((F.col("x") + F.col("y") - F.col("b")).alias("a"), "b")
-        if tested is not None:
-            pairs = pairs.join(tested, (F.least("a", "b") == F.col("t_x")) & (F.greatest("a", "b") == F.col("t_y")), "left_anti")
-        pairs = stash(pairs, "pairs")
-        compared = _compared(pairs, source)
-        found = compared.where(F.col("similarity") >= threshold).select("a", "b")
-        seen = pairs.select(F.least("a", "b").alias("t_x"), F.greatest("a", "b").alias("t_y"))
-        tested = seen if tested is None else tested.unionByName(seen)
-        links = found if links is None else links.unionByName(found)
+    leaders = members.join(middle, "doc").groupBy("bucket").agg(F.max(F.struct("score", -F.col("doc"))).alias("top")).select("bucket", (-F.col("top.col2")).alias("leader"))
+    pairs = members.select("bucket", "doc").join(leaders, "bucket").where("doc <> leader").select(F.col("doc").alias("a"), F.col("leader").alias("b")).distinct()
+    pairs = stash(pairs, "pairs")
+    held = _texts_of(pairs.select(F.col("a").alias("doc_id")).distinct().unionByName(pairs.select(F.col("b").alias("doc_id")).distinct()), source)
+    links = stash(_linked(pairs, held, threshold), "links")
+    joined = stash(components(links), "components")
+
+    # Buckets with members of several components, some of which have not been compared.
+    now = members.where("n > 2").join(joined.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    open_ = now.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
+    now = stash(now.join(open_, "bucket").select("bucket", "doc", "component", "size"), "open")
+    if not now.isEmpty():
+        links = links.unionByName(_joining_links(now, held, threshold))
         joined = stash(components(links), "components")
-        now = labelled.drop("component").join(joined.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-        # Buckets with members of several components, some of which no leader has been compared with.
-        open_ = now.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high"), F.max(F.struct("score", -F.col("doc"))).alias("top"))
-        open_ = open_.where(f"low <> high and n > {leaders + 1}")
-        now = now.join(open_.select("bucket", (-F.col("top.col2")).alias("leader")), "bucket")
-        if leaders == LEADERS:
-            known = compared.select("a", "b", "similarity").unionByName(compared.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
-            known = known.select(F.col("a").alias("doc"), F.col("b").alias("leader"), (1 - F.col("similarity")).alias("known"))
-            now = now.join(known, ["doc", "leader"], "left").withColumn("away", F.when(F.col("doc") == F.col("leader"), 0.0).otherwise(F.col("known"))).drop("known")
-        labelled = stash(now.drop("leader"), "open")
-        if labelled.isEmpty():
-            break
-        leaders *= MORE_LEADERS
     ends = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
     out = nodes.select("doc_id", "rep").join(joined.withColumnRenamed("node", "rep"), "rep", "left").join(ends, "rep", "left")
     return out.select("doc_id", F.coalesce("component", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
