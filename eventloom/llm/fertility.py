@@ -3,8 +3,10 @@
 A public vocabulary measures how well a text fits what tokenizers were made for:
 characters per token, the share of tokens that are raw bytes (byte fallback) and the
 entropy of the token distribution. Each language (or script, where no language is
-given) has rejection bands around its own median; a document is rejected if a measure
-leaves its band. The medians come from all documents.
+given) has rejection bands around its own medians; a document is rejected if a measure
+leaves its band. As short texts scatter more and repeat their tokens less, the bands of a
+language are those of texts about as long: each half octave of word counts has its own.
+The medians come from all documents.
 """
 
 from __future__ import annotations
@@ -14,15 +16,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import vocabulary
 from .common import chunks, hidden, stash
 
-#: Half widths of the bands: so many scaled median deviations, and at least so much.
-BANDS = {"chars_per_token": (8.0, 0.5), "byte_share": (8.0, 0.05), "entropy_gap": (8.0, 0.10)}
+#: Half widths of the bands: so many scaled median deviations, and at least so much. Labels are no input.
+BANDS = {"chars_per_token": (5.0, 0.1), "byte_share": (5.0, 0.02), "entropy_gap": (5.0, 0.03)}
+#: Bands of few documents are wider, by a part of so much over the root of their number.
+WIDEN = 3.0
+#: Classes of length an octave of word counts.
+CLASSES = 2
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 SYMBOLS = "#*$%&|<>"
 #: Measures are counted on this grid for exact medians of bounded size.
@@ -135,40 +141,49 @@ def measure(docs: DataFrame, *, vocabulary_file: str | None = None, id_col: str
 
 
 def bands(measures: DataFrame, rules: dict[str, tuple[float, float]] = BANDS, min_words: int = MIN_WORDS) -> DataFrame:
-    """Median and half width of each measure by group, over all documents of ``min_words`` words.
+    """Median and half width of each measure by group and length, over all documents of ``min_words`` words.
 
     Values are put on a grid first, so that the exact medians keep at most one counter a
     grid value and group, merged before the exchange.
     """
+    key = ["group", "length"]
+
+    def middle(m: str) -> Column:
+        return F.expr(f"percentile(round({m} * {GRID}) / {GRID}, 0.5)")
+
     base = measures.where(F.col("n_words") >= min_words)
-    medians = base.groupBy("group").agg(*[F.expr(f"percentile(round({m} * {GRID}) / {GRID}, 0.5)").alias(f"mid_{m}") for m in rules])
-    away = base.join(medians, "group").select("group", *[F.abs(F.col(m) - F.col(f"mid_{m}")).alias(m) for m in rules], *[f"mid_{m}" for m in rules])
-    deviations = away.groupBy("group").agg(
+    medians = small(stash(base.groupBy(*key).agg(*[middle(m).alias(f"mid_{m}") for m in rules]), "medians"))
+    away = base.join(medians, key).select(*key, *[F.abs(F.col(m) - F.col(f"mid_{m}")).alias(m) for m in rules], *[f"mid_{m}" for m in rules])
+    wider = 1 + WIDEN / F.sqrt(F.count(F.lit(1)))
+    return away.groupBy(*key).agg(
+        F.count(F.lit(1)).alias("n_docs"),
         *[F.first(f"mid_{m}").alias(f"mid_{m}") for m in rules],
-        *[F.greatest(F.lit(least), F.lit(k * 1.4826) * F.expr(f"percentile(round({m} * {GRID}) / {GRID}, 0.5)")).alias(f"half_{m}") for m, (k, least) in rules.items()],
+        *[F.greatest(F.lit(least), F.lit(k * 1.4826) * middle(m) * wider).alias(f"half_{m}") for m, (k, least) in rules.items()],
     )
-    return deviations
+
+
+def small(edges: DataFrame) -> DataFrame:
+    """A written table, to be sent to all executors if it has few rows; else it is joined by exchange."""
+    return F.broadcast(edges) if edges.count() <= MAX_BROADCAST else edges
 
 
 def judge(docs: DataFrame, *, rules: dict[str, tuple[float, float]] = BANDS, **options) -> DataFrame:
-    """Measures of every document, ``base_failed`` and the verdict ``kept``.
+    """Measures of every document, ``base_failed``, the verdict ``kept`` and ``outside``: the measures that left their bands.
 
     Base rules reject under 50 words or more than half of the words in repeated windows.
-    The others are judged by the bands of their group; a group without a document of 50
-    words has no bands. Empty and null texts fail the base rules. Rows are kept as they
+    The others are judged by the bands of their group and length; one without a document of
+    50 words has no bands. Empty and null texts fail the base rules. Rows are kept as they
     come: repeated rows give repeated results, null ids stay null, an empty table gives
     no rows, and further columns of ``docs`` are not read.
     """
-    measures = stash(measure(docs, **options), "fertility")
-    edges = stash(bands(measures, rules), "bands")
-    if edges.count() <= MAX_BROADCAST:
-        edges = F.broadcast(edges)  # so few rows; more of them are joined by exchange
+    length = F.floor(CLASSES * F.log2(F.greatest("n_words", F.lit(1)).cast("double")) + 1e-9).cast("int")
+    measures = stash(measure(docs, **options).withColumn("length", length), "fertility")
+    edges = small(stash(bands(measures, rules), "bands"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    inside = F.lit(True)
-    for m in rules:
-        inside &= F.coalesce(F.abs(F.col(m) - F.col(f"mid_{m}")) <= F.col(f"half_{m}"), F.lit(True))
-    joined = measures.join(edges, "group", "left")  # the group is never null
-    return joined.withColumn("base_failed", failed).withColumn("kept", ~failed & inside)
+    outside = F.array_compact(F.array(*[F.when(F.abs(F.col(m) - F.col(f"mid_{m}")) > F.col(f"half_{m}"), F.lit(m)) for m in rules]))
+    joined = measures.join(edges, ["group", "length"], "left")  # neither is ever null
+    judged = joined.withColumn("base_failed", failed).withColumn("outside", outside)
+    return judged.withColumn("kept", ~F.col("base_failed") & (F.size("outside") == 0))
 
 
 def keep_good(docs: DataFrame, **options) -> DataFrame:
@@ -182,4 +197,4 @@ def keep_good(docs: DataFrame, **options) -> DataFrame:
 
 
 def digest(judged: DataFrame) -> DataFrame:
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_tokens", "chars_per_token", "byte_share", "entropy")
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_tokens", "chars_per_token", "byte_share", "entropy", F.array_join("outside", ",").alias("outside"))
