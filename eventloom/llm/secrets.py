@@ -42,10 +42,10 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")  # the runs of 20 and more are the sa
 _HEX = re.compile(r"[0-9a-f]{24,}")
 
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-_ESCAPE = re.compile(r"\\u[dD][89abAB][0-9a-fA-F]{2}\\u[dD][c-fC-F][0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]{1,6}\}|\\U[0-9a-fA-F]{8}|\\x[0-9a-fA-F]{2}|&#x[0-9a-fA-F]{1,6};|&#[0-9]{1,7};")
+_ESCAPE = re.compile(r"%u[dD][89abAB][0-9a-fA-F]{2}%u[dD][c-fC-F][0-9a-fA-F]{2}|%u[0-9a-fA-F]{4}|\\u[dD][89abAB][0-9a-fA-F]{2}\\u[dD][c-fC-F][0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]{1,6}\}|\\U[0-9a-fA-F]{8}|\\x[0-9a-fA-F]{2}|&#x[0-9a-fA-F]{1,6};|&#[0-9]{1,7};")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 _PART = re.compile(r"[A-Za-z0-9+]{16,}={0,2}")
-_WRAPPED = re.compile(r"(?:[A-Za-z0-9+/]{64}\r?\n)+[A-Za-z0-9+/]{1,64}={0,2}|(?:[A-Za-z0-9+/]{76}\r?\n)+[A-Za-z0-9+/]{1,76}={0,2}")
+_WRAPPED = re.compile(r"[A-Za-z0-9+/]{16,}(?:\r?\n[\x20\t]*[A-Za-z0-9+/]+)+={0,2}")
 _PACKED = re.compile(r"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]|\x28\xb5\x2f\xfd|BZh[1-9]1AY|\xfd7zXZ\x00")
 _BYTES = re.compile("[\x00-\xff]+")
 _TO_PLAIN64 = str.maketrans("-_", "+/")
@@ -130,19 +130,23 @@ def _pieces(data: bytes) -> Iterator[bytes]:
             while out := reader.read(BLOCK):
                 yield out
         elif data.startswith(b"\x1f\x8b") or data[:1] == b"x":
-            tool = zlib.decompressobj(31 if data[:1] == b"\x1f" else 15)
-            while out := tool.decompress(data, BLOCK):
-                yield out
-                data = tool.unconsumed_tail
-            if out := tool.flush():
-                yield out
+            while data.startswith(b"\x1f\x8b") or data[:1] == b"x":  # one member after another
+                tool = zlib.decompressobj(31 if data[:1] == b"\x1f" else 15)
+                while out := tool.decompress(data, BLOCK):
+                    yield out
+                    data = tool.unconsumed_tail
+                if out := tool.flush():
+                    yield out
+                data = tool.unused_data
         elif data.startswith((b"BZh", b"\xfd7zXZ\x00")):
-            tool = bz2.BZ2Decompressor() if data[:1] == b"B" else lzma.LZMADecompressor()
-            while out := tool.decompress(data, BLOCK):
-                yield out
-                data = b""
-                if tool.eof:
-                    break
+            while data.startswith((b"BZh", b"\xfd7zXZ\x00")):
+                tool = bz2.BZ2Decompressor() if data[:1] == b"B" else lzma.LZMADecompressor()
+                while out := tool.decompress(data, BLOCK):
+                    yield out
+                    data = b""
+                    if tool.eof:
+                        break
+                data = tool.unused_data if tool.eof else b""
     except Exception:
         return
 
@@ -161,9 +165,32 @@ def _blocks(pieces: Iterator[bytes]) -> Iterator[bytes]:
         yield bytes(held)
 
 
-def _unpack(data: bytes, start: int, end: int, limit: int) -> Iterator[Layer | None]:
+def _bare(data: bytes) -> Iterator[bytes]:
+    """What deflated bytes without a header hold, if all of them are that."""
+    tool = zlib.decompressobj(-15)
+    try:
+        first = tool.decompress(data, 64)  # most other bytes end here
+        if not first and not tool.eof:
+            return
+        held = tool.unconsumed_tail
+        ends = zlib.decompressobj(-15)
+        rest = data
+        while not ends.eof and rest:
+            ends.decompress(rest, BLOCK)
+            rest = ends.unconsumed_tail
+        if not ends.eof or ends.unused_data:
+            return
+        yield first
+        while out := tool.decompress(held, BLOCK):
+            yield out
+            held = tool.unconsumed_tail
+    except zlib.error:
+        return
+
+
+def _unpack(data: bytes, start: int, end: int, limit: int, pieces: Iterator[bytes] | None = None) -> Iterator[Layer | None]:
     """Layers out of compressed bytes: one, or None and one for each block if they hold over ``limit``."""
-    pieces, held, size = _pieces(data), [], 0
+    pieces, held, size = _pieces(data) if pieces is None else pieces, [], 0
     for piece in pieces:
         held.append(piece)
         size += len(piece)
@@ -249,11 +276,15 @@ def _payload(layer: Layer, places: np.ndarray, token: str, limit: int) -> Iterat
     if not data:
         return
     found = False
-    for inner in _unpack(data, int(layer.starts[places].min()), int(layer.ends[places].max()), limit):
+    around = int(layer.starts[places].min()), int(layer.ends[places].max())
+    for inner in _unpack(data, *around, limit):
         found = True
         yield inner
     if found:
         return
+    for inner in _unpack(data, *around, limit, _bare(data)):
+        if inner is None or _holds(inner.text):
+            yield inner
     wide = ((t, 2 * np.arange(len(t)), 2 * np.arange(1, len(t) + 1)) for t in _wide(data))
     for text, a, b in chain([_characters(data)], wide):
         if len(text) >= 6 and (_readable(data, text) or _holds(text)):
@@ -275,7 +306,7 @@ def unwrap(layer: Layer, limit: int) -> Iterator[Layer | None]:
     text = layer.text
     if "%" in text and (found := _replaced(layer, _PERCENT, _percent)):
         yield found
-    if ("\\" in text or "&#" in text) and (found := _replaced(layer, _ESCAPE, _escape)):
+    if ("\\" in text or "&#" in text or "%u" in text) and (found := _replaced(layer, _ESCAPE, _escape)):
         yield found
     for m in _BASE64.finditer(text):
         # The whole run first; if it holds nothing readable, its parts between marks that paths and names are made with.
@@ -286,10 +317,23 @@ def unwrap(layer: Layer, limit: int) -> Iterator[Layer | None]:
                 done = done or found is None or found.unpacked or found.text.translate(_BLANK).isprintable()
             if done and token == m.group():
                 break
+        else:
+            # Letters may stand before the token without a mark between.
+            for shift in (1, 2, 3):
+                if m.end() - m.start() >= 16 + shift:
+                    yield from _payload(layer, np.arange(m.start() + shift, m.end()), m.group()[shift:], limit)
     if "\n" in text:
         for m in _WRAPPED.finditer(text):
-            keep = np.array([i for i, c in enumerate(m.group()) if c not in "\r\n"])
-            yield from _payload(layer, m.start() + keep, "".join(m.group().split()), limit)
+            # Lines as wide as the first, and one that is not wider.
+            lines = [(p.start(), p.end()) for p in re.finditer(r"[^\s]+", m.group())]
+            while lines:
+                wide = lines[0][1] - lines[0][0]
+                n = next((k for k, (a, b) in enumerate(lines) if b - a != wide), len(lines))
+                take = lines[: n + (n < len(lines) and lines[n][1] - lines[n][0] < wide + 1)]
+                if len(take) > 1:
+                    keep = np.concatenate([np.arange(a, b) for a, b in take])
+                    yield from _payload(layer, m.start() + keep, "".join(m.group()[a:b] for a, b in take), limit)
+                lines = lines[max(n, 1) :]
     if _PACKED.search(text):
         for m in _PACKED.finditer(text):
             run = _BYTES.match(text, m.start())
@@ -300,7 +344,7 @@ def _encoded(text: str) -> bool:
     """Whether there may be anything to unwrap."""
     return bool(
         ("%" in text and _PERCENT.search(text))
-        or (("\\" in text or "&#" in text) and _ESCAPE.search(text))
+        or (("\\" in text or "&#" in text or "%u" in text) and _ESCAPE.search(text))
         or _BASE64.search(text)
         or _PACKED.search(text)
     )
