@@ -312,8 +312,8 @@ class _Left:
         order = np.argsort(code, kind="stable")
         self.code, self.owner = code[order], owner[order]
 
-    def links(self, other: _Block, threshold: float) -> list[tuple[int, int]]:
-        """Pairs of this block and ``other`` that reach the threshold and join two components."""
+    def links(self, other: _Block, threshold: float) -> list[tuple[int, int, int, int]]:
+        """Pairs of this block and ``other`` that reach the threshold and join two components, and these."""
         sizes, shingle, owner = other.arrays()
         common = np.zeros((len(self.sizes), len(sizes)))
         if len(self.vocabulary) and len(shingle):
@@ -340,7 +340,7 @@ class _Left:
         out = []
         for i, j in np.argwhere((alike >= threshold) & (mine[:, None] != theirs[None])):
             if self.union.join(self.block.parts[i], other.parts[j]):
-                out.append((self.block.docs[i], other.docs[j]))
+                out.append((self.block.docs[i], other.docs[j], self.block.parts[i], other.parts[j]))
         return out
 
 
@@ -350,11 +350,11 @@ def _joining(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, left, block = None, None, _Block()
 
-        def links() -> list[tuple[int, int]]:
+        def links() -> list[tuple[int, int, int, int]]:
             return left.links(block, threshold) if isinstance(left, _Left) and block.docs else []
 
         def batch_of(found: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in range(2)], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in range(4)], names=["a", "b", "component_a", "component_b"])
 
         for batch in chunks(batches):
             found = []
@@ -380,21 +380,23 @@ def _joining(threshold: float):
 MAX_BROADCAST = 1_000_000
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, component (its least node) of an undirected graph ``a``, ``b``, by alternating large and small stars."""
+    """node, component (its least node) of an undirected graph ``a``, ``b``, by alternating large and small stars until each node but the least has one edge, to the least."""
     now = stash(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "star")
-    before = None
-    while True:
+    while not _stars(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         # Now each u has smaller neighbours only.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         now = stash(small.where("u <> v").distinct(), "star")
-        seen = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if seen == before:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        before = seen
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether each u has one edge and no v is a u."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("in")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("in")))
+    return ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("in").alias("in")).where("out > 1 or (out = 1 and in = 1)").isEmpty()
 
 
 def _texts_of(ids: DataFrame, texts: DataFrame) -> DataFrame:
@@ -438,7 +440,7 @@ def _groups(now: DataFrame) -> DataFrame:
 
 
 def _joining_links(now: DataFrame, held: DataFrame, threshold: float) -> DataFrame:
-    """Links that join the components of groups: those outside a group's largest component against all members."""
+    """Links that join the components of groups, and these: those outside a group's largest component against all members."""
     key = ["group", "whole", "class"]
     groups = stash(_groups(now), "groups")
     count = groups.groupBy("group", "whole", "component").agg(F.count(F.lit(1)).alias("n"))
@@ -458,7 +460,7 @@ def _joining_links(now: DataFrame, held: DataFrame, threshold: float) -> DataFra
     rows = left.unionByName(right).join(held.withColumnRenamed("doc_id", "doc"), "doc")
     at = [*key, "i", "j"]
     rows = rows.select(*at, "side", "doc", "component", "text").repartition(*at).sortWithinPartitions(*at, "side")
-    return stash(rows.mapInArrow(_joining(threshold), "a long, b long"), "joining")
+    return stash(rows.mapInArrow(_joining(threshold), "a long, b long, component_a long, component_b long"), "joining")
 
 
 def near_duplicates(docs: DataFrame, *, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -496,8 +498,13 @@ def near_duplicates(docs: DataFrame, *, threshold: float = THRESHOLD, id_col: st
     open_ = now.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
     now = stash(now.join(open_, "bucket").select("bucket", "doc", "component", "size"), "open")
     if not now.isEmpty():
-        links = links.unionByName(_joining_links(now, held, threshold))
-        joined = stash(components(links), "components")
+        more = _joining_links(now, held, threshold)
+        links = links.unionByName(more.select("a", "b"))
+        # What the new links join are the components as they were.
+        tied = components(more.select(F.col("component_a").alias("a"), F.col("component_b").alias("b")))
+        alone = more.select(F.explode(F.array("component_a", "component_b")).alias("node")).distinct().withColumn("component", F.col("node"))
+        before = joined.unionByName(alone.join(joined, "node", "left_anti"))
+        joined = before.join(tied.select(F.col("node").alias("component"), F.col("component").alias("least")), "component", "left").select("node", F.coalesce("least", "component").alias("component"))
     ends = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
     out = nodes.select("doc_id", "rep").join(joined.withColumnRenamed("node", "rep"), "rep", "left").join(ends, "rep", "left")
     return out.select("doc_id", F.coalesce("component", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
