@@ -20,6 +20,7 @@ ANCHORS = ["licen", "copyright", "copyleft", "permission", "warrant", "redistrib
 
 #: Identifiers of licence sentences and the pattern that a normalised sentence has; the first match counts.
 SENTENCES = [
+    ("NEGATED", r"\b(not|never|no longer|isn t|aren t|wasn t|cannot)( [a-z]+)? (licensed|released|distributed|available|dedicated) (under|to)\b"),
     ("SPDX_APACHE_2", r"^spdx license identifier apache 2\.0"),
     ("SPDX_MIT", r"^spdx license identifier mit"),
     ("SPDX_GPL_3", r"^spdx license identifier gpl 3"),
@@ -33,6 +34,20 @@ SENTENCES = [
     ("AGPL_3", r"licensed under (the )?(terms of )?(the )?gnu affero general public license.* version 3"),
     ("GPL_3", r"(licensed|released|distributed) under (the )?(terms of )?(the )?gnu general public license version 3"),
     ("GPL_2", r"(licensed|released|distributed) under (the )?(terms of )?(the )?gnu general public license version 2"),
+    ("AGPL_FREE_3", r"redistribute it and or modify it under the terms of the gnu affero general public license.* either version 3"),
+    ("LGPL_FREE_3", r"redistribute it and or modify it under the terms of the gnu (lesser|library) general public license.* either version 3"),
+    ("LGPL_FREE_2", r"redistribute it and or modify it under the terms of the gnu (lesser|library) general public license.* either version 2"),
+    ("GPL_FREE_3", r"redistribute it and or modify it under the terms of the gnu general public license.* either version 3"),
+    ("GPL_FREE_2", r"redistribute it and or modify it under the terms of the gnu general public license.* either version 2"),
+    ("AGPL_FREE_SOFTWARE", r"redistribute it and or modify it under the terms of the gnu affero general public license"),
+    ("LGPL_FREE_SOFTWARE", r"redistribute it and or modify it under the terms of the gnu (lesser|library) general public license"),
+    ("EITHER_3", r"^either version 3 of the license"),
+    ("EITHER_2_1", r"^either version 2\.1 of the license"),
+    ("EITHER_2", r"^either version 2 of the license"),
+    ("GNU_FITNESS", r"without even the implied warranty of merchantability or fitness"),
+    ("GNU_DETAILS", r"^see the gnu (lesser |library |affero )?general public license for more details"),
+    ("LGPL_COPY", r"you should have received a copy of the gnu (lesser|library) general public license"),
+    ("AGPL_COPY", r"you should have received a copy of the gnu affero general public license"),
     ("GPL_FREE_SOFTWARE", r"you can redistribute it and or modify it under the terms of the gnu general public license"),
     ("GPL_HOPE", r"distributed in the hope that it will be useful but without any warranty"),
     ("GPL_COPY", r"you should have received a copy of the gnu general public license"),
@@ -61,7 +76,10 @@ SENTENCES = [
     ("BSD_BINARY", r"redistributions in binary form must reproduce the above copyright notice"),
     ("BSD_ENDORSE", r"may be used to endorse or promote products"),
     ("BSD_AS_IS", r"this software is provided by the copyright holders and contributors as is"),
-    ("MPL_2", r"subject to the terms of the mozilla public license v(ersion )?\.? ?2\.0"),
+    ("BSD_LIABLE", r"in no event shall the (copyright (holder|holders|owner)|regents) or contributors be liable"),
+    ("ISC_LIABLE", r"in no event shall the author be liable"),
+    ("MPL_2", r"subject to the terms of the mozilla public license v(ersion)?( ?\.? ?2\.0|$)"),
+    ("MPL_OBTAIN", r"copy of the mpl was not distributed with this file"),
     ("EPL_2", r"eclipse public license v(ersion )?\.? ?2\.0"),
     ("UNLICENSE", r"this is free and unencumbered software released into the public domain"),
     ("PUBLIC_DOMAIN", r"(placed|released|is) in(to)? the public domain"),
@@ -76,6 +94,19 @@ RULES = [
     ("Apache-2.0", ["APACHE_2", "APACHE_NOT_USE", "APACHE_OBTAIN"]),
     ("GPL-3.0", ["GPL_3", "GPL_HOPE", "GPL_COPY"]),
     ("GPL-2.0", ["GPL_2", "GPL_HOPE", "GPL_COPY"]),
+    ("GPL-3.0", ["GPL_FREE_3"]),
+    ("GPL-3.0", ["GPL_FREE_SOFTWARE", "EITHER_3"]),
+    ("GPL-2.0", ["GPL_FREE_2"]),
+    ("GPL-2.0", ["GPL_FREE_SOFTWARE", "EITHER_2"]),
+    ("LGPL-3.0", ["LGPL_FREE_3"]),
+    ("LGPL-3.0", ["LGPL_FREE_SOFTWARE", "EITHER_3"]),
+    ("LGPL-2.1", ["LGPL_FREE_2"]),
+    ("LGPL-2.1", ["LGPL_FREE_SOFTWARE", "EITHER_2_1"]),
+    ("LGPL-2.1", ["LGPL_FREE_SOFTWARE", "EITHER_2"]),
+    ("LGPL-any", ["LGPL_FREE_SOFTWARE"]),
+    ("AGPL-3.0", ["AGPL_FREE_3"]),
+    ("AGPL-3.0", ["AGPL_FREE_SOFTWARE", "EITHER_3"]),
+    ("AGPL-any", ["AGPL_FREE_SOFTWARE"]),
     ("GPL-any", ["GPL_FREE_SOFTWARE", "GPL_HOPE", "GPL_COPY"]),
     ("GPL-any", ["GPL_FREE_SOFTWARE"]),
     ("BSD-3-Clause", ["BSD_REDISTRIBUTE", "BSD_SOURCE", "BSD_BINARY", "BSD_ENDORSE", "BSD_AS_IS"]),

@@ -7,6 +7,7 @@ import hashlib
 import lzma
 import random
 import re
+import textwrap
 import urllib.parse
 import zlib
 
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from eventloom.llm import bagminhash, catalog, fertility, fingerprints, licenses, linear, mixing, packing, quality, secrets, sharding, toxicity, vocabulary
 
+from notices import NOTICES
+
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 #: Nulls in any column, empty and long texts, ties, repeated rows, and a column with a name that results have.
 ODD = [
@@ -98,6 +101,20 @@ def test_licenses(spark, text, ids, names):
     assert (r.sentence_ids, r.licenses) == (ids, names)
 
 
+def test_notices_are_known_wrapped_and_unwrapped(spark):
+    rows = []
+    for name, text in NOTICES.items():
+        wrapped = "\n\n".join("\n".join(textwrap.wrap(p, 72)) for p in text.split("\n\n"))
+        lines = wrapped.split("\n")
+        forms = [text, wrapped, "\n".join(f"# {x}".rstrip() for x in lines), "/*\n" + "\n".join(f" * {x}".rstrip() for x in lines) + "\n */"]
+        rows += [(name, n, form) for n, form in enumerate(forms)]
+    for n, text in enumerate(("This is not licensed under the MIT license.", "This file isn't released under the Apache License, Version 2.0.")):
+        rows.append(("", n, text))
+    df = spark.createDataFrame([(i, r[2]) for i, r in enumerate(rows)], "doc_id int, text string")
+    for r in licenses.scan(df).collect():
+        assert [x for x in r.licenses if x != "all-rights-reserved"] == list(filter(None, [rows[r.doc_id][0]])), rows[r.doc_id]
+
+
 BSD = """# Copyright (c) 2020, Somebody
 # All rights reserved.
 #
