@@ -5,6 +5,8 @@ raked: scaled to the target of each dimension in turn until all marginals hold.
 weight over its tokens, scaled so that the largest ratio is 1, is the probability with
 which its documents are kept; a hash of the id decides. Only cells take part in the
 fitting, so its cost does not depend on the number of documents.
+
+Targets are shares given for the values of a dimension, or follow from its token counts.
 """
 
 from __future__ import annotations
@@ -15,18 +17,20 @@ from pyspark.sql.window import Window
 
 from .common import hidden, stash
 
-#: A target share is in proportion to the dimension's tokens to this power: below 1 lifts what is rare, 1 holds it.
-#: Targets that pull against each other (a topic that one language hardly has) cost most of the sample.
-TEMPER = {"source": 0.7, "lang": 0.9, "topic": 1.0}
-#: Words that speak for a topic; the topic with most of them wins, the earlier on a tie.
+#: Where no shares are given, a value's is in proportion to its tokens to this power: below 1 lifts what is rare, 0 makes all equal.
+TEMPER = {"source": 0.5, "lang": 0.6, "topic": 0.5}
+#: Words of several languages that speak for a topic; the topic with most of them wins, the earlier on a tie.
 TOPICS = {
-    "report": ["was", "had", "were"],
-    "state": ["is", "are"],
-    "point": ["this", "that"],
-    "relate": ["with", "from", "by"],
+    "relation": ["with", "by", "from", "as", "mit", "von", "als", "par", "avec", "du", "por", "con", "del"],
+    "place": ["in", "on", "at", "im", "auf", "dans", "sur", "en"],
+    "purpose": ["to", "for", "zu", "für", "pour", "para"],
+    "statement": ["is", "are", "was", "ist", "nicht", "est", "pas", "es", "no"],
+    "reference": ["this", "that", "it", "das", "dem", "sich", "que", "qui", "se"],
 }
 OTHER = "other"
-TOLERANCE, MAX_ROUNDS, ROUNDS_A_JOB = 1e-6, 96, 8
+TOLERANCE, MAX_ROUNDS, ROUNDS_A_JOB = 1e-6, 240, 8
+#: Cells up to so many are fitted in one partition.
+FEW_CELLS = 10_000
 #: Cells up to so many go to all executors, more are joined by exchange.
 MAX_BROADCAST = 100_000
 SEED = "mix"
@@ -37,65 +41,96 @@ def tokens(text: Column) -> Column:
 
 
 def topic(text: Column, topics: dict[str, list[str]] = TOPICS) -> Column:
-    """The topic whose words stand most often between spaces; ``other`` without any."""
-    text = F.coalesce(text, F.lit(""))
-    hits = []
-    for words in topics.values():
-        n = F.lit(0)
-        for w in words:
-            n += ((F.octet_length(text) - F.octet_length(F.replace(text, F.lit(f" {w} "), F.lit("")))) / F.lit(len(w.encode()) + 2)).cast("int")
-        hits.append(n)
-    out = F.lit(OTHER)
-    best = F.greatest(*hits) if len(hits) > 1 else hits[0]
-    for name, n in reversed(list(zip(topics, hits))):
-        out = F.when((n == best) & (best > 0), F.lit(name)).otherwise(out)
-    return out
+    """The topic whose words stand most often between spaces; ``other`` without any. Of two such words with one space between, the first counts."""
+    pattern = f" ({'|'.join(w for words in topics.values() for w in words)}) "
+
+    def count(found: Column, words: list[str]) -> Column:
+        return F.size(F.filter(found, lambda w: w.isin(words)))
+
+    def most(found: Column) -> Column:
+        return F.array(*[count(found, words) for words in topics.values()])
+
+    def named(hits: Column) -> Column:
+        best = F.array_max(hits)
+        return F.when(best > 0, F.element_at(F.array(*map(F.lit, topics)), F.array_position(hits, best).cast("int"))).otherwise(F.lit(OTHER))
 
+    # Bound once by arrays of one, as each is used more than once.
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), 1)
+    hits = F.transform(F.array(found), most)
+    return F.get(F.transform(hits, named), F.lit(0))
 
-def tempered_targets(cells: DataFrame, dims: dict[str, float]) -> DataFrame:
-    """``cells`` with a target of tokens for each value of each dimension, ``target_<dimension>``."""
+
+def _checked(targets: dict[str, dict[str, float]], dims: list[str]) -> None:
+    for d, shares in targets.items():
+        if d not in dims:
+            raise ValueError(f"no dimension {d}: there are {', '.join(dims)}")
+        if any(x < 0 for x in shares.values()) or sum(shares.values()) > 1 + 1e-9:
+            raise ValueError(f"shares of {d} must be 0 or more and add up to 1 at most")
+
+
+def with_targets(cells: DataFrame, temper: dict[str, float], targets: dict[str, dict[str, float]] | None = None) -> DataFrame:
+    """``cells`` with a target of tokens for each value of each dimension, ``target_<dimension>``; each dimension's add up to all tokens.
+
+    Values with a given share get it; what shares leave goes to the other values by the
+    tempered counts. Values without tokens get nothing, and the rest is scaled up for it.
+    """
+    targets = targets or {}
+    _checked(targets, list(temper))
     out = cells
-    for d, power in dims.items():
+    for d, power in temper.items():
         sums = cells.groupBy(d).agg(F.sum("tokens").alias("sum"))
-        whole = sums.agg(F.sum(F.pow("sum", F.lit(power))).alias("powers"), F.sum("sum").alias("total"))
-        # One row of two numbers: no keys to join on.
-        share = sums.join(F.broadcast(whole)).select(F.col(d).alias("value"), (F.pow("sum", F.lit(power)) / F.col("powers") * F.col("total")).alias(f"target_{d}"))
-        out = out.join(share, out[d].eqNullSafe(share["value"])).drop("value")
+        given = F.lit(None).cast("double")
+        for value, share in targets.get(d, {}).items():
+            given = F.when(F.col(d).eqNullSafe(F.lit(value)), F.lit(float(share))).otherwise(given)
+        rest = max(0.0, 1 - sum(targets.get(d, {}).values()))
+        free = F.when(F.col("given").isNull(), F.pow("sum", F.lit(power))).otherwise(0.0)
+        # Values without tokens have no part in it, power 0 included.
+        sums = sums.withColumn("given", given).withColumn("free", F.when(F.col("sum") > 0, free).otherwise(0.0))
+        whole = sums.agg(F.sum("free").alias("frees"), F.sum("sum").alias("total"))
+        own = F.when(F.col("sum") > 0, F.coalesce("given", F.when(F.col("frees") > 0, rest * F.col("free") / F.col("frees")).otherwise(0.0))).otherwise(0.0)
+        shares = sums.join(F.broadcast(whole)).withColumn("share", own)  # one row of two numbers
+        scale = shares.agg(F.sum("share").alias("scale"))
+        shares = shares.join(F.broadcast(scale)).select(F.col(d).alias("value"), F.when(F.col("scale") > 0, F.col("share") / F.col("scale") * F.col("total")).otherwise(0.0).alias(f"target_{d}"))
+        out = out.join(shares, out[d].eqNullSafe(shares["value"])).drop("value")
     return out
 
 
 def rake(cells: DataFrame, dims: list[str], *, tolerance: float = TOLERANCE, max_rounds: int = MAX_ROUNDS) -> DataFrame:
-    """``cells`` (dimensions, tokens, target_<dimension>) with the fitted ``weight``.
+    """``cells`` (dimensions, tokens, target_<dimension>) with the fitted ``weight`` and whether the fit ``converged``.
 
     Stops when no marginal is off by more than ``tolerance`` of its target (looked at every
-    ``ROUNDS_A_JOB`` rounds), or after ``max_rounds``. Cells without tokens keep weight 0. The targets of all dimensions add
-    up to the same total.
+    ``ROUNDS_A_JOB`` rounds), or after ``max_rounds``: then ``converged`` is false, as targets
+    that no weights of the cells can meet never hold all at once. Cells without tokens keep
+    weight 0. The targets of all dimensions add up to the same total.
     """
     fitted = stash(cells.withColumn("weight", F.col("tokens").cast("double")), "cells")
+    few = fitted.count() <= FEW_CELLS
+    done = False
     for _ in range(0, max_rounds, ROUNDS_A_JOB):
-        step = fitted
+        # Few cells lie in one partition, where sums over any dimension need no exchange.
+        step = fitted.coalesce(1) if few else fitted
         for _ in range(ROUNDS_A_JOB):
             for d in dims:
                 held = F.sum("weight").over(Window.partitionBy(d))
                 step = step.withColumn("weight", F.when(held > 0, F.col("weight") * F.col(f"target_{d}") / held).otherwise(0.0))
         fitted = stash(step, "cells")
-        off = [F.max(F.col(f"off_{d}")).alias(d) for d in dims]
-        gaps = fitted
+        gaps = fitted.coalesce(1) if few else fitted
         for d in dims:
             gaps = gaps.withColumn(f"off_{d}", F.abs(F.sum("weight").over(Window.partitionBy(d)) - F.col(f"target_{d}")) / F.greatest(F.col(f"target_{d}"), F.lit(1e-300)))
-        worst = gaps.agg(*off).first()
-        if all((x or 0.0) <= tolerance for x in worst):
+        worst = gaps.agg(*[F.max(f"off_{d}").alias(d) for d in dims]).first()
+        done = all((x or 0.0) <= tolerance for x in worst)
+        if done:
             break
-    return fitted
+    return fitted.withColumn("converged", F.lit(done))
 
 
-def keep_probabilities(docs: DataFrame, dims: dict[str, float]) -> DataFrame:
-    """The cells of ``docs`` (dimensions and ``n_tokens``) with ``keep_prob``; cells without tokens have 0."""
-    cells = stash(docs.groupBy(*dims).agg(F.sum("n_tokens").alias("tokens")), "cells")
-    fitted = rake(tempered_targets(cells, dims), list(dims))
+def keep_probabilities(docs: DataFrame, temper: dict[str, float], targets: dict[str, dict[str, float]] | None = None) -> DataFrame:
+    """The cells of ``docs`` (dimensions and ``n_tokens``) with ``weight``, ``keep_prob`` and ``converged``; cells without tokens have 0."""
+    cells = stash(docs.groupBy(*temper).agg(F.sum("n_tokens").alias("tokens")), "cells")
+    fitted = rake(with_targets(cells, temper, targets), list(temper))
     fitted = fitted.withColumn("rate", F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(0.0))
     top = fitted.agg(F.max("rate").alias("top"))
-    out = fitted.join(F.broadcast(top)).select(*dims, "weight", F.when(F.col("top") > 0, F.col("rate") / F.col("top")).otherwise(0.0).alias("keep_prob"))
+    out = fitted.join(F.broadcast(top)).select(*temper, "weight", F.when(F.col("top") > 0, F.col("rate") / F.col("top")).otherwise(0.0).alias("keep_prob"), "converged")
     return stash(out, "cells")
 
 
@@ -105,7 +140,7 @@ def draw(id_column: Column, seed: str = SEED) -> Column:
 
 
 def _with_probability(marked: DataFrame, cells: DataFrame, dims: list[str]) -> DataFrame:
-    cells = cells.select(*[F.col(d).alias(f"cell_{d}") for d in dims], "weight", "keep_prob")
+    cells = cells.select(*[F.col(d).alias(f"cell_{d}") for d in dims], "weight", "keep_prob", "converged")
     if cells.count() <= MAX_BROADCAST:
         cells = F.broadcast(cells)
     on = None
@@ -115,10 +150,12 @@ def _with_probability(marked: DataFrame, cells: DataFrame, dims: list[str]) -> D
     return marked.join(cells, on).drop(*[f"cell_{d}" for d in dims])
 
 
-def mix(docs: DataFrame, *, temper: dict[str, float] = TEMPER, topics: dict[str, list[str]] = TOPICS, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, source, lang, topic, n_tokens, keep_prob and ``kept`` of every row of ``docs``.
+def mix(docs: DataFrame, *, targets: dict[str, dict[str, float]] | None = None, temper: dict[str, float] = TEMPER, topics: dict[str, list[str]] = TOPICS, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, source, lang, topic, n_tokens, keep_prob, ``kept`` and ``converged`` of every row of ``docs``.
 
-    A null source or language is a value of its own; empty and null texts have no tokens,
+    ``targets``: shares of tokens by dimension (source, lang, topic) and value; what they leave
+    is split by ``temper`` (see ``with_targets``). ``converged`` is false in all rows if the
+    targets could not all be met. A null source or language is a value of its own; empty and null texts have no tokens,
     and a cell without tokens is not kept. Rows with the same id share their draw. Further
     columns are not read; an empty table gives no rows.
     """
@@ -126,15 +163,15 @@ def mix(docs: DataFrame, *, temper: dict[str, float] = TEMPER, topics: dict[str,
     marked = stash(
         docs.select(F.col(id_col).alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), topic(text, topics).alias("topic"), tokens(text).alias("n_tokens")), "mix"
     )
-    out = _with_probability(marked, keep_probabilities(marked, temper), list(temper))
-    return out.select("doc_id", "source", "lang", "topic", "n_tokens", "keep_prob", (draw(F.col("doc_id"), seed) < F.col("keep_prob")).alias("kept"))
+    out = _with_probability(marked, keep_probabilities(marked, temper, targets), list(temper))
+    return out.select("doc_id", "source", "lang", "topic", "n_tokens", "keep_prob", (draw(F.col("doc_id"), seed) < F.col("keep_prob")).alias("kept"), "converged")
 
 
-def sample(docs: DataFrame, *, temper: dict[str, float] = TEMPER, topics: dict[str, list[str]] = TOPICS, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that ``mix`` keeps, with its columns."""
+def sample(docs: DataFrame, *, targets: dict[str, dict[str, float]] | None = None, temper: dict[str, float] = TEMPER, topics: dict[str, list[str]] = TOPICS, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``mix`` keeps, with its columns; nulls, ties, repeated rows and empty tables as there."""
     text = F.col(text_col).cast("string")
     dims = {"source": F.col("source").cast("string"), "lang": F.col("lang").cast("string"), "topic": topic(text, topics)}
-    cells = keep_probabilities(docs.select(*[c.alias(d) for d, c in dims.items()], tokens(text).alias("n_tokens")), temper)
+    cells = keep_probabilities(docs.select(*[c.alias(d) for d, c in dims.items()], tokens(text).alias("n_tokens")), temper, targets)
     names = {d: hidden(docs, d) for d in dims}
     own = {c: hidden(docs, f"cell_{c}") for c in [*dims, "keep_prob"]}
     cells = cells.select(*[F.col(c).alias(own[c]) for c in own])
@@ -154,14 +191,15 @@ def digest(mixed: DataFrame) -> DataFrame:
 
 def _oracle() -> str:
     def hits(words):
-        return " + ".join(f"((strlen(t) - strlen(replace(t, ' {w} ', ''))) // {len(w) + 2})" for w in words)
+        return "len(list_filter(f, lambda w: w IN (" + ", ".join(f"'{w}'" for w in words) + ")))"
 
+    pattern = "|".join(w for words in TOPICS.values() for w in words)
     names = list(TOPICS)
     best = "greatest(" + ", ".join(f"h{i}" for i in range(len(names))) + ")"
     case = " ".join(f"WHEN {best} > 0 AND h{i} = {best} THEN '{n}'" for i, n in enumerate(names))
     targets = ", ".join(f"(SELECT s{d}.p / sum(s2.p) * any_value(s2.total) FROM sum_{d} s2) AS t_{d}" for d in TEMPER)
     sums = ", ".join(
-        f"sum_{d} AS (SELECT {d} AS v, pow(sum(tokens), {p}) AS p, (SELECT sum(tokens) FROM cells)::DOUBLE AS total FROM cells GROUP BY {d})" for d, p in TEMPER.items()
+        f"sum_{d} AS (SELECT {d} AS v, CASE WHEN sum(tokens) > 0 THEN pow(sum(tokens), {p}) ELSE 0 END AS p, (SELECT sum(tokens) FROM cells)::DOUBLE AS total FROM cells GROUP BY {d})" for d, p in TEMPER.items()
     )
     joins = " ".join(f"JOIN sum_{d} s{d} ON cells.{d} IS NOT DISTINCT FROM s{d}.v" for d in TEMPER)
     carry = "source, lang, topic, tokens, t_source, t_lang, t_topic"
@@ -172,7 +210,7 @@ def _oracle() -> str:
     return f"""
 WITH RECURSIVE hit AS (
   SELECT doc_id, source, lang, len(regexp_extract_all(t, '[^ \\t\\n\\r]+')) AS n_tokens, {", ".join(f"{hits(w)} AS h{i}" for i, w in enumerate(TOPICS.values()))}
-  FROM (SELECT *, coalesce(text, '') AS t FROM documents)
+  FROM (SELECT *, regexp_extract_all(t, ' ({pattern}) ', 1) AS f FROM (SELECT *, coalesce(text, '') AS t FROM documents))
 ), marked AS (
   SELECT doc_id, source, lang, CASE {case} ELSE '{OTHER}' END AS topic, n_tokens::BIGINT AS n_tokens FROM hit
 ), cells AS (
@@ -182,14 +220,14 @@ WITH RECURSIVE hit AS (
   UNION ALL
   SELECT {carry}, it + 1, w FROM ({inner})
 ), ended AS (
-  SELECT coalesce(min(it), {MAX_ROUNDS}) AS last FROM (SELECT it, max(off) AS off FROM (SELECT it, {off} AS off FROM fit) GROUP BY it) WHERE it > 0 AND it % {ROUNDS_A_JOB} = 0 AND off <= {TOLERANCE}
+  SELECT coalesce(min(it), {MAX_ROUNDS}) AS last, min(it) IS NOT NULL AS converged FROM (SELECT it, max(off) AS off FROM (SELECT it, {off} AS off FROM fit) GROUP BY it) WHERE it > 0 AND it % {ROUNDS_A_JOB} = 0 AND off <= {TOLERANCE}
 ), rated AS (
   SELECT source, lang, topic, CASE WHEN tokens > 0 THEN w / tokens ELSE 0 END AS rate FROM fit WHERE it = (SELECT last FROM ended)
 ), prob AS (
   SELECT source, lang, topic, CASE WHEN max(rate) OVER () > 0 THEN rate / max(rate) OVER () ELSE 0 END AS p FROM rated
 )
 SELECT m.doc_id, m.source, m.lang, m.topic, m.n_tokens, round(p, 6) AS keep_prob,
-       ('0x' || substr(md5(concat(coalesce(m.doc_id::VARCHAR, ''), ':{SEED}')), 1, 13))::BIGINT::DOUBLE / {float(1 << 52)} < p AS kept
+       ('0x' || substr(md5(concat(coalesce(m.doc_id::VARCHAR, ''), ':{SEED}')), 1, 13))::BIGINT::DOUBLE / {float(1 << 52)} < p AS kept, (SELECT converged FROM ended) AS converged
 FROM marked m JOIN prob c ON m.source IS NOT DISTINCT FROM c.source AND m.lang IS NOT DISTINCT FROM c.lang AND m.topic = c.topic
 """
 

@@ -317,15 +317,66 @@ def test_near_duplicates_equal_all_pairs(docs, spark):
 # 7
 
 
+def _shares(rows, d, weight):
+    out = {}
+    for r in rows:
+        out[r[d]] = out.get(r[d], 0) + weight(r)
+    whole = sum(out.values())
+    return {k: v / whole for k, v in out.items()}
+
+
 def test_mixing_meets_marginals(docs):
-    cells = mixing.mix(docs)
-    out = cells.withColumn("w", F.col("n_tokens") * F.col("keep_prob"))
-    whole = out.agg(F.sum("w"), F.sum("n_tokens")).first()
+    rows = mixing.mix(docs).collect()
+    assert all(r.converged for r in rows)
     for d, power in mixing.TEMPER.items():
-        rows = out.groupBy(d).agg(F.sum("w").alias("w"), F.sum("n_tokens").alias("n")).collect()
-        powers = sum(r.n**power for r in rows)
+        tokens = {}
         for r in rows:
-            assert r.w / whole[0] == pytest.approx(r.n**power / powers, abs=1e-4)
+            tokens[r[d]] = tokens.get(r[d], 0) + r.n_tokens
+        powers = {k: n**power if n else 0 for k, n in tokens.items()}
+        got = _shares(rows, d, lambda r: r.n_tokens * r.keep_prob)
+        for k in powers:
+            assert got[k] == pytest.approx(powers[k] / sum(powers.values()), abs=1e-4)
+
+
+def test_mixing_meets_given_targets_and_draws_them(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    targets = {"lang": {"en": 0.4, "de": 0.3}, "topic": {"place": 0.3}, "source": {"src0": 0.1, "no such source": 0.2}}
+    rows = mixing.mix(docs, targets=targets).collect()
+    assert all(r.converged for r in rows) and max(r.keep_prob for r in rows) == pytest.approx(1)
+    for weight, miss in ((lambda r: r.n_tokens * r.keep_prob, 1e-4), (lambda r: r.n_tokens * r.kept, 0.06)):
+        assert _shares(rows, "lang", weight)["en"] == pytest.approx(0.4, abs=miss)
+        assert _shares(rows, "lang", weight)["de"] == pytest.approx(0.3, abs=miss)
+        assert _shares(rows, "topic", weight)["place"] == pytest.approx(0.3, abs=miss)
+        # Nothing is there for the unknown source; its share is spread over the others.
+        assert _shares(rows, "source", weight)["src0"] == pytest.approx(0.1 / 0.8, abs=miss)
+    # Topics are not those of one language.
+    for lang in ("en", "de", "fr", "es"):
+        topics = {r.topic for r in rows if r.lang == lang}
+        assert len(topics - {"other"}) >= 3
+    assert {r.doc_id for r in rows if r.kept} == {r.doc_id for r in mixing.sample(docs, targets=targets).select("doc_id").collect()}
+
+
+def test_mixing_tells_what_cannot_be_met(spark):
+    # Language and source say the same, so their targets pull apart.
+    rows = [(i, "the words of a text in it", "en" if i % 2 else "de", "a" if i % 2 else "b", 1) for i in range(40)]
+    docs = spark.createDataFrame(rows, DOC)
+    out = mixing.mix(docs, targets={"lang": {"en": 0.9, "de": 0.1}, "source": {"a": 0.2, "b": 0.8}}).collect()
+    assert len(out) == 40 and not any(r.converged for r in out)
+    with pytest.raises(ValueError):
+        mixing.mix(docs, targets={"lang": {"en": 0.9, "de": 0.2}})
+    with pytest.raises(ValueError):
+        mixing.mix(docs, targets={"size": {"en": 0.9}})
+
+
+def test_mixing_topics_equal_the_plain_form(docs):
+    words = {w: t for t, ws in mixing.TOPICS.items() for w in ws}
+    out = {r.doc_id: r for r in mixing.mix(docs).collect()}
+    for r in docs.collect():
+        hits = dict.fromkeys(mixing.TOPICS, 0)
+        for w in re.findall(f" ({'|'.join(words)}) ", r.text or ""):
+            hits[words[w]] += 1
+        best = max(hits, key=hits.get)
+        assert out[r.doc_id].topic == (best if hits[best] else "other")
 
 
 # 8
