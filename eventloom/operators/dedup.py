@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import text as tx
-from ..sources.tables import stash
+from ..sources.tables import stash, unstash
 
 
 def simhash64_native(texts: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -89,7 +89,8 @@ def near_dup_greedy(prints: DataFrame, k: int = 3, scope: str | None = None) ->
         seen = before.groupBy(F.col("seq_b").alias("seq")).agg(F.max("state_a").alias("most"), F.min("state_a").alias("least"))
         # States: 0 undecided, 1 kept, -1 dropped.
         decided = F.when(F.col("state") != 0, F.col("state")).when(F.col("most") == 1, -1).when(F.col("most").isNull() | ((F.col("most") == -1) & (F.col("least") == -1)), 1).otherwise(0)
-        state = stash(state.join(seen, "seq", "left").select("seq", decided.alias("state")), "state")
+        state, old = stash(state.join(seen, "seq", "left").select("seq", decided.alias("state")), "state"), state
+        unstash(old)
     dropped = state.where("state = -1").select("seq")
     firsts = prints.groupBy(*keys, "fingerprint").agg(F.min("seq").alias("first"))
     marked = prints.join(firsts, [*keys, "fingerprint"], "left").join(dropped.withColumn("gone", F.lit(True)), "seq", "left")
