@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, stash
+from .common import chunks, stash, unstash
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
@@ -389,8 +389,11 @@ def components(edges: DataFrame) -> DataFrame:
         # Now each u has smaller neighbours only.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        now = stash(small.where("u <> v").distinct(), "star")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+        now, old = stash(small.where("u <> v").distinct(), "star"), now
+        unstash(old)
+    out = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    out.stashed_at = now.stashed_at
+    return out
 
 
 def _stars(edges: DataFrame) -> bool:
@@ -401,10 +404,11 @@ def _stars(edges: DataFrame) -> bool:
 
 def _texts_of(ids: DataFrame, texts: DataFrame) -> DataFrame:
     """The rows of ``texts`` with these ids, written."""
-    ids = stash(ids.distinct(), "wanted")
-    if ids.count() <= MAX_BROADCAST:
-        ids = F.broadcast(ids)
-    return stash(texts.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]), "texts")
+    wanted = stash(ids.distinct(), "wanted")
+    near = F.broadcast(wanted) if wanted.count() <= MAX_BROADCAST else wanted
+    out = stash(texts.join(near, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]), "texts")
+    unstash(wanted)
+    return out
 
 
 def _linked(pairs: DataFrame, held: DataFrame, threshold: float) -> DataFrame:
@@ -436,18 +440,21 @@ def _groups(now: DataFrame) -> DataFrame:
     whole = together.join(alone, "region").select("region", (F.col("m") * F.col("m") <= F.col("pairs")).alias("whole"))
     by_region = members.join(whole.where("whole"), "region").select(F.col("region").alias("group"), "whole", "doc", "component", "size")
     by_bucket = placed.join(whole.where("not whole"), "region").select(F.col("bucket").alias("group"), "whole", "doc", "component", "size")
-    return by_region.unionByName(by_bucket)
+    out = stash(by_region.unionByName(by_bucket), "groups")
+    unstash(tied, placed)
+    return out
 
 
 def _joining_links(now: DataFrame, held: DataFrame, threshold: float) -> DataFrame:
     """Links that join the components of groups, and these: those outside a group's largest component against all members."""
     key = ["group", "whole", "class"]
-    groups = stash(_groups(now), "groups")
+    groups = _groups(now)
     count = groups.groupBy("group", "whole", "component").agg(F.count(F.lit(1)).alias("n"))
     largest = count.groupBy("group", "whole").agg(F.max(F.struct("n", "component")).alias("top")).select("group", "whole", F.col("top.component").alias("largest"))
     # Texts that reach the threshold are of the same size class or of neighbouring ones.
     size_class = F.floor(F.log(F.col("size").cast("double")) / math.log(1 / threshold) + 1e-9).cast("long") if threshold < 1 else F.col("size")
-    groups = stash(groups.join(largest, ["group", "whole"]).withColumn("class", size_class).withColumn("outside", F.col("component") != F.col("largest")), "sided")
+    groups, unsided = stash(groups.join(largest, ["group", "whole"]).withColumn("class", size_class).withColumn("outside", F.col("component") != F.col("largest")), "sided"), groups
+    unstash(unsided)
     blocks = groups.where("outside").groupBy(*key).agg(F.ceil(F.greatest(F.count(F.lit(1)) / LEFT_TEXTS, F.sum("size") / LEFT_SHINGLES)).cast("int").alias("lefts"))
     reach = groups.withColumn("class", F.explode(F.array(*[F.col("class") + k for k in (-1, 0, 1)])))
     wide = reach.groupBy(*key).agg(F.ceil(F.sum("size") / RIGHT_SHINGLES).cast("int").alias("rights"))
@@ -460,7 +467,9 @@ def _joining_links(now: DataFrame, held: DataFrame, threshold: float) -> DataFra
     rows = left.unionByName(right).join(held.withColumnRenamed("doc_id", "doc"), "doc")
     at = [*key, "i", "j"]
     rows = rows.select(*at, "side", "doc", "component", "text").repartition(*at).sortWithinPartitions(*at, "side")
-    return stash(rows.mapInArrow(_joining(threshold), "a long, b long, component_a long, component_b long"), "joining")
+    out = stash(rows.mapInArrow(_joining(threshold), "a long, b long, component_a long, component_b long"), "joining")
+    unstash(groups, grid)
+    return out
 
 
 def near_duplicates(docs: DataFrame, *, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -485,18 +494,21 @@ def near_duplicates(docs: DataFrame, *, threshold: float = THRESHOLD, id_col: st
     members = nodes.where("bands is not null").select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("doc"), "size").distinct()
     busy = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = stash(members.join(busy, "bucket"), "members")
+    unstash(signed)
     middle = members.groupBy("doc").agg(F.sum("n").alias("score"))
     leaders = members.join(middle, "doc").groupBy("bucket").agg(F.max(F.struct("score", -F.col("doc"))).alias("top")).select("bucket", (-F.col("top.col2")).alias("leader"))
     pairs = members.select("bucket", "doc").join(leaders, "bucket").where("doc <> leader").select(F.col("doc").alias("a"), F.col("leader").alias("b")).distinct()
     pairs = stash(pairs, "pairs")
     held = _texts_of(pairs.select(F.col("a").alias("doc_id")).distinct().unionByName(pairs.select(F.col("b").alias("doc_id")).distinct()), source)
-    links = stash(_linked(pairs, held, threshold), "links")
-    joined = stash(components(links), "components")
+    links = first_links = stash(_linked(pairs, held, threshold), "links")
+    joined = first_joined = components(links)
 
     # Buckets with members of several components, some of which have not been compared.
     now = members.where("n > 2").join(joined.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     open_ = now.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
     now = stash(now.join(open_, "bucket").select("bucket", "doc", "component", "size"), "open")
+    unstash(members, pairs)
+    more = tied = None
     if not now.isEmpty():
         more = _joining_links(now, held, threshold)
         links = links.unionByName(more.select("a", "b"))
@@ -507,7 +519,9 @@ def near_duplicates(docs: DataFrame, *, threshold: float = THRESHOLD, id_col: st
         joined = before.join(tied.select(F.col("node").alias("component"), F.col("component").alias("least")), "component", "left").select("node", F.coalesce("least", "component").alias("component"))
     ends = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
     out = nodes.select("doc_id", "rep").join(joined.withColumnRenamed("node", "rep"), "rep", "left").join(ends, "rep", "left")
-    return out.select("doc_id", F.coalesce("component", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    out = stash(out.select("doc_id", F.coalesce("component", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "classes")
+    unstash(nodes, held, first_links, first_joined, now, more, tied)
+    return out
 
 
 def keep_one(docs: DataFrame, *, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -516,7 +530,7 @@ def keep_one(docs: DataFrame, *, threshold: float = THRESHOLD, id_col: str = "do
     Rows that repeat an id give one row. Rows without an id stay if no row with an id has
     their text, one for each text; those without a text, too, all stay.
     """
-    classes = stash(near_duplicates(docs, threshold=threshold, id_col=id_col, text_col=text_col), "classes")
+    classes = near_duplicates(docs, threshold=threshold, id_col=id_col, text_col=text_col)
     gone = classes.where("doc_id <> class_id").select(F.col("doc_id").alias(id_col)).distinct()
     if gone.count() <= MAX_BROADCAST:
         gone = F.broadcast(gone)

@@ -2,38 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import shared_folder, stash, unstash  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is named (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="eventloom-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def stash(df: DataFrame, label: str) -> DataFrame:
-    """Cut the lineage: write to a Parquet table in the shared folder and read it back.
-
-    Later jobs read the table again if an executor is lost; nothing lives on one machine.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/eventloom-{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def unsigned_crc32(column: Column) -> Column:
     """crc32 of the UTF-8 bytes; null counts as the empty text."""
     return F.crc32(F.coalesce(column, F.lit("")))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import hidden, stash
+from .common import hidden, stash, unstash
 
 #: Where no shares are given, a value's is in proportion to its tokens to this power: below 1 lifts what is rare, 0 makes all equal.
 TEMPER = {"source": 0.5, "lang": 0.6, "topic": 0.5}
@@ -113,7 +113,8 @@ def rake(cells: DataFrame, dims: list[str], *, tolerance: float = TOLERANCE, max
             for d in dims:
                 held = F.sum("weight").over(Window.partitionBy(d))
                 step = step.withColumn("weight", F.when(held > 0, F.col("weight") * F.col(f"target_{d}") / held).otherwise(0.0))
-        fitted = stash(step, "cells")
+        fitted, old = stash(step, "cells"), fitted
+        unstash(old)
         gaps = fitted.coalesce(1) if few else fitted
         for d in dims:
             gaps = gaps.withColumn(f"off_{d}", F.abs(F.sum("weight").over(Window.partitionBy(d)) - F.col(f"target_{d}")) / F.greatest(F.col(f"target_{d}"), F.lit(1e-300)))
