@@ -37,10 +37,11 @@ def clean_content(text: Column, platform: Column | None = None, boilerplate: dic
 
 def tokenize(text: Column, stopwords: list[str] = (), remove_stopwords: bool = True) -> Column:
     """Words of two characters or more that hold a letter, repeats kept; ideographs give their bigrams."""
-    words = F.regexp_extract_all(F.regexp_replace(text, f"[{CJK}]+", " "), F.lit(f"({WORD})"), 1)
-    runs = F.regexp_extract_all(text, F.lit(f"([{CJK}]+)"), 1)
-    pairs = F.flatten(F.transform(runs, char_bigrams))
-    found = F.filter(F.concat(words, pairs), lambda t: (F.length(t) >= 2) & t.rlike(f"[A-Za-z{CJK}]"))
+    part = rf"[\p{{L}}\p{{N}}_&&[^{CJK}]]"
+    # The letter may stand anywhere in the word; a word without one has no part that holds one.
+    words = F.regexp_extract_all(text, F.lit(f"((?={part}*[A-Za-z]){part}{{2,}})"), 1)
+    runs = F.when(text.rlike(f"[{CJK}]"), F.regexp_extract_all(text, F.lit(f"([{CJK}]+)"), 1)).otherwise(F.array().cast("array<string>"))
+    found = F.when(text.isNotNull(), F.concat(words, F.flatten(F.transform(runs, char_bigrams))))
     return F.filter(found, lambda t: ~t.isin(list(stopwords))) if remove_stopwords and stopwords else found
 
 

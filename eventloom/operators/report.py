@@ -32,7 +32,12 @@ def sentiment_dict(texts: DataFrame, positive: list[str], negative: list[str]) -
 
 def sentiment_dist(labelled: DataFrame) -> DataFrame:
     """Share of each label by event; all three are always there."""
-    return labelled.groupBy("event_id").agg(*[F.round(F.count_if(F.col("label") == k) / F.count(F.lit(1)), 3).alias(k) for k in ("positive", "neutral", "negative")])
+    return labelled.groupBy("event_id").agg(*sentiment_columns())
+
+
+def sentiment_columns() -> list[Column]:
+    """The aggregates of ``sentiment_dist``, so that they can share a pass with others."""
+    return [F.round(F.count_if(F.col("label") == k) / F.count(F.lit(1)), 3).alias(k) for k in ("positive", "neutral", "negative")]
 
 
 def authenticity(posts: DataFrame, rates: DataFrame | None = None) -> DataFrame:
@@ -65,9 +70,14 @@ def authenticity(posts: DataFrame, rates: DataFrame | None = None) -> DataFrame:
 
 def event_title(posts: DataFrame) -> DataFrame:
     """The shortest title, of articles if any, of eight characters or more if any; the earlier post on a tie."""
+    return posts.groupBy("event_id").agg(title_column())
+
+
+def title_column() -> Column:
+    """The aggregate of ``event_title``."""
     t = F.trim("title")
     key = F.struct((F.length(t) == 0).alias("a"), (vl.text_type(F.col("platform")) != "article").alias("b"), (F.length(t) < 8).alias("c"), F.length(t).alias("d"), F.col("seq").alias("e"))
-    return posts.groupBy("event_id").agg(tx.event_title_clean(F.min_by(F.col("title"), key)).alias("title"))
+    return tx.event_title_clean(F.min_by(F.col("title"), key)).alias("title")
 
 
 # Propagation

@@ -8,7 +8,7 @@ whose number the recent window bounds.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -24,13 +24,22 @@ def recent_window(posts: DataFrame, days: float = 45) -> DataFrame:
 
 
 def time_span(posts: DataFrame) -> DataFrame:
-    return posts.groupBy("event_id").agg(F.min("publish_s").alias("time_start_s"), F.max("publish_s").alias("time_end_s"))
+    return posts.groupBy("event_id").agg(*span_columns())
+
+
+def span_columns() -> list[Column]:
+    return [F.min("publish_s").alias("time_start_s"), F.max("publish_s").alias("time_end_s")]
 
 
 def heat(posts: DataFrame, as_of: int, half_life_hours: float = 24) -> DataFrame:
     """Sum of decayed weights; posts after ``as_of`` count 1."""
+    return posts.groupBy("event_id").agg(heat_column(as_of, half_life_hours))
+
+
+def heat_column(as_of: int, half_life_hours: float = 24) -> Column:
+    """The aggregate of ``heat``, so that it can share a pass with others."""
     age = F.greatest(F.lit(as_of) - F.col("publish_s"), F.lit(0)) / float(HOUR)
-    return posts.groupBy("event_id").agg(F.round(F.sum(F.exp(-F.log(F.lit(2.0)) * age / half_life_hours)), 3).alias("heat"))
+    return F.round(F.sum(F.exp(-F.log(F.lit(2.0)) * age / half_life_hours)), 3).alias("heat")
 
 
 def daily_trend(posts: DataFrame) -> DataFrame:

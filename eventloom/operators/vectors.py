@@ -45,8 +45,9 @@ def event_keywords(doc_terms: DataFrame, k: int = 8) -> DataFrame:
     """Top terms of each event by the sum of their documents' scores, weighted by the best."""
     s = doc_terms.groupBy("event_id", "term").agg(F.sum("score").alias("score"))
     w = Window.partitionBy("event_id").orderBy(F.desc(F.round("score", 6)), "term")
-    top = s.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < k)
-    return top.select("event_id", F.col("term").alias("word"), F.round(F.col("score") / F.max("score").over(Window.partitionBy("event_id")), 3).alias("weight"), "rank")
+    # Spark keeps k rows an event and task before the exchange.
+    top = s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return top.select("event_id", F.col("term").alias("word"), F.round(F.col("score") / F.max("score").over(Window.partitionBy("event_id")), 3).alias("weight"), (F.col("rank") - 1).alias("rank"))
 
 
 def cosine_sparse(a: DataFrame, b: DataFrame, key_a: str, key_b: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions import values as vl
 from ..operators import dedup, lookups, report, trend, vectors
+from ..sources.tables import spread, stash
 from ..sources.views import AS_OF, START, comments, posts, sql, table
 from .scalars import _TOKENS
 
@@ -16,16 +17,18 @@ DAY = 86400
 
 
 def tokens(s, d):
-    return posts(s, d).select("doc_id", "event_id", "platform", tx.tokenize(F.col("content")).alias("tokens"))
+    return spread(posts(s, d).select("doc_id", "event_id", "platform", "content"), "doc_id").select("doc_id", "event_id", "platform", tx.tokenize(F.col("content")).alias("tokens"))
 
 
 def counts(s, d):
-    return vectors.term_counts(tokens(s, d), "event_id", "doc_id")
+    """Terms of each document, written: texts are read and cut once, however often the counts are used."""
+    return stash(vectors.term_counts(tokens(s, d), "event_id", "doc_id"), "counts")
 
 
 def keywords(s, d, k=8):
+    """Written, as a few rows an event are joined to much else."""
     totals = posts(s, d).groupBy("event_id").agg(F.count(F.lit(1)).alias("total"))
-    return vectors.event_keywords(vectors.doc_keywords(counts(s, d), totals, k), k)
+    return stash(vectors.event_keywords(vectors.doc_keywords(counts(s, d), totals, k), k), "keywords")
 
 
 def sentiment(s, d):
@@ -34,10 +37,11 @@ def sentiment(s, d):
 
 def events(s, d):
     """One row an event: title, heat, sentiment, risk, span and count."""
-    p = posts(s, d)
-    n = p.groupBy("event_id").agg(F.count(F.lit(1)).alias("report_count"))
-    out = trend.heat(p, AS_OF).join(sentiment(s, d), "event_id").join(report.event_title(p), "event_id").join(trend.time_span(p), "event_id").join(n, "event_id")
-    return out.withColumn("risk_level", vl.risk_level(F.col("heat"), F.col("negative")))
+    columns = ["event_id", "seq", "platform", "title", "publish_s"]
+    labelled = report.sentiment_dict(spread(posts(s, d).select(*columns, "content"), "seq").select(*columns, tx.tokenize(F.col("content")).alias("tokens")), POS, NEG)
+    found = [trend.heat_column(AS_OF), *report.sentiment_columns(), report.title_column(), *trend.span_columns(), F.count(F.lit(1)).alias("report_count")]
+    out = labelled.groupBy("event_id").agg(*found).withColumn("risk_level", vl.risk_level(F.col("heat"), F.col("negative")))
+    return stash(out, "events")
 
 
 def hot_list(s, d):
@@ -47,35 +51,43 @@ def hot_list(s, d):
     return events(s, d).join(top, "event_id").join(peak, "event_id").select("event_id", "title", "heat", "risk_level", "positive", "neutral", "negative", "report_count", "top_platform", "event_time").orderBy(*w_order)
 
 
-def _vectors(s, d):
-    """Unit vectors of titles; short texts, so that any pair may meet on few terms."""
-    c = vectors.term_counts(posts(s, d).select("doc_id", tx.tokenize(F.substring("content", 1, 10_000_000)).alias("tokens")), "doc_id")
-    total = posts(s, d).agg(F.count(F.lit(1)).alias("total"))
-    return vectors.tfidf_vector(c, vectors.idf(c, total), "doc_id")
+def _weights(s, d):
+    """The terms of each document and their idf, written."""
+    c = counts(s, d).drop("event_id")
+    return c, stash(vectors.idf(c, posts(s, d).agg(F.count(F.lit(1)).alias("total"))), "idf")
+
+
+def _vectors(s, d, weights=None):
+    """Unit vectors of whole texts."""
+    return vectors.tfidf_vector(*(weights or _weights(s, d)), "doc_id")
 
 
 def _assignment(s, d):
     return posts(s, d).select("doc_id", (F.col("doc_id") % 9).alias("cluster_id"))
 
 
-def _centroids(s, d):
-    return vectors.centroid_mean(_vectors(s, d), _assignment(s, d))
+def _centroids(s, d, weights=None):
+    return stash(vectors.centroid_mean(_vectors(s, d, weights), _assignment(s, d)), "centroids")
 
 
-def _comment_vectors(s, d):
-    c = vectors.term_counts(comments(s, d).select("comment_id", tx.tokenize(F.col("content")).alias("tokens")), "comment_id")
-    base = vectors.term_counts(posts(s, d).select("doc_id", tx.tokenize(F.col("content")).alias("tokens")), "doc_id")
-    return vectors.tfidf_vector(c, vectors.idf(base, posts(s, d).agg(F.count(F.lit(1)).alias("total"))), "comment_id")
+def _assigned(s, d):
+    """Comments to the centroids of posts, both weighted by the posts' idf."""
+    weights = _weights(s, d)
+    c = vectors.term_counts(spread(comments(s, d), "comment_id").select("comment_id", tx.tokenize(F.col("content")).alias("tokens")), "comment_id")
+    return vectors.assign_nearest(vectors.tfidf_vector(c, weights[1], "comment_id"), _centroids(s, d, weights), comments(s, d))
 
 
-def _topic(s, d):
-    return _centroids(s, d).where("cluster_id = 0").select("term", "w")
+def _with_topic(s, d):
+    c = _centroids(s, d)
+    return c, c.where("cluster_id = 0").select("term", "w")
 
 
 def _event_texts(s, d):
-    return report.event_title(posts(s, d)).join(keywords(s, d).groupBy("event_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "word"))), lambda x: x["word"]).alias("words")), "event_id").select(
+    """Title and keywords of each event as bigrams, written."""
+    found = report.event_title(posts(s, d)).join(keywords(s, d).groupBy("event_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "word"))), lambda x: x["word"]).alias("words")), "event_id").select(
         "event_id", tx.char_bigrams(tx.combined_text(F.col("title"), keywords=F.col("words"))).alias("tokens")
     )
+    return stash(found, "event-texts")
 
 
 def _round(df, column="w", places=6):
@@ -131,7 +143,13 @@ def _labelled(s, d):
 
 
 def _sim_prints(s, d):
-    return posts(s, d).select("seq", "event_id", dedup.simhash64(F.col("content")).alias("fingerprint"))
+    """Fingerprints, written: they are made once, however often they are used."""
+    return stash(spread(posts(s, d).select("seq", "event_id", "content"), "seq").select("seq", "event_id", dedup.simhash64(F.col("content")).alias("fingerprint")), "prints")
+
+
+def _stored(s, d):
+    prints = _sim_prints(s, d)
+    return dedup.dedup_store(prints.where("seq % 2 = 1"), prints.where("seq % 2 = 0")).select("seq")
 
 
 QUERIES = {
@@ -152,18 +170,18 @@ QUERIES = {
     "propagation_path": lambda s, d: report.propagation_path(report.key_nodes(posts(s, d))),
     "summary": lambda s, d: report.summary(posts(s, d), keywords(s, d)),
     "cause": lambda s, d: report.cause(posts(s, d), keywords(s, d)),
-    "idf": lambda s, d: _round(vectors.idf(counts(s, d).drop("event_id"), posts(s, d).agg(F.count(F.lit(1)).alias("total"))), "idf"),
+    "idf": lambda s, d: _round(_weights(s, d)[1], "idf"),
     "tfidf_vector": lambda s, d: _round(_vectors(s, d)),
     "tf_relative": lambda s, d: _round(vectors.tf_relative(counts(s, d), "doc_id"), "tf"),
     "doc_keywords": lambda s, d: _round(vectors.doc_keywords(counts(s, d), posts(s, d).groupBy("event_id").agg(F.count(F.lit(1)).alias("total")), 5), "score", 4),
     "event_keywords": keywords,
     "centroid_mean": lambda s, d: _round(_centroids(s, d)),
-    "cosine_sparse": lambda s, d: _round(vectors.cosine_sparse(_vectors(s, d), _centroids(s, d), "doc_id", "cluster_id"), "score"),
+    "cosine_sparse": lambda s, d: (lambda w: _round(vectors.cosine_sparse(_vectors(s, d, w), _centroids(s, d, w), "doc_id", "cluster_id"), "score"))(_weights(s, d)),
     "cosine_full": lambda s, d: _round(vectors.cosine_full(_centroids(s, d), "cluster_id"), "score"),
     "similar_events": lambda s, d: vectors.similar_events(_event_texts(s, d)),
     "similar_reason": _reasons,
-    "assign_nearest": lambda s, d: vectors.assign_nearest(_comment_vectors(s, d), _centroids(s, d), comments(s, d)),
-    "topic_relevance_filter": lambda s, d: vectors.topic_relevance_filter(_centroids(s, d), _topic(s, d), _assignment(s, d).select("cluster_id").distinct(), 0.5),
+    "assign_nearest": _assigned,
+    "topic_relevance_filter": lambda s, d: vectors.topic_relevance_filter(*_with_topic(s, d), _assignment(s, d).select("cluster_id").distinct(), 0.5),
     "purity": lambda s, d: vectors.purity(posts(s, d), "source", "platform").select(F.round("purity", 6).alias("purity")),
     "comments_of_docs": lambda s, d: lookups.comments_of_docs(comments(s, d), posts(s, d).where("doc_id % 2 = 0")).select("comment_id", "parent_post_id"),
     "event_detail": _detail_flat,
@@ -185,7 +203,7 @@ QUERIES = {
     "domain_shift": lambda s, d: _labelled(s, d).groupBy("kind").agg(F.round(F.avg((F.col("label") == F.col("predicted")).cast("double")), 4).alias("accuracy")),
     "near_dup_pairs": lambda s, d: dedup.near_dup_pairs(_sim_prints(s, d)),
     "near_dup_greedy": lambda s, d: dedup.near_dup_greedy(_sim_prints(s, d), 3, "event_id").select("seq", "kept"),
-    "dedup_store": lambda s, d: dedup.dedup_store(_sim_prints(s, d).where("seq % 2 = 1"), _sim_prints(s, d).where("seq % 2 = 0")).select("seq"),
+    "dedup_store": _stored,
     "comment_dup_count": lambda s, d: dedup.comment_dup_count(_sim_prints(s, d)).select("seq", F.col("duplicate_count").cast("long").alias("duplicate_count")),
     "dedup_url": lambda s, d: dedup.dedup_url(posts(s, d).select("seq", F.concat(F.lit("u"), (F.col("doc_id") % 300).cast("string")).alias("source_url")), posts(s, d).select(F.concat(F.lit("u"), (F.col("doc_id") * 7 % 150).cast("string")).alias("source_url"))),
     "set_difference": lambda s, d: posts(s, d).select("source", "platform").distinct().join(posts(s, d).where("platform = '微博'").select("source", "platform").distinct(), ["source", "platform"], "left_anti"),

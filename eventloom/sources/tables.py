@@ -28,6 +28,12 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt over all cores where the input has fewer splits than there are cores, before costly work on its texts; else as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+
+
 def unstash(*tables: DataFrame | None) -> None:
     """Delete what ``stash`` wrote for these; nothing may read them any more. Other frames are left alone."""
     for df in tables:
