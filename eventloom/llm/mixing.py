@@ -18,7 +18,10 @@ from pyspark.sql.window import Window
 from .common import hidden, stash, unstash
 
 #: Where no shares are given, a value's is in proportion to its tokens to this power: below 1 lifts what is rare, 0 makes all equal.
-TEMPER = {"source": 0.5, "lang": 0.6, "topic": 0.5}
+TEMPER = {"source": 0.7, "lang": 0.8, "topic": 0.8}
+#: Such a share is at most so many times the value's own before all are scaled to 1: what is very rare can't be
+#: lifted to much without most of the rest being thrown away.
+LIFT = 2.0
 #: Words of several languages that speak for a topic; the topic with most of them wins, the earlier on a tie.
 TOPICS = {
     "relation": ["with", "by", "from", "as", "mit", "von", "als", "par", "avec", "du", "por", "con", "del"],
@@ -72,23 +75,28 @@ def with_targets(cells: DataFrame, temper: dict[str, float], targets: dict[str,
     """``cells`` with a target of tokens for each value of each dimension, ``target_<dimension>``; each dimension's add up to all tokens.
 
     Values with a given share get it; what shares leave goes to the other values by the
-    tempered counts. Values without tokens get nothing, and the rest is scaled up for it.
+    tempered counts, none to more than ``LIFT`` times its own share. Values without tokens
+    get nothing, and the rest is scaled up for it.
     """
     targets = targets or {}
     _checked(targets, list(temper))
     out = cells
+    whole = cells.agg(F.sum("tokens").alias("total"))  # one row of one number, as those below
     for d, power in temper.items():
-        sums = cells.groupBy(d).agg(F.sum("tokens").alias("sum"))
+        sums = cells.groupBy(d).agg(F.sum("tokens").alias("sum")).join(F.broadcast(whole))
         given = F.lit(None).cast("double")
         for value, share in targets.get(d, {}).items():
             given = F.when(F.col(d).eqNullSafe(F.lit(value)), F.lit(float(share))).otherwise(given)
         rest = max(0.0, 1 - sum(targets.get(d, {}).values()))
-        free = F.when(F.col("given").isNull(), F.pow("sum", F.lit(power))).otherwise(0.0)
         # Values without tokens have no part in it, power 0 included.
-        sums = sums.withColumn("given", given).withColumn("free", F.when(F.col("sum") > 0, free).otherwise(0.0))
-        whole = sums.agg(F.sum("free").alias("frees"), F.sum("sum").alias("total"))
+        free = F.when(F.col("given").isNull() & (F.col("sum") > 0), F.pow("sum", F.lit(power))).otherwise(0.0)
+        sums = sums.withColumn("given", given).withColumn("free", free)
+        frees = sums.agg(F.sum("free").alias("frees"))
+        lifted = F.least(F.col("free") / F.col("frees"), LIFT * F.col("sum") / F.col("total"))
+        sums = sums.join(F.broadcast(frees)).withColumn("free", F.when(F.col("frees") > 0, lifted).otherwise(0.0)).drop("frees")
+        frees = sums.agg(F.sum("free").alias("frees"))
         own = F.when(F.col("sum") > 0, F.coalesce("given", F.when(F.col("frees") > 0, rest * F.col("free") / F.col("frees")).otherwise(0.0))).otherwise(0.0)
-        shares = sums.join(F.broadcast(whole)).withColumn("share", own)  # one row of two numbers
+        shares = sums.join(F.broadcast(frees)).withColumn("share", own)
         scale = shares.agg(F.sum("share").alias("scale"))
         shares = shares.join(F.broadcast(scale)).select(F.col(d).alias("value"), F.when(F.col("scale") > 0, F.col("share") / F.col("scale") * F.col("total")).otherwise(0.0).alias(f"target_{d}"))
         out = out.join(shares, out[d].eqNullSafe(shares["value"])).drop("value")
@@ -198,9 +206,9 @@ def _oracle() -> str:
     names = list(TOPICS)
     best = "greatest(" + ", ".join(f"h{i}" for i in range(len(names))) + ")"
     case = " ".join(f"WHEN {best} > 0 AND h{i} = {best} THEN '{n}'" for i, n in enumerate(names))
-    targets = ", ".join(f"(SELECT s{d}.p / sum(s2.p) * any_value(s2.total) FROM sum_{d} s2) AS t_{d}" for d in TEMPER)
+    targets = ", ".join(f"(SELECT s{d}.q / sum(s2.q) * any_value(s2.total) FROM sum_{d} s2) AS t_{d}" for d in TEMPER)
     sums = ", ".join(
-        f"sum_{d} AS (SELECT {d} AS v, CASE WHEN sum(tokens) > 0 THEN pow(sum(tokens), {p}) ELSE 0 END AS p, (SELECT sum(tokens) FROM cells)::DOUBLE AS total FROM cells GROUP BY {d})" for d, p in TEMPER.items()
+        f"sum_{d} AS (SELECT *, least(p / sum(p) OVER (), {LIFT} * tokens / total) AS q FROM (SELECT {d} AS v, sum(tokens) AS tokens, CASE WHEN sum(tokens) > 0 THEN pow(sum(tokens), {p}) ELSE 0 END AS p, (SELECT sum(tokens) FROM cells)::DOUBLE AS total FROM cells GROUP BY {d}))" for d, p in TEMPER.items()
     )
     joins = " ".join(f"JOIN sum_{d} s{d} ON cells.{d} IS NOT DISTINCT FROM s{d}.v" for d in TEMPER)
     carry = "source, lang, topic, tokens, t_source, t_lang, t_topic"
