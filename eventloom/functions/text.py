@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,15 +18,37 @@ def strip_boilerplate(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(text, "<[^>]+>", " "), r"[\s]+", " "))
 
 
-#: Named entities that are decoded; the ampersand comes last.
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " ", "&amp;": "&"}
+def _character(code: Column) -> Column:
+    """The character of a code point by the rules for numeric references: Windows letters for 128 to 159, a replacement mark for what is none."""
+    windows = F.lit("".join(bytes([n]).decode("cp1252", "replace") for n in range(128, 160)))
+    plain = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    none = code.isNull() | (code == 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF)
+    return F.when(none, F.lit("\ufffd")).when(code.between(128, 159), F.substr(windows, code.cast("int") - 127, F.lit(1))).otherwise(plain)
+
+
+def html_unescape(text: Column, names: dict[str, str] = html5) -> Column:
+    """Character references replaced by what they stand for: numeric ones, and those of the public table of names.
+
+    Names that need no semicolon are read without one if no letter or digit follows. What is
+    no reference stays. Texts without an ampersand are not looked into.
+    """
+    table = F.from_json(F.lit(json.dumps(names)), "map<string,string>")
+    head = r"^(#[0-9]{1,8}|#[xX][0-9a-fA-F]{1,7}|[A-Za-z][A-Za-z0-9]*)(;?)"
+
+    def part(p: Column) -> Column:
+        name = F.regexp_extract(p, head, 1)
+        whole = F.regexp_extract(p, head, 0)
+        code = F.when(name.rlike("^#[xX]"), F.conv(F.substring(name, 3, 8), 16, 10)).otherwise(F.substring(name, 2, 8)).cast("long")
+        found = F.when(name.startswith("#"), _character(code)).when(name != "", F.element_at(table, whole))
+        return F.coalesce(F.concat(found, F.substr(p, F.length(whole) + 1)), F.concat(F.lit("&"), p))
+
+    parts = F.split(text, "&")
+    return F.when(F.contains(text, F.lit("&")), F.concat(parts[0], F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), part), ""))).otherwise(text)
 
 
 def clean_content(text: Column, platform: Column | None = None, boilerplate: dict[str, list[str]] | None = None) -> Column:
-    """Entities decoded, zero-width marks and the platform's boilerplate dropped, at most one blank line, lines trimmed."""
-    out = F.coalesce(text, F.lit(""))
-    for name, value in ENTITIES.items():
-        out = F.replace(out, F.lit(name), F.lit(value))
+    """References decoded, zero-width marks and the platform's boilerplate dropped, at most one blank line, lines trimmed."""
+    out = html_unescape(F.coalesce(text, F.lit("")))
     out = F.regexp_replace(out, "[​-‏﻿]", "")
     for of, sentences in (boilerplate or {}).items():
         clean = out
@@ -45,17 +70,20 @@ def tokenize(text: Column, stopwords: list[str] = (), remove_stopwords: bool = T
     return F.filter(found, lambda t: ~t.isin(list(stopwords))) if remove_stopwords and stopwords else found
 
 
+def _windows(text: Column, n: int) -> Column:
+    """All windows of n characters, in one pass: each match takes one character and looks n ahead."""
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))."), 1)
+
+
 def char_bigrams(text: Column) -> Column:
     """All windows of two characters of the trimmed text; a single character gives none."""
-    t = F.trim(text)
-    return F.when(F.length(t) > 1, F.transform(F.sequence(F.lit(1), F.length(t) - 1), lambda i: F.substr(t, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
+    return _windows(F.trim(text), 2)
 
 
 def shingles(text: Column, n: int = 4) -> Column:
     """Windows of n characters of the text without white space; a shorter text is one shingle, an empty one none."""
     t = F.regexp_replace(text, r"\s+", "")
-    windows = F.transform(F.sequence(F.lit(1), F.length(t) - (n - 1)), lambda i: F.substr(t, i, F.lit(n)))
-    return F.when(F.length(t) >= n, windows).when(F.length(t) > 0, F.array(t)).otherwise(F.array().cast("array<string>"))
+    return F.when(F.length(t) >= n, _windows(t, n)).when(F.length(t) > 0, F.array(t)).otherwise(F.array().cast("array<string>"))
 
 
 def sentences(text: Column, least: int = 6) -> Column:

@@ -11,7 +11,7 @@ import hashlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -52,6 +52,17 @@ def simhash64(texts: pd.Series) -> pd.Series:
     return pd.Series([_fingerprint(t or "") for t in texts], dtype="Int64")
 
 
+def unsigned(fingerprint: Column) -> Column:
+    """A fingerprint as the decimal text of an unsigned number."""
+    wide = fingerprint.cast("decimal(20,0)")
+    return F.when(fingerprint < 0, wide + F.lit(str(1 << 64)).cast("decimal(20,0)")).otherwise(wide).cast("decimal(20,0)").cast("string")
+
+
+def hamming(a: Column, b: Column) -> Column:
+    """Bits in which two fingerprints differ."""
+    return F.bit_count(a.bitwiseXOR(b))
+
+
 def band_rows(prints: DataFrame, k: int) -> DataFrame:
     """Each fingerprint once a band: the band's number and bits."""
     width = -(-64 // (k + 1))

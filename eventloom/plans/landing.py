@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import trend
 from ..sources import landed, sinks
 from ..sources.views import AS_OF, posts, sql, table
+from ..values import BOILERPLATE
 from .events import events
 
 
@@ -14,11 +15,6 @@ def _i():
     return F.col("doc_id")
 
 
-def _short():
-    """A text of a document's beginning that JSON and markup can carry."""
-    return F.substring("title", 1, 60)
-
-
 def _raw(s, d):
     i = _i()
     return posts(s, d).select(
@@ -49,7 +45,7 @@ def _result_pages(s, d):
 
 def _social_comments(s, d):
     i = _i()
-    c = F.struct(i.cast("string").alias("id"), F.concat(_short(), F.lit("​")).alias("text_raw"), F.when(i % 2 == 0, "来自北京").otherwise("上海").alias("source"), F.lit("Mon Jul 01 08:30:00 +0800 2024").alias("created_at"), F.when(i % 3 > 0, i % 23).alias("like_counts"), F.struct((i % 9).cast("string").alias("id"), F.col("author").alias("screen_name")).alias("user"))
+    c = F.struct(i.cast("string").alias("id"), F.concat(F.col("content"), F.lit("​")).alias("text_raw"), F.when(i % 2 == 0, "来自北京").otherwise("上海").alias("source"), F.lit("Mon Jul 01 08:30:00 +0800 2024").alias("created_at"), F.when(i % 3 > 0, i % 23).alias("like_counts"), F.struct((i % 9).cast("string").alias("id"), F.col("author").alias("screen_name")).alias("user"))
     return posts(s, d).select(F.to_json(F.array(c)).alias("json"))
 
 
@@ -69,25 +65,25 @@ def _expanded(s, d):
 
 def _answer_comments(s, d):
     i = _i()
-    c = F.struct(i.cast("string").alias("id"), F.concat(F.lit("<p>"), _short(), F.lit("</p>")).alias("content"), F.col("publish_s").alias("created_time"), (i % 7).alias("vote_count"), F.struct(F.struct(F.lit("9").alias("id"), F.col("author").alias("name")).alias("member")).alias("author"))
+    c = F.struct(i.cast("string").alias("id"), F.concat(F.lit("<p>"), F.col("content"), F.lit("</p>")).alias("content"), F.col("publish_s").alias("created_time"), (i % 7).alias("vote_count"), F.struct(F.struct(F.lit("9").alias("id"), F.col("author").alias("name")).alias("member")).alias("author"))
     return posts(s, d).select((i % 30).cast("string").alias("answer_id"), F.to_json(F.array(c)).alias("json"))
 
 
 def _renmin(s, d):
     i = _i()
-    r = F.struct(F.when(i % 6 == 0, "").otherwise(F.concat(F.lit("http://r/"), i.cast("string"))).alias("url"), F.concat(F.lit("<em>"), F.col("source"), F.lit("</em>")).alias("title"), F.col("source").alias("content"), F.col("author").alias("author"), (F.col("publish_s") * 1000 + 7).alias("displayTime"), F.when(i % 4 == 0, "新华社").alias("originName"), F.when(i % 5 == 0, "要闻").alias("belongsName"))
+    r = F.struct(F.when(i % 6 == 0, "").otherwise(F.concat(F.lit("http://r/"), i.cast("string"))).alias("url"), F.concat(F.lit("<em>"), F.col("title"), F.lit("</em>")).alias("title"), F.col("content").alias("content"), F.col("author").alias("author"), (F.col("publish_s") * 1000 + 7).alias("displayTime"), F.when(i % 4 == 0, "新华社").alias("originName"), F.when(i % 5 == 0, "要闻").alias("belongsName"))
     return posts(s, d).select(F.to_json(F.struct(F.struct(F.array(r).alias("records")).alias("data"))).alias("json"))
 
 
 def _thepaper(s, d):
     i = _i()
-    r = F.struct(F.when(i % 6 > 0, i.cast("string")).alias("contId"), F.col("source").alias("name"), F.lit("2天前").alias("pubTime"))
+    r = F.struct(F.when(i % 6 > 0, i.cast("string")).alias("contId"), F.col("title").alias("name"), F.col("content").alias("summary"), F.lit("2天前").alias("pubTime"))
     return posts(s, d).select(F.to_json(F.struct(F.when(i % 10 == 0, 500).otherwise(200).alias("code"), F.struct(F.array(r).alias("list")).alias("data"))).alias("json"))
 
 
 def _sina(s, d):
     i = _i()
-    r = F.struct(F.concat(F.lit("http://s/"), (i % 400).cast("string")).alias("url"), F.col("source").alias("title"), F.col("publish_s").cast("string").alias("ctime"), F.col("platform").alias("media_show"))
+    r = F.struct(F.concat(F.lit("http://s/"), (i % 400).cast("string")).alias("url"), F.col("title").alias("title"), F.col("publish_s").cast("string").alias("ctime"), F.col("platform").alias("media_show"))
     return posts(s, d).select(F.to_json(F.struct(F.struct(F.array(r).alias("list")).alias("data"))).alias("json"))
 
 
@@ -101,19 +97,19 @@ def _data_pages(s, d):
 
 def _statuses(s, d):
     i = _i()
-    x = F.struct(i.cast("string").alias("id"), F.when(i % 5 == 0, "").otherwise(F.concat(_short(), F.lit("​"))).alias("text_raw"), F.lit("Mon Jul 01 08:30:00 +0800 2024").alias("created_at"), F.struct(F.lit("1").alias("id"), F.lit("x").alias("screen_name"), F.lit(220).alias("verified_type")).alias("user"), (i % 11).alias("reposts_count"), (i % 23).alias("attitudes_count"))
+    x = F.struct(i.cast("string").alias("id"), F.when(i % 5 == 0, "").otherwise(F.concat(F.col("content"), F.lit("​"))).alias("text_raw"), F.lit("Mon Jul 01 08:30:00 +0800 2024").alias("created_at"), F.struct(F.lit("1").alias("id"), F.lit("x").alias("screen_name"), F.lit(220).alias("verified_type")).alias("user"), (i % 11).alias("reposts_count"), (i % 23).alias("attitudes_count"))
     return posts(s, d).select(i.alias("key"), F.to_json(x).alias("json"))
 
 
 def _answers(s, d):
     i = _i()
-    x = F.struct(F.concat(F.lit("<p>"), _short(), F.lit("</p>")).alias("content"), F.col("publish_s").alias("created_time"), (i % 9).alias("voteup_count"), F.struct(F.when(i % 2 == 0, F.col("source")).alias("title")).alias("question"), F.struct(F.lit("org").alias("type")).alias("author"))
+    x = F.struct(F.concat(F.lit("<p>"), F.col("content"), F.lit("</p>")).alias("content"), F.col("publish_s").alias("created_time"), (i % 9).alias("voteup_count"), F.struct(F.when(i % 2 == 0, F.col("source")).alias("title")).alias("question"), F.struct(F.lit("org").alias("type")).alias("author"))
     return posts(s, d).select(i.alias("key"), F.to_json(x).alias("json"))
 
 
 def _built(s, d):
     i = _i()
-    raw = posts(s, d).select(F.concat(F.lit("http://u/"), i.cast("string")).alias("url"), "platform", "content", "author", F.lit("某报").alias("media_show"), F.when(i % 3 == 0, F.col("publish_s")).alias("ctime_s"), F.when(i % 3 == 1, F.col("publish_s") + 60).alias("page_s"))
+    raw = posts(s, d).select(F.concat(F.lit("http://u/"), i.cast("string")).alias("url"), "platform", F.concat(F.lit(f"&lt;b&gt; &mdash; {BOILERPLATE['新浪新闻'][-1]}\n"), "content").alias("content"), "author", F.lit("某报").alias("media_show"), F.when(i % 3 == 0, F.col("publish_s")).alias("ctime_s"), F.when(i % 3 == 1, F.col("publish_s") + 60).alias("page_s"))
     return landed.build_doc(raw, AS_OF, F.lit("XX")).select("doc_id", "author", "publish_s", F.md5("content").alias("content"))
 
 
@@ -155,7 +151,6 @@ QUERIES = {
     "sink_export": lambda s, d: sinks.export_events(events(s, d).select("event_id", "heat", (F.length("event_id") % 2).alias("file_ix"), F.col("event_id").alias("pos")), 0.01).select("event_id", F.col("export_id").cast("long").alias("export_id")),
 }
 
-_SHORT = "left(title, 60)"
 _STRIP = "trim(regexp_replace(regexp_replace({}, '<[^>]+>', ' ', 'g'), '[ \\t\\n\\v\\f\\r]+', ' ', 'g'))"
 ORACLE = {
     "src_records": sql(["posts"], f"""SELECT doc_id::VARCHAR AS doc_id, md5({_STRIP.format('title')} || {_STRIP.format('content')}) AS text, CASE WHEN doc_id % 2 = 0 THEN epoch(TIMESTAMP '2024-05-06 07:08:09')::BIGINT ELSE publish_s END AS publish_s, platform, 'http://x/' || doc_id::VARCHAR AS url,
@@ -166,29 +161,29 @@ ORACLE = {
     "flat_weibo_cards": _CARDS,
     "flat_weibo_html": """WITH b AS (SELECT doc_id AS page_id, CASE WHEN doc_id % 3 = 0 THEN doc_id + 5 ELSE doc_id END AS k FROM documents), x AS (SELECT *, row_number() OVER (PARTITION BY k % 600 ORDER BY page_id) AS rn FROM b)
  SELECT 'https://weibo.com/' || (k % 50)::VARCHAR || '/p' || (k % 600)::VARCHAR AS url, 'p' || (k % 600)::VARCHAR AS post_id, (k % 50)::VARCHAR AS uid FROM x WHERE rn = 1""",
-    "flat_weibo_comments": sql(["posts"], f"SELECT doc_id::VARCHAR AS comment_id, {_SHORT} AS content, author, (doc_id % 9)::VARCHAR AS user_id, epoch(TIMESTAMP '2024-07-01 08:30:00')::BIGINT AS publish_s, CASE WHEN doc_id % 3 > 0 THEN doc_id % 23 ELSE 0 END AS likes_count, CASE WHEN doc_id % 2 = 0 THEN '北京' ELSE '上海' END AS commenter_ip, 'https://weibo.com/comment/' || doc_id::VARCHAR AS source_url FROM posts"),
+    "flat_weibo_comments": sql(["posts"], f"SELECT doc_id::VARCHAR AS comment_id, replace(content, chr(8203), '') AS content, author, (doc_id % 9)::VARCHAR AS user_id, epoch(TIMESTAMP '2024-07-01 08:30:00')::BIGINT AS publish_s, CASE WHEN doc_id % 3 > 0 THEN doc_id % 23 ELSE 0 END AS likes_count, CASE WHEN doc_id % 2 = 0 THEN '北京' ELSE '上海' END AS commenter_ip, 'https://weibo.com/comment/' || doc_id::VARCHAR AS source_url FROM posts"),
     "flat_zhihu_search": """SELECT CASE doc_id % 4 WHEN 0 THEN 'answer' WHEN 1 THEN 'article' ELSE 'question' END AS kind, doc_id::VARCHAR AS id, CASE doc_id % 4 WHEN 0 THEN (doc_id * 2)::VARCHAR WHEN 2 THEN doc_id::VARCHAR END AS question_id,
  CASE doc_id % 4 WHEN 0 THEN 'https://www.zhihu.com/question/' || (doc_id * 2)::VARCHAR || '/answer/' || doc_id::VARCHAR WHEN 1 THEN 'https://zhuanlan.zhihu.com/p/' || doc_id::VARCHAR ELSE 'https://www.zhihu.com/question/' || doc_id::VARCHAR END AS url,
  CASE WHEN doc_id % 4 = 2 THEN '普通用户' WHEN doc_id % 16 = 0 THEN '认证个人' WHEN doc_id % 8 = 0 THEN '官方平台' WHEN doc_id % 12 = 0 THEN '认证机构' ELSE '普通用户' END AS verification_type FROM documents WHERE doc_id % 4 < 3""",
     "expand_questions": """SELECT CASE doc_id % 4 WHEN 0 THEN 'answer' ELSE 'article' END AS kind, doc_id::VARCHAR AS id, CASE doc_id % 4 WHEN 0 THEN (doc_id * 2)::VARCHAR END AS question_id, CASE doc_id % 4 WHEN 0 THEN 'https://www.zhihu.com/question/' || (doc_id * 2)::VARCHAR || '/answer/' || doc_id::VARCHAR ELSE 'https://zhuanlan.zhihu.com/p/' || doc_id::VARCHAR END AS url FROM documents WHERE doc_id % 4 < 2
  UNION ALL SELECT 'answer', doc_id::VARCHAR || '-' || a::VARCHAR, doc_id::VARCHAR, 'https://www.zhihu.com/question/' || doc_id::VARCHAR || '/answer/' || doc_id::VARCHAR || '-' || a::VARCHAR FROM documents, range(1, 4) t(a) WHERE doc_id % 4 = 2 AND doc_id % 3 > 0 AND a <= doc_id % 5 + 1""",
-    "flat_zhihu_comments": sql(["posts"], f"SELECT doc_id::VARCHAR AS comment_id, {_SHORT} AS content, author, '9' AS user_id, publish_s, doc_id % 7 AS likes_count, '' AS commenter_ip, 'https://www.zhihu.com/answer/' || (doc_id % 30)::VARCHAR || '/comment/' || doc_id::VARCHAR AS source_url FROM posts"),
-    "flat_renmin": sql(["posts"], "SELECT 'http://r/' || doc_id::VARCHAR AS url, source AS title, source AS content, publish_s AS ctime_s, nullif(author, '') AS author, CASE WHEN doc_id % 4 = 0 THEN '新华社' WHEN doc_id % 5 = 0 THEN '要闻' ELSE '人民网' END AS media_show FROM posts WHERE doc_id % 6 > 0"),
-    "flat_thepaper": sql(["posts"], "SELECT 'https://www.thepaper.cn/newsDetail_forward_' || doc_id::VARCHAR AS url, source AS title, '' AS content, '2天前' AS ctime, '澎湃新闻' AS media_show FROM posts WHERE doc_id % 6 > 0 AND doc_id % 10 > 0"),
-    "flat_sina": sql(["posts"], "SELECT 'http://s/' || (doc_id % 400)::VARCHAR AS url, source AS title, publish_s::VARCHAR AS ctime, platform AS media_show FROM posts"),
-    "cand_dedup": sql(["posts"], "SELECT url, title, ctime, media_show FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY ctime, title) AS rn FROM (SELECT 'http://s/' || (doc_id % 400)::VARCHAR AS url, source AS title, publish_s::VARCHAR AS ctime, platform AS media_show FROM posts)) WHERE rn = 1"),
+    "flat_zhihu_comments": sql(["posts"], f"SELECT doc_id::VARCHAR AS comment_id, regexp_replace(content, '<[^>]+>', '', 'g') AS content, author, '9' AS user_id, publish_s, doc_id % 7 AS likes_count, '' AS commenter_ip, 'https://www.zhihu.com/answer/' || (doc_id % 30)::VARCHAR || '/comment/' || doc_id::VARCHAR AS source_url FROM posts"),
+    "flat_renmin": sql(["posts"], "SELECT 'http://r/' || doc_id::VARCHAR AS url, regexp_replace(title, '<[^>]+>', '', 'g') AS title, regexp_replace(content, '<[^>]+>', '', 'g') AS content, publish_s AS ctime_s, nullif(author, '') AS author, CASE WHEN doc_id % 4 = 0 THEN '新华社' WHEN doc_id % 5 = 0 THEN '要闻' ELSE '人民网' END AS media_show FROM posts WHERE doc_id % 6 > 0"),
+    "flat_thepaper": sql(["posts"], "SELECT 'https://www.thepaper.cn/newsDetail_forward_' || doc_id::VARCHAR AS url, title, content, '2天前' AS ctime, '澎湃新闻' AS media_show FROM posts WHERE doc_id % 6 > 0 AND doc_id % 10 > 0"),
+    "flat_sina": sql(["posts"], "SELECT 'http://s/' || (doc_id % 400)::VARCHAR AS url, title, publish_s::VARCHAR AS ctime, platform AS media_show FROM posts"),
+    "cand_dedup": sql(["posts"], "SELECT url, title, ctime, media_show FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY ctime, title) AS rn FROM (SELECT 'http://s/' || (doc_id % 400)::VARCHAR AS url, title, publish_s::VARCHAR AS ctime, platform AS media_show FROM posts)) WHERE rn = 1"),
     "cand_keyword_match": sql(["posts"], "SELECT doc_id FROM posts WHERE contains(lower(title), 'src1') OR contains(lower(source), 'src1')"),
     "cand_cap": sql(["posts"], "SELECT doc_id, platform, event_id FROM (SELECT *, row_number() OVER (PARTITION BY platform, event_id ORDER BY doc_id) AS rn FROM posts) WHERE rn <= 3"),
     "html_article": "SELECT page_id, title, md5(body) AS body FROM (SELECT page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title, " + _STRIP.format("regexp_replace(html, '(?is)<(script|style|head)[^>]*>.*?</(script|style|head)>', ' ', 'g')") + " AS body FROM pages) WHERE len(body) >= 30",
     "html_embedded_date": "SELECT page_id, CASE page_id % 3 WHEN 0 THEN epoch(TIMESTAMP '2024-03-05 08:30:00')::BIGINT WHEN 1 THEN 1704067200::BIGINT + page_id END AS publish_s FROM pages",
     "html_embedded_counts": "SELECT page_id, CASE WHEN page_id % 4 > 0 OR page_id = 0 THEN page_id % 50 END AS like_count, CASE WHEN page_id % 4 > 0 OR page_id = 0 THEN page_id % 7 END AS comment_count, CASE WHEN page_id % 4 > 0 OR page_id = 0 THEN 1704067200::BIGINT + page_id END AS publish_s FROM pages",
-    "json_status_doc": sql(["posts"], f"SELECT doc_id AS key, left({_SHORT}, 50) AS title, {_SHORT} AS content, '头部认证个人' AS verification_type, epoch(TIMESTAMP '2024-07-01 08:30:00')::BIGINT AS publish_s, doc_id % 11 AS repost_count, doc_id % 23 AS like_count, NULL::BIGINT AS comment_count FROM posts WHERE doc_id % 5 > 0 AND title <> ''"),
-    "json_answer_doc": sql(["posts"], f"SELECT doc_id AS key, CASE WHEN doc_id % 2 = 0 THEN source ELSE left(c, 50) END AS title, c AS content, '认证机构' AS verification_type, publish_s, doc_id % 9 AS like_count, NULL::BIGINT AS comment_count FROM (SELECT *, trim({_SHORT}) AS c FROM posts) WHERE len(c) >= 10"),
+    "json_status_doc": sql(["posts"], f"SELECT doc_id AS key, left(content, 50) AS title, content, '头部认证个人' AS verification_type, epoch(TIMESTAMP '2024-07-01 08:30:00')::BIGINT AS publish_s, doc_id % 11 AS repost_count, doc_id % 23 AS like_count, NULL::BIGINT AS comment_count FROM posts WHERE doc_id % 5 > 0 AND content <> ''"),
+    "json_answer_doc": sql(["posts"], f"SELECT doc_id AS key, CASE WHEN doc_id % 2 = 0 THEN source ELSE left(c, 50) END AS title, c AS content, '认证机构' AS verification_type, publish_s, doc_id % 9 AS like_count, NULL::BIGINT AS comment_count FROM (SELECT *, trim(regexp_replace(content, '<[^>]+>', '', 'g')) AS c FROM posts) WHERE len(c) >= 10"),
     "build_doc": sql(
         ["posts"],
         f"""SELECT 'XX' || strftime(make_timestamp(t * 1000000), '%Y%m%d%H%M%S') || left(md5('http://u/' || doc_id::VARCHAR), 8) AS doc_id, CASE WHEN platform IN ('微博', '知乎') THEN nullif(author, '') ELSE '某报' END AS author, t AS publish_s,
  md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(z, '\\n{{3,}}', chr(10) || chr(10), 'g'), '(?m)^[ \\t\\r\\f]+', '', 'g'), '(?m)[ \\t\\r\\f]+$', '', 'g'), '^[ \\t\\n\\v\\f\\r]+', ''), '[ \\t\\n\\v\\f\\r]+$', '')) AS content
- FROM (SELECT *, replace(replace(replace(replace(replace(replace(content, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&') AS z, CASE doc_id % 3 WHEN 0 THEN publish_s WHEN 1 THEN publish_s + 60 ELSE {AS_OF}::BIGINT END AS t FROM posts)""",
+ FROM (SELECT *, '<b> — ' || CASE WHEN platform = '新浪新闻' THEN '' ELSE '{BOILERPLATE["新浪新闻"][-1]}' END || chr(10) || replace(replace(replace(replace(replace(replace(content, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&') AS z, CASE doc_id % 3 WHEN 0 THEN publish_s WHEN 1 THEN publish_s + 60 ELSE {AS_OF}::BIGINT END AS t FROM posts)""",
     ),
 }
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions import times as tm
 from ..functions import values as vl
+from ..operators import dedup
+from ..sources.tables import spread
 from ..sources.views import posts, sql, table
 from ..values import BOILERPLATE, KEYWORD_GROUPS, KEYWORD_REST
 
@@ -14,7 +16,7 @@ _RAW_TIME_SQL = """CASE doc_id % 6 WHEN 0 THEN (45000 + doc_id % 300)::VARCHAR W
  WHEN 3 THEN '2024-0' || (doc_id % 9 + 1)::VARCHAR || '-15T08:30:05' WHEN 4 THEN '2024-0' || (doc_id % 9 + 1)::VARCHAR || '-15' ELSE 'soon' END"""
 _MONTHS = "['" + "','".join(tm.MONTHS) + "']"
 
-_HTMLISH_SQL = "'&lt;' || title || '&gt; &amp;amp;' || chr(8203) || chr(10) || chr(10) || chr(10) || chr(10) || '  声明：本文内容仅代表作者个人观点，与新浪网无关。 ' || content || '  ' || chr(10)"
+_HTMLISH_SQL = "'&lt;' || title || '&gt; &amp;amp; “—''…© ≂̸ € \ufffd \ufffd &nothing; &copyx a&b &;' || chr(8203) || chr(10) || chr(10) || chr(10) || chr(10) || '  声明：本文内容仅代表作者个人观点，与新浪网无关。 ' || content || '  ' || chr(10)"
 
 
 def _q(*columns, source=posts):
@@ -30,8 +32,6 @@ _RATIO_SQL = "CASE doc_id % 5 WHEN 0 THEN NULL WHEN 1 THEN (doc_id % 101) / 100.
 _WORDS = [w for words in KEYWORD_GROUPS.values() for w in words] + ["其他"]
 
 def _simhash(texts):
-    from ..operators import dedup
-
     # Both forms are equal (tested); SQL is too slow for whole texts.
     return texts.select("doc_id", dedup.simhash64(F.col("text")).alias("fingerprint"))
 
@@ -43,7 +43,7 @@ def _built():
     _RAW_TIME = F.when(I % 6 == 0, (F.lit(45000) + I % 300).cast("string")).when(I % 6 == 1, (F.lit(1704067200) + I).cast("string")).when(I % 6 == 2, F.concat(F.lit("2024-0"), (I % 9 + 1).cast("string"), F.lit("-15 08:30:05"))).when(
         I % 6 == 3, F.concat(F.lit("2024-0"), (I % 9 + 1).cast("string"), F.lit("-15T08:30:05"))
     ).when(I % 6 == 4, F.concat(F.lit("2024-0"), (I % 9 + 1).cast("string"), F.lit("-15"))).otherwise("soon")
-    _HTMLISH = F.concat(F.lit("&lt;"), F.col("title"), F.lit("&gt; &amp;amp;​\n\n\n\n  声明：本文内容仅代表作者个人观点，与新浪网无关。 "), F.col("content"), F.lit("  \n"))
+    _HTMLISH = F.concat(F.lit("&lt;"), F.col("title"), F.lit("&gt; &amp;amp; &#8220;&mdash;&#x27;&hellip;&copy &NotEqualTilde; &#128; &#0; &#x110000; &nothing; &copyx a&b &;​\n\n\n\n  声明：本文内容仅代表作者个人观点，与新浪网无关。 "), F.col("content"), F.lit("  \n"))
     _RATIO = F.when(I % 5 == 0, None).when(I % 5 == 1, (I % 101) / 100.0).otherwise((I % 101).cast("double"))
     return {
         "strip_boilerplate": _q(F.md5(tx.strip_boilerplate(F.concat(F.lit("<p>"), F.col("title"), F.lit("</p> <b>x</b>  "), F.col("content")))).alias("clean")),
@@ -58,10 +58,10 @@ def _built():
         "tier_zhihu": _q(vl.tier_answers(F.when(I % 5 == 0, F.array(F.lit("identity"))).when(I % 5 == 1, F.array(F.lit("identity"), F.lit("high_salt"))), F.when(I % 7 == 0, "某某官方帐号"), F.when(I % 3 == 0, "org").otherwise("people")).alias("tier")),
         "tier_default": _q(vl.tier_default(F.col("verification_type"), F.col("platform")).alias("tier")),
         "tokenize": lambda s, d: posts(s, d).select("doc_id", tx.tokenize(F.col("content")).alias("t")).select("doc_id", F.size("t").cast("long").alias("n"), F.md5(F.array_join("t", " ")).alias("tokens")),
-        "shingles4": lambda s, d: posts(s, d).select("doc_id", tx.shingles(F.col("title")).alias("t")).select("doc_id", F.size("t").cast("long").alias("n"), F.array_join("t", "|").alias("shingles")),
-        "hamming": _q(F.bit_count((I * 2654435761).bitwiseXOR(I * 40503)).cast("long").alias("distance")),
+        "shingles4": lambda s, d: posts(s, d).select("doc_id", tx.shingles(F.col("content")).alias("t")).select("doc_id", F.size("t").cast("long").alias("n"), F.md5(F.array_join("t", "|")).alias("shingles")),
+        "hamming": _q(dedup.hamming(I * 2654435761, I * 40503).cast("long").alias("distance")),
         "sentences": lambda s, d: posts(s, d).select("doc_id", tx.sentences(F.col("content")).alias("t")).select("doc_id", F.size("t").cast("long").alias("n"), F.md5(F.array_join("t", "|")).alias("sentences")),
-        "char_bigrams": _q(F.array_join(tx.char_bigrams(F.col("title")), "|").alias("bigrams")),
+        "char_bigrams": _q(F.md5(F.array_join(tx.char_bigrams(F.col("content")), "|")).alias("bigrams")),
         "combined_text": _q(F.md5(tx.combined_text(F.col("title"), F.when(I % 3 > 0, F.col("source")), F.lit(None).cast("string"), keywords=F.array("platform", "source"))).alias("text")),
         "influence": _q(F.round(vl.influence(F.col("repost_count"), F.col("comment_count"), F.col("like_count")), 4).alias("influence")),
         "snippet": _q(tx.snippet(F.when(I % 3 == 0, "").otherwise(F.col("title")), F.col("content")).alias("snippet"), F.coalesce(F.nullif("author", F.lit("")), F.lit("匿名")).alias("author")),
@@ -83,8 +83,8 @@ def _built():
         "label_from_proba": _q(vl.label_from_proba((I % 101) / 100.0, 1 - (I % 101) / 100.0).alias("label")),
         "label_from_model": _q(vl.label_from_model(F.when(I % 3 == 0, "LABEL_1").when(I % 3 == 1, "neg").otherwise("odd"), (I % 101) / 100.0).alias("label")),
         "lexicon_hit": lambda s, d: posts(s, d).select("doc_id", tx.tokenize(F.col("content")).alias("t")).select("doc_id", tx.contains_any(F.col("t"), ["tion", "heit"]).alias("hits")),
-        "set_overlap": _q(F.arrays_overlap(tx.tokenize(F.col("title")), tx.tokenize(F.substring("content", 200, 200))).alias("overlap")),
-        "simhash64": lambda s, d: posts(s, d).select("doc_id", F.col("content").alias("text")).transform(_simhash),
+        "set_overlap": _q(F.arrays_overlap(tx.tokenize(F.col("title")), tx.tokenize(F.substr("content", F.length("title") + 1))).alias("overlap")),
+        "simhash64": lambda s, d: spread(posts(s, d).select("doc_id", F.col("content").alias("text")), "doc_id").transform(_simhash),
     }
 
 
@@ -117,10 +117,10 @@ ORACLE = {
     "tier_zhihu": "SELECT doc_id, CASE WHEN doc_id % 5 = 1 THEN '头部认证个人' WHEN doc_id % 5 = 0 THEN '认证个人' WHEN doc_id % 7 = 0 THEN '官方平台' WHEN doc_id % 3 = 0 THEN '认证机构' ELSE '普通用户' END AS tier FROM documents",
     "tier_default": _p("coalesce(verification_type, CASE WHEN platform IN ('新浪新闻', '人民网', '澎湃新闻') THEN '官方平台' END) AS tier"),
     "tokenize": sql(["posts"], f"SELECT doc_id, len(t)::BIGINT AS n, md5(array_to_string(t, ' ')) AS tokens FROM (SELECT doc_id, {_TOKENS} AS t FROM posts)"),
-    "shingles4": sql(["posts"], "SELECT doc_id, len(t)::BIGINT AS n, array_to_string(t, '|') AS shingles FROM (SELECT doc_id, CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: substr(w, i, 4)) WHEN len(w) > 0 THEN [w] ELSE [] END AS t FROM (SELECT doc_id, regexp_replace(title, '\\s+', '', 'g') AS w FROM posts))"),
+    "shingles4": sql(["posts"], "SELECT doc_id, len(t)::BIGINT AS n, md5(array_to_string(t, '|')) AS shingles FROM (SELECT doc_id, CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: substr(w, i, 4)) WHEN len(w) > 0 THEN [w] ELSE [] END AS t FROM (SELECT doc_id, regexp_replace(content, '[ \\t\\n\\v\\f\\r]+', '', 'g') AS w FROM posts))"),
     "hamming": "SELECT doc_id, bit_count(xor(doc_id * 2654435761::BIGINT, doc_id * 40503::BIGINT))::BIGINT AS distance FROM documents",
     "sentences": sql(["posts"], f"SELECT doc_id, len(t)::BIGINT AS n, md5(array_to_string(t, '|')) AS sentences FROM (SELECT doc_id, {_SENTS.format('content')} AS t FROM posts)"),
-    "char_bigrams": sql(["posts"], "SELECT doc_id, array_to_string(list_transform(range(1, len(w)), lambda i: substr(w, i, 2)), '|') AS bigrams FROM (SELECT doc_id, trim(title) AS w FROM posts)"),
+    "char_bigrams": sql(["posts"], "SELECT doc_id, md5(array_to_string(list_transform(range(1, len(w)), lambda i: substr(w, i, 2)), '|')) AS bigrams FROM (SELECT doc_id, trim(content) AS w FROM posts)"),
     "combined_text": _p("md5(title || ' ' || CASE WHEN doc_id % 3 > 0 THEN source ELSE '' END || '  ' || platform || ' ' || source) AS text"),
     "influence": _p("round(repost_count * 1.0::DOUBLE + comment_count * 0.5::DOUBLE + like_count * 0.3::DOUBLE, 4) AS influence"),
     "snippet": _p("left(CASE WHEN doc_id % 3 = 0 OR title = '' THEN content ELSE title END, 40) AS snippet, CASE WHEN author = '' THEN '匿名' ELSE author END AS author"),
@@ -138,7 +138,7 @@ ORACLE = {
     "label_from_proba": "SELECT doc_id, CASE WHEN greatest(p, 1 - p) < 0.6::DOUBLE THEN 'neutral' WHEN p > 1 - p THEN 'positive' ELSE 'negative' END AS label FROM (SELECT doc_id, (doc_id % 101)::DOUBLE / 100.0::DOUBLE AS p FROM documents)",
     "label_from_model": "SELECT doc_id, CASE WHEN doc_id % 101 < 65 THEN 'neutral' WHEN doc_id % 3 = 0 THEN 'positive' WHEN doc_id % 3 = 1 THEN 'negative' ELSE 'neutral' END AS label FROM documents",
     "lexicon_hit": sql(["posts"], f"SELECT doc_id, len(list_filter({_TOKENS}, lambda t: regexp_matches(t, 'tion|heit')))::BIGINT AS hits FROM posts"),
-    "set_overlap": sql(["posts"], f"SELECT doc_id, list_has_any({_TOKENS.replace('content', 'title')}, {_TOKENS.replace('content', 'substr(content, 200, 200)')}) AS overlap FROM posts"),
+    "set_overlap": sql(["posts"], f"SELECT doc_id, list_has_any({_TOKENS.replace('content', 'title')}, {_TOKENS.replace('content', 'substr(content, len(title) + 1)')}) AS overlap FROM posts"),
 }
 
 QUERIES = {name: lambda s, d, name=name: _built()[name](s, d) for name in [*ORACLE, "simhash64"]}

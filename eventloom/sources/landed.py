@@ -13,7 +13,8 @@ from pyspark.sql.window import Window
 from ..functions import text as tx
 from ..functions import times as tm
 from ..functions import values as vl
-from ..values import LABEL_ALIASES
+from ..operators.dedup import simhash64, unsigned
+from ..values import BOILERPLATE, LABEL_ALIASES
 
 _some = lambda c: F.nullif(F.col(c), F.lit(""))
 
@@ -103,7 +104,7 @@ def flat_weibo_comments(landed: DataFrame, column: str = "json") -> DataFrame:
     return rows.select(
         F.col("c.id").alias("comment_id"), F.regexp_replace(F.coalesce("c.text_raw", F.lit("")), "​", "").alias("content"), F.coalesce("c.user.screen_name", F.lit("")).alias("author"), F.coalesce("c.user.id", F.lit("")).alias("user_id"),
         tm.parse_publish_time(tm.parse_weibo_time(F.col("c.created_at"))).alias("publish_s"), F.coalesce("c.like_counts", F.lit(0)).alias("likes_count"),
-        F.when(source.startswith("来自"), F.substring(source, 3, 1000)).otherwise(source).alias("commenter_ip"), F.concat(F.lit("https://weibo.com/comment/"), "c.id").alias("source_url"),
+        F.when(source.startswith("来自"), F.substr(source, F.lit(3))).otherwise(source).alias("commenter_ip"), F.concat(F.lit("https://weibo.com/comment/"), "c.id").alias("source_url"),
     )
 
 
@@ -217,10 +218,13 @@ def json_answer_doc(landed: DataFrame, column: str = "json", least: int = 10) ->
     return x.select("key", F.coalesce(F.nullif("x.question.title", F.lit("")), F.substring("content", 1, 50)).alias("title"), "content", _tier("x.author").alias("verification_type"), F.col("x.created_time").alias("publish_s"), F.col("x.voteup_count").alias("like_count"), F.col("x.comment_count").alias("comment_count"))
 
 
-def build_doc(raw: DataFrame, as_of: int, code: Column) -> DataFrame:
-    """Keyed documents: id from the code, the time and the URL; time from the candidate, the page or ``as_of``; authors of social posts only."""
+def build_doc(raw: DataFrame, as_of: int, code: Column, boilerplate: dict[str, list[str]] = BOILERPLATE) -> DataFrame:
+    """Keyed documents: id from the code, the time and the URL; time from the candidate, the page or ``as_of``; authors of social posts only.
+
+    The content is cleaned of its platform's boilerplate; ``content_hash`` is its fingerprint as an unsigned number.
+    """
     t = F.coalesce("ctime_s", "page_s", F.lit(as_of))
     days, rest = F.date_from_unix_date(F.floor(t / 86400).cast("int")).cast("string"), F.pmod(t, F.lit(86400))
     clock = F.concat(*[F.lpad(F.floor(x).cast("string"), 2, "0") for x in (rest / 3600, F.pmod(rest, F.lit(3600)) / 60, F.pmod(rest, F.lit(60)))])
     author = F.when(F.col("platform").isin("微博", "知乎"), _some("author")).otherwise(_some("media_show"))
-    return raw.withColumns({"publish_s": t, "author": author, "doc_id": F.concat(code, F.regexp_replace(days, "-", ""), clock, F.substring(F.md5("url"), 1, 8)), "content": tx.clean_content(F.col("content"))})
+    return raw.withColumns({"publish_s": t, "author": author, "doc_id": F.concat(code, F.regexp_replace(days, "-", ""), clock, F.substring(F.md5("url"), 1, 8)), "content": tx.clean_content(F.col("content"), F.col("platform"), boilerplate)}).withColumn("content_hash", unsigned(simhash64(F.col("content"))))
