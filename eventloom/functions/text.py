@@ -70,20 +70,20 @@ def tokenize(text: Column, stopwords: list[str] = (), remove_stopwords: bool = T
     return F.filter(found, lambda t: ~t.isin(list(stopwords))) if remove_stopwords and stopwords else found
 
 
-def _windows(text: Column, n: int) -> Column:
+def windows_of(text: Column, n: int) -> Column:
     """All windows of n characters, in one pass: each match takes one character and looks n ahead."""
     return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))."), 1)
 
 
 def char_bigrams(text: Column) -> Column:
     """All windows of two characters of the trimmed text; a single character gives none."""
-    return _windows(F.trim(text), 2)
+    return windows_of(F.trim(text), 2)
 
 
 def shingles(text: Column, n: int = 4) -> Column:
     """Windows of n characters of the text without white space; a shorter text is one shingle, an empty one none."""
     t = F.regexp_replace(text, r"\s+", "")
-    return F.when(F.length(t) >= n, _windows(t, n)).when(F.length(t) > 0, F.array(t)).otherwise(F.array().cast("array<string>"))
+    return F.when(F.length(t) >= n, windows_of(t, n)).when(F.length(t) > 0, F.array(t)).otherwise(F.array().cast("array<string>"))
 
 
 def sentences(text: Column, least: int = 6) -> Column:

@@ -8,12 +8,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.tables import stash
+
 
 def like(column: Column, q: str, escape: bool = False) -> Column:
     """LIKE %q%; wildcards in q are live unless escaped."""
     return column.contains(q) if escape else column.like(f"%{q}%")
 
 
+def numbered(df: DataFrame, *order, name: str = "pos") -> DataFrame:
+    """``df`` with the number of each row, from 1, in an order over all rows.
+
+    Rows are dealt by ranges of the order and counted by range; only the counts meet in one place.
+    """
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"__part": F.spark_partition_id(), "__at": F.monotonically_increasing_id()})
+    dealt = stash(dealt, "numbered")
+    sizes = dealt.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))  # a row a range
+    at = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    return dealt.join(F.broadcast(before), "__part").withColumn(name, at + F.col("__before") + 1).drop("__part", "__at", "__before")
+
+
 def list_filter(events: DataFrame, keywords: DataFrame, risk: str | None = None, q: str | None = None, escape: bool = False) -> DataFrame:
     """Events of a risk level whose title or any keyword holds q."""
     out = events.where(F.col("risk_level") == risk) if risk else events
@@ -36,8 +51,7 @@ def list_filter_demo(events: DataFrame, q: str | None = None, risk: str | None =
 def high_risk(events: DataFrame) -> DataFrame:
     """Events of the two upper levels with their order: by level, then heat."""
     tier = F.when(F.col("risk_level") == "high", 0).otherwise(1)
-    w = Window.orderBy(tier, F.desc("heat"), "event_id")
-    return events.where(F.col("risk_level").isin("high", "mid_high")).withColumn("pos", F.row_number().over(w))
+    return numbered(events.where(F.col("risk_level").isin("high", "mid_high")), tier, F.desc("heat"), "event_id")
 
 
 def min_heat(events: DataFrame, least: float = 5.0) -> DataFrame:
@@ -79,6 +93,16 @@ def comments_of_docs(comments: DataFrame, docs: DataFrame) -> DataFrame:
     return comments.join(docs.select(F.col("doc_id").alias("parent_post_id")), "parent_post_id", "left_semi")
 
 
+def new_rows(rows: DataFrame, stored: DataFrame, *keys: str) -> DataFrame:
+    """Distinct key values of ``rows`` that ``stored`` lacks."""
+    return rows.select(*keys).distinct().join(stored.select(*keys).distinct(), list(keys), "left_anti")
+
+
+def accuracy_by(pairs: DataFrame, kind: str = "kind") -> DataFrame:
+    """Share of rows of each kind whose ``predicted`` is their ``label``: how a model fares on data that it was not made for."""
+    return pairs.groupBy(kind).agg(F.round(F.avg((F.col("label") == F.col("predicted")).cast("double")), 4).alias("accuracy"))
+
+
 def conv_history(messages: DataFrame) -> DataFrame:
     """conv_id, history: role and text of each turn, in order."""
     turns = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))

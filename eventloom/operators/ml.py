@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import values as vl
+from . import report
 
 FEATURES = 1 << 16
 
@@ -48,9 +49,20 @@ def train_and_choose(labelled: DataFrame, key: str = "doc_id") -> tuple[str, Pip
     truth = held.withColumnRenamed("label", "truth")
     scores = {k: predict(m, truth, 0.0).agg(F.avg((F.col("label") == F.col("truth")).cast("double"))).first()[0] or 0.0 for k, m in found.items()}
     best = max(scores, key=lambda k: (scores[k], k))
+    fit.unpersist(), held.unpersist()
     return best, found[best], scores
 
 
+def sentiment_route(texts: DataFrame, positive: list[str], negative: list[str], classify: Callable[[pd.Series], pd.DataFrame]) -> DataFrame:
+    """``texts`` (``text``, ``platform``) with ``method`` and ``label``: articles by the dictionary, all others by a classifier."""
+    article = vl.text_type(F.col("platform")) == "article"
+    # The classifier sees no article.
+    rows = batch_infer(texts.withColumns({"__article": article, "__short": F.when(~article, F.col("text"))}), classify, "__short").withColumnRenamed("label", "__model")
+    found = report.sentiment_dict(rows.withColumn("tokens", F.when(F.col("__article"), tx.tokenize(F.col("text"))).otherwise(F.array().cast("array<string>"))), positive, negative)
+    label = F.when(F.col("__article"), F.col("label")).otherwise(F.col("__model"))
+    return found.select(*[c for c in texts.columns], F.when(F.col("__article"), "dict").otherwise("model").alias("method"), label.alias("label"))
+
+
 def batch_infer(texts: DataFrame, classify: Callable[[pd.Series], pd.DataFrame], text_col: str = "text") -> DataFrame:
     """``texts`` with ``label`` and ``score`` of any classifier of batches; labels are unified, unsure ones neutral."""
 

@@ -123,8 +123,8 @@ def platform_chain(posts: DataFrame) -> DataFrame:
     return p.select("event_id", "platform", "count", F.col("first.publish_s").alias("first_seen_s"), (F.row_number().over(w) - 1).alias("pos"), F.lead("platform").over(w).alias("target"), F.lead("count").over(w).alias("value"))
 
 
-def propagation_path(nodes: DataFrame) -> DataFrame:
-    """Key nodes as they are shown: name, category, size and the link to the next one."""
+def propagation_path(nodes: DataFrame, chain: DataFrame | None = None) -> DataFrame:
+    """Key nodes as they are shown: name, category, size and the link to the next one; events without any show their chain of platforms."""
     role, tier = F.col("role"), F.col("verification_type")
     category = (
         F.when(role.rlike("初始|首发|爆料"), 0).when(role.rlike("高峰|峰值"), 3).when(role.rlike("大V|意见领袖") | tier.rlike("头部认证个人|认证机构"), 1)
@@ -133,7 +133,12 @@ def propagation_path(nodes: DataFrame) -> DataFrame:
     subject = F.when(F.col("author") != "匿名", F.col("author")).otherwise(F.col("platform"))
     size = F.when(F.col("influence") <= 0, F.greatest(F.lit(34.0), 48.0 - F.col("pos") * 2)).otherwise(F.least(F.lit(72.0), F.greatest(F.lit(38.0), 34 + F.sqrt("influence"))))
     named = nodes.withColumn("name", F.concat(role, F.lit(" · "), subject))
-    return named.select("event_id", "pos", "name", category.alias("category"), F.round(size, 4).alias("size"), F.lead("name").over(Window.partitionBy("event_id").orderBy("pos")).alias("target"))
+    path = named.select("event_id", "pos", "name", category.alias("category"), F.round(size, 4).alias("size"), F.lead("name").over(Window.partitionBy("event_id").orderBy("pos")).alias("target"))
+    if chain is None:
+        return path
+    reach = F.least(F.lit(66.0), F.greatest(F.lit(34.0), 34 + F.sqrt("count") * 2))
+    rest = chain.join(nodes.select("event_id").distinct(), "event_id", "left_anti")
+    return path.unionByName(rest.select("event_id", "pos", F.col("platform").alias("name"), F.when(F.col("pos") == 0, 0).otherwise(3).alias("category"), F.round(reach, 4).alias("size"), "target"))
 
 
 # Extracts

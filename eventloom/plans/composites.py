@@ -11,8 +11,9 @@ from pyspark.sql.window import Window
 from ..functions import text as tx
 from ..functions import values as vl
 from ..operators import cluster, dedup, entities, lookups, ml, report, trend, vectors
-from ..sources.tables import shared_folder, stash
-from ..sources.views import AS_OF, activity, comments, posts, sql, table
+from ..sources import sinks
+from ..sources.tables import shared_folder, spread, stash
+from ..sources.views import AS_OF, SPAN, START, activity, comments, posts, sql, table
 from ..streaming import jobs
 from . import events as ev
 from .scalars import _TOKENS
@@ -20,16 +21,16 @@ from .trends import BUCKETS, DAILY, STAGE
 
 
 def _docs(s, d):
-    return posts(s, d).withColumn("tokens", tx.tokenize(F.col("content")))
+    return spread(posts(s, d).select("doc_id", "seq", "publish_s", "event_id", "content"), "doc_id").withColumn("tokens", tx.tokenize(F.col("content"))).drop("content")
 
 
-def analyze_events(posts_: DataFrame, as_of: int, positive: list[str], negative: list[str], k: int = 3, days: float = 45) -> DataFrame:
-    """One nested row an event: counts, heat, risk, sentiment, keywords, platforms, credibility, trend, lifecycle, propagation, extracts.
+def analyze_events(posts_: DataFrame, as_of: int, positive: list[str], negative: list[str], gazetteer: DataFrame, k: int = 3, days: float = 45, introducers: list[str] = (), surnames: str = "", translit: str = "") -> DataFrame:
+    """One nested row an event: counts, heat, risk, sentiment, keywords, platforms, credibility, trend, lifecycle, propagation, extracts, places and people.
 
-    ``posts_``: the columns of the posts view. Near duplicates within an event are dropped
+    ``posts_``: the columns of the posts view; ``gazetteer``: word, tag. Near duplicates within an event are dropped
     first; timelines use the recent window, the rest all kept posts.
     """
-    prints = posts_.withColumn("fingerprint", dedup.simhash64(F.concat("title", "content")))
+    prints = stash(spread(posts_, "seq").withColumn("fingerprint", dedup.simhash64(F.concat("title", "content"))), "printed")
     marked = stash(dedup.near_dup_greedy(prints, k, "event_id"), "analysed")
     kept = marked.where("kept").drop("kept", "fingerprint")
     sizes = marked.groupBy("event_id").agg(F.count_if("kept").alias("report_count"), F.count_if(~F.col("kept")).alias("duplicate_count"))
@@ -40,6 +41,7 @@ def analyze_events(posts_: DataFrame, as_of: int, positive: list[str], negative:
     daily = stash(trend.daily_trend(recent), "daily")
     buckets = stash(trend.bucket_counts(recent), "buckets")
     life = trend.lifecycle_proba(trend.lifecycle_stage(buckets))
+    named = stash(entities.entity_counts(recent, gazetteer, introducers, surnames), "entities")
     points = trend.changepoints(buckets).join(buckets, ["event_id", "ix"])
 
     def rows(df, name, *columns):
@@ -50,15 +52,21 @@ def analyze_events(posts_: DataFrame, as_of: int, positive: list[str], negative:
         report.authenticity(kept, sizes.select("event_id", vl.duplicate_rate(F.col("duplicate_count"), F.col("report_count")).alias("dup_rate"))), life,
         rows(words, "keywords", "rank", "word", "weight"), rows(report.platform_dist(kept), "platform_distribution", "rank", "platform", "ratio"), rows(daily, "trend", "ix", "date", "cnt"), rows(trend.forecast(daily), "future_trend", "step", "date", "predict_count"),
         rows(points, "key_timepoints", "ix", "start_s"), rows(report.key_nodes(recent), "key_nodes", "pos", "role", "doc_id", "influence"), rows(report.top_influencers(recent), "top_influencers", "rank", "author", "influence"), rows(report.platform_chain(recent), "platform_chain", "pos", "platform", "count", "target"),
-        report.summary(recent, words), report.cause(recent, words),
+        report.summary(recent, words), report.cause(recent, words), entities.location(named), entities.people(named, surnames=surnames, translit=translit, keywords=words),
     ]
     out = sizes
     for part in parts:
         out = out.join(part, "event_id", "left")
-    return out.withColumn("risk_level", vl.risk_level(F.col("heat"), F.col("negative")))
+    out = out.withColumns({"risk_level": vl.risk_level(F.col("heat"), F.col("negative")), "people": F.coalesce("people", F.array().cast("array<string>"))})
+    return stash(out, "reports")
 
 
-def two_stage(posts_: DataFrame, comments_: DataFrame, threshold: float, as_of: int, positive, negative, refresh_risk: bool = False) -> DataFrame:
+def group_reports(posts_: DataFrame, *args, **options) -> DataFrame:
+    """The reports of all events, the hottest first."""
+    return analyze_events(posts_, *args, **options).orderBy(F.desc("heat"), "event_id")
+
+
+def two_stage(posts_: DataFrame, comments_: DataFrame, threshold: float, as_of: int, positive, negative, gazetteer: DataFrame, refresh_risk: bool = False) -> DataFrame:
     """Posts to clusters, comments to the nearest, then reports; sentiment is the comments' where there are any.
 
     The risk level stays that of the posts' sentiment unless ``refresh_risk``.
@@ -75,17 +83,19 @@ def two_stage(posts_: DataFrame, comments_: DataFrame, threshold: float, as_of:
     labelled = report.sentiment_dict(by_event, positive, negative)
     theirs = report.sentiment_dist(labelled).select("event_id", *[F.col(c).alias(f"c_{c}") for c in ("positive", "neutral", "negative")])
     n = by_event.groupBy("event_id").agg(F.count(F.lit(1)).alias("comment_count"))
-    out = analyze_events(named, as_of, positive, negative).join(theirs, "event_id", "left").join(n, "event_id", "left")
+    out = analyze_events(named, as_of, positive, negative, gazetteer).join(theirs, "event_id", "left").join(n, "event_id", "left")
     out = out.withColumns({c: F.coalesce(f"c_{c}", c) for c in ("positive", "neutral", "negative")} | {"comment_count": F.coalesce("comment_count", F.lit(0))}).drop("c_positive", "c_neutral", "c_negative")
     return out.withColumn("risk_level", vl.risk_level(F.col("heat"), F.col("negative"))) if refresh_risk else out
 
 
 def dashboard_brief(events: DataFrame, size: int = 10) -> DataFrame:
     """The brief's lines: totals, the hottest events, those of high risk, and a conclusion."""
-    w = Window.orderBy(F.desc("heat"), "event_id")
-    page = events.withColumn("pos", F.row_number().over(w))
     total = events.count()
-    page = page.where(F.col("pos") <= size)
+    order = [F.desc("heat"), F.asc("event_id")]
+    # So many rows at most are numbered in one place.
+    page = stash(events.orderBy(*order).limit(size), "page")
+    w = Window.orderBy(*order)
+    page = page.withColumn("pos", F.row_number().over(w))
     hot = page.select(F.lit("hot").alias("section"), "pos", F.format_string("%d. %s heat %.1f", "pos", "event_id", "heat").alias("line"))
     risky = page.where(F.col("risk_level").isin("high", "mid_high")).withColumn("pos", F.row_number().over(w)).where("pos <= 8").select(F.lit("risk").alias("section"), "pos", F.concat_ws(" ", "event_id", "risk_level").alias("line"))
     n = page.agg(F.count_if(F.col("risk_level").isin("high", "mid_high")).alias("n"), F.count(F.lit(1)).alias("m"))
@@ -139,7 +149,9 @@ def _entities(s, d):
 
 
 def _segments(s, d):
-    return entities.dict_segment(posts(s, d).select("doc_id", F.col("title").alias("text")), posts(s, d).select(F.substring("title", 1, 3).alias("word")).where("length(word) = 3"))
+    """Whole texts by the short words of the titles."""
+    lexicon = posts(s, d).select(F.explode(tx.tokenize(F.col("title"))).alias("word")).where("length(word) <= 5").distinct()
+    return entities.dict_segment(spread(posts(s, d).select("doc_id", F.col("content").alias("text")), "doc_id"), stash(lexicon, "lexicon"))
 
 
 def _single_pass(s, d):
@@ -148,23 +160,42 @@ def _single_pass(s, d):
 
 
 def _two_stage(s, d):
-    return two_stage(posts(s, d), comments(s, d), 0.04, AS_OF, ev.POS, ev.NEG).select("event_id", "report_count", "duplicate_count", "comment_count", "heat", "risk_level", "positive", "neutral", "negative", "stage", "title")
+    return two_stage(posts(s, d), comments(s, d), 0.04, AS_OF, ev.POS, ev.NEG, stash(_gazetteer(s, d), "gazetteer")).select("event_id", "report_count", "duplicate_count", "comment_count", "heat", "risk_level", "positive", "neutral", "negative", "stage", "title")
 
 
 def _analysis(s, d):
-    return analyze_events(posts(s, d), AS_OF, ev.POS, ev.NEG)
+    return analyze_events(posts(s, d), AS_OF, ev.POS, ev.NEG, stash(_gazetteer(s, d), "gazetteer"), introducers=["the"])
 
 
-def _trained(s, d):
+def _grouped(s, d):
+    out = group_reports(posts(s, d), AS_OF, ev.POS, ev.NEG, stash(_gazetteer(s, d), "gazetteer"), introducers=["the"])
+    return out.select("event_id", "heat", "risk_level", "report_count", "duplicate_count", "title", "stage", "location", F.array_join("people", ",").alias("people"), "summary", "cause")
+
+
+def _train_scores(s, d):
     rows = posts(s, d).join(table(s, d, "labels"), "doc_id").select("doc_id", F.col("content").alias("text"), F.when(F.col("quality") == 1, "positive").otherwise("negative").alias("label"))
-    _, model, _ = ml.train_and_choose(rows)
-    return ml.predict(model, posts(s, d).select("doc_id", F.col("content").alias("text"))).select("doc_id", "label", F.round("p_positive", 4).alias("p_positive"))
+    best, _, scores = ml.train_and_choose(rows)
+    return s.createDataFrame([(k, round(v, 4), k == best) for k, v in sorted(scores.items())], "kind string, accuracy double, chosen boolean")
 
 
-def _length_rule(batch):
-    import pandas as pd
+def _raw(s, d):
+    """Posts appended to a table by platform, and read again."""
+    path = f"{shared_folder(s)}/eventloom-raw-{uuid.uuid4().hex}"
+    sinks.save_raw(posts(s, d).select("doc_id", "platform", "content", "publish_s"), path, "platform")
+    return s.read.parquet(path).select("doc_id", "platform", F.md5("content").alias("content"), "publish_s")
 
-    return pd.DataFrame({"label": ["LABEL_1" if len(t) % 2 else "LABEL_0" for t in batch], "score": [0.5 + (len(t) % 50) / 100 for t in batch]})
+
+def _json(s, d):
+    """Events written as JSON, and read again."""
+    path = f"{shared_folder(s)}/eventloom-json-{uuid.uuid4().hex}"
+    sinks.save_json(trend.heat(posts(s, d), AS_OF).join(ev.keywords(s, d).groupBy("event_id").agg(F.sort_array(F.collect_set("word")).alias("words")), "event_id"), path)
+    return s.read.schema("event_id string, heat double, words array<string>").json(path).withColumn("words", F.array_join("words", ","))
+
+
+def _trained(s, d):
+    rows = posts(s, d).join(table(s, d, "labels"), "doc_id").select("doc_id", F.col("content").alias("text"), F.when(F.col("quality") == 1, "positive").otherwise("negative").alias("label"))
+    _, model, _ = ml.train_and_choose(rows)
+    return ml.predict(model, posts(s, d).select("doc_id", F.col("content").alias("text"))).select("doc_id", "label", F.round("p_positive", 4).alias("p_positive"))
 
 
 def _stream(s, d, make, schema_of="events"):
@@ -188,8 +219,43 @@ def _st_dedup(s, d):
     return _stream(s, d, lambda x: jobs.dedup_url(_timed(x).withColumn("source_url", F.concat(F.lit("u"), (F.col("user_id") % 25).cast("string"))), delay="3650 days").select("source_url"))
 
 
+def _batched(s, d, make, apply, of="events", mode="append"):
+    """A stream over the table's files, run to its end through a function of batches; gives the folder that this one writes to."""
+    folder = f"{shared_folder(s)}/eventloom-stream-{uuid.uuid4().hex}"
+    stream = jobs.ingest(s, f"{d}/{of}.parquet*", s.read.parquet(f"{d}/{of}.parquet").schema)
+    jobs.run_batches(make(stream), apply(f"{folder}/out"), f"{folder}/checkpoint", mode).awaitTermination()
+    return f"{folder}/out"
+
+
 def _st_late(s, d):
-    return _stream(s, d, lambda x: jobs.late_filter(_timed(x), days=3650).select(F.col("event_type").alias("kind"), "user_id"))
+    path = _batched(s, d, lambda x: _timed(x).select("publish_time", F.col("event_type").alias("kind"), "user_id"), lambda p: jobs.keep_recent(s, p, 10))
+    return s.read.parquet(f"{path}/rows").select("kind", "user_id")
+
+
+def _st_bucket(s, d):
+    path = _batched(s, d, lambda x: jobs.bucket(_timed(x)), jobs.replace_table, mode="complete")
+    return s.read.parquet(path).select("event_id", F.unix_seconds("start").alias("start_s"), "cnt")
+
+
+def _printed(stream):
+    return stream.select(F.col("doc_id").alias("seq"), dedup.simhash64(F.col("text")).alias("fingerprint"))
+
+
+def _st_comment_dup(s, d):
+    path = _batched(s, d, _printed, lambda p: jobs.comment_dup(s, p), "documents")
+    return jobs.comment_counts(s, path).select("seq", "duplicate_count")
+
+
+def _st_cluster(s, d):
+    idf = ev._weights(s, d)[1]
+    shape = lambda x: x.select(F.col("doc_id").alias("seq"), (F.lit(START).cast("long") + F.col("doc_id") * 2220 % SPAN).alias("publish_s"), tx.tokenize(F.col("text")).alias("tokens"))
+    return jobs.clusters_of(s, _batched(s, d, shape, lambda p: jobs.live_clusters(s, p, idf), "documents"))
+
+
+def _st_report(s, d):
+    every = stash(posts(s, d).select("event_id", "publish_s"), "posts")
+    path = _batched(s, d, lambda x: x.select(F.col("source").alias("event_id")), lambda p: jobs.report(s, every.stashed_at, p, lambda x: trend.heat(x, AS_OF)), "documents")
+    return s.read.parquet(path).select("event_id", "heat")
 
 
 QUERIES = {
@@ -207,10 +273,18 @@ QUERIES = {
     "event_brief": lambda s, d: event_brief(trend.heat(posts(s, d), AS_OF), report.key_nodes(posts(s, d)), report.top_influencers(posts(s, d)), report.platform_chain(posts(s, d))),
     "advice_prompt": lambda s, d: advice_prompt(fact_sheet(ev._detail(s, d)), vectors.similar_events(ev._event_texts(s, d))),
     "sent_predict": _trained,
-    "batch_infer": lambda s, d: ml.batch_infer(posts(s, d).select("doc_id", F.col("content").alias("text")), _length_rule).select("doc_id", "label"),
+    "batch_infer": lambda s, d: ml.batch_infer(posts(s, d).select("doc_id", F.col("content").alias("text")), ev.length_rule).select("doc_id", "label"),
     "st_ingest": _st_ingest,
     "st_dedup_url": _st_dedup,
     "st_late": _st_late,
+    "st_bucket": _st_bucket,
+    "st_comment_dup": _st_comment_dup,
+    "st_cluster": _st_cluster,
+    "st_report": _st_report,
+    "sink_raw": _raw,
+    "sink_json": _json,
+    "sent_train": _train_scores,
+    "group_reports": _grouped,
 }
 ORACLE = {
     "lifecycle_block": sql(
@@ -221,7 +295,11 @@ ORACLE = {
     "batch_infer": "SELECT doc_id, CASE WHEN n % 50 < 15 THEN 'neutral' WHEN n % 2 = 1 THEN 'positive' ELSE 'negative' END AS label FROM (SELECT doc_id, len(text) AS n FROM documents)",
     "st_ingest": "SELECT event_id AS id, event_type FROM events",
     "st_dedup_url": "SELECT DISTINCT 'u' || (user_id % 25)::VARCHAR AS source_url FROM events",
-    "st_late": "SELECT event_type AS kind, user_id FROM events",
+    "st_late": "SELECT event_type AS kind, user_id FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 10 DAY",
+    "st_bucket": "SELECT 'e' || (user_id % 40)::VARCHAR AS event_id, floor(epoch(ts))::BIGINT // 21600 * 21600 AS start_s, count(*) AS cnt FROM events GROUP BY ALL",
+    "st_report": sql(["posts"], "SELECT event_id, heat FROM heats", ev._HEAT),
+    "sink_raw": sql(["posts"], "SELECT doc_id, platform, md5(content) AS content, publish_s FROM posts"),
+    "sink_json": sql(["posts"], "SELECT event_id, heat, words FROM heats JOIN (SELECT event_id, array_to_string(list_sort(list(word)), ',') AS words FROM kw GROUP BY event_id) USING (event_id)", *ev._KW, ev._HEAT),
     "dashboard_brief": sql(
         ["posts"],
         "SELECT 'hot' AS section, pos, format('{}. {} heat {:.1f}', pos, event_id, heat) AS line FROM pg UNION ALL SELECT 'risk', row_number() OVER (ORDER BY heat DESC, event_id), event_id || ' ' || risk_level FROM (SELECT * FROM pg WHERE risk_level IN ('high', 'mid_high') ORDER BY heat DESC, event_id LIMIT 8) UNION ALL SELECT 'total', 0, format('{} events, {} of {} at high risk', (SELECT count(*) FROM ev), count(*) FILTER (risk_level IN ('high', 'mid_high')), count(*)) FROM pg",

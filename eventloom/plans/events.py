@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import values as vl
-from ..operators import dedup, lookups, report, trend, vectors
+from ..operators import dedup, lookups, ml, report, trend, vectors
 from ..sources.tables import spread, stash
 from ..sources.views import AS_OF, START, comments, posts, sql, table
 from .scalars import _TOKENS
@@ -111,10 +111,24 @@ def _detail_flat(s, d):
 
 
 def _reasons(s, d):
-    t = posts(s, d).groupBy("event_id").agg(F.min_by(tx.tokenize(F.col("title")), "seq").alias("title_tokens"), F.array_sort(F.collect_set("platform")).alias("keyword_tokens"), F.min_by(tx.tokenize(F.substring("content", 1, 300)), "seq").alias("content_tokens"))
+    """Why each event and its most similar ones are alike: by their titles, keywords and whole contents' first posts."""
+    words = keywords(s, d).groupBy("event_id").agg(F.array_sort(F.collect_set("word")).alias("keyword_tokens"))
+    found = posts(s, d).groupBy("event_id").agg(F.min_by(tx.tokenize(F.col("title")), "seq").alias("title_tokens"), F.min_by(tx.tokenize(F.col("content")), "seq").alias("content_tokens"))
+    t = stash(found.join(words, "event_id"), "reasons")
     b = t.select(F.col("event_id").alias("other"), *[F.col(c).alias(f"{c}_b") for c in t.columns[1:]])
-    n = F.substring("event_id", 4, 9).cast("int")
-    return lookups.similar_reason(t.withColumn("other", F.concat(F.lit("src"), ((n + 1) % 20).cast("string"))).join(b, "other")).select("event_id", "other", "reason")
+    pairs = vectors.similar_events(_event_texts(s, d)).select("event_id", "other")
+    return lookups.similar_reason(pairs.join(t, "event_id").join(b, "other")).select("event_id", "other", "reason")
+
+
+def length_rule(batch):
+    """Stands in for a pretrained classifier: label and score follow from the length."""
+    import pandas as pd
+
+    return pd.DataFrame({"label": ["LABEL_1" if len(t) % 2 else "LABEL_0" for t in batch], "score": [0.5 + (len(t) % 50) / 100 for t in batch]})
+
+
+def _texts(s, d):
+    return spread(posts(s, d).select("doc_id", "event_id", "platform", F.col("content").alias("text")), "doc_id")
 
 
 def _messages(s, d):
@@ -158,8 +172,8 @@ QUERIES = {
     "sources_set": lambda s, d: report.sources_set(posts(s, d).withColumn("event_id", F.col("platform"))).withColumn("sources", F.array_join("sources", ",")),
     "sentiment_dict": lambda s, d: report.sentiment_dict(tokens(s, d), POS, NEG).select("doc_id", "label", F.round("score", 4).alias("score")),
     "sentiment_dist": sentiment,
-    "sentiment_route": lambda s, d: report.sentiment_dict(tokens(s, d), POS, NEG).select("doc_id", F.when(vl.text_type(F.col("platform")) == "article", "dict").otherwise("model").alias("method"), F.when(vl.text_type(F.col("platform")) == "article", F.col("label")).otherwise("neutral").alias("label")),
-    "method_compare": lambda s, d: sentiment(s, d).join(report.sentiment_dist(report.sentiment_dict(tokens(s, d), NEG, POS)).select("event_id", *[F.col(c).alias(f"{c}_b") for c in ("positive", "neutral", "negative")]), "event_id"),
+    "sentiment_route": lambda s, d: ml.sentiment_route(_texts(s, d), POS, NEG, length_rule).select("doc_id", "method", "label"),
+    "method_compare": lambda s, d: sentiment(s, d).join(report.sentiment_dist(ml.batch_infer(_texts(s, d), length_rule)).select("event_id", *[F.col(c).alias(f"{c}_b") for c in ("positive", "neutral", "negative")]), "event_id"),
     "authenticity": lambda s, d: report.authenticity(posts(s, d), posts(s, d).groupBy("event_id").agg((F.count_if(F.col("doc_id") % 3 == 0) / F.count(F.lit(1))).alias("dup_rate"))).select(
         "event_id", "credibility_score", "official_ratio", "verified_ratio", "plain_user_ratio", F.array_join("factors", ",").alias("factors"), F.array_join(F.transform(F.map_entries("verification_dist"), lambda e: F.concat(e["key"], F.lit("="), F.format_number(e["value"], 3))), ",").alias("dist")
     ),
@@ -167,7 +181,7 @@ QUERIES = {
     "key_nodes": lambda s, d: report.key_nodes(posts(s, d)),
     "top_influencers": lambda s, d: report.top_influencers(posts(s, d)),
     "platform_chain": lambda s, d: report.platform_chain(posts(s, d)),
-    "propagation_path": lambda s, d: report.propagation_path(report.key_nodes(posts(s, d))),
+    "propagation_path": lambda s, d: report.propagation_path(report.key_nodes(posts(s, d)), report.platform_chain(posts(s, d))),
     "summary": lambda s, d: report.summary(posts(s, d), keywords(s, d)),
     "cause": lambda s, d: report.cause(posts(s, d), keywords(s, d)),
     "idf": lambda s, d: _round(_weights(s, d)[1], "idf"),
@@ -183,7 +197,7 @@ QUERIES = {
     "assign_nearest": _assigned,
     "topic_relevance_filter": lambda s, d: vectors.topic_relevance_filter(*_with_topic(s, d), _assignment(s, d).select("cluster_id").distinct(), 0.5),
     "purity": lambda s, d: vectors.purity(posts(s, d), "source", "platform").select(F.round("purity", 6).alias("purity")),
-    "comments_of_docs": lambda s, d: lookups.comments_of_docs(comments(s, d), posts(s, d).where("doc_id % 2 = 0")).select("comment_id", "parent_post_id"),
+    "comments_of_docs": lambda s, d: lookups.comments_of_docs(comments(s, d), posts(s, d).where("platform = '知乎'")).select("comment_id", "parent_post_id"),
     "event_detail": _detail_flat,
     "list_filter": lambda s, d: lookups.list_filter(events(s, d), keywords(s, d), None, "th").select("event_id", "title", "risk_level"),
     "list_filter_demo": lambda s, d: lookups.list_filter_demo(events(s, d).withColumns({"category": F.col("event_id"), "location": F.lit(None).cast("string")}), "src1", "high", AS_OF - 2 * DAY).select("event_id", "risk_level"),
@@ -200,13 +214,13 @@ QUERIES = {
     "run_stats": lambda s, d: lookups.run_stats(_results(s, d)),
     "zero_streaks": lambda s, d: lookups.zero_streaks(posts(s, d).select("platform", F.col("doc_id").alias("pos"), F.when(F.col("doc_id") % 50 < 20, 0).otherwise(1).alias("n"))),
     "classif_metrics": lambda s, d: lookups.classif_metrics(_labelled(s, d)),
-    "domain_shift": lambda s, d: _labelled(s, d).groupBy("kind").agg(F.round(F.avg((F.col("label") == F.col("predicted")).cast("double")), 4).alias("accuracy")),
+    "domain_shift": lambda s, d: lookups.accuracy_by(_labelled(s, d)),
     "near_dup_pairs": lambda s, d: dedup.near_dup_pairs(_sim_prints(s, d)),
     "near_dup_greedy": lambda s, d: dedup.near_dup_greedy(_sim_prints(s, d), 3, "event_id").select("seq", "kept"),
     "dedup_store": _stored,
     "comment_dup_count": lambda s, d: dedup.comment_dup_count(_sim_prints(s, d)).select("seq", F.col("duplicate_count").cast("long").alias("duplicate_count")),
     "dedup_url": lambda s, d: dedup.dedup_url(posts(s, d).select("seq", F.concat(F.lit("u"), (F.col("doc_id") % 300).cast("string")).alias("source_url")), posts(s, d).select(F.concat(F.lit("u"), (F.col("doc_id") * 7 % 150).cast("string")).alias("source_url"))),
-    "set_difference": lambda s, d: posts(s, d).select("source", "platform").distinct().join(posts(s, d).where("platform = '微博'").select("source", "platform").distinct(), ["source", "platform"], "left_anti"),
+    "set_difference": lambda s, d: lookups.new_rows(posts(s, d), posts(s, d).where("platform = '微博'"), "source", "platform"),
 }
 
 # SQL twins
@@ -233,6 +247,8 @@ def _dist(name, of):
     return f"{name} AS (SELECT event_id, " + ", ".join(f"round(count(*) FILTER (label = '{k}') / count(*)::DOUBLE, 3) AS {k}" for k in ("positive", "neutral", "negative")) + f" FROM {of} GROUP BY event_id)"
 
 
+#: ``length_rule`` with what ``batch_infer`` makes of it.
+_MODEL = "CASE WHEN len(content) % 50 < 15 THEN 'neutral' WHEN len(content) % 2 = 1 THEN 'positive' ELSE 'negative' END"
 _S = [_T, _lab("lab", POS, NEG), _dist("sent", "lab")]
 _TITLE = "titles AS (SELECT event_id, trim(regexp_replace(arg_min(title, (length(trim(title)) = 0, platform NOT IN ('新浪新闻', '澎湃新闻'), length(trim(title)) < 8, length(trim(title)), seq)), 'https?://\\S+', '', 'g')) AS title FROM posts GROUP BY event_id)"
 _HEAT = f"heats AS (SELECT event_id, round(sum(exp(-ln(2.0::DOUBLE) * greatest({AS_OF} - publish_s, 0) / 3600.0 / 24)), 3) AS heat, min(publish_s) AS time_start_s, max(publish_s) AS time_end_s, count(*) AS report_count FROM posts GROUP BY event_id)"
@@ -256,6 +272,15 @@ _V = "vec AS (SELECT doc_id, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY
 _CEN = "cen AS (SELECT cluster_id, term, sum(w) / any_value(size) AS w FROM (SELECT *, doc_id % 9 AS cluster_id FROM vec) JOIN (SELECT doc_id % 9 AS cluster_id, count(*) AS size FROM posts GROUP BY 1) USING (cluster_id) GROUP BY ALL)"
 _VEC = [_T, _C, _GC, _GI, _V]
 _WORDS = "words AS (SELECT event_id, list(word ORDER BY rank) AS words FROM kw GROUP BY event_id)"
+_SIM = [
+    *_KW, _WORDS, _TITLE,
+    "st AS (SELECT event_id, trim(title || ' ' || array_to_string(words, ' ')) AS t FROM titles JOIN words USING (event_id))",
+    "sc AS (SELECT event_id, term, count(*) AS n FROM (SELECT event_id, unnest(list_transform(range(1, len(t)), lambda i: substr(t, i, 2))) AS term FROM st) GROUP BY ALL)",
+    "si AS (SELECT term, ln(((SELECT count(*) FROM st) + 1)::DOUBLE / (count(*) + 1)) + 1 AS idf FROM sc GROUP BY term)",
+    "sw AS (SELECT event_id, term, n / sum(n) OVER (PARTITION BY event_id) * idf AS w FROM sc JOIN si USING (term))",
+    "sunit AS (SELECT event_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY event_id)) AS w FROM sw)",
+    "sim AS (SELECT event_id, other, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY score DESC, other) AS rank FROM (SELECT a.event_id, b.event_id AS other, round(sum(a.w * b.w), 4) AS score FROM sunit a JOIN sunit b ON a.term = b.term AND a.event_id <> b.event_id GROUP BY ALL) WHERE score > 0) WHERE rank <= 5)",
+]
 _SENTS = "list_filter(list_transform(regexp_split_to_array({}, '[。！？!?；;\\n]+'), lambda s: trim(s)), lambda s: len(s) >= 6)"
 
 ORACLE = {
@@ -264,8 +289,8 @@ ORACLE = {
     "sources_set": sql(["posts"], "SELECT platform AS event_id, array_to_string(list_sort(list(DISTINCT source)), ',') AS sources FROM posts GROUP BY platform"),
     "sentiment_dict": sql(["posts"], "SELECT doc_id, label, round(score, 4) AS score FROM lab", *_S),
     "sentiment_dist": sql(["posts"], "SELECT * FROM sent", *_S),
-    "sentiment_route": sql(["posts"], "SELECT doc_id, CASE WHEN platform IN ('新浪新闻', '澎湃新闻') THEN 'dict' ELSE 'model' END AS method, CASE WHEN platform IN ('新浪新闻', '澎湃新闻') THEN label ELSE 'neutral' END AS label FROM lab", *_S),
-    "method_compare": sql(["posts"], "SELECT a.*, b.positive AS positive_b, b.neutral AS neutral_b, b.negative AS negative_b FROM sent a JOIN sent2 b USING (event_id)", *_S, _lab("lab2", NEG, POS), _dist("sent2", "lab2")),
+    "sentiment_route": sql(["posts"], f"SELECT doc_id, CASE WHEN l.platform IN ('新浪新闻', '澎湃新闻') THEN 'dict' ELSE 'model' END AS method, CASE WHEN l.platform IN ('新浪新闻', '澎湃新闻') THEN label ELSE {_MODEL} END AS label FROM lab l JOIN posts p USING (doc_id)", *_S),
+    "method_compare": sql(["posts"], "SELECT a.*, b.positive AS positive_b, b.neutral AS neutral_b, b.negative AS negative_b FROM sent a JOIN sent2 b USING (event_id)", *_S, f"lab2 AS (SELECT event_id, {_MODEL} AS label FROM posts)", _dist("sent2", "lab2")),
     "authenticity": sql(
         ["posts"],
         """SELECT event_id, round(greatest(0, least(1, raw * (1 - 0.3::DOUBLE * dup))), 3) AS credibility_score, o AS official_ratio, v AS verified_ratio, pl AS plain_user_ratio,
@@ -292,20 +317,12 @@ ORACLE = {
     "centroid_mean": sql(["posts"], "SELECT cluster_id, term, round(w, 6) AS w FROM cen", *_VEC, _CEN),
     "cosine_sparse": sql(["posts"], "SELECT doc_id, cluster_id, round(sum(v.w * c.w), 6) AS score FROM vec v JOIN cen c USING (term) GROUP BY ALL", *_VEC, _CEN),
     "cosine_full": sql(["posts"], "SELECT a.cluster_id, b.cluster_id AS other, round(sum(a.w * b.w), 6) AS score FROM unit a JOIN unit b ON a.term = b.term AND a.cluster_id <> b.cluster_id GROUP BY ALL", *_VEC, _CEN, "unit AS (SELECT cluster_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY cluster_id)) AS w FROM cen)"),
-    "similar_events": sql(
-        ["posts"],
-        "SELECT event_id, other, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY score DESC, other) AS rank FROM (SELECT a.event_id, b.event_id AS other, round(sum(a.w * b.w), 4) AS score FROM sunit a JOIN sunit b ON a.term = b.term AND a.event_id <> b.event_id GROUP BY ALL) WHERE score > 0) WHERE rank <= 5",
-        *_KW, _WORDS, _TITLE,
-        "st AS (SELECT event_id, trim(title || ' ' || array_to_string(words, ' ')) AS t FROM titles JOIN words USING (event_id))",
-        "sc AS (SELECT event_id, term, count(*) AS n FROM (SELECT event_id, unnest(list_transform(range(1, len(t)), lambda i: substr(t, i, 2))) AS term FROM st) GROUP BY ALL)",
-        "si AS (SELECT term, ln(((SELECT count(*) FROM st) + 1)::DOUBLE / (count(*) + 1)) + 1 AS idf FROM sc GROUP BY term)",
-        "sw AS (SELECT event_id, term, n / sum(n) OVER (PARTITION BY event_id) * idf AS w FROM sc JOIN si USING (term))",
-        "sunit AS (SELECT event_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY event_id)) AS w FROM sw)",
-    ),
+    "similar_events": sql(["posts"], "SELECT * FROM sim", *_SIM),
     "similar_reason": sql(
         ["posts"],
-        "SELECT event_id, other, CASE WHEN r = '' THEN '文本特征相似' ELSE r || '相似' END AS reason FROM (SELECT a.event_id, b.event_id AS other, concat_ws('、', CASE WHEN list_has_any(a.x, b.x) THEN '标题' END, CASE WHEN list_has_any(a.y, b.y) THEN '关键词' END, CASE WHEN list_has_any(a.z, b.z) THEN '内容' END) AS r FROM ef a JOIN ef b ON b.event_id = 'src' || ((substr(a.event_id, 4)::INTEGER + 1) % 20)::VARCHAR)",
-        f"ef AS (SELECT event_id, arg_min({_TOKENS.replace('content', 'title')}, seq) AS x, list(DISTINCT platform) AS y, arg_min({_TOKENS.replace('content', 'substr(content, 1, 300)')}, seq) AS z FROM posts GROUP BY event_id)",
+        "SELECT event_id, other, CASE WHEN r = '' THEN '文本特征相似' ELSE r || '相似' END AS reason FROM (SELECT sim.event_id, sim.other, concat_ws('、', CASE WHEN list_has_any(a.x, b.x) THEN '标题' END, CASE WHEN list_has_any(a.words, b.words) THEN '关键词' END, CASE WHEN list_has_any(a.z, b.z) THEN '内容' END) AS r FROM sim JOIN ef a ON a.event_id = sim.event_id JOIN ef b ON b.event_id = sim.other)",
+        *_SIM,
+        f"ef AS (SELECT * FROM (SELECT event_id, arg_min({_TOKENS.replace('content', 'title')}, seq) AS x, arg_min({_TOKENS}, seq) AS z FROM posts GROUP BY event_id) JOIN words USING (event_id))",
     ),
     "assign_nearest": sql(
         ["posts", "comments"],
@@ -316,7 +333,7 @@ ORACLE = {
     ),
     "topic_relevance_filter": sql(["posts"], "SELECT cluster_id, round(score, 4) AS score, score >= 0.5 AS relevant FROM (SELECT a.cluster_id, sum(a.w * b.w) AS score FROM cen a JOIN cen b ON a.term = b.term AND b.cluster_id = 0 GROUP BY a.cluster_id)", *_VEC, _CEN),
     "purity": sql(["posts"], "SELECT round(sum(m) / sum(s), 6) AS purity FROM (SELECT source, max(n) AS m, sum(n) AS s FROM (SELECT source, platform, count(*) AS n FROM posts GROUP BY ALL) GROUP BY source)"),
-    "comments_of_docs": sql(["posts", "comments"], "SELECT comment_id, parent_post_id FROM comments WHERE parent_post_id IN (SELECT doc_id FROM posts WHERE doc_id % 2 = 0)"),
+    "comments_of_docs": sql(["posts", "comments"], "SELECT comment_id, parent_post_id FROM comments WHERE parent_post_id IN (SELECT doc_id FROM posts WHERE platform = '知乎')"),
     "event_detail": sql(
         ["posts"],
         """SELECT h.event_id, heat, k.keywords, p.platforms, t.n_days, t.trend_daily FROM heats h LEFT JOIN (SELECT event_id, string_agg(word || '=' || format('{:.3f}', weight), ';' ORDER BY rank) AS keywords FROM kw GROUP BY 1) k USING (event_id)

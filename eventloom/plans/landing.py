@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import trend
+from ..operators import report, trend
 from ..sources import landed, sinks
 from ..sources.views import AS_OF, posts, sql, table
 from ..values import BOILERPLATE
+from . import events as ev
 from .events import events
 
 
@@ -114,8 +115,17 @@ def _built(s, d):
 
 
 def _reports(s, d):
-    daily = trend.daily_trend(posts(s, d)).groupBy("event_id").agg(F.array_sort(F.collect_list(F.struct(F.col("date").cast("string").alias("date"), "cnt"))).alias("trend"))
-    return daily.withColumns({"title": F.lit("t"), "heat": F.lit(1.0), "keywords": F.array(F.struct(F.col("event_id").alias("word"), F.lit(1.0).alias("weight")), F.struct(F.lit("").alias("word"), F.lit(0.5).alias("weight"))), "platforms": F.array(F.struct(F.lit("微博").alias("platform"), F.lit(1.0).alias("ratio"))), "future": F.array(F.struct(F.lit("2024-02-01").alias("date"), F.lit(2.5).alias("predict_count")))})
+    """Nested reports of all events."""
+
+    def rows(df, name, *columns):
+        return df.groupBy("event_id").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias(name))
+
+    p, daily = posts(s, d), trend.daily_trend(posts(s, d))
+    text = lambda df: df.withColumn("date", F.col("date").cast("string"))
+    words = ev.keywords(s, d).groupBy("event_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "word", "weight"))), lambda x: F.struct(x["word"], x["weight"])).alias("keywords"))
+    shares = report.platform_dist(p).groupBy("event_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "platform", "ratio"))), lambda x: F.struct(x["platform"], x["ratio"])).alias("platforms"))
+    out = trend.heat(p, AS_OF).join(report.event_title(p), "event_id").join(words, "event_id", "left").join(shares, "event_id", "left")
+    return out.join(rows(text(daily), "trend", "date", "cnt"), "event_id", "left").join(rows(text(trend.forecast(daily)), "future", "date", "predict_count"), "event_id", "left")
 
 
 def _report_rows(s, d):
@@ -189,9 +199,11 @@ ORACLE = {
 
 
 def _rest():
-    from . import events as ev
-
-    ORACLE["sink_report_tables"] = sql(["posts"], "SELECT 'keyword' AS kind, event_id, event_id AS name, 1.0::DOUBLE AS value FROM (SELECT DISTINCT event_id FROM posts) UNION ALL SELECT 'platform', event_id, '微博', 1.0 FROM (SELECT DISTINCT event_id FROM posts) UNION ALL SELECT 'actual', event_id, date::VARCHAR, cnt::DOUBLE FROM pdaily UNION ALL SELECT 'predicted', event_id, '2024-02-01', 2.5 FROM (SELECT DISTINCT event_id FROM posts)", ev._PDAYS)
+    ORACLE["sink_report_tables"] = sql(
+        ["posts"],
+        "SELECT 'keyword' AS kind, event_id, word AS name, weight AS value FROM kw WHERE word <> '' UNION ALL SELECT 'platform', event_id, platform, ratio FROM plat UNION ALL SELECT 'actual', event_id, date::VARCHAR, cnt::DOUBLE FROM pdaily UNION ALL SELECT 'predicted', event_id, date::VARCHAR, predict_count FROM pfut",
+        *ev._KW, ev._PLAT, ev._PDAYS,
+    )
     ORACLE["sink_export"] = sql(["posts"], "SELECT event_id, row_number() OVER (ORDER BY len(event_id) % 2, event_id) AS export_id FROM heats WHERE heat >= 0.01", ev._HEAT)
 
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from .tables import stash, unstash
 
 
 def save_raw(df: DataFrame, path: str, *partitions: str) -> None:
@@ -12,9 +13,27 @@ def save_raw(df: DataFrame, path: str, *partitions: str) -> None:
     df.write.mode("append").partitionBy(*partitions).parquet(path)
 
 
+#: Folders of a table of events.
+PARTS = 64
+
+
 def save_events(df: DataFrame, path: str, key: str = "event_id") -> None:
-    """Overwrite only the partitions (events) that ``df`` has."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
+    """Put the rows in place of those with the same keys. The table is laid out by a hash of the key; only what holds a key of ``df`` is read and written anew."""
+    spark = df.sparkSession
+    new = stash(df.withColumn("part", F.pmod(F.xxhash64(key), F.lit(PARTS)).cast("int")), "events-new")
+    out = new
+    if exists(spark, path):
+        stored = spark.read.parquet(path)
+        touched = F.broadcast(new.select("part").distinct())  # PARTS numbers at most
+        out = stored.join(touched, "part", "left_semi").join(new.select(key).distinct(), key, "left_anti").unionByName(new)
+        out = stash(out, "events-merged")
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
+    unstash(new, out)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
 def save_json(df: DataFrame, path: str) -> None:
@@ -37,6 +56,7 @@ def report_tables(reports: DataFrame) -> dict[str, DataFrame]:
 
 
 def export_events(events: DataFrame, least_heat: float = 5.0) -> DataFrame:
-    """Events of at least so much heat, numbered through over their files: few rows, numbered in one place."""
-    w = Window.orderBy("file_ix", "pos")
-    return events.where(F.col("heat") >= least_heat).withColumn("export_id", F.row_number().over(w))
+    """Events of at least so much heat, numbered through over their files."""
+    from ..operators.lookups import numbered
+
+    return numbered(events.where(F.col("heat") >= least_heat), "file_ix", "pos", name="export_id")

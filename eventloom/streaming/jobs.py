@@ -12,8 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import dedup, vectors
+from ..operators import cluster, dedup, vectors
+from ..operators.lookups import numbered
 from ..sources import sinks
+from ..sources.tables import stash, unstash
 
 
 def ingest(spark: SparkSession, path: str, schema, files_a_batch: int = 100) -> DataFrame:
@@ -31,9 +33,35 @@ def dedup_url(stream: DataFrame, url: str = "source_url", time: str = "publish_t
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark([url])
 
 
-def late_filter(stream: DataFrame, time: str = "publish_time", days: int = 45) -> DataFrame:
-    """The watermark by which later aggregates leave out posts that are so many days behind the newest of all events."""
-    return stream.withWatermark(time, f"{days} days")
+def run_batches(df: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> StreamingQuery:
+    """As ``run_available``, with a function of each batch and its number."""
+    return df.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
+
+
+def _written(spark: SparkSession, path: str, number: int) -> DataFrame | None:
+    """What batches before this one left in a folder of batches."""
+    if not number or not sinks.exists(spark, path):
+        return None
+    return spark.read.parquet(path).where(F.col("batch") < number)
+
+
+def keep_recent(spark: SparkSession, path: str, days: int = 45, time: str = "publish_time") -> Callable[[DataFrame, int], None]:
+    """Batches to a table without posts that are more than so many days behind the newest post of all so far, the batch's own included.
+
+    The newest time is kept beside the table, one row a batch, so that a repeated batch gives the same rows.
+    """
+
+    def apply(batch: DataFrame, number: int) -> None:
+        newest = batch.agg(F.max(time).alias("newest"))
+        before = _written(spark, f"{path}/newest", number)
+        if before is not None:
+            newest = newest.unionByName(before.select("newest")).agg(F.max("newest").alias("newest"))
+        newest.write.mode("overwrite").parquet(f"{path}/newest/batch={number}")
+        limit = spark.read.parquet(f"{path}/newest/batch={number}").select((F.col("newest") - F.expr(f"INTERVAL {days} DAYS")).alias("__limit"))
+        # One row.
+        batch.join(F.broadcast(limit)).where(F.col(time) >= F.col("__limit")).drop("__limit").write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+
+    return apply
 
 
 def bucket(stream: DataFrame, time: str = "publish_time", width: str = "6 hours") -> DataFrame:
@@ -42,64 +70,91 @@ def bucket(stream: DataFrame, time: str = "publish_time", width: str = "6 hours"
     return stream.groupBy("event_id", w.alias("w")).agg(F.count(F.lit(1)).alias("cnt")).select("event_id", F.col("w.start").alias("start"), "cnt")
 
 
+def replace_table(path: str) -> Callable[[DataFrame, int], None]:
+    """For streams in complete mode: the whole result each time."""
+    return lambda batch, _: batch.write.mode("overwrite").parquet(path)
+
+
 def upsert(spark: SparkSession, path: str, key: str, merge: Callable[[DataFrame, DataFrame | None], DataFrame]) -> Callable[[DataFrame, int], None]:
-    """A batch function that merges into a table laid out by ``key``; only the keys of the batch are read and rewritten."""
+    """A batch function that merges into a table of ``save_events``; only what holds keys of the batch is read and rewritten."""
 
     def apply(batch: DataFrame, _: int) -> None:
-        batch = batch.persist()
-        try:
-            stored = spark.read.parquet(path).join(F.broadcast(batch.select(key).distinct()), key, "left_semi") if _exists(spark, path) else None
-            sinks.save_events(merge(batch, stored).persist(), path, key)
-        finally:
-            batch.unpersist()
+        now = stash(batch, "batch")
+        keys = now.select(key, F.pmod(F.xxhash64(key), F.lit(sinks.PARTS)).cast("int").alias("part")).distinct()
+        stored = spark.read.parquet(path).join(keys, ["part", key], "left_semi").drop("part") if sinks.exists(spark, path) else None
+        sinks.save_events(merge(now, stored), path, key)
+        unstash(now)
 
     return apply
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-
-
 def comment_dup(spark: SparkSession, path: str, k: int = 3) -> Callable[[DataFrame, int], None]:
-    """Batches of comments (seq, fingerprint) to a table of kept ones with ``duplicate_count``, one generation a batch."""
+    """Batches of comments (seq, fingerprint) to kept ones and counts of their copies; ``comment_counts`` reads them.
+
+    A batch writes only its own kept comments and what it adds to counts, so the work of writing
+    does not grow with what is stored, and a repeated batch overwrites its own part.
+    """
 
     def apply(batch: DataFrame, number: int) -> None:
-        now = f"{path}/generation={number}"
-        before = f"{path}/generation={number - 1}"
-        fresh = dedup.comment_dup_count(batch.select("seq", "fingerprint"), k)
-        if not _exists(spark, before):
-            fresh.write.mode("overwrite").parquet(now)
-            return
-        stored = spark.read.parquet(before)
-        both = stored.select("seq", "fingerprint").unionByName(fresh.select("seq", "fingerprint"))
-        weights = stored.select("seq", F.col("duplicate_count").alias("w")).unionByName(fresh.select("seq", F.col("duplicate_count").alias("w")))
-        # Kept comments of this batch that are near a stored one add their count to it.
-        a = dedup.band_rows(stored.select(F.col("seq").alias("of"), "fingerprint"), k).select("band", "bits", "of", F.col("fingerprint").alias("own"))
-        b = dedup.band_rows(fresh.select("seq", "fingerprint"), k)
-        near = b.join(a, ["band", "bits"]).where(F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("own"))) <= k).groupBy("seq").agg(F.min("of").alias("of"))
-        target = both.join(near, "seq", "left").join(weights, "seq").select(F.coalesce("of", "seq").alias("seq"), "w")
-        counts = target.groupBy("seq").agg(F.sum("w").alias("duplicate_count"))
-        both.join(counts, "seq").write.mode("overwrite").parquet(now)
+        fresh = stash(dedup.comment_dup_count(batch.select("seq", "fingerprint"), k), "fresh")
+        added = fresh.select("seq", F.col("duplicate_count").cast("long").alias("n"))
+        stored = _written(spark, f"{path}/kept", number)
+        if stored is not None:
+            # Kept comments of this batch that are near a stored one add their count to it.
+            a = dedup.band_rows(stored.select(F.col("seq").alias("of"), "fingerprint"), k).select("band", "bits", "of", F.col("fingerprint").alias("own"))
+            b = dedup.band_rows(fresh.select("seq", "fingerprint"), k)
+            near = b.join(a, ["band", "bits"]).where(dedup.hamming(F.col("fingerprint"), F.col("own")) <= k).groupBy("seq").agg(F.min("of").alias("of"))
+            near = stash(near, "near")
+            added = added.join(near, "seq", "left").groupBy(F.coalesce("of", "seq").alias("seq")).agg(F.sum("n").alias("n"))
+            fresh = fresh.join(near, "seq", "left_anti")
+        added.write.mode("overwrite").parquet(f"{path}/counts/batch={number}")
+        fresh.select("seq", "fingerprint").write.mode("overwrite").parquet(f"{path}/kept/batch={number}")
 
     return apply
 
 
-def assign_stream(centroids: DataFrame, idf: DataFrame, path: str, threshold: float = 0.04) -> Callable[[DataFrame, int], None]:
-    """Batches (seq, tokens) to their nearest live cluster; null where none is near enough. Weights are those of a snapshot."""
+def comment_counts(spark: SparkSession, path: str) -> DataFrame:
+    """seq, fingerprint and duplicate_count of the comments kept by ``comment_dup``."""
+    counts = spark.read.parquet(f"{path}/counts").groupBy("seq").agg(F.sum("n").alias("duplicate_count"))
+    return spark.read.parquet(f"{path}/kept").drop("batch").join(counts, "seq")
+
+
+def live_clusters(spark: SparkSession, path: str, idf: DataFrame, threshold: float = 0.04) -> Callable[[DataFrame, int], None]:
+    """Batches (seq, publish_s, tokens) to the nearest live cluster, or to a new one that they open; weights are those of a snapshot.
+
+    A cluster is the sum of its vectors and their number, kept as what each batch added; its
+    centroid is the mean so far, so it moves as documents join. ``clusters_of`` reads the
+    assignment. Documents without a known term open a cluster of their own.
+    """
 
     def apply(batch: DataFrame, number: int) -> None:
-        v = vectors.tfidf_vector(vectors.term_counts(batch, "seq"), idf, "seq")
-        scored = vectors.cosine_sparse(v, centroids, "seq", "cluster_id")
-        best = scored.groupBy("seq").agg(F.max_by(F.struct("cluster_id", "score"), F.struct(F.round("score", 9), -F.col("cluster_id"))).alias("b"))
-        out = batch.select("seq").join(best, "seq", "left").select("seq", F.when(F.col("b.score") >= threshold, F.col("b.cluster_id")).alias("cluster_id"))
-        out.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        base = stash(batch.select("seq", "publish_s", "tokens"), "batch")
+        weights = vectors.tfidf_vector(vectors.term_counts(base, "seq"), idf, "seq")
+        terms = stash(base.select("seq", "publish_s").join(weights, "seq"), "batch-terms")
+        sums, sizes = _written(spark, f"{path}/sums", number), _written(spark, f"{path}/sizes", number)
+        centroids, opened = None, 0
+        if sums is not None:
+            n = sizes.groupBy("cluster_id").agg(F.sum("n").alias("n"))
+            opened = (n.agg(F.max("cluster_id")).first()[0] or -1) + 1
+            centroids = stash(sums.groupBy("cluster_id", "term").agg(F.sum("s").alias("s")).join(n, "cluster_id").select("cluster_id", "term", (F.col("s") / F.col("n")).alias("w")), "live")
+        found, opened = cluster.settle(terms, terms, centroids, threshold, opened)
+        blank = base.select("seq", "publish_s").join(terms.select("seq").distinct(), "seq", "left_anti")
+        alone = numbered(blank, "publish_s", "seq", name="n").select("seq", (F.col("n") - 1 + opened).alias("cluster_id"))
+        assigned = stash(alone if found is None else found.unionByName(alone), "batch-assigned")
+        assigned.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{path}/sizes/batch={number}")
+        terms.join(assigned, "seq").groupBy("cluster_id", "term").agg(F.sum("w").alias("s")).write.mode("overwrite").parquet(f"{path}/sums/batch={number}")
+        assigned.write.mode("overwrite").parquet(f"{path}/assigned/batch={number}")
+        unstash(base, terms, centroids)
 
     return apply
 
 
+def clusters_of(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/assigned").drop("batch")
+
+
 def report(spark: SparkSession, posts_path: str, out_path: str, make: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
-    """After each batch the events that it touches are reported anew and their partitions overwritten."""
+    """After each batch the events that it touches are reported anew, in place of what was stored of them."""
 
     def apply(batch: DataFrame, _: int) -> None:
         touched = batch.select("event_id").distinct()

@@ -36,6 +36,10 @@ KEYWORD_REST = "公众反馈"
 # Sentiment words.
 POSITIVE = ["支持", "点赞", "赞扬", "满意", "喜欢", "感谢", "欣慰", "振奋", "希望", "成功", "进步", "改善", "顺利", "认可", "肯定", "暖心", "好评"]
 NEGATIVE = ["愤怒", "谴责", "批评", "担忧", "失望", "不满", "抗议", "质疑", "恐慌", "悲痛", "谣言", "违规", "事故", "损失", "危机", "崩溃", "差评"]
+# Endings that make a word a place, words that are no people, and outlets that sign as authors.
+PLACE_SUFFIXES = ["省", "市", "区", "县", "镇", "乡", "村", "州", "路", "街道", "水库"]
+NO_PEOPLE = ["雷雨", "雷阵雨", "厄尔尼诺", "拉尼娜", "高中生", "大学生", "小学生", "谢谢你们"]
+OUTLETS = ["央视新闻", "新华社", "人民日报", "澎湃新闻", "环球时报", "中国新闻网", "光明网", "人民网", "新浪新闻", "参考消息", "观察者网"]
 # Sentences that platforms append to articles.
 BOILERPLATE = {
     "新浪新闻": [
