@@ -29,10 +29,11 @@ def _character(code: Column) -> Column:
 def html_unescape(text: Column, names: dict[str, str] = html5) -> Column:
     """Character references replaced by what they stand for: numeric ones, and those of the public table of names.
 
-    Names that need no semicolon are read without one if no letter or digit follows. What is
-    no reference stays. Texts without an ampersand are not looked into.
+    Of letters that are no name, the longest beginning that is a name without a semicolon is
+    read. What is no reference stays. Texts without an ampersand are not looked into.
     """
     table = F.from_json(F.lit(json.dumps(names)), "map<string,string>")
+    short = f"^({'|'.join(sorted((n for n in names if not n.endswith(';')), key=len, reverse=True))})"
     head = r"^(#[0-9]{1,8}|#[xX][0-9a-fA-F]{1,7}|[A-Za-z][A-Za-z0-9]*)(;?)"
 
     def part(p: Column) -> Column:
@@ -40,7 +41,12 @@ def html_unescape(text: Column, names: dict[str, str] = html5) -> Column:
         whole = F.regexp_extract(p, head, 0)
         code = F.when(name.rlike("^#[xX]"), F.conv(F.substring(name, 3, 8), 16, 10)).otherwise(F.substring(name, 2, 8)).cast("long")
         found = F.when(name.startswith("#"), _character(code)).when(name != "", F.element_at(table, whole))
-        return F.coalesce(F.concat(found, F.substr(p, F.length(whole) + 1)), F.concat(F.lit("&"), p))
+        begun = F.regexp_extract(p, short, 1)
+        return F.coalesce(
+            F.concat(found, F.substr(p, F.length(whole) + 1)),
+            F.when(begun != "", F.concat(F.element_at(table, begun), F.substr(p, F.length(begun) + 1))),
+            F.concat(F.lit("&"), p),
+        )
 
     parts = F.split(text, "&")
     return F.when(F.contains(text, F.lit("&")), F.concat(parts[0], F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), part), ""))).otherwise(text)

@@ -16,7 +16,7 @@ _RAW_TIME_SQL = """CASE doc_id % 6 WHEN 0 THEN (45000 + doc_id % 300)::VARCHAR W
  WHEN 3 THEN '2024-0' || (doc_id % 9 + 1)::VARCHAR || '-15T08:30:05' WHEN 4 THEN '2024-0' || (doc_id % 9 + 1)::VARCHAR || '-15' ELSE 'soon' END"""
 _MONTHS = "['" + "','".join(tm.MONTHS) + "']"
 
-_HTMLISH_SQL = "'&lt;' || title || '&gt; &amp;amp; “—''…© ≂̸ € \ufffd \ufffd &nothing; &copyx a&b &;' || chr(8203) || chr(10) || chr(10) || chr(10) || chr(10) || '  声明：本文内容仅代表作者个人观点，与新浪网无关。 ' || content || '  ' || chr(10)"
+_HTMLISH_SQL = "'&lt;' || title || '&gt; &amp;amp; “—''…© ≂̸ € \ufffd \ufffd ¬hing; ©x a&b &;' || chr(8203) || chr(10) || chr(10) || chr(10) || chr(10) || '  声明：本文内容仅代表作者个人观点，与新浪网无关。 ' || content || '  ' || chr(10)"
 
 
 def _q(*columns, source=posts):

@@ -1,6 +1,9 @@
 """Small cases of text, dedup, credibility, propagation, clustering and lookups."""
 
+import html
+import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -155,11 +158,67 @@ def test_single_pass_finds_planted_events(spark):
     assert centroids.select("cluster_id").distinct().count() == assigned.select("cluster_id").distinct().count()
 
 
+def one_after_another(rows, threshold):
+    """The rule as a loop: each document in order of time joins the nearest centroid or opens a cluster."""
+    n, df = len(rows), Counter(t for _, tokens in rows for t in set(tokens))
+    idf = {t: math.log((n + 1) / (k + 1)) + 1 for t, k in df.items()}
+    sums, sizes, out = [], [], {}
+    for seq, tokens in rows:
+        v = {t: k * idf[t] for t, k in Counter(tokens).items()}
+        length = math.sqrt(sum(x * x for x in v.values()))
+        v = {t: x / length for t, x in v.items()}
+        scores = [sum(x * s.get(t, 0.0) for t, x in v.items()) / k for s, k in zip(sums, sizes)]
+        at = max(range(len(scores)), key=lambda i: (scores[i], -i), default=None)
+        if at is None or scores[at] < threshold or scores[at] <= 0:
+            sums.append(Counter()), sizes.append(0)
+            at = len(sums) - 1
+        sums[at].update(v)
+        sizes[at] += 1
+        out[seq] = at
+    return out
+
+
 def test_single_pass_is_the_rule_on_few(spark):
     docs = planted(spark).where("seq < 40")
     whole, _ = cluster.single_pass(docs, 0.2, first=64)
-    ids = {r.seq: r.cluster_id for r in whole.collect()}
-    assert ids[0] == 0 and len(ids) == 40
+    rows = [(r.seq, r.tokens) for r in docs.orderBy("seq").collect()]
+    assert {r.seq: r.cluster_id for r in whole.collect()} == one_after_another(rows, 0.2)
+
+
+def test_single_pass_is_near_the_rule_on_many(spark, sf):
+    """Past the first batch centroids move once a batch, not once a document; most pairs of documents are together or apart all the same."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("seq"), F.col("doc_id").alias("publish_s"), tx.tokenize(F.col("text")).alias("tokens"))
+    rows = [(r.seq, r.tokens) for r in docs.orderBy("seq").collect()]
+    plain = one_after_another([r for r in rows if r[1]], 0.04)
+    found = {r.seq: r.cluster_id for r in cluster.single_pass(docs, 0.04)[0].collect()}
+    assert len(found) == len(rows)
+    seqs = sorted(plain)
+    same = [(plain[a] == plain[b]) == (found[a] == found[b]) for i, a in enumerate(seqs) for b in seqs[:i]]
+    assert sum(same) / len(same) >= 0.9
+
+
+def test_rows_are_numbered_in_order(spark):
+    random.seed(5)
+    values = [random.randrange(50) for _ in range(500)]
+    rows = spark.createDataFrame([(v, i) for i, v in enumerate(values)], "v int, i int").repartition(7)
+    out = {r.i: r.pos for r in lookups.numbered(rows, F.desc("v"), "i").collect()}
+    assert [i for i, _ in sorted(out.items(), key=lambda x: x[1])] == [i for _, i in sorted((-v, i) for i, v in enumerate(values))]
+    assert sorted(out.values()) == list(range(1, 501))
+    assert lookups.numbered(rows.limit(0), "v").count() == 0
+
+
+def test_character_references(spark):
+    texts = ["&#8220;x&#x27;&#X41; &mdash;&hellip; &lt;b&gt; &amp;amp; &NotEqualTilde;", "&copy &copyx a&b &; & &nothing; &#; &#x; &#xZ;", "&#128;&#150;&#0;&#x110000;&#xD800;", "none", "", "&"]
+    out = spark.createDataFrame([(t,) for t in [*texts, None]], "t string").select(tx.html_unescape(F.col("t")).alias("u")).collect()
+    assert [r.u for r in out] == [*map(html.unescape, texts), None]
+
+
+def test_events_without_nodes_show_their_platforms(spark):
+    p = propagation_posts(spark)
+    chain = report.platform_chain(p.withColumn("event_id", F.lit("other")))
+    out = report.propagation_path(report.key_nodes(p), chain).where("event_id = 'other'").orderBy("pos").collect()
+    assert out and [r.category for r in out] == [0] + [3] * (len(out) - 1)
+    assert [r.target for r in out] == [r.name for r in out[1:]] + [None] and all(34 <= r.size <= 66 for r in out)
 
 
 def test_keywords_prefer_distinctive_terms(spark):
@@ -184,6 +243,15 @@ def test_dictionary_and_entities(spark):
     counts = spark.createDataFrame([("e", "广西", 0, 5, 0, 0, 0), ("e", "广西南宁", 0, 3, 0, 0, 0), ("e", "王明", 3, 0, 0, 0, 0), ("e", "贵港", 0, 2, 0, 0, 0)], "event_id string, word string, person int, place int, org int, storm int, other int")
     assert entities.location(counts).first().location == "广西、贵港"
     assert entities.people(counts, surnames="王李").first().people == ["王明"]
+    words = spark.createDataFrame([("e", "王明")], "event_id string, word string")
+    assert entities.people(counts, surnames="王李", keywords=words).count() == 0
+
+
+def test_pieces_of_names_are_one_person(spark):
+    docs = spark.createDataFrame([("e", 1, "", "斯卡 洛尼 王明 李丽 斯卡 洛尼 x 新华社")], "event_id string, doc_id int, title string, content string")
+    tags = spark.createDataFrame([(w, "person") for w in ("斯卡", "洛尼", "王明", "李丽", "新华社")], "word string, tag string")
+    out = {r.word: (r.person, r.other) for r in entities.entity_counts(docs, tags, surnames="王李").collect()}
+    assert out == {"斯卡洛尼": (2, 0), "王明": (1, 0), "李丽": (1, 0), "新华社": (0, 1)}
 
 
 def test_models(spark):

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from eventloom.plans import catalog
+from eventloom.sources import sinks
 from eventloom.streaming import jobs
 
 
@@ -77,4 +78,46 @@ def test_stream_comment_counts(spark, tmp_path):
     apply = jobs.comment_dup(spark, str(tmp_path / "t"))
     apply(spark.createDataFrame([(1, 7), (2, 7), (3, 1 << 50)], "seq long, fingerprint long"), 0)
     apply(spark.createDataFrame([(4, 6), (5, (1 << 50) | (1 << 20) | (1 << 30) | (1 << 35) | (1 << 8))], "seq long, fingerprint long"), 1)
-    assert {r.seq: r.duplicate_count for r in spark.read.parquet(str(tmp_path / "t/generation=1")).collect()} == {1: 3, 3: 1, 5: 1}
+    counts = {1: 3, 3: 1, 5: 1}
+    assert {r.seq: r.duplicate_count for r in jobs.comment_counts(spark, str(tmp_path / "t")).collect()} == counts
+    # A batch that comes again changes nothing.
+    apply(spark.createDataFrame([(4, 6), (5, (1 << 50) | (1 << 20) | (1 << 30) | (1 << 35) | (1 << 8))], "seq long, fingerprint long"), 1)
+    assert {r.seq: r.duplicate_count for r in jobs.comment_counts(spark, str(tmp_path / "t")).collect()} == counts
+
+
+def test_stream_leaves_late_posts_out(spark, tmp_path):
+    apply = jobs.keep_recent(spark, str(tmp_path / "t"), 45)
+    day = lambda rows: spark.createDataFrame(rows, "id int, d int").select("id", F.timestamp_seconds(F.col("d") * 86400).alias("publish_time"))
+    apply(day([(1, 100), (2, 40), (3, 60)]), 0)
+    apply(day([(4, 56), (5, 54), (6, 101)]), 1)
+    apply(day([(7, 57), (8, 55)]), 2)
+    assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "t/rows")).collect()) == [1, 3, 4, 6, 7]
+
+
+def test_stream_clusters_live_on(spark, tmp_path):
+    flood, phone = ["flood", "river", "rescue"], ["phone", "screen", "chip"]
+    idf = spark.createDataFrame([(t, 1.0) for t in flood + phone + ["bridge"]], "term string, idf double")
+    apply = jobs.live_clusters(spark, str(tmp_path / "t"), idf, 0.3)
+    shape = "seq long, publish_s long, tokens array<string>"
+    apply(spark.createDataFrame([(1, 1, flood), (2, 2, phone), (3, 3, flood[:2])], shape), 0)
+    second = spark.createDataFrame([(4, 4, flood + ["bridge"]), (5, 5, ["unknown"]), (6, 6, phone), (7, 7, ["bridge"])], shape)
+    apply(second, 1)
+    apply(second, 1)
+    out = {r.seq: r.cluster_id for r in jobs.clusters_of(spark, str(tmp_path / "t")).collect()}
+    assert out[1] == out[3] == out[4] == 0 and out[2] == out[6] == 1 and len({0, 1, out[5], out[7]}) == 4
+    # The flood's centroid has moved: the bridge is part of it now.
+    sums = spark.read.parquet(str(tmp_path / "t/sums")).where("cluster_id = 0 and term = 'bridge'")
+    assert sums.count() == 1
+
+
+def test_stored_events_are_replaced_by_key(spark, tmp_path):
+    path = str(tmp_path / "events")
+    sinks.save_events(spark.createDataFrame([(f"e{i}", i) for i in range(200)], "event_id string, n int"), path)
+    sinks.save_events(spark.createDataFrame([("e3", -3), ("new", 7)], "event_id string, n int"), path)
+    out = {r.event_id: r.n for r in spark.read.parquet(path).collect()}
+    assert len(out) == 201 and out["e3"] == -3 and out["new"] == 7 and out["e4"] == 4
+    assert len(glob.glob(f"{path}/part=*")) <= sinks.PARTS
+    merge = lambda new, old: new if old is None else new.unionByName(old.select("event_id", "n")).groupBy("event_id").agg(F.sum("n").cast("int").alias("n"))
+    jobs.upsert(spark, path, "event_id", merge)(spark.createDataFrame([("e4", 10), ("e9", 1)], "event_id string, n int"), 0)
+    out = {r.event_id: r.n for r in spark.read.parquet(path).collect()}
+    assert len(out) == 201 and out["e4"] == 14 and out["e9"] == 10
