@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import stash, unsigned_crc32
+from .common import stash, unsigned_crc32, unstash
 
 SHARDS = 24
 #: Bits of the text hash and of the id hash that each probing round looks at.
@@ -27,6 +27,8 @@ HI_BITS, HI_LEVELS, LO_BITS, LO_LEVELS = 12, 5, 6, 10
 LEVELS = HI_LEVELS + LO_LEVELS
 #: An interval with over 1/HEAVY of all rows is refined, unless it has few.
 HEAVY, FEW_ROWS = 1024, 256
+#: Keys of rows that share id and text: up to so many go to all executors.
+MAX_BROADCAST = 100_000
 
 
 def _hash60(column: Column) -> Column:
@@ -129,13 +131,26 @@ def _unit(node: dict, heavy: set[tuple[int, int, int]]) -> tuple[int, int, int]:
     return next((x for x in reversed(line) if x not in heavy), line[0])
 
 
+def _told_apart(keyed: DataFrame) -> DataFrame:
+    """The written keys; rows that share id and text get keys of their own by the row's number, so that any number of them can be parted."""
+    again = stash(keyed.groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hi", "lo", F.lit(True).alias("again")), "again")
+    n = again.count()
+    if not n:
+        return keyed
+    own = _hash60(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("row").cast("string")))
+    marked = keyed.join(F.broadcast(again) if n <= MAX_BROADCAST else again, ["hi", "lo"], "left")
+    out = stash(marked.withColumn("lo", F.when(F.col("again"), own).otherwise(F.col("lo"))).drop("again"), "keys")
+    unstash(keyed, again)
+    return out
+
+
 def shard_documents(docs: DataFrame, *, shards: int = SHARDS, tolerance: float = 0.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, shard and slot of every row of ``docs``.
 
     Size is the text's UTF-8 bytes (null: none) plus 8. Shards hold consecutive keys of
     near equal bytes; slots number a shard's rows in key order from 0 without gaps. Equal
     texts are neighbours, so that only those at a splitter are parted. Rows equal in id
-    and text are numbered in any order and not parted. Null ids hash as the empty text;
+    and text are told apart by a number, in any order. Null ids hash as the empty text;
     further columns are not read; an empty table gives no rows.
     """
     spark = docs.sparkSession
@@ -147,9 +162,11 @@ def shard_documents(docs: DataFrame, *, shards: int = SHARDS, tolerance: float =
             unsigned_crc32(text).alias("text_crc32"),
             _hash60(text).alias("hi"),
             _hash60(doc_id.cast("string")).alias("lo"),
+            F.monotonically_increasing_id().alias("row"),
         ),
         "keys",
     )
+    keyed = _told_apart(keyed)
     edges, nodes, heavy = splitters(keyed, shards, tolerance)
     # Where each interval's rows of a shard begin, from the counts.
     begins: dict[tuple, int] = {}
