@@ -32,7 +32,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def _code(word: str) -> int:
     """Hash of the word in the high half, of its shape (at most four classes of letters in a row) in the low half."""
-    shape = re.sub(r"(.)\1+", r"\1\1", word[:32].translate(_SHAPES)) if word.isascii() else ("Éé" if word.istitle() else "É" if word.isupper() else "é")
+    shape = re.sub(r"(.)\1+", r"\1\1", word.translate(_SHAPES)) if word.isascii() else ("Éé" if word.istitle() else "É" if word.isupper() else "é")
     return zlib.crc32(word.encode("utf-8", "replace")) << 32 | zlib.crc32(shape.encode("utf-8", "replace"))
 
 

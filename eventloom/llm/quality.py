@@ -48,7 +48,7 @@ def train(
 
 
 def score(docs: DataFrame, weights: np.ndarray, *, text_col: str = "text", out: str = "score") -> DataFrame:
-    """``docs`` with the probability of label 1; only the text goes to Python."""
+    """``docs`` with the probability of label 1; only the text goes to Python. Null texts are empty; equal texts get equal scores."""
     bits = (len(weights) - 1).bit_length() - 1
     shared = docs.sparkSession.sparkContext.broadcast(weights)  # 2^bits numbers, however large the corpus
 
@@ -73,7 +73,11 @@ def classify(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **options) -> DataFrame:
-    """The rows of ``docs`` that score ``threshold`` or more, with its columns."""
+    """The rows of ``docs`` that score ``threshold`` or more, with its columns.
+
+    Null texts score as empty ones, rows without an id are scored too, equal texts share their
+    fate, repeated rows all stay or go, and an empty table stays empty.
+    """
     name = hidden(docs, "score")
     scored = score(docs, train(docs, labels, **options), text_col=options.get("text_col", "text"), out=name)
     return scored.where(F.col(name) >= threshold).drop(name)

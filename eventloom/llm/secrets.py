@@ -440,6 +440,8 @@ def redact(text: str) -> str:
 
 
 def redacted(text: Column) -> Column:
+    """``redact`` of each text; nulls stay null, empty texts empty, and equal texts give equal results."""
+
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: t if t is None else redact(t))

@@ -87,7 +87,7 @@ def train_chain(rows: DataFrame, categories: list[str], *, bits: int = linear.BI
 
 
 def predict_chain(docs: DataFrame, models: list[np.ndarray], categories: list[str], *, text_col: str = "text", out: str = "p", bits: int = linear.BITS) -> DataFrame:
-    """``docs`` with a struct of one probability a category."""
+    """``docs`` with a struct of one probability a category. Null texts are empty; equal texts get equal ones; an empty table stays empty."""
     shared = docs.sparkSession.sparkContext.broadcast(models)
 
     @F.pandas_udf(", ".join(f"`{c}` double" for c in categories))
