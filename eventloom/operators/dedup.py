@@ -86,6 +86,14 @@ def near_dup_pairs(prints: DataFrame, k: int = 3, scope: str | None = None) -> D
     return pairs.select(*keys, F.col("seq").alias("seq_a"), "seq_b", F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("fingerprint_b"))).cast("long").alias("distance")).distinct()
 
 
+def copies_of(prints: DataFrame, scope: str | None = None) -> DataFrame:
+    """seq_a, seq_b, distance 0: each row of a fingerprint (in a scope) but the first, with the first."""
+    keys = [scope] if scope else []
+    firsts = prints.where("fingerprint is not null").groupBy(*keys, "fingerprint").agg(F.min("seq").alias("seq_a"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    rows = prints.select(*keys, "fingerprint", F.col("seq").alias("seq_b")).join(firsts, [*keys, "fingerprint"]).where("seq_a <> seq_b")
+    return rows.select(*keys, "seq_a", "seq_b", F.lit(0).cast("long").alias("distance"))
+
+
 def near_dup_greedy(prints: DataFrame, k: int = 3, scope: str | None = None) -> DataFrame:
     """``prints`` with ``kept``: a row is kept unless it is within k bits of a kept row before it.
 

@@ -161,6 +161,12 @@ def _sim_prints(s, d):
     return stash(spread(posts(s, d).select("seq", "event_id", "content"), "seq").select("seq", "event_id", dedup.simhash64(F.col("content")).alias("fingerprint")), "prints")
 
 
+def _near_pairs(s, d):
+    """Pairs of the first rows of each fingerprint, and each copy with its first."""
+    prints = _sim_prints(s, d)
+    return dedup.near_dup_pairs(prints).unionByName(dedup.copies_of(prints))
+
+
 def _stored(s, d):
     prints = _sim_prints(s, d)
     return dedup.dedup_store(prints.where("seq % 2 = 1"), prints.where("seq % 2 = 0")).select("seq")
@@ -215,7 +221,7 @@ QUERIES = {
     "zero_streaks": lambda s, d: lookups.zero_streaks(posts(s, d).select("platform", F.col("doc_id").alias("pos"), F.when(F.col("doc_id") % 50 < 20, 0).otherwise(1).alias("n"))),
     "classif_metrics": lambda s, d: lookups.classif_metrics(_labelled(s, d)),
     "domain_shift": lambda s, d: lookups.accuracy_by(_labelled(s, d)),
-    "near_dup_pairs": lambda s, d: dedup.near_dup_pairs(_sim_prints(s, d)),
+    "near_dup_pairs": _near_pairs,
     "near_dup_greedy": lambda s, d: dedup.near_dup_greedy(_sim_prints(s, d), 3, "event_id").select("seq", "kept"),
     "dedup_store": _stored,
     "comment_dup_count": lambda s, d: dedup.comment_dup_count(_sim_prints(s, d)).select("seq", F.col("duplicate_count").cast("long").alias("duplicate_count")),

@@ -269,3 +269,24 @@ def test_landed_json(spark):
     cards = '[{"mblog":{"mblogid":"a","user":{"id":1,"screen_name":"新华社"}},"card_group":[{"mblog":{"mblogid":"b","user":{"id":2,"verified_type":0}}},{"mblog":{"mblogid":"c","user":{}}}]},{"mblog":{"mblogid":"a","user":{"id":1}}}]'
     out = landed.flat_weibo_cards(spark.createDataFrame([(1, cards)], "page int, json string")).orderBy("post_id").collect()
     assert [(r.post_id, r.verification_type) for r in out] == [("a", "官方平台"), ("b", "认证个人")]
+
+
+def test_pairs_and_copies_are_all_near_rows(spark, sf):
+    """Pairs of first rows and copies with their firsts, against all pairs."""
+    prints = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("seq"), dedup.simhash64(F.col("text")).alias("fingerprint")).cache()
+    rows = sorted((r.seq, r.fingerprint & (1 << 64) - 1) for r in prints.collect() if r.fingerprint is not None)
+    first = {}
+    for seq, p in rows:
+        first.setdefault(p, seq)
+    expected = {(first[p], seq, 0) for seq, p in rows if first[p] != seq}
+    kinds = sorted((seq, p) for p, seq in first.items())
+    expected |= {(a, b, (x ^ y).bit_count()) for i, (b, y) in enumerate(kinds) for a, x in kinds[:i] if (x ^ y).bit_count() <= 3}
+    got = dedup.near_dup_pairs(prints).unionByName(dedup.copies_of(prints)).collect()
+    assert {tuple(r) for r in got} == expected and len(got) == len(expected)
+    # The greedy rule by a loop.
+    kept = []
+    for seq, p in rows:
+        if not any((p ^ q).bit_count() <= 3 for _, q in kept):
+            kept.append((seq, p))
+    found = {r.seq for r in dedup.near_dup_greedy(prints).where("kept and fingerprint is not null").collect()}
+    assert found == {seq for seq, _ in kept}
