@@ -208,7 +208,7 @@ def _oracle() -> str:
     case = " ".join(f"WHEN {best} > 0 AND h{i} = {best} THEN '{n}'" for i, n in enumerate(names))
     targets = ", ".join(f"(SELECT s{d}.q / sum(s2.q) * any_value(s2.total) FROM sum_{d} s2) AS t_{d}" for d in TEMPER)
     sums = ", ".join(
-        f"sum_{d} AS (SELECT *, least(p / sum(p) OVER (), {LIFT} * tokens / total) AS q FROM (SELECT {d} AS v, sum(tokens) AS tokens, CASE WHEN sum(tokens) > 0 THEN pow(sum(tokens), {p}) ELSE 0 END AS p, (SELECT sum(tokens) FROM cells)::DOUBLE AS total FROM cells GROUP BY {d}))" for d, p in TEMPER.items()
+        f"sum_{d} AS (SELECT v, p, total, least(p / sum(p) OVER (), {LIFT} * tokens / total) AS q FROM (SELECT {d} AS v, sum(tokens) AS tokens, CASE WHEN sum(tokens) > 0 THEN pow(sum(tokens), {p}) ELSE 0 END AS p, (SELECT sum(tokens) FROM cells)::DOUBLE AS total FROM cells GROUP BY {d}))" for d, p in TEMPER.items()
     )
     joins = " ".join(f"JOIN sum_{d} s{d} ON cells.{d} IS NOT DISTINCT FROM s{d}.v" for d in TEMPER)
     carry = "source, lang, topic, tokens, t_source, t_lang, t_topic"
