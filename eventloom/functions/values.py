@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..values import KEYWORD_GROUPS, KEYWORD_REST, NEWS_PLATFORMS, OFFICIAL_ACCOUNTS, PLAIN, PLATFORM_TEXT_TYPES, RISK_LABELS, STAGE_LABELS
+from ..values import KEYWORD_GROUPS, KEYWORD_REST, NEWS_PLATFORMS, OFFICIAL_ACCOUNTS, OFFICIAL_HEADLINE, PLAIN, PLATFORM_TEXT_TYPES, RISK_LABELS, STAGE_LABELS, TOP_BADGES
 
 
 def lookup(column: Column, values: dict[str, str], default: Column) -> Column:
@@ -44,9 +44,9 @@ def tier_answers(badges: Column, headline: Column, kind: Column) -> Column:
     """Credibility tier of an account on a question-and-answer site."""
     badges = F.coalesce(badges, F.array().cast("array<string>"))
     return (
-        F.when(F.arrays_overlap(badges, F.array(*map(F.lit, ["best_answerer", "high_salt", "sea_salt_creator"]))), "头部认证个人")
+        F.when(F.arrays_overlap(badges, F.array(*map(F.lit, TOP_BADGES))), "头部认证个人")
         .when(F.array_contains(badges, "identity"), "认证个人")
-        .when(F.coalesce(headline, F.lit("")).rlike("官方|客服|小编"), "官方平台")
+        .when(F.coalesce(headline, F.lit("")).rlike(OFFICIAL_HEADLINE), "官方平台")
         .when(kind == "org", "认证机构")
         .otherwise(PLAIN)
     )

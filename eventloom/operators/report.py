@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as tx
 from ..functions import values as vl
-from ..values import BIG_V, OFFICIAL, PLAIN, ROLES, TIER_WEIGHTS
+from ..values import BIG_V, OFFICIAL, PLAIN, ROLE_BEGINS, ROLE_LEADS, ROLE_PEAKS, ROLE_SPEAKS, ROLES, TIER_WEIGHTS, TIERS_LEAD, TIERS_SPEAK
 
 
 def platform_dist(posts: DataFrame) -> DataFrame:
@@ -127,8 +127,8 @@ def propagation_path(nodes: DataFrame, chain: DataFrame | None = None) -> DataFr
     """Key nodes as they are shown: name, category, size and the link to the next one; events without any show their chain of platforms."""
     role, tier = F.col("role"), F.col("verification_type")
     category = (
-        F.when(role.rlike("初始|首发|爆料"), 0).when(role.rlike("高峰|峰值"), 3).when(role.rlike("大V|意见领袖") | tier.rlike("头部认证个人|认证机构"), 1)
-        .when(role.rlike("官方|媒体|通报") | tier.rlike("官方平台|官方机构"), 2).when(F.col("pos") == 0, 0).otherwise(4)
+        F.when(role.rlike(ROLE_BEGINS), 0).when(role.rlike(ROLE_PEAKS), 3).when(role.rlike(ROLE_LEADS) | tier.rlike(TIERS_LEAD), 1)
+        .when(role.rlike(ROLE_SPEAKS) | tier.rlike(TIERS_SPEAK), 2).when(F.col("pos") == 0, 0).otherwise(4)
     )
     subject = F.when(F.col("author") != "匿名", F.col("author")).otherwise(F.col("platform"))
     size = F.when(F.col("influence") <= 0, F.greatest(F.lit(34.0), 48.0 - F.col("pos") * 2)).otherwise(F.least(F.lit(72.0), F.greatest(F.lit(38.0), 34 + F.sqrt("influence"))))

@@ -22,6 +22,12 @@ NEWS_PLATFORMS = ["新浪新闻", "澎湃新闻", "新华社", "人民日报", "
 OFFICIAL_ACCOUNTS = ["人民日报", "央视新闻", "新华社", "人民网", "光明网"]
 # Roles of key nodes, by priority.
 ROLES = ["初始爆料", "首次大V发声", "首次官方媒体介入", "传播高峰"]
+# Words in roles by which nodes are shown as a beginning, a peak, an opinion leader or an official voice.
+ROLE_BEGINS, ROLE_PEAKS, ROLE_LEADS, ROLE_SPEAKS = "初始|首发|爆料", "高峰|峰值", "大V|意见领袖", "官方|媒体|通报"
+TIERS_LEAD, TIERS_SPEAK = "头部认证个人|认证机构", "官方平台|官方机构"
+# Badges and headlines of accounts on a question-and-answer site.
+TOP_BADGES = ["best_answerer", "high_salt", "sea_salt_creator"]
+OFFICIAL_HEADLINE = "官方|客服|小编"
 # Display labels.
 RISK_LABELS = {"high": "高", "mid_high": "中高", "medium_high": "中高", "mid": "中", "medium": "中", "low": "低"}
 STAGE_LABELS = {"latent": "潜伏期", "growth": "成长期", "peak": "高潮期", "decline": "衰退期"}
