@@ -286,6 +286,12 @@ QUERIES = {
     "sent_train": _train_scores,
     "group_reports": _grouped,
 }
+_FACTS = f"""WITH k AS (SELECT event_id, string_agg(word, '、' ORDER BY rank) AS words FROM ({ev.ORACLE["event_keywords"]}) WHERE rank < 12 GROUP BY event_id),
+p AS (SELECT event_id, string_agg(platform || ' ' || format('{{:,.1f}}', CASE WHEN ratio > 0 AND ratio <= 1 THEN floor(ratio * 1000 + 0.5::DOUBLE) / 10 ELSE ratio END) || '%', '、' ORDER BY rank) AS platforms FROM ({ev.ORACLE["platform_dist"]}) WHERE rank < 8 GROUP BY event_id),
+d AS ({sql(["posts"], "SELECT event_id, date, cnt::DOUBLE AS c, false AS f FROM pdaily UNION ALL SELECT event_id, date, predict_count, true FROM pfut", ev._PDAYS)}),
+t AS (SELECT event_id, string_agg(date::VARCHAR || ':' || format('{{:,.1f}}', c), ', ' ORDER BY f, date) AS days FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY f DESC, date DESC) AS back FROM d) WHERE back <= 10 GROUP BY event_id)
+SELECT h.event_id, concat_ws(chr(10), 'heat: ' || format('{{:,.3f}}', heat), 'keywords: ' || words, 'platforms: ' || platforms, 'trend: ' || days) AS facts
+FROM ({sql(["posts"], "SELECT event_id, heat FROM heats", ev._HEAT)}) h LEFT JOIN k USING (event_id) LEFT JOIN p USING (event_id) LEFT JOIN t USING (event_id)"""
 ORACLE = {
     "lifecycle_block": sql(
         ["activity"],
@@ -295,6 +301,12 @@ ORACLE = {
     "batch_infer": "SELECT doc_id, CASE WHEN n % 50 < 15 THEN 'neutral' WHEN n % 2 = 1 THEN 'positive' ELSE 'negative' END AS label FROM (SELECT doc_id, len(text) AS n FROM documents)",
     "st_ingest": "SELECT event_id AS id, event_type FROM events",
     "st_dedup_url": "SELECT DISTINCT 'u' || (user_id % 25)::VARCHAR AS source_url FROM events",
+    "event_fact_sheet": _FACTS,
+    "advice_prompt": f"SELECT f.event_id, facts || chr(10) || 'similar: ' || coalesce(near, 'none') AS prompt FROM ({_FACTS}) f LEFT JOIN (SELECT event_id, string_agg(other, ', ' ORDER BY rank) AS near FROM ({ev.ORACLE['similar_events']}) WHERE rank <= 3 GROUP BY event_id) USING (event_id)",
+    "event_brief": f"""SELECT event_id, 'node' AS section, pos, concat_ws(' ', role, author, platform) AS line FROM ({ev.ORACLE["key_nodes"]}) WHERE pos < 5
+ UNION ALL SELECT event_id, 'influencer', rank, author || ' ' || format('{{:,.1f}}', influence) FROM ({ev.ORACLE["top_influencers"]}) WHERE rank <= 3
+ UNION ALL SELECT event_id, 'path', 0, string_agg(platform, ' → ' ORDER BY pos) FROM ({ev.ORACLE["platform_chain"]}) GROUP BY event_id
+ UNION ALL SELECT event_id, 'heat', 0, format('{{:,.3f}}', heat) FROM ({sql(["posts"], "SELECT event_id, heat FROM heats", ev._HEAT)})""",
     "st_late": "SELECT event_type AS kind, user_id FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 10 DAY",
     "st_bucket": "SELECT 'e' || (user_id % 40)::VARCHAR AS event_id, floor(epoch(ts))::BIGINT // 21600 * 21600 AS start_s, count(*) AS cnt FROM events GROUP BY ALL",
     "st_report": sql(["posts"], "SELECT event_id, heat FROM heats", ev._HEAT),
