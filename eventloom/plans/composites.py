@@ -140,7 +140,7 @@ def _lifecycle_block(s, d):
 def _gazetteer(s, d):
     """The commonest words of the titles, tagged by a hash, as a gazetteer."""
     words = posts(s, d).select(F.explode(tx.tokenize(F.col("title"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n >= 5")
-    tag = F.pmod(F.crc32("word"), F.lit(3))
+    tag = F.conv(F.substring(F.md5("word"), 1, 4), 16, 10).cast("long") % 3
     return words.select("word", F.when(tag == 0, "person").when(tag == 1, "place").otherwise("org").alias("tag"))
 
 
@@ -292,6 +292,13 @@ d AS ({sql(["posts"], "SELECT event_id, date, cnt::DOUBLE AS c, false AS f FROM
 t AS (SELECT event_id, string_agg(date::VARCHAR || ':' || format('{{:,.1f}}', c), ', ' ORDER BY f, date) AS days FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY f DESC, date DESC) AS back FROM d) WHERE back <= 10 GROUP BY event_id)
 SELECT h.event_id, concat_ws(chr(10), 'heat: ' || format('{{:,.3f}}', heat), 'keywords: ' || words, 'platforms: ' || platforms, 'trend: ' || days) AS facts
 FROM ({sql(["posts"], "SELECT event_id, heat FROM heats", ev._HEAT)}) h LEFT JOIN k USING (event_id) LEFT JOIN p USING (event_id) LEFT JOIN t USING (event_id)"""
+_ENTITIES = sql(
+    ["posts"],
+    "SELECT event_id, word, " + ", ".join(f"count(*) FILTER (t = '{t}') AS {t}" for t in ("person", "place", "org", "storm", "other")) + " FROM (SELECT *, CASE WHEN before = 'the' THEN 'storm' ELSE tag END AS t FROM placed JOIN gaz USING (word) WHERE len(word) >= 2) GROUP BY event_id, word",
+    f"gaz AS (SELECT word, ['person', 'place', 'org'][('0x' || substr(md5(word), 1, 4))::BIGINT % 3 + 1] AS tag FROM (SELECT unnest({_TOKENS.replace('content', 'title')}) AS word FROM posts) GROUP BY word HAVING count(*) >= 5)",
+    "cutw AS (SELECT event_id, doc_id, regexp_extract_all(concat_ws(' ', title, left(content, 500)), '[\\p{L}\\p{N}_]+') AS ws FROM posts)",
+    "placed AS (SELECT *, lag(word) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM (SELECT event_id, doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM cutw))",
+)
 ORACLE = {
     "lifecycle_block": sql(
         ["activity"],
@@ -301,6 +308,9 @@ ORACLE = {
     "batch_infer": "SELECT doc_id, CASE WHEN n % 50 < 15 THEN 'neutral' WHEN n % 2 = 1 THEN 'positive' ELSE 'negative' END AS label FROM (SELECT doc_id, len(text) AS n FROM documents)",
     "st_ingest": "SELECT event_id AS id, event_type FROM events",
     "st_dedup_url": "SELECT DISTINCT 'u' || (user_id % 25)::VARCHAR AS source_url FROM events",
+    "entity_counts": _ENTITIES,
+    "people": f"""WITH g AS (SELECT *, max(person) OVER (PARTITION BY event_id) AS most FROM ({_ENTITIES}) WHERE person > 0 AND person::DOUBLE / (person + place + org + storm + other) >= 0.6 AND place + org + storm = 0)
+SELECT event_id, string_agg(word, ',' ORDER BY rn) AS people FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY person DESC, word) AS rn FROM g WHERE most < 2 OR person >= 2) WHERE rn <= 5 GROUP BY event_id""",
     "event_fact_sheet": _FACTS,
     "advice_prompt": f"SELECT f.event_id, facts || chr(10) || 'similar: ' || coalesce(near, 'none') AS prompt FROM ({_FACTS}) f LEFT JOIN (SELECT event_id, string_agg(other, ', ' ORDER BY rank) AS near FROM ({ev.ORACLE['similar_events']}) WHERE rank <= 3 GROUP BY event_id) USING (event_id)",
     "event_brief": f"""SELECT event_id, 'node' AS section, pos, concat_ws(' ', role, author, platform) AS line FROM ({ev.ORACLE["key_nodes"]}) WHERE pos < 5
