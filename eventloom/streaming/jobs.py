@@ -135,7 +135,8 @@ def live_clusters(spark: SparkSession, path: str, idf: DataFrame, threshold: flo
         centroids, opened = None, 0
         if sums is not None:
             n = sizes.groupBy("cluster_id").agg(F.sum("n").alias("n"))
-            opened = (n.agg(F.max("cluster_id")).first()[0] or -1) + 1
+            last = n.agg(F.max("cluster_id")).first()[0]
+            opened = 0 if last is None else last + 1
             centroids = stash(sums.groupBy("cluster_id", "term").agg(F.sum("s").alias("s")).join(n, "cluster_id").select("cluster_id", "term", (F.col("s") / F.col("n")).alias("w")), "live")
         found, opened = cluster.settle(terms, terms, centroids, threshold, opened)
         blank = base.select("seq", "publish_s").join(terms.select("seq").distinct(), "seq", "left_anti")

@@ -105,6 +105,11 @@ def test_stream_clusters_live_on(spark, tmp_path):
     apply(second, 1)
     out = {r.seq: r.cluster_id for r in jobs.clusters_of(spark, str(tmp_path / "t")).collect()}
     assert out[1] == out[3] == out[4] == 0 and out[2] == out[6] == 1 and len({0, 1, out[5], out[7]}) == 4
+    # A store with one cluster opens the next beside it.
+    other = jobs.live_clusters(spark, str(tmp_path / "u"), idf, 0.3)
+    other(spark.createDataFrame([(1, 1, flood)], shape), 0)
+    other(spark.createDataFrame([(2, 2, phone)], shape), 1)
+    assert {r.seq: r.cluster_id for r in jobs.clusters_of(spark, str(tmp_path / "u")).collect()} == {1: 0, 2: 1}
     # The flood's centroid has moved: the bridge is part of it now.
     sums = spark.read.parquet(str(tmp_path / "t/sums")).where("cluster_id = 0 and term = 'bridge'")
     assert sums.count() == 1
