@@ -283,7 +283,7 @@ class _Block:
 
     def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         sizes = np.array([len(b) for b in self.bags], np.int64)
-        return sizes, np.concatenate(self.bags), np.repeat(np.arange(len(sizes)), sizes)
+        return sizes, np.concatenate([np.zeros(0, np.uint64), *self.bags]), np.repeat(np.arange(len(sizes)), sizes)
 
 
 class _Union:
@@ -351,7 +351,8 @@ def _joining(threshold: float):
         key, left, block = None, None, _Block()
 
         def links() -> list[tuple[int, int, int, int]]:
-            return left.links(block, threshold) if isinstance(left, _Left) and block.docs else []
+            # Blocks are dealt by hash, so one of them may have got no text.
+            return left.links(block, threshold) if isinstance(left, _Left) and left.block.docs and block.docs else []
 
         def batch_of(found: list) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in range(4)], names=["a", "b", "component_a", "component_b"])

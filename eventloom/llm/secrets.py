@@ -32,7 +32,7 @@ from .common import chunks
 KINDS = ("assign", "access", "hex")
 #: Compressed bytes that unwrap to more are counted in ``n_oversized`` and read in blocks, each a layer.
 MAX_DECODED = 1 << 26
-#: Bytes of a block, and those that it shares with the next one.
+#: Bytes of a block, and those that it shares with the next one; a block ends within no encoded part that is shorter than ``MAX_DECODED``.
 BLOCK, OVERLAP = 1 << 22, 1 << 20
 #: Where bombs end: compressed layers within each other (counted in ``n_oversized``, too), and bytes that the blocks of one hold.
 MAX_DEPTH, MAX_BLOCKS = 64, 1 << 32
@@ -41,13 +41,18 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")  # the runs of 20 and more are the same as those filtered afterwards
 _HEX = re.compile(r"[0-9a-f]{24,}")
 
-_PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
+#: A percent sign that is escaped again and again is unwrapped to its end at once: %252541 is %41's character, not a layer for each 25.
+_PERCENT = re.compile(r"(?:%(?:25)*[0-9A-Fa-f]{2})+")
+_ONE_PERCENT = re.compile(r"%(?:25)*([0-9A-Fa-f]{2})")
 _ESCAPE = re.compile(r"%u[dD][89abAB][0-9a-fA-F]{2}%u[dD][c-fC-F][0-9a-fA-F]{2}|%u[0-9a-fA-F]{4}|\\u[dD][89abAB][0-9a-fA-F]{2}\\u[dD][c-fC-F][0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]{1,6}\}|\\U[0-9a-fA-F]{8}|\\x[0-9a-fA-F]{2}|&#x[0-9a-fA-F]{1,6};|&#[0-9]{1,7};")
+_AGAIN = frozenset("\\&%")
+_LONGEST_ESCAPE = 12
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 _PART = re.compile(r"[A-Za-z0-9+]{16,}={0,2}")
 _WRAPPED = re.compile(r"[A-Za-z0-9+/]{16,}(?:\r?\n[\x20\t]*[A-Za-z0-9+/]+)+={0,2}")
 _PACKED = re.compile(r"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]|\x28\xb5\x2f\xfd|BZh[1-9]1AY|\xfd7zXZ\x00")
 _BYTES = re.compile("[\x00-\xff]+")
+_GAP = re.compile(rb"[^A-Za-z0-9+/_=%\\&#;{}-]")
 _TO_PLAIN64 = str.maketrans("-_", "+/")
 _BLANK = str.maketrans("\t\n\r\v\f", "     ")
 
@@ -157,7 +162,12 @@ def _blocks(pieces: Iterator[bytes]) -> Iterator[bytes]:
     for piece in pieces:
         held += piece
         while len(held) > BLOCK:
-            cut = held.rfind(b"\n", BLOCK - OVERLAP, BLOCK) + 1 or BLOCK
+            cut = held.rfind(b"\n", BLOCK - OVERLAP, BLOCK) + 1
+            if not cut:
+                gap = _GAP.search(held, max(BLOCK - OVERLAP, len(held) - len(piece)))
+                if gap is None and len(held) <= MAX_DECODED:
+                    break  # an encoded part is open
+                cut = gap.end() if gap else len(held)
             yield bytes(held[:cut])
             start = cut - OVERLAP
             del held[: held.find(b"\n", start, start + OVERLAP // 2) + 1 or start]
@@ -215,14 +225,19 @@ def _layers_of(data: bytes, start: int, end: int) -> Iterator[Layer]:
 
 
 def _replaced(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
-    """The layer with each match replaced by what ``decode`` makes of it: text, starts and ends within the match."""
+    """The layer with each match replaced by what ``decode`` makes of it: text, starts and ends within the match.
+
+    A match may go on behind what the pattern found, where ``decode`` follows marks that unwrap to the beginning of a mark.
+    """
     texts, starts, ends, at = [], [], [], 0
     for m in pattern.finditer(layer.text):
-        found = decode(m.group())
+        if m.start() < at:
+            continue
+        found = decode(m)
         if found is None:
             continue
-        text, a, b = found
-        s, e = m.span()
+        text, a, b, e = found
+        s = m.start()
         texts += [layer.text[at:s], text]
         starts += [layer.starts[at:s], layer.starts[s + a]]
         ends += [layer.ends[at:s], layer.ends[s + b - 1]]
@@ -235,12 +250,27 @@ def _replaced(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
     return Layer("".join(texts), np.concatenate(starts), np.concatenate(ends))
 
 
-def _percent(run: str):
+def _percent(m: re.Match):
+    run = m.group()
+    if "%25" in run:
+        units = [(u.start(), u.end(), u.group(1)) for u in _ONE_PERCENT.finditer(run)]
+        first, last = (np.array([u[k] for u in units]) for k in (0, 1))
+        text, a, b = _characters(bytes.fromhex("".join(u[2] for u in units)))
+        return text, first[a], last[b - 1], m.end()
     text, a, b = _characters(bytes.fromhex(run.replace("%", "")))
-    return text, 3 * a, 3 * b
+    return text, 3 * a, 3 * b, m.end()
 
 
-def _escape(mark: str):
+def _escape(m: re.Match):
+    """The character of a mark; one that begins another mark with what follows is unwrapped on, so that chains take one pass."""
+    text, end = m.string, m.end()
+    char = _escaped(m.group())
+    while char in _AGAIN and (more := _ESCAPE.match(char + text[end : end + _LONGEST_ESCAPE])) and (inner := _escaped(more.group())) is not None:
+        char, end = inner, end + more.end() - 1
+    return None if char is None else (char, np.zeros(1, int), np.full(1, end - m.start()), end)
+
+
+def _escaped(mark: str) -> str | None:
     if mark.startswith("&#x"):
         code = int(mark[3:-1], 16)
     elif mark.startswith("&#"):
@@ -251,9 +281,7 @@ def _escape(mark: str):
         code = 0x10000 + ((int(mark[2:6], 16) - 0xD800) << 10) + int(mark[8:12], 16) - 0xDC00
     else:
         code = int(mark[2:], 16)
-    if code > 0x10FFFF or 0xD800 <= code < 0xE000:
-        return None
-    return chr(code), np.zeros(1, int), np.full(1, len(mark))
+    return None if code > 0x10FFFF or 0xD800 <= code < 0xE000 else chr(code)
 
 
 def _base64_bytes(token: str) -> bytes | None:
@@ -361,10 +389,10 @@ def find(text: str, limit: int = MAX_DECODED) -> tuple[list, list, int, int]:
         return base, base, 0, 0
     top = Layer(text)
     every, seen, layers, oversized = set(base), {top.key()}, 0, 0
-    # What compressed bytes hold is worked off at once, so that one such text is held for each depth.
-    stack = [(deque([top]), iter(()))]
+    # What compressed bytes hold is worked off at once, so that one such text is held for each depth; what is held counts against the limit.
+    stack = [(deque([top]), iter(()), 0)]
     while stack:
-        work, children = stack[-1]
+        work, children, size = stack[-1]
         for child in children:
             if child is None:
                 oversized += 1
@@ -377,13 +405,14 @@ def find(text: str, limit: int = MAX_DECODED) -> tuple[list, list, int, int]:
                 if not child.unpacked:
                     work.append(child)
                 elif len(stack) <= MAX_DEPTH:
-                    stack.append((deque([child]), iter(())))
+                    stack.append((deque([child]), iter(()), len(child.text)))
                     break
                 else:
                     oversized += _encoded(child.text)
         else:
             if work:
-                stack[-1] = work, unwrap(work.popleft(), limit)
+                room = max(min(limit, BLOCK), limit - sum(s for _, _, s in stack))
+                stack[-1] = work, unwrap(work.popleft(), room), size
             else:
                 stack.pop()
     return base, sorted(every), layers, oversized

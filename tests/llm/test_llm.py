@@ -9,6 +9,7 @@ import math
 import random
 import re
 import textwrap
+import time
 import urllib.parse
 import zlib
 
@@ -890,3 +891,50 @@ def test_query_equals_sql(spark, sf, name):
     got = sorted((tuple(r[n] for n in names) for r in df.collect()), key=repr)
     want = sorted((tuple(r[expected.columns.index(n)] for n in names) for r in expected.fetchall()), key=repr)
     assert got == want
+
+
+def test_escape_chains_take_one_pass():
+    for text in ("%" + "25" * 8_000, "\\" + "u005c" * 4_000, "&" + "#38;" * 4_000, "%" + "25" * 500_000):
+        began = time.process_time()
+        _, _, layers, _ = secrets.find(text)
+        assert layers <= 4 and time.process_time() - began < (0.1 if len(text) < 100_000 else 5)
+    for chain in ("%25252525", "%2525", "%"):
+        text = f"a token{chain}3Dabcdefgh end"
+        found = secrets.find(text)[1]
+        assert found == [(text.index("token"), 0, text.index(" end"))] and "abcdefgh" not in secrets.redact(text)
+    text = "x password\\u005cu005cu003dabcdefgh y"
+    assert (2, 0, len(text) - 2) in secrets.find(text)[1]
+    assert secrets.find("%25E4%25BD%25A0 token%3Dabc%25E9xyz")[1] == []
+
+
+def test_open_runs_reach_over_block_ends(monkeypatch):
+    monkeypatch.setattr(secrets, "BLOCK", 4096)
+    monkeypatch.setattr(secrets, "OVERLAP", 1024)
+    inner = base64.b64encode(b"word " * 800 + KEY + b" word" * 800)
+    packed = base64.b64encode(gzip.compress(b"some words\n" * 300 + inner + b"\n" + b"some words\n" * 300)).decode()
+    assert secrets.find(packed, 100)[1] == secrets.find(packed)[1] != []
+
+
+@pytest.mark.parametrize("rights", [300, 1 << 22])
+def test_near_duplicates_in_many_blocks(spark, monkeypatch, rights):
+    """Groups whose texts fill several blocks, some of which are dealt no text, against all pairs."""
+    monkeypatch.setattr(bagminhash, "LEFT_SHINGLES", 400)
+    monkeypatch.setattr(bagminhash, "LEFT_TEXTS", 2)
+    monkeypatch.setattr(bagminhash, "RIGHT_SHINGLES", rights)
+    rng = random.Random(5)
+    base, texts = [f"w{rng.randrange(10_000)}" for _ in range(400)], []
+    for k in range(24):
+        words = list(base)
+        for at in rng.sample(range(400), k=1 + k % 9):
+            words[at] = f"x{k}y{at}"
+        texts.append(" ".join(words))
+    bags = [bagminhash.shingles(t) for t in texts]
+    union = bagminhash._Union()
+    for i in range(len(bags)):
+        for j in range(i):
+            if bagminhash.similarity(bags[i], bags[j]) >= 0.8:
+                union.join(i, j)
+    out = bagminhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in out} == {k: union.find(k) for k in range(len(texts))}
+    block = bagminhash._Block()
+    assert [len(x) for x in block.arrays()] == [0, 0, 0]
