@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bagminhash, fertility, fingerprints, licenses, mixing, packing, quality, secrets, sharding, toxicity
+from . import bagminhash, fertility, fingerprints, licenses, mixing, negatives, packing, quality, secrets, sharding, toxicity, whitening
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +52,14 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.digest(fertility.judge(table(spark, sf_dir, "documents")))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_license_scans": op1_license_scans,
@@ -64,6 +72,8 @@ def queries() -> dict[str, Query]:
         "op8_secret_scans": op8_secret_scans,
         "op9_fingerprints": op9_fingerprints,
         "op10_quality_rules": op10_quality_rules,
+        "op11_embedding_whitening": op11_embedding_whitening,
+        "op13_hard_negatives": op13_hard_negatives,
     }
 
 
@@ -72,4 +82,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_license_scans": licenses.ORACLE_SQL,
         "op3_sharding": sharding.ORACLE_SQL,
         "op7_mixing": mixing.ORACLE_SQL,
+        "op13_hard_negatives": negatives.ORACLE_SQL,
     }
