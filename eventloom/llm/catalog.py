@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bagminhash, fertility, fingerprints, licenses, mixing, negatives, packing, quality, secrets, sharding, toxicity, whitening
+from . import bagminhash, fertility, fingerprints, licenses, mixing, negatives, ngram_trie, packing, quality, secrets, sharding, toxicity, whitening
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,6 +56,10 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op12_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_trie.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine(table(spark, sf_dir, "embeddings"))
 
@@ -73,6 +77,7 @@ def queries() -> dict[str, Query]:
         "op9_fingerprints": op9_fingerprints,
         "op10_quality_rules": op10_quality_rules,
         "op11_embedding_whitening": op11_embedding_whitening,
+        "op12_lm_scoring": op12_lm_scoring,
         "op13_hard_negatives": op13_hard_negatives,
     }
 
