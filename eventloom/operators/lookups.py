@@ -26,7 +26,9 @@ def numbered(df: DataFrame, *order, name: str = "pos") -> DataFrame:
     sizes = dealt.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     before = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))  # a row a range
     at = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
-    return dealt.join(F.broadcast(before), "__part").withColumn(name, at + F.col("__before") + 1).drop("__part", "__at", "__before")
+    out = dealt.join(F.broadcast(before), "__part").withColumn(name, at + F.col("__before") + 1).drop("__part", "__at", "__before")
+    out.stashed_at = dealt.stashed_at
+    return out
 
 
 def list_filter(events: DataFrame, keywords: DataFrame, risk: str | None = None, q: str | None = None, escape: bool = False) -> DataFrame:

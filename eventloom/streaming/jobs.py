@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import cluster, dedup, vectors
-from ..operators.lookups import numbered
 from ..sources import sinks
 from ..sources.tables import stash, unstash
 
@@ -123,29 +122,24 @@ def live_clusters(spark: SparkSession, path: str, idf: DataFrame, threshold: flo
     """Batches (seq, publish_s, tokens) to the nearest live cluster, or to a new one that they open; weights are those of a snapshot.
 
     A cluster is the sum of its vectors and their number, kept as what each batch added; its
-    centroid is the mean so far, so it moves as documents join. ``clusters_of`` reads the
-    assignment. Documents without a known term open a cluster of their own.
+    centroid is the mean so far and moves with every document, by the rule of the batch form. ``clusters_of``
+    reads the assignment. Documents without a known term open a cluster of their own.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
         base = stash(batch.select("seq", "publish_s", "tokens"), "batch")
-        weights = vectors.tfidf_vector(vectors.term_counts(base, "seq"), idf, "seq")
-        terms = stash(base.select("seq", "publish_s").join(weights, "seq"), "batch-terms")
-        sums, sizes = _written(spark, f"{path}/sums", number), _written(spark, f"{path}/sizes", number)
-        centroids, opened = None, 0
-        if sums is not None:
-            n = sizes.groupBy("cluster_id").agg(F.sum("n").alias("n"))
-            last = n.agg(F.max("cluster_id")).first()[0]
-            opened = 0 if last is None else last + 1
-            centroids = stash(sums.groupBy("cluster_id", "term").agg(F.sum("s").alias("s")).join(n, "cluster_id").select("cluster_id", "term", (F.col("s") / F.col("n")).alias("w")), "live")
-        found, opened = cluster.settle(terms, terms, centroids, threshold, opened)
-        blank = base.select("seq", "publish_s").join(terms.select("seq").distinct(), "seq", "left_anti")
-        alone = numbered(blank, "publish_s", "seq", name="n").select("seq", (F.col("n") - 1 + opened).alias("cluster_id"))
-        assigned = stash(alone if found is None else found.unionByName(alone), "batch-assigned")
-        assigned.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{path}/sizes/batch={number}")
-        terms.join(assigned, "seq").groupBy("cluster_id", "term").agg(F.sum("w").alias("s")).write.mode("overwrite").parquet(f"{path}/sums/batch={number}")
+        terms = stash(vectors.tfidf_vector(vectors.term_counts(base, "seq"), idf, "seq"), "batch-terms")
+        before = _written(spark, f"{path}/sums", number)
+        sums, opened = cluster.Sums(None if before is None else before.select("cluster_id", "term", "s")), 0
+        if before is not None:
+            opened = before.agg(F.coalesce(F.max("cluster_id") + 1, F.lit(0))).first()[0]
+        assigned, _ = cluster.settle(base, terms, sums, threshold, opened)
+        if assigned is None:
+            assigned = spark.createDataFrame([], "seq long, cluster_id long")
+        cluster.entries_of(terms, assigned).write.mode("overwrite").parquet(f"{path}/sums/batch={number}")
         assigned.write.mode("overwrite").parquet(f"{path}/assigned/batch={number}")
-        unstash(base, terms, centroids)
+        sums.drop()
+        unstash(base, terms)
 
     return apply
 

@@ -5,6 +5,7 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -151,7 +152,7 @@ def planted(spark):
 
 def test_single_pass_finds_planted_events(spark):
     docs = planted(spark)
-    assigned, centroids = cluster.single_pass(docs, 0.2, first=16)
+    assigned, centroids = cluster.single_pass(docs, 0.2)
     out = docs.join(assigned, "seq")
     assert out.count() == 60 and vectors.purity(out, "cluster_id", "name").first().purity >= 0.95
     assert assigned.select("cluster_id").distinct().count() <= 9
@@ -165,7 +166,7 @@ def one_after_another(rows, threshold):
     sums, sizes, out = [], [], {}
     for seq, tokens in rows:
         v = {t: k * idf[t] for t, k in Counter(tokens).items()}
-        length = math.sqrt(sum(x * x for x in v.values()))
+        length = math.sqrt(sum(x * x for x in v.values())) or 1
         v = {t: x / length for t, x in v.items()}
         scores = [sum(x * s.get(t, 0.0) for t, x in v.items()) / k for s, k in zip(sums, sizes)]
         at = max(range(len(scores)), key=lambda i: (scores[i], -i), default=None)
@@ -178,23 +179,44 @@ def one_after_another(rows, threshold):
     return out
 
 
-def test_single_pass_is_the_rule_on_few(spark):
-    docs = planted(spark).where("seq < 40")
-    whole, _ = cluster.single_pass(docs, 0.2, first=64)
-    rows = [(r.seq, r.tokens) for r in docs.orderBy("seq").collect()]
-    assert {r.seq: r.cluster_id for r in whole.collect()} == one_after_another(rows, 0.2)
+@pytest.mark.parametrize("batch, listed", [(2048, 64), (7, 64), (11, 2), (16, 1)])
+def test_single_pass_is_the_rule(spark, monkeypatch, batch, listed):
+    """Whatever the size of batches and lists; documents without a token and equal ones included."""
+    monkeypatch.setattr(cluster, "LISTED", listed)
+    monkeypatch.setattr(cluster, "RARE", 3)
+    rows = [(r.seq, r.tokens) for r in planted(spark).orderBy("seq").collect()]
+    rows += [(60, []), (61, rows[3][1]), (62, []), (63, ["alone"]), (64, rows[3][1]), (65, ["alone", "alone"])]
+    docs = spark.createDataFrame([(a, a, t) for a, t in rows], "seq long, publish_s long, tokens array<string>")
+    for threshold in (0.2, 0.45):
+        found, centroids = cluster.single_pass(docs, threshold, batch=batch)
+        assert {r.seq: r.cluster_id for r in found.collect()} == one_after_another(rows, threshold)
+    assert centroids.count() > 0
 
 
-def test_single_pass_is_near_the_rule_on_many(spark, sf):
-    """Past the first batch centroids move once a batch, not once a document; most pairs of documents are together or apart all the same."""
-    docs = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("seq"), F.col("doc_id").alias("publish_s"), tx.tokenize(F.col("text")).alias("tokens"))
+def test_single_pass_is_the_rule_on_texts(spark, caplog):
+    """All documents of a larger table, in few rounds."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(F.col("doc_id").alias("seq"), F.col("doc_id").alias("publish_s"), tx.tokenize(F.col("text")).alias("tokens"))
     rows = [(r.seq, r.tokens) for r in docs.orderBy("seq").collect()]
-    plain = one_after_another([r for r in rows if r[1]], 0.04)
-    found = {r.seq: r.cluster_id for r in cluster.single_pass(docs, 0.04)[0].collect()}
-    assert len(found) == len(rows)
-    seqs = sorted(plain)
-    same = [(plain[a] == plain[b]) == (found[a] == found[b]) for i, a in enumerate(seqs) for b in seqs[:i]]
-    assert sum(same) / len(same) >= 0.9
+    with caplog.at_level("INFO", "eventloom.operators.cluster"):
+        found = {r.seq: r.cluster_id for r in cluster.single_pass(docs, 0.04, batch=256)[0].collect()}
+    assert found == one_after_another(rows, 0.04) and len([r for r in caplog.records if r.getMessage().startswith("round")]) < 50
+
+
+def test_single_pass_without_rows(spark):
+    found, centroids = cluster.single_pass(spark.createDataFrame([], "seq long, publish_s long, tokens array<string>"))
+    assert found.count() == centroids.count() == 0
+
+
+def test_products_of_a_batch():
+    rng = random.Random(2)
+    entries = sorted({(rng.randrange(30), min(rng.randrange(400), rng.randrange(400))): rng.random() for _ in range(2000)}.items())
+    entries += [((d, 999), 0.5) for d in range(30)]
+    d, t, w = (np.array(x) for x in ([e[0][0] for e in entries], [e[0][1] for e in entries], [e[1] for e in entries]))
+    dense = np.zeros((30, 1000))
+    dense[d, t] = w
+    out = cluster.gram(d, t, w, 30)
+    off = ~np.eye(30, dtype=bool)
+    assert np.allclose(out[off], (dense @ dense.T)[off])
 
 
 def test_rows_are_numbered_in_order(spark):
