@@ -44,7 +44,7 @@ ADDED = 0.1
 #: How much the shorter context weighs, in counts: after one word, after two.
 PRIOR = (1000.0, 4.0)
 #: Tokens of a block, and about so many of a shard.
-BLOCK_TOKENS, SHARD_TOKENS = 1 << 22, 1 << 22
+BLOCK_TOKENS, SHARD_TOKENS = 1 << 21, 1 << 21
 #: Bytes of a text cut into words at once.
 PIECE = 1 << 20
 UNKNOWN, BEGIN, END, FIRST_WORD = 0, 1, 2, 3
@@ -331,9 +331,23 @@ def _pairs_of(dv: np.ndarray, du: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return v, sums - np.repeat(before, np.diff(np.append(starts, len(dv))))
 
 
-#: Rows of a block: words (at, word, n) with their training counts, and one (docs to n) with its documents; n is then its number of tokens.
-CUT = "block long, at int, word binary, n long, docs array<long>, held array<boolean>, lengths array<int>, tokens binary, trained long"
-_CUT = pa.schema([("block", pa.int64()), ("at", pa.int32()), ("word", pa.binary()), ("n", pa.int64()), ("docs", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int32())), ("tokens", pa.binary()), ("trained", pa.int64())])
+#: Rows of a block: words (at, word, n) with their training counts, and one with its documents and tokens; n is then the number of tokens, trained that of training documents.
+CUT = "block long, at int, word binary, n long, docs binary, tokens binary, trained long"
+_CUT = pa.schema([("block", pa.int64()), ("at", pa.int32()), ("word", pa.binary()), ("n", pa.int64()), ("docs", pa.binary()), ("tokens", pa.binary()), ("trained", pa.int64())])
+_DOCS = pa.schema([("doc", pa.int64()), ("held", pa.bool_()), ("length", pa.int64())])
+
+
+def _docs_to_bytes(docs: list, held: list, lengths: list) -> bytes:
+    """Arrow's stream format; columns of lists would be costly among many rows without them."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, _DOCS) as out:
+        out.write_batch(pa.record_batch([pa.array(c, f.type) for c, f in zip((docs, held, lengths), _DOCS)], schema=_DOCS))
+    return sink.getvalue().to_pybytes()
+
+
+def _docs_from_bytes(data: bytes) -> tuple[list, np.ndarray, np.ndarray]:
+    t = pa.ipc.open_stream(data).read_all()
+    return t["doc"].to_pylist(), t["held"].to_numpy(), t["length"].to_numpy()
 
 
 def _words(data: bytes) -> Iterator[list[bytes]]:
@@ -368,7 +382,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = words[s : s + (1 << 16)]
             size = len(part)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(size, block)), pa.array(np.arange(s, s + size, dtype=np.int32)), pa.array(part, pa.binary()), pa.array(n[s : s + size]), *(pa.nulls(size, f.type) for f in list(_CUT)[4:])], schema=_CUT)
-        one = [[block], [None], [None], [len(tokens) + len(docs)], [docs], [held], [lengths], [to_bytes(tokens)], [len(held) - sum(held)]]
+        one = [[block], [None], [None], [len(tokens) + len(docs)], [_docs_to_bytes(docs, held, lengths)], [to_bytes(tokens)], [len(held) - sum(held)]]
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(one, _CUT)], schema=_CUT)
 
     for batch in chunks(batches, 64):
@@ -387,9 +401,9 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 #: What blocks send: to each shard its n-grams, and (shard -1) the block itself with the pairs of words whose successors lie in several shards.
-SENT = "shard int, block long, grams binary, docs array<long>, held array<boolean>, lengths array<int>, tokens binary, ids binary, pairs array<struct<v:long,u:long,to:int,n:long>>"
+SENT = "shard int, block long, grams binary, docs binary, tokens binary, ids binary, pairs array<struct<v:long,u:long,to:int,n:long>>"
 _PAIR = pa.struct([("v", pa.int64()), ("u", pa.int64()), ("to", pa.int32()), ("n", pa.int64())])
-_SENT = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("grams", pa.binary()), ("docs", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int32())), ("tokens", pa.binary()), ("ids", pa.binary()), ("pairs", pa.list_(_PAIR))])
+_SENT = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("grams", pa.binary()), ("docs", pa.binary()), ("tokens", pa.binary()), ("ids", pa.binary()), ("pairs", pa.list_(_PAIR))])
 
 
 def _by_block(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
@@ -418,23 +432,23 @@ def _send(counts, shards: int):
         for at, parts in _by_block(batches, "block"):
             t = pa.Table.from_batches(parts)
             place, ids = (t[c].drop_null().to_numpy() for c in ("at", "id"))
-            (row,) = t.filter(pa.compute.is_valid(t["docs"])).select(["docs", "held", "lengths", "tokens"]).to_pylist()
+            (row,) = t.filter(pa.compute.is_valid(t["docs"])).select(["docs", "tokens"]).to_pylist()
             (tokens,) = from_bytes(row["tokens"], 1)
             every = np.unique(np.append(ids, [UNKNOWN, BEGIN, END]))
             local = np.zeros(int(tokens.max(initial=-1)) + 1, np.int64)
             local[place] = np.searchsorted(every, ids)
-            block = Block(row["docs"], np.array(row["held"]), np.array(row["lengths"]), local[tokens], every)
+            block = Block(*_docs_from_bytes(row["docs"]), local[tokens], every)
             _, _, (v, u, w, n), shard = block.grams(known, shards)
             bounds = np.flatnonzero(np.diff(shard, prepend=-1))
             for s, e in zip(bounds, np.append(bounds[1:], len(shard))):
-                one = [[int(shard[s])], [at], [to_bytes(*_steps_of(v[s:e], u[s:e]), w[s:e], n[s:e])], *[[None]] * 6]
+                one = [[int(shard[s])], [at], [to_bytes(*_steps_of(v[s:e], u[s:e]), w[s:e], n[s:e])], *[[None]] * 4]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(one, _SENT)], schema=_SENT)
             split = np.flatnonzero(known.splits(v) > 1)
             _, first, of = np.unique(packed(shard[split], v[split], u[split]), return_index=True, return_inverse=True)
             places = split[first]
             columns = v[places], u[places], shard[places], np.bincount(of, n[split], len(first)).astype(np.int64)
             pairs = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _PAIR)], fields=list(_PAIR))
-            one = [[-1], [at], [None], [row["docs"]], [row["held"]], [row["lengths"]], [to_bytes(local[tokens])], [to_bytes(np.diff(every, prepend=0))]]
+            one = [[-1], [at], [None], [row["docs"]], [to_bytes(local[tokens])], [to_bytes(np.diff(every, prepend=0))]]
             arrays = [pa.array(c, f.type) for c, f in zip(one, _SENT)] + [pa.ListArray.from_arrays(pa.array([0, len(pairs)], pa.int32()), pairs)]
             yield pa.RecordBatch.from_arrays(arrays, schema=_SENT)
 
@@ -492,7 +506,7 @@ def _score(counts, shards: int):
             rows = pa.Table.from_batches(parts).to_pylist()
             (row,) = [r for r in rows if r["shard"] < 0]
             ids = np.cumsum(from_bytes(row["ids"], 1)[0])
-            block = Block(row["docs"], np.array(row["held"]), np.array(row["lengths"]), from_bytes(row["tokens"], 1)[0], ids)
+            block = Block(*_docs_from_bytes(row["docs"]), from_bytes(row["tokens"], 1)[0], ids)
             asked, place, _, _ = block.grams(known, shards)
             codes = np.concatenate([np.zeros(0, np.int64), *(from_bytes(r["codes"], 1)[0] for r in sorted((r for r in rows if r["shard"] >= 0), key=lambda r: r["shard"]))])
             share = np.log10(known.share(ids))[block.w]
@@ -535,7 +549,7 @@ def score_documents(docs: DataFrame, *, prior: tuple[float, float] = PRIOR, id_c
     counts = docs.sparkSession.sparkContext.broadcast(Counts(steps, trained))
     shards = max(1, -(-total // SHARD_TOKENS))
     placed = words.join(ids.select("word", "id"), "word").select("block", "at", "id")
-    both = placed.unionByName(blocks.select("block", "docs", "held", "lengths", "tokens"), allowMissingColumns=True).repartition("block").sortWithinPartitions("block")
+    both = placed.unionByName(blocks.select("block", "docs", "tokens"), allowMissingColumns=True).repartition("block").sortWithinPartitions("block")
     sent = stash(both.mapInArrow(_send(counts, shards), SENT), "sent")
     unstash(cut)
     asked = sent.where("shard >= 0").select("shard", "block", "grams")
@@ -545,7 +559,7 @@ def score_documents(docs: DataFrame, *, prior: tuple[float, float] = PRIOR, id_c
     needed = pairs.select(F.col("to").alias("shard"), "v", "u").distinct().join(totals, ["v", "u"])
     asked = asked.unionByName(needed, allowMissingColumns=True).repartition("shard").sortWithinPartitions("shard", "block")
     codes = stash(asked.mapInArrow(_answer(counts, prior), "shard int, block long, codes binary"), "codes")
-    every = sent.where("shard < 0").select("shard", "block", "docs", "held", "lengths", "tokens", "ids").unionByName(codes, allowMissingColumns=True)
+    every = sent.where("shard < 0").select("shard", "block", "docs", "tokens", "ids").unionByName(codes, allowMissingColumns=True)
     out = stash(every.repartition("block").sortWithinPartitions("block", "shard").mapInArrow(_score(counts, shards), RESULT), "scores")
     unstash(sent, codes)
     return out
