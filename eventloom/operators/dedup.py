@@ -3,14 +3,22 @@
 Pairs within a small Hamming distance k are found without comparing all pairs: the
 fingerprint is cut into k + 1 bands, and two fingerprints within k agree on one of them.
 Copies of a fingerprint are one member, so a group of copies is never paired.
+
+Where only the first near row of each is asked for (the greedy rule, counts, stores), the
+members of a band's bucket meet as blocks in tasks: two blocks' fingerprints make a matrix of
+differing bits, and a row each at most comes out. So large groups of near fingerprints make no
+pair rows. The greedy rule takes the rows that have a near one in order, a block of them at a
+time: what is near a row kept before goes, the rest is settled within the block.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +26,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as tx
 from ..sources.tables import stash, unstash
+from .lookups import numbered
 
 
 def simhash64_native(texts: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -94,28 +103,132 @@ def copies_of(prints: DataFrame, scope: str | None = None) -> DataFrame:
     return rows.select(*keys, "seq_a", "seq_b", F.lit(0).cast("long").alias("distance"))
 
 
+#: Rows of one side of a bucket that meet those of the other in one task; rows compared at once; rows that the greedy rule settles at a time.
+RIGHT_ROWS, LEFT_ROWS, TILE, SETTLED = 1 << 14, 1 << 16, 512, 1 << 16
+
+
+def _met(k: int):
+    """Rows come by bucket and block, those of the right side first and by seq; yields each left row's first near right one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, seqs, prints = None, [], []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            parts = [batch.column(c) for c in ("bucket", "i", "j", "side")]
+            parts = [c.to_numpy() for c in parts]
+            cuts = [0, *(np.flatnonzero(np.any([np.diff(c) != 0 for c in parts], axis=0)) + 1).tolist(), batch.num_rows]
+            of, seq, bits = (batch.column(c).to_numpy() for c in ("before", "seq", "fingerprint"))
+            found = []
+            for start, end in zip(cuts, cuts[1:]):
+                at = tuple(int(c[start]) for c in parts[:3])
+                if at != key:
+                    key, seqs, prints = at, [], []
+                if not parts[3][start]:
+                    seqs.append(seq[start:end]), prints.append(bits[start:end])
+                    continue
+                if not seqs:
+                    continue
+                right, right_bits = np.concatenate(seqs), np.concatenate(prints)
+                seqs, prints = [right], [right_bits]
+                for s in range(start, end, TILE):
+                    e = min(s + TILE, end)
+                    near = np.bitwise_count((bits[s:e, None] ^ right_bits[None]).view(np.uint64)) <= k
+                    near &= right[None] < of[s:e, None]
+                    near &= right[None] != seq[s:e, None]
+                    some = np.flatnonzero(near.any(axis=1))
+                    found.append((seq[s:e][some], right[near[some].argmax(axis=1)]))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*found)], names=["seq", "of"])
+
+    return run
+
+
+def first_near(left: DataFrame, right: DataFrame, k: int = 3, scope: str | None = None, earlier: bool = True) -> DataFrame:
+    """seq, of: for each row of ``left`` the least seq of ``right`` within k bits, and before it if ``earlier``; rows without one are left out.
+
+    Both have seq, fingerprint and perhaps a scope. A row itself doesn't count, nor do null fingerprints.
+    """
+    keys = [scope] if scope else []
+
+    def side(df: DataFrame, n: int) -> DataFrame:
+        rows = band_rows(df.select(*keys, "seq", "fingerprint").where("fingerprint is not null"), k)
+        before = F.col("seq") if earlier else F.lit((1 << 63) - 1)
+        return rows.select(F.xxhash64(*keys, "band", "bits").alias("bucket"), "seq", "fingerprint", before.alias("before"), F.lit(n).alias("side"), *keys)
+
+    rows = side(right, 0).unionByName(side(left, 1))
+    sizes = rows.groupBy("bucket").agg(F.count_if(F.col("side") == 0).alias("rights"), F.count_if(F.col("side") == 1).alias("lefts"))
+    large = sizes.where((F.col("rights") > RIGHT_ROWS) | (F.col("lefts") > LEFT_ROWS)).select("bucket", F.ceil(F.col("rights") / RIGHT_ROWS).cast("int").alias("j_n"), F.ceil(F.col("lefts") / LEFT_ROWS).cast("int").alias("i_n"))
+    rows = rows.join(large, "bucket", "left").withColumns({"i_n": F.greatest(F.coalesce("i_n", F.lit(1)), F.lit(1)), "j_n": F.greatest(F.coalesce("j_n", F.lit(1)), F.lit(1))})
+    own = lambda n: F.pmod(F.xxhash64("fingerprint"), F.col(n)).cast("int")
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    rows = rows.withColumn("i", F.explode(F.when(F.col("side") == 0, every("i_n")).otherwise(F.array(own("i_n"))))).withColumn("j", F.explode(F.when(F.col("side") == 1, every("j_n")).otherwise(F.array(own("j_n")))))
+    dealt = rows.select("bucket", "i", "j", "side", "seq", "fingerprint", "before")
+    dealt = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "side", "seq")
+    return dealt.mapInArrow(_met(k), "seq long, of long").groupBy("seq").agg(F.min("of").alias("of"))
+
+
+def _greedy(k: int):
+    """The rule within a block of one scope: a row is kept unless it is near one kept before."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("seq")
+        bits, kept, n = rows["fingerprint"].to_numpy(np.int64).view(np.uint64), np.zeros(len(rows), np.uint64), 0
+        gone = np.zeros(len(rows), bool)
+        for start in range(0, len(rows), TILE):
+            tile = bits[start : start + TILE]
+            # Against what was kept before the tile at once, then one after another.
+            for at in range(0, n, RIGHT_ROWS):
+                gone[start : start + TILE] |= (np.bitwise_count(tile[:, None] ^ kept[None, at : min(n, at + RIGHT_ROWS)]) <= k).any(axis=1)
+            first = n
+            for x in range(start, min(start + TILE, len(rows))):
+                if not gone[x] and not (np.bitwise_count(kept[first:n] ^ bits[x]) <= k).any():
+                    kept[n] = bits[x]
+                    n += 1
+                else:
+                    gone[x] = True
+        return pd.DataFrame({"seq": rows["seq"].to_numpy(), "kept": ~gone})
+
+    return run
+
+
 def near_dup_greedy(prints: DataFrame, k: int = 3, scope: str | None = None) -> DataFrame:
-    """``prints`` with ``kept``: a row is kept unless it is within k bits of a kept row before it.
+    """``prints`` with ``kept``: a row is kept unless it is within k bits of a kept row before it (of its scope).
 
-    Undecided rows whose earlier neighbours are all dropped are kept, those with a kept
-    earlier neighbour are dropped, until none is left. Only rows with a near one take part.
+    Of equal fingerprints the first stands for all; rows without one are kept. Only first rows
+    that have a near one are settled, in order and block by block, all scopes side by side.
     """
     keys = [scope] if scope else []
-    pairs = stash(near_dup_pairs(prints, k, scope).select("seq_a", "seq_b"), "pairs")
-    state = stash(pairs.select(F.col("seq_a").alias("seq")).unionByName(pairs.select(F.col("seq_b").alias("seq"))).distinct().withColumn("state", F.lit(0)), "state")
-    while not state.where("state = 0").isEmpty():
-        before = pairs.join(state.select(F.col("seq").alias("seq_a"), F.col("state").alias("state_a")), "seq_a")
-        seen = before.groupBy(F.col("seq_b").alias("seq")).agg(F.max("state_a").alias("most"), F.min("state_a").alias("least"))
-        # States: 0 undecided, 1 kept, -1 dropped.
-        decided = F.when(F.col("state") != 0, F.col("state")).when(F.col("most") == 1, -1).when(F.col("most").isNull() | ((F.col("most") == -1) & (F.col("least") == -1)), 1).otherwise(0)
-        state, old = stash(state.join(seen, "seq", "left").select("seq", decided.alias("state")), "state"), state
-        unstash(old)
-    dropped = state.where("state = -1").select("seq")
-    firsts = prints.groupBy(*keys, "fingerprint").agg(F.min("seq").alias("first"))
-    marked = prints.join(firsts, [*keys, "fingerprint"], "left").join(dropped.withColumn("gone", F.lit(True)), "seq", "left")
-    # A null fingerprint (no text) is always kept.
-    kept = F.col("fingerprint").isNull() | ((F.col("seq") == F.col("first")) & F.col("gone").isNull())
-    return marked.withColumn("kept", kept).select(*prints.columns, "kept")
+    known = prints.where("fingerprint is not null")
+    firsts = stash(known.groupBy(*keys, "fingerprint").agg(F.min("seq").alias("seq")), "firsts")
+    undecided = stash(firsts.join(first_near(firsts, firsts, k, scope, earlier=False).select("seq"), "seq"), "undecided")
+    placed = dealt = numbered(undecided, *keys, "seq")
+    if scope:
+        begins = placed.groupBy(F.col(scope).alias("__scope")).agg(F.min("pos").alias("__first"))
+        placed = placed.join(begins, F.col(scope).eqNullSafe(F.col("__scope"))).withColumn("pos", F.col("pos") - F.col("__first") + 1)
+    placed = stash(placed.select(*keys, "seq", "fingerprint", F.floor((F.col("pos") - 1) / SETTLED).cast("long").alias("block")), "placed")
+    unstash(undecided, dealt)
+    last = placed.agg(F.max("block")).first()[0]
+    settled, kept = [], None
+    for block in range(0 if last is None else last + 1):
+        now = placed.where(F.col("block") == block)
+        if kept is not None:
+            gone = stash(first_near(now, kept, k, scope).select("seq"), "gone")
+            settled.append(gone.withColumn("kept", F.lit(False)))
+            now = now.join(gone, "seq", "left_anti")
+        done = stash(now.withColumn("g", F.lit(0)).groupBy(*keys or ["g"]).applyInPandas(_greedy(k), "seq long, kept boolean"), "done")
+        settled.append(done)
+        stay = placed.join(done.where("kept").select("seq"), "seq", "left_semi").select(*keys, "seq", "fingerprint")
+        stay = stash(stay, "stay") if block < last else stay
+        kept = stay if kept is None else kept.unionByName(stay)
+    dropped = None
+    for part in settled:
+        part = part.where("not kept").select("seq")
+        dropped = part if dropped is None else dropped.unionByName(part)
+    first = firsts.select("seq", F.lit(True).alias("__first"))
+    # By seq alone, so that the rows' other columns move once.
+    marked = prints.join(first if dropped is None else first.join(dropped, "seq", "left_anti"), "seq", "left")
+    return marked.withColumn("kept", F.col("fingerprint").isNull() | F.col("__first").isNotNull()).select(*prints.columns, "kept")
 
 
 def dedup_url(new: DataFrame, stored: DataFrame, url: str = "source_url") -> DataFrame:
@@ -127,17 +240,15 @@ def dedup_url(new: DataFrame, stored: DataFrame, url: str = "source_url") -> Dat
 
 def dedup_store(new: DataFrame, stored: DataFrame, k: int = 3) -> DataFrame:
     """New rows that are near no stored fingerprint and no kept new row before them."""
-    old = band_rows(stored.select("fingerprint").where("fingerprint is not null").distinct(), k).select("band", "bits", F.col("fingerprint").alias("old"))
-    near = band_rows(new.select("seq", "fingerprint").where("fingerprint is not null"), k).join(old, ["band", "bits"]).where(F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("old"))) <= k)
-    fresh = new.join(near.select("seq").distinct(), "seq", "left_anti")
+    old = stored.select("fingerprint").where("fingerprint is not null").distinct().select("fingerprint", F.lit(-(1 << 63)).alias("seq"))
+    near = first_near(new, old, k, earlier=False)
+    fresh = new.join(near.select("seq"), "seq", "left_anti")
     return near_dup_greedy(fresh, k).where("kept").drop("kept")
 
 
 def comment_dup_count(comments: DataFrame, k: int = 3) -> DataFrame:
     """Kept comments with ``duplicate_count``: themselves and the later comments near them; a comment near several counts for the first."""
     kept = stash(near_dup_greedy(comments, k), "comments")
-    good = band_rows(kept.where("kept and fingerprint is not null").select(F.col("seq").alias("of"), "fingerprint"), k).select("band", "bits", "of", F.col("fingerprint").alias("own"))
-    gone = band_rows(kept.where("not kept").select("seq", "fingerprint"), k)
-    near = gone.join(good, ["band", "bits"]).where((F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("own"))) <= k) & (F.col("of") < F.col("seq")))
-    counts = near.groupBy("seq").agg(F.min("of").alias("of")).groupBy(F.col("of").alias("seq")).agg(F.count(F.lit(1)).alias("n"))
+    near = first_near(kept.where("not kept"), kept.where("kept"), k)
+    counts = near.groupBy(F.col("of").alias("seq")).agg(F.count(F.lit(1)).alias("n"))
     return kept.where("kept").join(counts, "seq", "left").withColumn("duplicate_count", F.coalesce("n", F.lit(0)) + 1).drop("kept", "n")

@@ -312,3 +312,48 @@ def test_pairs_and_copies_are_all_near_rows(spark, sf):
             kept.append((seq, p))
     found = {r.seq for r in dedup.near_dup_greedy(prints).where("kept and fingerprint is not null").collect()}
     assert found == {seq for seq, _ in kept}
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_greedy_rule_in_large_near_groups(spark, monkeypatch, small):
+    """Thousands of fingerprints within three bits of one centre, chains and scopes, against the loop; no row a pair comes out."""
+    if small:
+        for name, value in (("RIGHT_ROWS", 50), ("LEFT_ROWS", 90), ("TILE", 7), ("SETTLED", 200)):
+            monkeypatch.setattr(dedup, name, value)
+    rng = random.Random(11)
+    centre, rows = rng.getrandbits(64), []
+    for i in range(600 if small else 6000):
+        p = centre
+        for bit in rng.sample(range(64), rng.randrange(4)):
+            p ^= 1 << bit
+        rows.append((i, ("a", "b", "b", None)[i % 4], p - (1 << 64) if p >> 63 else p))
+    chain = 0
+    for i in range(200):
+        chain ^= 1 << (i % 60)
+        rows.append((10_000 + i, "c", chain))
+    rows += [(20_000, "a", None), (20_001, None, None), (20_002, "d", 5)]
+    df = spark.createDataFrame(rows, "seq long, event_id string, fingerprint long")
+    for scope in (None, "event_id"):
+        kept, of = {}, {}
+        for seq, name, p in rows:
+            if p is not None:
+                own = kept.setdefault(name if scope else 0, [])
+                near = [s for s, q in own if ((p ^ q) & (1 << 64) - 1).bit_count() <= 3]
+                if near:
+                    of[seq] = near[0]
+                else:
+                    own.append((seq, p))
+        want = {s for own in kept.values() for s, _ in own} | {20_000, 20_001}
+        assert {r.seq for r in dedup.near_dup_greedy(df, 3, scope).where("kept").collect()} == want
+        if not scope:
+            counts = Counter(of.values())
+            assert {r.seq: r.duplicate_count for r in dedup.comment_dup_count(df).collect()} == {s: 1 + counts[s] for s in want}
+    left, right = df.where("seq % 2 = 0"), df.where("seq % 3 = 0 and event_id <> 'b'")
+    for earlier in (True, False):
+        want = {}
+        for seq, _, p in rows:
+            near = [s for s, name, q in rows if s % 3 == 0 and name in ("a", "c", "d") and None not in (p, q) and s != seq and (s < seq or not earlier) and ((p ^ q) & (1 << 64) - 1).bit_count() <= 3] if small and seq % 2 == 0 else []
+            if near:
+                want[seq] = near[0]
+        if small:
+            assert {r.seq: r.of for r in dedup.first_near(left, right, 3, earlier=earlier).collect()} == want
