@@ -13,7 +13,12 @@ from ..values import BIG_V, OFFICIAL, PLAIN, ROLE_BEGINS, ROLE_LEADS, ROLE_PEAKS
 
 def platform_dist(posts: DataFrame) -> DataFrame:
     """event_id, platform, ratio, rank by share (the name on a tie)."""
-    n = posts.groupBy("event_id", "platform").agg(F.count(F.lit(1)).alias("n"))
+    return platforms_of(posts.groupBy("event_id", "platform").agg(F.count(F.lit(1)).alias("n")))
+
+
+def platforms_of(facts: DataFrame) -> DataFrame:
+    """``platform_dist`` of counts ``n`` by event_id, platform and perhaps more."""
+    n = facts.groupBy("event_id", "platform").agg(F.sum("n").alias("n"))
     w = Window.partitionBy("event_id")
     return n.select("event_id", "platform", F.round(F.col("n") / F.sum("n").over(w), 3).alias("ratio"), (F.row_number().over(w.orderBy(F.desc("n"), "platform")) - 1).alias("rank"))
 
@@ -147,12 +152,11 @@ def propagation_path(nodes: DataFrame, chain: DataFrame | None = None) -> DataFr
 def summary(posts: DataFrame, keywords: DataFrame, most: int = 3) -> DataFrame:
     """The first sentences of the article that names most keywords in its lead; of any post if there is no article."""
     words = keywords.groupBy("event_id").agg(F.array_sort(F.collect_set("word")).alias("words"))
-    rows = posts.join(words, "event_id", "left")
-    lead = F.substring(F.concat("title", F.lit("。"), "content"), 1, 300)
-    hits = F.size(F.filter(F.coalesce("words", F.array().cast("array<string>")), lambda k: F.contains(lead, k)))
-    best = rows.groupBy("event_id").agg(
-        F.max_by(F.struct("title", "content"), F.struct((vl.text_type(F.col("platform")) == "article").alias("a"), hits.alias("h"), F.length("content").alias("l"), (-F.col("seq")).alias("s"))).alias("b")
-    )
+    # The post is chosen by its lead and length; only the chosen ones' texts are read again.
+    leads = posts.select("event_id", "seq", (vl.text_type(F.col("platform")) == "article").alias("a"), F.substring(F.concat("title", F.lit("。"), "content"), 1, 300).alias("lead"), F.length("content").alias("l"))
+    hits = F.size(F.filter(F.coalesce("words", F.array().cast("array<string>")), lambda k: F.contains("lead", k)))
+    chosen = leads.join(words, "event_id", "left").groupBy("event_id").agg(F.max(F.struct("a", hits.alias("h"), "l", (-F.col("seq")).alias("s"))).alias("top")).select("event_id", (-F.col("top.s")).alias("seq"))
+    best = posts.join(chosen, ["event_id", "seq"]).groupBy("event_id").agg(F.min(F.struct("title", "content")).alias("b"))
     own, title = tx.sentences(F.col("b.content")), tx.sentences(F.col("b.title"))
     sents = F.when(F.size(own) > 0, own).otherwise(title)
     return best.select("event_id", F.when(F.size(sents) > 0, F.concat(F.array_join(F.slice(sents, 1, most), "。"), F.lit("。"))).otherwise(F.col("b.title")).alias("summary"))

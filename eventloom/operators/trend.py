@@ -38,13 +38,31 @@ def heat(posts: DataFrame, as_of: int, half_life_hours: float = 24) -> DataFrame
 
 def heat_column(as_of: int, half_life_hours: float = 24) -> Column:
     """The aggregate of ``heat``, so that it can share a pass with others."""
+    return F.round(F.sum(decayed(as_of, half_life_hours)), 3).alias("heat")
+
+
+def decayed(as_of: int, half_life_hours: float = 24) -> Column:
     age = F.greatest(F.lit(as_of) - F.col("publish_s"), F.lit(0)) / float(HOUR)
-    return F.round(F.sum(F.exp(-F.log(F.lit(2.0)) * age / half_life_hours)), 3).alias("heat")
+    return F.exp(-F.log(F.lit(2.0)) * age / half_life_hours)
+
+
+def day_facts(posts: DataFrame, as_of: int, half_life_hours: float = 24) -> DataFrame:
+    """event_id, platform, day, n, weight: counts and decayed weights, from which heat, platforms and days follow without another pass over the posts."""
+    return posts.groupBy("event_id", "platform", F.floor(F.col("publish_s") / DAY).alias("day")).agg(F.count(F.lit(1)).alias("n"), F.sum(decayed(as_of, half_life_hours)).alias("weight"))
+
+
+def heat_of(facts: DataFrame) -> DataFrame:
+    return facts.groupBy("event_id").agg(F.round(F.sum("weight"), 3).alias("heat"))
 
 
 def daily_trend(posts: DataFrame) -> DataFrame:
     """event_id, ix, date, cnt for each calendar day from the first to the last, days without posts included."""
-    days = posts.groupBy("event_id", F.floor(F.col("publish_s") / DAY).alias("day")).agg(F.count(F.lit(1)).alias("cnt"))
+    return daily_of(posts.groupBy("event_id", F.floor(F.col("publish_s") / DAY).alias("day")).agg(F.count(F.lit(1)).alias("n")))
+
+
+def daily_of(facts: DataFrame) -> DataFrame:
+    """``daily_trend`` of counts ``n`` by event_id, day and perhaps more."""
+    days = facts.groupBy("event_id", "day").agg(F.sum("n").alias("cnt"))
     span = days.groupBy("event_id").agg(F.min("day").alias("first"), F.max("day").alias("last"))
     grid = span.select("event_id", "first", F.explode(F.sequence("first", "last")).alias("day"))
     out = grid.join(days, ["event_id", "day"], "left")

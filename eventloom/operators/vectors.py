@@ -1,7 +1,8 @@
 """Sparse term vectors in long form (key, term, weight): weights, similarity, keywords, nearest centroids.
 
-Texts are projected away before terms are exploded; counts are partially aggregated;
-similarities come from joins on the term, so only vectors that share a term meet.
+Texts are projected away before terms become rows, which are counted within a document;
+similarities come from joins on the term, so only vectors that share a term meet, and of
+these, where there are many, only pairs that bounds don't rule out.
 """
 
 from __future__ import annotations
@@ -10,10 +11,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.tables import stash
+
 
 def term_counts(tokens: DataFrame, *keys: str) -> DataFrame:
-    """keys, term, n of a table with an array ``tokens``."""
-    return tokens.select(*keys, F.explode("tokens").alias("term")).groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("n"))
+    """keys, term, n of a table with an array ``tokens``; each row is a document of its own, so terms are counted within the row and only distinct ones become rows."""
+    ordered = tokens.select(*keys, F.array_sort("tokens").alias("__t"))
+    starts = F.array_compact(F.transform("__t", lambda t, i: F.when((i == 0) | (F.get("__t", i - 1) != t), i)))
+    runs = ordered.withColumn("__s", starts)
+    found = F.transform("__s", lambda s, k: F.struct(F.get("__t", s).alias("term"), (F.coalesce(F.get("__s", k + 1), F.size("__t")) - s).cast("long").alias("n")))
+    return runs.select(*keys, F.inline(found))
 
 
 def idf(counts: DataFrame, totals: DataFrame, scope: list[str] = ()) -> DataFrame:
@@ -66,19 +73,67 @@ def cosine_full(vectors: DataFrame, key: str) -> DataFrame:
     return unit.join(other, "term").where(F.col(key) != F.col("other")).groupBy(key, "other").agg(F.sum(F.col("w") * F.col("w_b")).alias("score"))
 
 
+#: Products of single terms up to which all pairs that share a term are simply scored; beyond it, a search by bounds. The results are the same.
+FEW_PRODUCTS = 20_000_000
+#: A vector's heaviest terms, and the heaviest vectors of each, that first guesses come from.
+PROBES, CHAMPIONS = 8, 32
+
+
+def _products(vectors: DataFrame, index: DataFrame, key: str, other: str) -> DataFrame:
+    return vectors.join(index, "term").groupBy(key, other).agg(F.sum(F.col("w") * F.col("w_o")).alias("score"))
+
+
+def most_similar(vectors: DataFrame, index: DataFrame, key: str, other: str, k: int, slack: float = 1e-8, itself: bool = True) -> DataFrame:
+    """key, other, score: all pairs whose dot product is within ``slack`` of the key's k-th largest or above it; without those of a key and itself unless ``itself``.
+
+    ``vectors``: key, term, w; ``index``: other, term, w_o; weights are above 0. A key's heaviest
+    terms and their heaviest vectors give first pairs, whose scores bound the k-th one from below. A
+    term's weight times its largest in the index bounds what it can add: terms that together
+    can't reach the k-th score are never looked up, and of what the others bring only pairs are
+    scored whose part so far could still reach it.
+    """
+    reach = index.groupBy("term").agg(F.max("w_o").alias("most"), F.count(F.lit(1)).alias("df"))
+    bounded = stash(vectors.join(reach, "term").select(key, "term", "w", (F.col("w") * F.col("most")).alias("b"), "df"), "bounded")
+    apart = F.lit(True) if itself else F.col(key) != F.col(other)
+    if bounded.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0] <= FEW_PRODUCTS:
+        return _products(bounded.select(key, "term", "w"), index, key, other).where(apart)
+    by_bound = Window.partitionBy(key).orderBy(F.desc("b"), "term")
+    probes = bounded.withColumn("r", F.row_number().over(by_bound)).where(F.col("r") <= PROBES).select(key, "term")
+    champions = index.withColumn("r", F.row_number().over(Window.partitionBy("term").orderBy(F.desc("w_o"), other))).where(F.col("r") <= CHAMPIONS).select("term", other)
+    guessed = probes.join(champions, "term").where(apart).select(key, other).distinct()
+
+    def scored(pairs: DataFrame, terms: DataFrame) -> DataFrame:
+        return pairs.join(terms, key).join(index, [other, "term"]).groupBy(key, other).agg(F.sum(F.col("w") * F.col("w_o")).alias("score"))
+
+    first = scored(guessed, bounded.select(key, "term", "w"))
+    kth = first.withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), other))).where(F.col("r") == k).select(key, (F.col("score") - slack).alias("least"))
+    rising = Window.partitionBy(key).orderBy("b", "term").rowsBetween(Window.unboundedPreceding, 0)
+    parted = bounded.join(kth, key, "left").withColumn("least", F.coalesce("least", F.lit(0.0))).withColumn("sum", F.sum("b").over(rising))
+    parted = stash(parted.withColumn("tail", F.col("sum") < F.col("least")), "parted")
+    rest = parted.groupBy(key).agg(F.coalesce(F.max(F.when(F.col("tail"), F.col("sum"))), F.lit(0.0)).alias("rest"), F.max("least").alias("least"))
+    heads = parted.where("not tail").select(key, "term", "w").join(index, "term").where(apart).groupBy(key, other).agg(F.sum(F.col("w") * F.col("w_o")).alias("head"))
+    hopeful = stash(heads.join(rest, key).where(F.col("head") + F.col("rest") >= F.col("least")).select(key, other, "head", "least"), "hopeful")
+    tails = scored(hopeful.select(key, other), parted.where("tail").select(key, "term", "w"))
+    out = hopeful.join(tails, [key, other], "left").withColumn("score", F.col("head") + F.coalesce("score", F.lit(0.0)))
+    return out.where(F.col("score") >= F.col("least")).select(key, other, "score")
+
+
 def similar_events(texts: DataFrame, k: int = 5, key: str = "event_id") -> DataFrame:
     """The k most similar events of each by tf-idf over ``tokens`` (character bigrams); scores above 0, to 4 places."""
-    counts = term_counts(texts, key)
+    counts = stash(term_counts(texts, key), "event-terms")
     total = texts.agg(F.count(F.lit(1)).alias("total"))
     weighted = tf_relative(counts, key).join(idf(counts, total), "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
-    scored = cosine_full(weighted, key).withColumn("score", F.round("score", 4)).where("score > 0")
+    unit = stash(weighted.select(key, "term", (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))).alias("w")), "event-vectors")
+    index = unit.select(F.col(key).alias("other"), "term", F.col("w").alias("w_o"))
+    scored = most_similar(unit, index, key, "other", k, slack=1e-4, itself=False).withColumn("score", F.round("score", 4)).where("score > 0")
     w = Window.partitionBy(key).orderBy(F.desc("score"), "other")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def assign_nearest(vectors: DataFrame, centroids: DataFrame, keys: DataFrame, key: str = "comment_id") -> DataFrame:
     """key, cluster_id: the centroid with the largest product, the smaller id on ties; 0 without a shared term."""
-    scored = cosine_sparse(vectors, centroids, key, "cluster_id")
+    index = centroids.select("cluster_id", "term", F.col("w").alias("w_o"))
+    scored = most_similar(vectors, index, key, "cluster_id", 1)
     best = scored.groupBy(key).agg(F.max_by("cluster_id", F.struct(F.round("score", 9), -F.col("cluster_id"))).alias("cluster_id"))
     return keys.select(key).join(best, key, "left").select(key, F.coalesce("cluster_id", F.lit(0)).cast("long").alias("cluster_id"))
 

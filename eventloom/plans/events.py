@@ -44,10 +44,16 @@ def events(s, d):
     return stash(out, "events")
 
 
+def _facts(s, d):
+    """Counts and heat by event, platform and day, written: a few rows that stand for all posts."""
+    return stash(trend.day_facts(posts(s, d), AS_OF), "facts")
+
+
 def hot_list(s, d):
     w_order = [F.desc("heat"), F.asc("event_id")]
-    top = report.platform_dist(posts(s, d)).where("rank = 0").select("event_id", F.col("platform").alias("top_platform"))
-    peak = trend.event_time(trend.daily_trend(posts(s, d)))
+    facts = _facts(s, d)
+    top = report.platforms_of(facts).where("rank = 0").select("event_id", F.col("platform").alias("top_platform"))
+    peak = trend.event_time(trend.daily_of(facts))
     return events(s, d).join(top, "event_id").join(peak, "event_id").select("event_id", "title", "heat", "risk_level", "positive", "neutral", "negative", "report_count", "top_platform", "event_time").orderBy(*w_order)
 
 
@@ -95,9 +101,10 @@ def _round(df, column="w", places=6):
 
 
 def _detail(s, d):
-    daily = trend.daily_trend(posts(s, d))
+    facts = _facts(s, d)
+    daily = trend.daily_of(facts)
     future = trend.forecast(daily).withColumn("date", F.col("date").cast("string"))
-    return lookups.event_detail(trend.heat(posts(s, d), AS_OF), keywords(s, d), report.platform_dist(posts(s, d)), daily.withColumn("date", F.col("date").cast("string")), future)
+    return lookups.event_detail(trend.heat_of(facts), keywords(s, d), report.platforms_of(facts), daily.withColumn("date", F.col("date").cast("string")), future)
 
 
 def _detail_flat(s, d):

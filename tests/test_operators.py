@@ -357,3 +357,61 @@ def test_greedy_rule_in_large_near_groups(spark, monkeypatch, small):
                 want[seq] = near[0]
         if small:
             assert {r.seq: r.of for r in dedup.first_near(left, right, 3, earlier=earlier).collect()} == want
+
+
+def test_terms_are_counted_within_a_row(spark):
+    rows = [(1, ["b", "a", "b", "b"]), (2, []), (3, None), (4, ["x"]), (5, list("zyxzyz"))]
+    out = vectors.term_counts(spark.createDataFrame(rows, "doc_id int, tokens array<string>"), "doc_id")
+    assert out.dtypes == [("doc_id", "int"), ("term", "string"), ("n", "bigint")]
+    assert sorted(map(tuple, out.collect())) == [(1, "a", 1), (1, "b", 3), (4, "x", 1), (5, "x", 1), (5, "y", 2), (5, "z", 3)]
+
+
+def test_bounded_search_equals_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "FEW_PRODUCTS", 0)
+    rng = random.Random(9)
+    texts = [(i, rng.choices([f"t{int(rng.paretovariate(0.6)) % 400}" for _ in range(60)], k=25)) for i in range(300)] + [(300, []), (301, ["only"]), (302, ["t1"] * 9)]
+    texts += [(400 + i, texts[i][1]) for i in range(20)]
+    df = spark.createDataFrame(texts, "event_id long, tokens array<string>")
+    small = sorted(map(tuple, vectors.similar_events(df).select("event_id", "other", "score", "rank").collect()))
+    n, df_ = len(texts), Counter(t for _, tokens in texts for t in set(tokens))
+    unit = {}
+    for i, tokens in texts:
+        v = {t: k * (math.log((n + 1) / (df_[t] + 1)) + 1) for t, k in Counter(tokens).items()}
+        length = math.sqrt(sum(x * x for x in v.values()))
+        unit[i] = {t: x / length for t, x in v.items()}
+    want = []
+    for i, v in unit.items():
+        found = sorted((-math.floor(sum(x * u.get(t, 0) for t, x in v.items()) * 1e4 + 0.5) / 1e4, j) for j, u in unit.items() if j != i)
+        want += [(i, j, -s, r + 1) for r, (s, j) in enumerate(found[:5]) if s < 0]
+    assert len(small) == len(want)
+    assert {(a[0], a[3]): a[2] for a in small} == pytest.approx({(a[0], a[3]): a[2] for a in want}, abs=1.01e-4)
+    # Comments to the nearest of many clusters; ties go to the smaller id, nothing shared to 0.
+    index = spark.createDataFrame([(i, t, w) for i, v in unit.items() for t, w in v.items()], "cluster_id long, term string, w double")
+    comments = spark.createDataFrame([(1000 + i, t, w) for i, v in list(unit.items())[::3] for t, w in v.items()] + [(5000, "none", 1.0)], "comment_id long, term string, w double")
+    keys = comments.select("comment_id").distinct()
+    found = {r.comment_id: r.cluster_id for r in vectors.assign_nearest(comments, index, keys).collect()}
+    for i, v in list(unit.items())[::3]:
+        best = max((round(sum(x * u.get(t, 0) for t, x in v.items()), 9), -j) for j, u in unit.items())
+        assert not v or found[1000 + i] == (-best[1] if best[0] > 0 else 0)
+    assert found[5000] == 0
+
+
+def test_few_pairs_are_scored(spark, monkeypatch):
+    """20,000 events of skewed terms: what bounds leave is under a twentieth of all pairs."""
+    seen = []
+    plain = vectors.stash
+
+    def counted(df, label):
+        out = plain(df, label)
+        if label == "hopeful":
+            seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(vectors, "stash", counted)
+    rng = random.Random(4)
+    rows = []
+    for i in range(20_000):
+        theme = rng.randrange(2000)
+        rows.append((i, [f"c{int(rng.paretovariate(0.8)) % 3000}" for _ in range(12)] + [f"s{theme}_{rng.randrange(8)}" for _ in range(6)]))
+    out = vectors.similar_events(spark.createDataFrame(rows, "event_id long, tokens array<string>"))
+    assert out.count() > 90_000 and seen and seen[0] < 0.05 * 20_000 * 19_999
