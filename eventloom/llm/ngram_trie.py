@@ -15,7 +15,7 @@ two others mixes its share among what followed these with its probability after
 one, that one with its share among all words, which is never 0.
 
 How Spark runs it: texts are cut into words once and kept in blocks; blocks' distinct words
-meet the vocabulary; each block sends its distinct n-grams with their training counts to the
+meet the vocabulary, part by part; each block sends its distinct n-grams with their training counts to the
 shards, a shard adds up, builds its trie, and answers each block with a number an n-gram.
 Words that are followed by more than a shard holds are split by the word that comes next.
 """
@@ -25,7 +25,9 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import zlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +47,8 @@ ADDED = 0.1
 PRIOR = (1000.0, 4.0)
 #: Tokens of a block, and about so many of a shard.
 BLOCK_TOKENS, SHARD_TOKENS = 1 << 21, 1 << 21
+#: Parts of the vocabulary at most; up to then four for each split of the input.
+PARTS = 4096
 #: Bytes of a text cut into words at once.
 PIECE = 1 << 20
 UNKNOWN, BEGIN, END, FIRST_WORD = 0, 1, 2, 3
@@ -331,22 +335,31 @@ def _pairs_of(dv: np.ndarray, du: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return v, sums - np.repeat(before, np.diff(np.append(starts, len(dv))))
 
 
-#: Rows of a block: words (at, word, n) with their training counts, and one with its documents and tokens; n is then the number of tokens, trained that of training documents.
-CUT = "block long, at int, word binary, n long, docs binary, tokens binary, trained long"
-_CUT = pa.schema([("block", pa.int64()), ("at", pa.int32()), ("word", pa.binary()), ("n", pa.int64()), ("docs", pa.binary()), ("tokens", pa.binary()), ("trained", pa.int64())])
+#: What texts are cut into: for each block a row for each part of the vocabulary with the block's words in it, and one (part null) with its documents and tokens.
+CUT = "block long, part int, words binary, docs binary, tokens binary, n long, trained long"
+_CUT = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("words", pa.binary()), ("docs", pa.binary()), ("tokens", pa.binary()), ("n", pa.int64()), ("trained", pa.int64())])
 _DOCS = pa.schema([("doc", pa.int64()), ("held", pa.bool_()), ("length", pa.int64())])
+#: A word's place in its block, and its count in the block's training documents or, later, its id.
+_WORDS = pa.schema([("at", pa.int32()), ("word", pa.binary()), ("n", pa.int64())])
+_IDS = pa.schema([("at", pa.int32()), ("id", pa.int64())])
+#: Entries of a part that are held until they are added up or looked up together.
+HELD = 1 << 20
 
 
-def _docs_to_bytes(docs: list, held: list, lengths: list) -> bytes:
-    """Arrow's stream format; columns of lists would be costly among many rows without them."""
+def _packed_table(columns, schema: pa.Schema) -> bytes:
+    """Arrow's stream format. Many entries are one row for Spark, which compresses well and costs little to move."""
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, _DOCS) as out:
-        out.write_batch(pa.record_batch([pa.array(c, f.type) for c, f in zip((docs, held, lengths), _DOCS)], schema=_DOCS))
+    with pa.ipc.new_stream(sink, schema) as out:
+        out.write_batch(pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema))
     return sink.getvalue().to_pybytes()
 
 
+def _table(data: bytes) -> pa.Table:
+    return pa.ipc.open_stream(data).read_all()
+
+
 def _docs_from_bytes(data: bytes) -> tuple[list, np.ndarray, np.ndarray]:
-    t = pa.ipc.open_stream(data).read_all()
+    t = _table(data)
     return t["doc"].to_pylist(), t["held"].to_numpy(), t["length"].to_numpy()
 
 
@@ -368,36 +381,107 @@ class _Index(dict):
         return n
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    block = TaskContext.get().partitionId() << 32
-    index, docs, held, lengths, parts, total = _Index(), [], [], [], [], 0
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        if not docs:
-            return
-        tokens = np.concatenate([np.zeros(0, np.int32), *parts])
-        trained = np.repeat(~np.array(held), lengths)
-        n, words = np.bincount(tokens[trained], minlength=len(index)), list(index)
-        for s in range(0, len(words), 1 << 16):
-            part = words[s : s + (1 << 16)]
-            size = len(part)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(size, block)), pa.array(np.arange(s, s + size, dtype=np.int32)), pa.array(part, pa.binary()), pa.array(n[s : s + size]), *(pa.nulls(size, f.type) for f in list(_CUT)[4:])], schema=_CUT)
-        one = [[block], [None], [None], [len(tokens) + len(docs)], [_docs_to_bytes(docs, held, lengths)], [to_bytes(tokens)], [len(held) - sum(held)]]
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(one, _CUT)], schema=_CUT)
-
-    for batch in chunks(batches, 64):
-        for doc, out, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
-            size = 0
-            for words in _words(text or b""):
-                parts.append(np.fromiter(map(index.__getitem__, words), np.int32, len(words)))
-                size += len(words)
-            docs.append(doc), held.append(out), lengths.append(size)
-            total += size
-            if total >= BLOCK_TOKENS:
-                yield from flush()
-                block += 1
-                index, docs, held, lengths, parts, total = _Index(), [], [], [], [], 0
-    yield from flush()
+def _cut(vocabulary_parts: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held = TaskContext.get().partitionId() << 32, _Held()
+        for batch in chunks(batches, 64):
+            for doc, out, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                held.add(doc, out, text or b"")
+                if held.total >= BLOCK_TOKENS:
+                    yield from held.rows(block, vocabulary_parts)
+                    block, held = block + 1, _Held()
+        if held.docs:
+            yield from held.rows(block, vocabulary_parts)
+
+    return run
+
+
+class _Held:
+    """The documents of a block so far."""
+
+    def __init__(self) -> None:
+        self.index, self.docs, self.held, self.lengths, self.parts, self.total = _Index(), [], [], [], [], 0
+
+    def add(self, doc: int | None, held: bool, text: bytes) -> None:
+        size = 0
+        for words in _words(text):
+            self.parts.append(np.fromiter(map(self.index.__getitem__, words), np.int32, len(words)))
+            size += len(words)
+        self.docs.append(doc), self.held.append(held), self.lengths.append(size)
+        self.total += size
+
+    def rows(self, block: int, parts: int) -> Iterator[pa.RecordBatch]:
+        tokens = np.concatenate([np.zeros(0, np.int32), *self.parts])
+        words = list(self.index)
+        n = np.bincount(tokens[np.repeat(~np.array(self.held), self.lengths)], minlength=len(words))
+        part = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % parts
+        order = np.argsort(part, kind="stable")
+        every = pa.array(words, pa.binary()).take(pa.array(order))
+        bounds = np.flatnonzero(np.diff(part[order], prepend=-1))
+        for s, e in zip(bounds, np.append(bounds[1:], len(order))):
+            data = _packed_table((order[s:e].astype(np.int32), every.slice(s, e - s), n[order[s:e]]), _WORDS)
+            yield _row(_CUT, block=block, part=int(part[order[s]]), words=data)
+        docs = _packed_table((self.docs, self.held, self.lengths), _DOCS)
+        yield _row(_CUT, block=block, docs=docs, tokens=to_bytes(tokens), n=len(tokens) + len(self.docs), trained=len(self.held) - sum(self.held))
+
+
+def _row(schema: pa.Schema, **values) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([values.get(f.name)], f.type) for f in schema], schema=schema)
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come by part of the vocabulary; its words and their counts in training documents."""
+
+    def added(tables: list[pa.Table]) -> pa.Table:
+        return pa.concat_tables(tables).group_by("word").aggregate([("n", "sum")]).rename_columns(["word", "n"])
+
+    for _, parts in _by_block(batches, "part", lazily=True):
+        held, size = [], 0
+        for batch in parts:
+            for data in batch.column("words"):
+                held.append(_table(data.as_buffer()).select(["word", "n"]))
+                size += held[-1].num_rows
+                if size > HELD:
+                    held = [added(held)]
+                    size = 0
+        total = added(held)
+        yield from total.filter(pa.compute.greater(total["n"], 0)).rename_columns(["word", "c"]).combine_chunks().to_batches(max_chunksize=1 << 16)
+
+
+#: The ids of a block's words.
+PLACED = "block long, ids binary"
+_PLACED = pa.schema([("block", pa.int64()), ("ids", pa.binary())])
+
+
+def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come by part: the vocabulary's words and ids, then the blocks' words; gives those that are known."""
+
+    def found(blocks: list[int], tables: list[pa.Table], words: pa.ChunkedArray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+        every = pa.concat_tables(tables)
+        at = pa.compute.index_in(every["word"], value_set=words)
+        known = at.is_valid().to_numpy()
+        place, at = every["at"].to_numpy(), pa.compute.fill_null(at, 0).to_numpy()
+        start = 0
+        for block, table in zip(blocks, tables):
+            here = np.flatnonzero(known[start : start + table.num_rows]) + start
+            start += table.num_rows
+            yield _row(_PLACED, block=block, ids=_packed_table((place[here], ids[at[here]]), _IDS))
+
+    for _, parts in _by_block(batches, "part", lazily=True):
+        words, ids, blocks, tables, size, value_set = [], [], [], [], 0, None
+        for batch in parts:
+            own = batch.filter(pa.compute.is_null(batch.column("block")))
+            words.append(own.column("word")), ids.append(own.column("id").to_numpy(zero_copy_only=False))
+            rest = batch.filter(pa.compute.is_valid(batch.column("block")))
+            for block, data in zip(rest.column("block").to_pylist(), rest.column("words")):
+                value_set = value_set or (pa.chunked_array(words, pa.binary()), np.concatenate(ids))
+                blocks.append(block), tables.append(_table(data.as_buffer()))
+                size += tables[-1].num_rows
+                if size > HELD:
+                    yield from found(blocks, tables, *value_set)
+                    blocks, tables, size = [], [], 0
+        if tables:
+            yield from found(blocks, tables, *value_set)
 
 
 #: What blocks send: to each shard its n-grams, and (shard -1) the block itself with the pairs of words whose successors lie in several shards.
@@ -406,22 +490,19 @@ _PAIR = pa.struct([("v", pa.int64()), ("u", pa.int64()), ("to", pa.int32()), ("n
 _SENT = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("grams", pa.binary()), ("docs", pa.binary()), ("tokens", pa.binary()), ("ids", pa.binary()), ("pairs", pa.list_(_PAIR))])
 
 
-def _by_block(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
-    """The rows of each value of a column, whose rows come together."""
-    held, at = [], None
-    for batch in batches:
-        column = batch.column(key).to_numpy()
-        cuts = [0, *(np.flatnonzero(np.diff(column)) + 1).tolist(), len(column)]
-        for s, e in zip(cuts, cuts[1:]):
-            if s == e:
-                continue
-            if held and column[s] != at:
-                yield at, held
-                held = []
-            at = int(column[s])
-            held.append(batch.slice(s, e - s))
-    if held:
-        yield at, held
+def _by_block(batches: Iterator[pa.RecordBatch], key: str, lazily: bool = False) -> Iterator[tuple[int, Iterator[pa.RecordBatch]]]:
+    """The rows of each value of a column, whose rows come together: as a list, or one batch after another."""
+
+    def pieces() -> Iterator[tuple[int, pa.RecordBatch]]:
+        for batch in batches:
+            column = batch.column(key).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(column)) + 1).tolist(), len(column)]
+            for s, e in zip(cuts, cuts[1:]):
+                if s < e:
+                    yield int(column[s]), batch.slice(s, e - s)
+
+    for at, group in groupby(pieces(), key=lambda x: x[0]):
+        yield at, ((x[1] for x in group) if lazily else [x[1] for x in group])
 
 
 def _send(counts, shards: int):
@@ -431,7 +512,8 @@ def _send(counts, shards: int):
         known = counts.value
         for at, parts in _by_block(batches, "block"):
             t = pa.Table.from_batches(parts)
-            place, ids = (t[c].drop_null().to_numpy() for c in ("at", "id"))
+            known_words = pa.concat_tables([_IDS.empty_table(), *(_table(data.as_buffer()) for data in t["ids"].drop_null())])
+            place, ids = (known_words[c].to_numpy() for c in ("at", "id"))
             (row,) = t.filter(pa.compute.is_valid(t["docs"])).select(["docs", "tokens"]).to_pylist()
             (tokens,) = from_bytes(row["tokens"], 1)
             every = np.unique(np.append(ids, [UNKNOWN, BEGIN, END]))
@@ -540,15 +622,18 @@ def score_documents(docs: DataFrame, *, prior: tuple[float, float] = PRIOR, id_c
     """
     held = (unsigned_crc32(F.col(id_col).cast("string")) % FOLDS == 0).alias("held")
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), held, F.col(text_col).cast("string").cast("binary").alias("text"))
-    cut = stash(source.mapInArrow(_cut, CUT), "cut")
-    words, blocks = cut.where("docs is null"), cut.where("docs is not null")
-    vocabulary = words.groupBy("word").agg(F.sum("n").alias("c")).where("c > 0")
+    parts = min(PARTS, 4 * source.rdd.getNumPartitions())
+    cut = stash(source.mapInArrow(_cut(parts), CUT), "cut")
+    words, blocks = cut.where("part is not null").select("part", "block", "words"), cut.where("part is null")
+    vocabulary = words.select("part", "words").repartition("part").sortWithinPartitions("part").mapInArrow(_count, "word binary, c long")
     ids = numbered(vocabulary, F.desc("c"), F.col("word"), name="id").select("word", "c", (F.col("id") - 1 + FIRST_WORD).alias("id"))
     steps = [(r.c, r.n) for r in ids.groupBy("c").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("c")).collect()]  # at most the root of twice the tokens
     total, trained = blocks.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("trained"), F.lit(0))).first()
     counts = docs.sparkSession.sparkContext.broadcast(Counts(steps, trained))
     shards = max(1, -(-total // SHARD_TOKENS))
-    placed = words.join(ids.select("word", "id"), "word").select("block", "at", "id")
+    asked = ids.select(F.pmod(F.crc32("word"), F.lit(parts)).cast("int").alias("part"), "word", "id").unionByName(words, allowMissingColumns=True)
+    # Of a part the vocabulary comes first, as it belongs to no block.
+    placed = asked.repartition("part").sortWithinPartitions("part", F.col("block").asc_nulls_first()).mapInArrow(_place, PLACED)
     both = placed.unionByName(blocks.select("block", "docs", "tokens"), allowMissingColumns=True).repartition("block").sortWithinPartitions("block")
     sent = stash(both.mapInArrow(_send(counts, shards), SENT), "sent")
     unstash(cut)
