@@ -172,10 +172,23 @@ def _grouped(s, d):
     return out.select("event_id", "heat", "risk_level", "report_count", "duplicate_count", "title", "stage", "location", F.array_join("people", ",").alias("people"), "summary", "cause")
 
 
+def _labelled_posts(s, d):
+    return posts(s, d).join(table(s, d, "labels"), "doc_id").select("doc_id", "platform", F.col("content").alias("text"), F.when(F.col("quality") == 1, "positive").otherwise("negative").alias("label"))
+
+
+def _model_store(s, d):
+    """A store with a model for comments, trained on the labelled social posts."""
+    folder = f"{shared_folder(s)}/eventloom-models-{uuid.uuid4().hex}"
+    kind, model, scores = ml.train_and_choose(_labelled_posts(s, d).where(vl.text_type(F.col("platform")) != "article").drop("platform"))
+    ml.save_model(model, s, folder, "comment")
+    return folder, kind, scores
+
+
 def _train_scores(s, d):
-    rows = posts(s, d).join(table(s, d, "labels"), "doc_id").select("doc_id", F.col("content").alias("text"), F.when(F.col("quality") == 1, "positive").otherwise("negative").alias("label"))
-    best, _, scores = ml.train_and_choose(rows)
-    return s.createDataFrame([(k, round(v, 4), k == best) for k, v in sorted(scores.items())], "kind string, accuracy double, chosen boolean")
+    """Both models' held-out accuracy on social posts, and which one went into the store."""
+    folder, best, scores = _model_store(s, d)
+    path, _ = ml.newest_model(s, folder, "comment")
+    return s.createDataFrame([(k, round(v, 4), k == best, path.split("/")[-1] if k == best else None) for k, v in sorted(scores.items())], "kind string, accuracy double, chosen boolean, stored string")
 
 
 def _raw(s, d):
@@ -193,9 +206,17 @@ def _json(s, d):
 
 
 def _trained(s, d):
-    rows = posts(s, d).join(table(s, d, "labels"), "doc_id").select("doc_id", F.col("content").alias("text"), F.when(F.col("quality") == 1, "positive").otherwise("negative").alias("label"))
-    _, model, _ = ml.train_and_choose(rows)
-    return ml.predict(model, posts(s, d).select("doc_id", F.col("content").alias("text"))).select("doc_id", "label", F.round("p_positive", 4).alias("p_positive"))
+    """All posts by the newest stored model for their kind of text; that for comments stands in for articles."""
+    folder, _, _ = _model_store(s, d)
+    return ml.predict_stored(folder, spread(posts(s, d).select("doc_id", F.col("content").alias("text")), "doc_id")).select("doc_id", "label", F.round("p_positive", 4).alias("p_positive"))
+
+
+def _domain_shift(s, d):
+    """The model for comments on labelled social posts, which it was trained on, and on articles."""
+    folder, _, _ = _model_store(s, d)
+    rows, article = _labelled_posts(s, d), vl.text_type(F.col("platform")) == "article"
+    found = [("comment", kind, *ml.domain_shift(folder, "comment", rows.where(part).drop("platform"))) for kind, part in (("comment", ~article), ("article", article))]
+    return s.createDataFrame([(m, k, round(a, 4), n) for m, k, a, n in found], "model_type string, data_type string, accuracy double, n long")
 
 
 def _stream(s, d, make, schema_of="events"):
@@ -284,6 +305,7 @@ QUERIES = {
     "sink_raw": _raw,
     "sink_json": _json,
     "sent_train": _train_scores,
+    "domain_shift": _domain_shift,
     "group_reports": _grouped,
 }
 _FACTS = f"""WITH k AS (SELECT event_id, string_agg(word, '、' ORDER BY rank) AS words FROM ({ev.ORACLE["event_keywords"]}) WHERE rank < 12 GROUP BY event_id),

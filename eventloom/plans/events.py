@@ -227,7 +227,7 @@ QUERIES = {
     "run_stats": lambda s, d: lookups.run_stats(_results(s, d)),
     "zero_streaks": lambda s, d: lookups.zero_streaks(posts(s, d).select("platform", F.col("doc_id").alias("pos"), F.when(F.col("doc_id") % 50 < 20, 0).otherwise(1).alias("n"))),
     "classif_metrics": lambda s, d: lookups.classif_metrics(_labelled(s, d)),
-    "domain_shift": lambda s, d: lookups.accuracy_by(_labelled(s, d)),
+    "accuracy_by": lambda s, d: lookups.accuracy_by(_labelled(s, d)),
     "near_dup_pairs": _near_pairs,
     "near_dup_greedy": lambda s, d: dedup.near_dup_greedy(_sim_prints(s, d), 3, "event_id").select("seq", "kept"),
     "dedup_store": _stored,
@@ -370,7 +370,7 @@ ORACLE = {
     "zero_streaks": sql(["posts"], "SELECT platform, pos, streak FROM (SELECT platform, pos, row_number() OVER (PARTITION BY platform, g ORDER BY pos) AS streak FROM (SELECT platform, doc_id AS pos, doc_id % 50 < 20 AS z, sum(CASE WHEN doc_id % 50 < 20 THEN 0 ELSE 1 END) OVER (PARTITION BY platform ORDER BY doc_id) AS g FROM posts) WHERE z) WHERE streak >= 3"),
     "classif_metrics": """WITH x AS (SELECT quality = 1 AS y, CASE WHEN doc_id % 10 < 7 THEN quality = 1 ELSE true END AS p FROM labels), m AS (SELECT l, count(*) FILTER (y = l) AS support, count(*) FILTER (p = l) AS pred, count(*) FILTER (y = l AND p = l) AS hit FROM x, (VALUES (true), (false)) t(l) GROUP BY l),
  r AS (SELECT *, CASE WHEN pred > 0 THEN hit / pred::DOUBLE ELSE 0 END AS pr, CASE WHEN support > 0 THEN hit / support::DOUBLE ELSE 0 END AS rc FROM m) SELECT CASE WHEN l THEN 'positive' ELSE 'negative' END AS label, support, round(pr, 4) AS precision, round(rc, 4) AS recall, round(CASE WHEN pr + rc > 0 THEN 2 * pr * rc / (pr + rc) ELSE 0 END, 4) AS f1, round((SELECT count(*) FILTER (y = p) / count(*)::DOUBLE FROM x), 4) AS accuracy FROM r""",
-    "domain_shift": "SELECT doc_id % 2 AS kind, round(avg(CASE WHEN doc_id % 10 < 7 OR quality = 1 THEN 1.0::DOUBLE ELSE 0 END), 4) AS accuracy FROM labels GROUP BY 1",
+    "accuracy_by": "SELECT doc_id % 2 AS kind, round(avg(CASE WHEN doc_id % 10 < 7 OR quality = 1 THEN 1.0::DOUBLE ELSE 0 END), 4) AS accuracy FROM labels GROUP BY 1",
     "dedup_url": "SELECT min(doc_id) AS seq, 'u' || (doc_id % 300)::VARCHAR AS source_url FROM documents WHERE doc_id % 300 NOT IN (SELECT doc_id * 7 % 150 FROM documents) GROUP BY doc_id % 300",
     "set_difference": sql(["posts"], "SELECT source, platform FROM posts EXCEPT SELECT source, platform FROM posts WHERE platform = '微博'"),
 }

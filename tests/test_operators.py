@@ -415,3 +415,44 @@ def test_few_pairs_are_scored(spark, monkeypatch):
         rows.append((i, [f"c{int(rng.paretovariate(0.8)) % 3000}" for _ in range(12)] + [f"s{theme}_{rng.randrange(8)}" for _ in range(6)]))
     out = vectors.similar_events(spark.createDataFrame(rows, "event_id long, tokens array<string>"))
     assert out.count() > 90_000 and seen and seen[0] < 0.05 * 20_000 * 19_999
+
+
+def test_split_is_exact_by_label(spark):
+    rows = [(i, f"text {i % 40}", "positive" if i % 3 else "negative") for i in range(503)] + [(7000, "same", "negative")] * 90
+    df = spark.createDataFrame(rows, "doc_id int, text string, label string")
+    fit, held = ml.split(df)
+    again = ml.split(df.repartition(5))[1]
+    n = Counter(r[2] for r in rows)
+    assert Counter(r.label for r in held.collect()) == {k: int(0.2 * v + 0.5) for k, v in n.items()}
+    assert sorted(map(tuple, fit.unionByName(held).collect())) == sorted(rows) and sorted(map(tuple, again.collect())) == sorted(map(tuple, held.collect()))
+    for few in (df.limit(0), df.limit(1)):
+        assert sum(part.count() for part in ml.split(few)) == few.count()
+    # One label whose rows are all equal.
+    fit, held = ml.split(df.where("doc_id = 7000"))
+    assert (fit.count(), held.count()) == (72, 18)
+
+
+def test_models_are_kept_by_kind(spark, tmp_path):
+    rows = [(i, f"good great fine day number {i}" if i % 2 else f"bad awful poor day number {i}", "positive" if i % 2 else "negative") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id int, text string, label string")
+    folder = str(tmp_path / "models")
+    with pytest.raises(FileNotFoundError):
+        ml.newest_model(spark, folder, "article")
+    first, second = ml.train(df, "nb"), ml.train(df.withColumn("label", F.when(F.col("label") == "positive", "negative").otherwise("positive")), "lr")
+    assert ml.save_model(first, spark, folder, "comment").endswith("text_type=comment/version=00000001")
+    assert ml.newest_model(spark, folder, "article") == (f"{folder}/text_type=comment/version=00000001", True)
+    assert ml.domain_shift(folder, "article", df)[0] >= 0.9
+    # The newest one counts: this one was taught the opposite.
+    ml.save_model(second, spark, folder, "comment")
+    assert ml.newest_model(spark, folder, "comment") == (f"{folder}/text_type=comment/version=00000002", False)
+    assert ml.domain_shift(folder, "comment", df)[0] <= 0.1 and ml.domain_shift(folder, "comment", df.limit(0)) == (0.0, 0)
+    ml.save_model(first, spark, folder, "article")
+    long_text = df.withColumn("text", F.concat("text", F.repeat(F.lit(" number"), 40)))
+    both = df.unionByName(long_text.withColumn("doc_id", F.col("doc_id") + 100)).unionByName(spark.createDataFrame([(999, None, "positive")], df.schema))
+    out = {r.doc_id: r.label for r in ml.predict_stored(folder, both.drop("label"), threshold=0.0).collect()}
+    assert len(out) == 121 and all(out[i] == ("negative" if i % 2 else "positive") for i in range(60)) and sum(out[100 + i] == ("positive" if i % 2 else "negative") for i in range(60)) >= 50
+    for bad in ("novel", "auto"):
+        with pytest.raises(ValueError):
+            ml.newest_model(spark, folder, bad)
+    with pytest.raises(ValueError):
+        ml.save_model(first, spark, folder, "novel")
