@@ -46,7 +46,7 @@ ADDED = 0.1
 #: How much the shorter context weighs, in counts: after one word, after two.
 PRIOR = (1000.0, 4.0)
 #: Tokens of a block, and about so many of a shard.
-BLOCK_TOKENS, SHARD_TOKENS = 1 << 21, 1 << 21
+BLOCK_TOKENS, SHARD_TOKENS = 1 << 20, 1 << 20
 #: Parts of the vocabulary at most; up to then four for each split of the input.
 PARTS = 4096
 #: Bytes of a text cut into words at once.
