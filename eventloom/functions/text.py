@@ -8,6 +8,8 @@ from html.entities import html5
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .automaton import tokens_with
+
 #: What counts as a word: letters, digits and marks of any script, and ideographs one by one.
 CJK = "一-鿿"
 WORD = r"[\p{L}\p{N}_]+"
@@ -110,7 +112,13 @@ def event_title_clean(title: Column) -> Column:
     return F.trim(F.regexp_replace(title, r"https?://\S+", ""))
 
 
+#: Lexicons of up to so many words are one pattern; larger ones an automaton.
+FEW_WORDS = 64
+
+
 def contains_any(tokens: Column, lexicon: list[str]) -> Column:
     """How many tokens hold a word of the lexicon."""
+    if len(lexicon) > FEW_WORDS:
+        return tokens_with(tokens, lexicon)
     pattern = "|".join(F"\\Q{w}\\E" for w in lexicon)
     return F.size(F.filter(tokens, lambda t: t.rlike(pattern))).cast("long") if lexicon else F.lit(0).cast("long")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.text import windows_of
 from ..sources.tables import stash
 
 
@@ -31,11 +32,64 @@ def numbered(df: DataFrame, *order, name: str = "pos") -> DataFrame:
     return out
 
 
-def list_filter(events: DataFrame, keywords: DataFrame, risk: str | None = None, q: str | None = None, escape: bool = False) -> DataFrame:
-    """Events of a risk level whose title or any keyword holds q."""
+#: Characters of the index' grams, and folders that its rows are dealt over by gram.
+GRAM, GRAM_PARTS = 3, 64
+
+
+def grams_of(texts: DataFrame, key: str, column: str) -> DataFrame:
+    """part, gram, key: each three characters in a row of a text, once a key."""
+    grams = F.array_distinct(windows_of(F.coalesce(column, F.lit("")), GRAM))
+    return texts.select(F.col(key).alias("key"), F.explode(grams).alias("gram")).distinct().select(_part("gram").alias("part"), "gram", "key")
+
+
+def _part(gram) -> Column:
+    return F.pmod(F.xxhash64(gram), F.lit(GRAM_PARTS)).cast("int")
+
+
+def save_grams(grams: DataFrame, path: str) -> None:
+    """A search then reads only the folders of the grams that it looks for, and in these their row groups."""
+    grams.repartition(GRAM_PARTS, "part").sortWithinPartitions("part", "gram").write.mode("overwrite").partitionBy("part").parquet(path)
+
+
+def gram_search(grams: DataFrame, q: str, escape: bool = False) -> DataFrame | None:
+    """Keys of texts that have all grams of q, so may hold it; None if q has no three plain characters in a row. Unless escaped, % and _ are wildcards and a backslash makes the next character plain."""
+    runs = [""]
+    at = 0
+    while at < len(q):
+        if escape or q[at] not in "%_\\":
+            runs[-1] += q[at]
+        elif q[at] == "\\" and at + 1 < len(q):
+            at += 1
+            runs[-1] += q[at]
+        else:
+            runs.append("")
+        at += 1
+    found = sorted({r[i : i + GRAM] for r in runs for i in range(len(r) - GRAM + 1)})
+    if not found:
+        return None
+    spark = grams.sparkSession
+    parts = [r[0] for r in spark.createDataFrame([(g,) for g in found], "gram string").select(_part("gram")).distinct().collect()]
+    hits = grams.where(F.col("part").isin(parts) & F.col("gram").isin(found))
+    return hits.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(found)).select("key")
+
+
+def list_filter(events: DataFrame, keywords: DataFrame, risk: str | None = None, q: str | None = None, escape: bool = False, title_grams: DataFrame | None = None, word_grams: DataFrame | None = None) -> DataFrame:
+    """Events of a risk level whose title or any keyword holds q.
+
+    With the indexes of titles by event_id and of keywords by word (``grams_of``), only rows that
+    they name are compared with q; results are the same.
+    """
     out = events.where(F.col("risk_level") == risk) if risk else events
     if q:
-        named = keywords.where(like(F.col("word"), q, escape)).select("event_id").distinct().withColumn("__named", F.lit(True))
+        titled = gram_search(title_grams, q, escape) if title_grams is not None else None
+        worded = gram_search(word_grams, q, escape) if word_grams is not None else None
+        if worded is not None:
+            keywords = keywords.join(worded.withColumnRenamed("key", "word"), "word", "left_semi")
+        named = keywords.where(like(F.col("word"), q, escape)).select("event_id").distinct()
+        if titled is not None:
+            found = out.join(titled.withColumnRenamed("key", "event_id"), "event_id", "left_semi").where(like(F.col("title"), q, escape)).select("event_id")
+            return out.join(found.unionByName(named).distinct(), "event_id", "left_semi")
+        named = named.withColumn("__named", F.lit(True))
         out = out.join(named, "event_id", "left").where(like(F.col("title"), q, escape) | F.col("__named")).drop("__named")
     return out
 

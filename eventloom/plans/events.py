@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import values as vl
 from ..operators import dedup, lookups, ml, report, trend, vectors
-from ..sources.tables import spread, stash
+from ..sources.tables import shared_folder, spread, stash
 from ..sources.views import AS_OF, START, comments, posts, sql, table
 from .scalars import _TOKENS
 
@@ -142,6 +144,14 @@ def _messages(s, d):
     return lookups.conv_history(table(s, d, "conversations"))
 
 
+def _filtered_by_index(s, d):
+    """As ``list_filter``, by stored indexes of titles and keywords."""
+    found, words, path = events(s, d), keywords(s, d), f"{shared_folder(s)}/eventloom-grams-{uuid.uuid4().hex}"
+    lookups.save_grams(lookups.grams_of(found, "event_id", "title"), f"{path}/titles")
+    lookups.save_grams(lookups.grams_of(words, "word", "word"), f"{path}/words")
+    return lookups.list_filter(found, words, None, "tio%n", title_grams=s.read.parquet(f"{path}/titles"), word_grams=s.read.parquet(f"{path}/words")).select("event_id", "title", "risk_level")
+
+
 def _pending(s, d):
     return lookups.pending_batch(posts(s, d).withColumn("clean_status", F.when(F.col("doc_id") % 3 == 0, "raw").otherwise("enriched"))).select("doc_id", "publish_s")
 
@@ -213,6 +223,7 @@ QUERIES = {
     "comments_of_docs": lambda s, d: lookups.comments_of_docs(comments(s, d), posts(s, d).where("platform = '知乎'")).select("comment_id", "parent_post_id"),
     "event_detail": _detail_flat,
     "list_filter": lambda s, d: lookups.list_filter(events(s, d), keywords(s, d), None, "th").select("event_id", "title", "risk_level"),
+    "list_filter_index": _filtered_by_index,
     "list_filter_demo": lambda s, d: lookups.list_filter_demo(events(s, d).withColumns({"category": F.col("event_id"), "location": F.lit(None).cast("string")}), "src1", "high", AS_OF - 2 * DAY).select("event_id", "risk_level"),
     "high_risk": lambda s, d: lookups.high_risk(events(s, d)).select("event_id", "risk_level", "heat", F.col("pos").cast("long").alias("pos")),
     "min_heat": lambda s, d: lookups.min_heat(events(s, d)).select("event_id", "heat"),
@@ -354,6 +365,7 @@ ORACLE = {
  LEFT JOIN (SELECT event_id, count(*) AS n_days, string_agg(date::VARCHAR || '=' || format('{:.1f}', c), ';' ORDER BY f, date) AS trend_daily FROM (SELECT event_id, date, cnt::DOUBLE AS c, false AS f FROM pdaily UNION ALL SELECT event_id, date, predict_count, true FROM pfut) GROUP BY 1) t USING (event_id)""",
         *_KW, _HEAT, _PLAT, _PDAYS,
     ),
+    "list_filter_index": sql(["posts"], "SELECT event_id, title, risk_level FROM ev WHERE title LIKE '%tio%n%' OR event_id IN (SELECT event_id FROM kw WHERE word LIKE '%tio%n%')", *_EVENTS, _C, _E, _I, _dk(8), _K),
     "list_filter": sql(["posts"], "SELECT event_id, title, risk_level FROM ev WHERE title LIKE '%th%' OR event_id IN (SELECT event_id FROM kw WHERE word LIKE '%th%')", *_EVENTS, _C, _E, _I, _dk(8), _K),
     "list_filter_demo": sql(["posts"], f"SELECT event_id, risk_level FROM ev WHERE (contains(title, 'src1') OR contains(event_id, 'src1')) AND risk_level IN ('high', 'mid_high') AND time_end_s >= {AS_OF - 2 * DAY}", *_EVENTS),
     "high_risk": sql(["posts"], "SELECT event_id, risk_level, heat, row_number() OVER (ORDER BY CASE WHEN risk_level = 'high' THEN 0 ELSE 1 END, heat DESC, event_id) AS pos FROM ev WHERE risk_level IN ('high', 'mid_high')", *_EVENTS),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
 from ..operators import report, trend
 from ..sources import landed, sinks
 from ..sources.views import AS_OF, posts, sql, table
@@ -134,6 +135,15 @@ def _report_rows(s, d):
     return rows[0].union(rows[1]).union(rows[2])
 
 
+def _items(s, d):
+    return posts(s, d).select("doc_id", "title", F.col("source").alias("keywords"), F.lit(None).cast("string").alias("summary"))
+
+
+def _long_words(s, d):
+    """The long words of all titles, as keywords."""
+    return posts(s, d).select(F.explode(tx.tokenize(F.col("title"))).alias("keyword")).where("length(keyword) >= 12").distinct()
+
+
 QUERIES = {
     "src_records": lambda s, d: landed.normalize_records(_raw(s, d)).select("doc_id", F.md5(F.concat("title", "content")).alias("text"), "publish_s", "platform", "url", "source", "author", "verification_type", "like_count"),
     "src_tabular_posts": lambda s, d: landed.tabular_posts(posts(s, d).select(F.col("doc_id").cast("string").alias("comment_id"), F.when(F.col("doc_id") % 2 == 0, "").otherwise(F.col("title")).alias("title"), "content")).select("doc_id", "title"),
@@ -149,9 +159,10 @@ QUERIES = {
     "flat_thepaper": lambda s, d: landed.flat_thepaper(_thepaper(s, d)),
     "flat_sina": lambda s, d: landed.flat_sina(_sina(s, d)),
     "cand_dedup": lambda s, d: landed.cand_dedup(landed.flat_sina(_sina(s, d)), "url", "ctime", "title"),
-    "cand_keyword_match": lambda s, d: landed.cand_keyword_match(posts(s, d).select("doc_id", "title", F.col("source").alias("keywords"), F.lit(None).cast("string").alias("summary")), "SRC1").select("doc_id"),
+    "cand_keyword_match": lambda s, d: landed.cand_keyword_match(_items(s, d), "SRC1").select("doc_id"),
     "cand_cap": lambda s, d: landed.cand_cap(posts(s, d).select("doc_id", "platform", "event_id"), ["platform", "event_id"], ["doc_id"], 3),
-    "html_article": lambda s, d: landed.html_article(table(s, d, "pages")).select("page_id", "title", F.md5("body").alias("body")),
+    "html_article": lambda s, d: landed.html_article(table(s, d, "pages")).select("page_id", "title", F.md5("body").alias("body"), "publish_s"),
+    "cand_keyword_matches": lambda s, d: landed.cand_keyword_matches(_items(s, d), _long_words(s, d)),
     "html_embedded_date": lambda s, d: landed.html_embedded_date(_data_pages(s, d)),
     "html_embedded_counts": lambda s, d: landed.html_embedded_counts(_data_pages(s, d)),
     "json_status_doc": lambda s, d: landed.json_status_doc(_statuses(s, d)),
@@ -162,6 +173,33 @@ QUERIES = {
 }
 
 _STRIP = "trim(regexp_replace(regexp_replace({}, '<[^>]+>', ' ', 'g'), '[ \\t\\n\\v\\f\\r]+', ' ', 'g'))"
+def _article_sql() -> str:
+    """``html_article`` in SQL; the fixed lists are the operator's."""
+
+    def q(pattern: str) -> str:
+        return "'" + pattern.replace("'", "''") + "'"
+
+    clean = "regexp_replace(html, '(?s)<!--.*?-->', ' ', 'g')"
+    for tag in landed.NO_CONTENT:
+        clean = f"regexp_replace({clean}, {q(rf'(?is)<{tag}{chr(92)}b[^>]*>.*?</{tag}{chr(92)}s*>')}, ' ', 'g')"
+    for tag in landed.MARKED:
+        marked = rf"""(?is)<{tag}\b[^>]*\b(?:class|id)\s*=\s*["'](?:[^"']*[\s_-])?(?:{landed.MARKS})(?:[\s_-][^"']*)?["'][^>]*>.*?</{tag}\s*>"""
+        clean = f"regexp_replace({clean}, {q(marked)}, ' ', 'g')"
+    inner = lambda tag: f"regexp_extract(clean, '(?is)<{tag}\\b[^>]*>(.*)</{tag}\\s*>', 1)"
+    strip = _STRIP.format
+    title = "trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1))"
+    heading = strip("regexp_extract(html, '(?is)<h1\\b[^>]*>(.*?)</h1\\s*>', 1)")
+    linked = strip("array_to_string(regexp_extract_all(b, '(?is)<a\\b[^>]*>(.*?)</a\\s*>', 1), ' ')")
+    return f"""WITH cleaned AS (SELECT page_id, coalesce(nullif({title}, ''), {heading}) AS title, {clean} AS clean FROM pages),
+mains AS (SELECT page_id, title, CASE WHEN length({strip(inner("article"))}) >= 30 THEN {inner("article")} WHEN length({strip(inner("main"))}) >= 30 THEN {inner("main")} ELSE clean END AS main FROM cleaned),
+blocks AS (SELECT page_id, title, list_filter(list_transform(regexp_split_to_array(main, '(?i)</?(?:{landed.BLOCK_TAGS})\\b[^>]*>'), lambda b: {{'text': {strip("b")}, 'linked': length({linked})}}), lambda b: b.text <> '') AS b FROM mains),
+longs AS (SELECT *, list_transform(b, lambda x: length(x.text) >= {landed.LONG_BLOCK} AND x.linked * {landed.LINK_SHARE} <= length(x.text)) AS long FROM blocks),
+bodies AS (SELECT page_id, title, array_to_string(list_transform(list_filter(b, lambda x, i: long[i] OR (length(x.text) < {landed.LONG_BLOCK} AND x.linked = 0 AND (coalesce(CASE WHEN i > 1 THEN long[i - 1] END, false) OR coalesce(long[i + 1], false)))), lambda x: x.text), chr(10)) AS body FROM longs)
+SELECT page_id, title, md5(body) AS body, NULL::BIGINT AS publish_s FROM bodies WHERE length(body) >= 30"""
+
+
+_ARTICLE = _article_sql()
+
 ORACLE = {
     "src_records": sql(["posts"], f"""SELECT doc_id::VARCHAR AS doc_id, md5({_STRIP.format('title')} || {_STRIP.format('content')}) AS text, CASE WHEN doc_id % 2 = 0 THEN epoch(TIMESTAMP '2024-05-06 07:08:09')::BIGINT ELSE publish_s END AS publish_s, platform, 'http://x/' || doc_id::VARCHAR AS url,
  CASE WHEN doc_id % 3 = 0 THEN source ELSE platform END AS source, author, coalesce(CASE WHEN doc_id % 5 = 0 THEN verification_type END, CASE WHEN platform IN ('新浪新闻', '人民网', '澎湃新闻') THEN '官方平台' END) AS verification_type, like_count FROM posts"""),
@@ -182,9 +220,10 @@ ORACLE = {
     "flat_thepaper": sql(["posts"], "SELECT 'https://www.thepaper.cn/newsDetail_forward_' || doc_id::VARCHAR AS url, title, content, '2天前' AS ctime, '澎湃新闻' AS media_show FROM posts WHERE doc_id % 6 > 0 AND doc_id % 10 > 0"),
     "flat_sina": sql(["posts"], "SELECT 'http://s/' || (doc_id % 400)::VARCHAR AS url, title, publish_s::VARCHAR AS ctime, platform AS media_show FROM posts"),
     "cand_dedup": sql(["posts"], "SELECT url, title, ctime, media_show FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY ctime, title) AS rn FROM (SELECT 'http://s/' || (doc_id % 400)::VARCHAR AS url, title, publish_s::VARCHAR AS ctime, platform AS media_show FROM posts)) WHERE rn = 1"),
+    "cand_keyword_matches": sql(["posts"], f"SELECT DISTINCT doc_id, keyword FROM posts JOIN kws ON contains(lower(title || chr(0) || source || chr(0)), lower(keyword))", "kws AS (SELECT DISTINCT unnest(list_filter(regexp_extract_all(title, '[\\p{L}\\p{N}_]+'), lambda t: len(t) >= 12 AND regexp_matches(t, '[A-Za-z]'))) AS keyword FROM posts)"),
     "cand_keyword_match": sql(["posts"], "SELECT doc_id FROM posts WHERE contains(lower(title), 'src1') OR contains(lower(source), 'src1')"),
     "cand_cap": sql(["posts"], "SELECT doc_id, platform, event_id FROM (SELECT *, row_number() OVER (PARTITION BY platform, event_id ORDER BY doc_id) AS rn FROM posts) WHERE rn <= 3"),
-    "html_article": "SELECT page_id, title, md5(body) AS body FROM (SELECT page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title, " + _STRIP.format("regexp_replace(html, '(?is)<(script|style|head)[^>]*>.*?</(script|style|head)>', ' ', 'g')") + " AS body FROM pages) WHERE len(body) >= 30",
+    "html_article": _ARTICLE,
     "html_embedded_date": "SELECT page_id, CASE page_id % 3 WHEN 0 THEN epoch(TIMESTAMP '2024-03-05 08:30:00')::BIGINT WHEN 1 THEN 1704067200::BIGINT + page_id END AS publish_s FROM pages",
     "html_embedded_counts": "SELECT page_id, CASE WHEN page_id % 4 > 0 OR page_id = 0 THEN page_id % 50 END AS like_count, CASE WHEN page_id % 4 > 0 OR page_id = 0 THEN page_id % 7 END AS comment_count, CASE WHEN page_id % 4 > 0 OR page_id = 0 THEN 1704067200::BIGINT + page_id END AS publish_s FROM pages",
     "json_status_doc": sql(["posts"], f"SELECT doc_id AS key, left(content, 50) AS title, content, '头部认证个人' AS verification_type, epoch(TIMESTAMP '2024-07-01 08:30:00')::BIGINT AS publish_s, doc_id % 11 AS repost_count, doc_id % 23 AS like_count, NULL::BIGINT AS comment_count FROM posts WHERE doc_id % 5 > 0 AND content <> ''"),

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import automaton
 from ..functions import text as tx
 from ..functions import times as tm
 from ..functions import values as vl
@@ -172,24 +173,84 @@ def cand_keyword_match(items: DataFrame, keyword: str) -> DataFrame:
     return items.where(held[0] | held[1] | held[2])
 
 
+def cand_keyword_matches(items: DataFrame, keywords: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, keyword: every keyword (``keyword``) that an item holds in title, keywords or summary, in any case; one pass over each item, however many keywords there are."""
+    # No keyword reaches over from one field into the next.
+    text = F.lower(F.concat_ws("\x00", *[F.coalesce(c, F.lit("")) for c in ("title", "keywords", "summary")]))
+    lowered = keywords.select("keyword", F.lower("keyword").alias("word"))
+    found = automaton.matches(items.select(F.col(key).alias("key"), text.alias("text")), lowered)
+    return found.join(lowered, "word").select(F.col("key").alias(key), "keyword").distinct()
+
+
 def cand_cap(candidates: DataFrame, keys: list[str], order: list[str], most: int) -> DataFrame:
     """At most so many rows for each key; a report's limit, by rank within the key."""
     return candidates.withColumn("__rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("__rn") <= most).drop("__rn")
 
 
+#: Elements that hold no content, names that mark such ones, tags that end a block, and what makes a block content.
+NO_CONTENT = ["script", "style", "head", "noscript", "template", "nav", "footer", "aside", "header", "form", "button", "select", "iframe", "svg"]
+MARKED, MARKS = ["div", "section", "ul", "ol", "p", "span"], "ad|ads|advert|advertisement|banner|breadcrumb|comments?|cookie|copyright|footer|menu|nav|navbar|pagination|related|share|sidebar|sponsor"
+BLOCK_TAGS = "p|div|article|section|main|h[1-6]|ul|ol|li|dl|dt|dd|table|tbody|tr|td|th|blockquote|pre|br|hr|figure|figcaption|body|html"
+LONG_BLOCK, LINK_SHARE = 25, 3
+
+
 def html_article(pages: DataFrame, least: int = 30) -> DataFrame:
-    """page_id, url, title and body of pages whose text has at least so many characters."""
+    """page_id, url, title, body and publish_s of pages whose main content has at least so many characters.
+
+    Scripts, navigation, footers and elements marked as advertising and the like go first. Of the
+    page's article, or main part, or of all, blocks between block tags are content if
+    they are long and at most a third of them is links; short ones without a link if they
+    stand next to such. The time is that of meta and time tags, else that of embedded data.
+    """
+    html = F.regexp_replace("html", r"(?s)<!--.*?-->", " ")
+    for tag in NO_CONTENT:
+        html = F.regexp_replace(html, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", " ")
+    for tag in MARKED:
+        html = F.regexp_replace(html, rf"""(?is)<{tag}\b[^>]*\b(?:class|id)\s*=\s*["'](?:[^"']*[\s_-])?(?:{MARKS})(?:[\s_-][^"']*)?["'][^>]*>.*?</{tag}\s*>""", " ")
+
+    def inner(tag: str) -> Column:
+        found = F.regexp_extract("clean", rf"(?is)<{tag}\b[^>]*>(.*)</{tag}\s*>", 1)
+        return F.when(F.length(tx.strip_boilerplate(found)) >= least, found)
+
+    def parts(block: Column) -> Column:
+        links = F.array_join(F.regexp_extract_all(block, F.lit(r"(?is)<a\b[^>]*>(.*?)</a\s*>"), 1), " ")
+        return F.struct(tx.strip_boilerplate(block).alias("text"), F.length(tx.strip_boilerplate(links)).alias("linked"))
+
     title = F.trim(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1))
-    body = F.regexp_replace("html", r"(?is)<(script|style|head)[^>]*>.*?</(script|style|head)>", " ")
-    return pages.select("page_id", "url", title.alias("title"), tx.strip_boilerplate(body).alias("body")).where(F.length("body") >= least)
+    heading = tx.strip_boilerplate(F.regexp_extract("html", r"(?is)<h1\b[^>]*>(.*?)</h1\s*>", 1))
+    rows = pages.select("page_id", "url", F.coalesce(F.nullif(title, F.lit("")), heading).alias("title"), _page_time(F.col("html")).alias("publish_s"), html.alias("clean"))
+    rows = rows.withColumn("main", F.coalesce(inner("article"), inner("main"), "clean"))
+    rows = rows.withColumn("blocks", F.filter(F.transform(F.split("main", rf"(?i)</?(?:{BLOCK_TAGS})\b[^>]*>"), parts), lambda b: b["text"] != ""))
+    rows = rows.withColumn("long", F.transform("blocks", lambda b: (F.length(b["text"]) >= LONG_BLOCK) & (b["linked"] * LINK_SHARE <= F.length(b["text"]))))
+    beside = lambda i: F.coalesce(F.get("long", i - 1), F.lit(False)) | F.coalesce(F.get("long", i + 1), F.lit(False))
+    kept = F.filter("blocks", lambda b, i: F.get("long", i) | ((F.length(b["text"]) < LONG_BLOCK) & (b["linked"] == 0) & beside(i)))
+    body = F.array_join(F.transform(kept, lambda b: b["text"]), "\n")
+    return rows.select("page_id", "url", "title", body.alias("body"), "publish_s").where(F.length("body") >= least)
 
 
-def html_embedded_date(pages: DataFrame) -> DataFrame:
-    """page_id, publish_s from the page's embedded data: the formatted time, else the milliseconds."""
-    data = F.regexp_extract("html", r'(?s)<script id="__NEXT_DATA__"[^>]*>(.*?)</script>', 1)
+#: Names of meta properties that tell when a page was published.
+TIME_NAMES = "article:published_time|datePublished|pubdate|publishdate|og:published_time|date"
+
+
+def _page_time(html: Column) -> Column:
+    """Epoch seconds of the first meta or time tag that tells them, in the page's own clock; else of embedded data."""
+    quoted = """["']([^"']+)["']"""
+    name = rf"""(?:property|name|itemprop)\s*=\s*["'](?:{TIME_NAMES})["']"""
+    ways = [rf"(?is)<meta\b[^>]*{name}[^>]*\bcontent\s*=\s*{quoted}", rf"(?is)<meta\b[^>]*\bcontent\s*=\s*{quoted}[^>]*{name}", rf"(?is)<time\b[^>]*\bdatetime\s*=\s*{quoted}"]
+    found = [tm.parse_publish_time_lenient(F.regexp_extract(F.trim(F.regexp_extract(html, way, 1)), r"^(\d{4}-\d{2}-\d{2}(?:[ T]\d{2}:\d{2}(?::\d{2})?)?)", 1)) for way in ways]
+    return F.coalesce(*found, _embedded_time(html))
+
+
+def _embedded_time(html: Column) -> Column:
+    data = F.regexp_extract(html, r'(?s)<script id="__NEXT_DATA__"[^>]*>(.*?)</script>', 1)
     at = "$.props.pageProps.detailData.contentDetail."
     clock = tm.parse_publish_time_lenient(F.get_json_object(data, at + "pubTime"))
-    return pages.select("page_id", F.coalesce(clock, F.floor(F.get_json_object(data, at + "publishTime").try_cast("double") / 1000)).alias("publish_s"))
+    return F.coalesce(clock, F.floor(F.get_json_object(data, at + "publishTime").try_cast("double") / 1000))
+
+
+def html_embedded_date(pages: DataFrame) -> DataFrame:
+    """page_id, publish_s from the page's embedded data: the formatted time, else the milliseconds."""
+    return pages.select("page_id", _embedded_time(F.col("html")).alias("publish_s"))
 
 
 def html_embedded_counts(pages: DataFrame) -> DataFrame:

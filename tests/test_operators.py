@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from eventloom.functions import automaton
 from eventloom.functions import text as tx
 from eventloom.functions import times as tm
 from eventloom.functions import values as vl
@@ -456,3 +457,77 @@ def test_models_are_kept_by_kind(spark, tmp_path):
             ml.newest_model(spark, folder, bad)
     with pytest.raises(ValueError):
         ml.save_model(first, spark, folder, "novel")
+
+
+def test_many_words_in_one_pass(spark):
+    rng = random.Random(8)
+    words = [f"{a}{b}{c}" for a in "abcdefgh" for b in "abcdefgh" for c in "abcdefgh"] + ["ab", "", "洪水"]
+    texts = [(i, "".join(rng.choice("abcdefgh 洪水\n") for _ in range(rng.randrange(120)))) for i in range(60)] + [(60, None), (61, "")]
+    df = spark.createDataFrame(texts, "key long, text string")
+    want = {(i, w) for i, t in texts for w in words if w and w in (t or "")}
+    lexicon = spark.createDataFrame([(w,) for w in [*words, "ab"]], "word string")
+    for chars in (None, 200):
+        assert sorted(map(tuple, automaton.matches(df, lexicon, chars).collect())) == sorted(want)
+    assert automaton.matches(df, lexicon.limit(0)).count() == automaton.matches(df.limit(0), lexicon).count() == 0
+    tokens = df.select("key", F.split("text", " ").alias("t"))
+    out = tokens.select("key", tx.contains_any(F.col("t"), words[1:-2]).alias("many"), F.size(F.filter("t", lambda x: F.rlike(x, F.lit("|".join(words[1:-2]))))).alias("few")).where("key < 60").collect()
+    assert all(r.many == r.few for r in out) and sum(r.many for r in out) > 20
+    items = spark.createDataFrame([(1, "The FLOOD came", "x", None), (2, "no", None, "a flood"), (3, "flo", "od", None)], "doc_id int, title string, keywords string, summary string")
+    keys = spark.createDataFrame([("Flood",), ("no",), ("CAME",), ("lood c",)], "keyword string")
+    assert sorted(map(tuple, landed.cand_keyword_matches(items, keys).collect())) == [(1, "CAME"), (1, "Flood"), (1, "lood c"), (2, "Flood"), (2, "no")]
+
+
+def test_segmentation_is_the_most_likely_path(spark):
+    rng = random.Random(12)
+    freq = {"".join(rng.choice("台风登陆州市") for _ in range(rng.randrange(2, 5))): rng.randrange(1, 50) for _ in range(60)}
+    texts = [(i, "".join(rng.choice("台风登陆州市 x") for _ in range(rng.randrange(60)))) for i in range(50)] + [(50, None), (51, "")]
+    total = sum(freq.values())
+    want = []
+    for i, t in texts:
+        t = t or ""
+        best, to = [0.0] * (len(t) + 1), [0] * len(t)
+        for x in range(len(t) - 1, -1, -1):
+            ways = [(best[x + 1] - math.log(total), x + 1)] + [(math.log(freq[t[x:y]] / total) + best[y], y) for y in range(x + 2, len(t) + 1) if t[x:y] in freq]
+            best[x], to[x] = max(ways)
+        x = 0
+        while x < len(t):
+            want += [(i, x + 1, t[x : to[x]])] if to[x] - x > 1 else []
+            x = to[x]
+    docs = spark.createDataFrame(texts, "doc_id int, text string")
+    lexicon = spark.createDataFrame(list(freq.items()) + [("台", 9), ("无", 0)], "word string, n int")
+    for chars in (10**6, 1):
+        assert sorted(map(tuple, entities.dict_segment(docs, lexicon, chars).collect())) == sorted(want)
+    assert entities.dict_segment(docs, lexicon.limit(0)).count() == 0
+    plan = entities.dict_segment(docs, lexicon)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+
+
+def test_index_of_grams_finds_what_like_finds(spark, tmp_path):
+    rng = random.Random(6)
+    events = [(f"e{i}", "".join(rng.choice("abc_%") for _ in range(rng.randrange(14))), "high") for i in range(300)] + [("x", None, "low")]
+    words = [(f"e{rng.randrange(320)}", "".join(rng.choice("abc") for _ in range(6)), 0) for _ in range(200)]
+    ev, kw = spark.createDataFrame(events, "event_id string, title string, risk_level string"), spark.createDataFrame(words, "event_id string, word string, rank int")
+    for name, table in (("t", lookups.grams_of(ev, "event_id", "title")), ("w", lookups.grams_of(kw, "word", "word"))):
+        lookups.save_grams(table, f"{tmp_path}/{name}")
+    t, w = (spark.read.parquet(f"{tmp_path}/{name}") for name in "tw")
+    for q, escape in (("abc", False), ("ab%ca", False), ("abca_b", False), ("a_bc%", True), ("ab", False), ("cabca", True), ("a\\_bca", False), ("zzzz", False)):
+        plain = sorted(r.event_id for r in lookups.list_filter(ev, kw, None, q, escape).collect())
+        assert sorted(r.event_id for r in lookups.list_filter(ev, kw, None, q, escape, t, w).collect()) == plain
+    # A search reads the folders of its grams only.
+    assert len(lookups.gram_search(t, "abc").inputFiles()) >= 1 and "part" in lookups.gram_search(t, "abca")._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_main_content_of_pages(spark):
+    para = "A paragraph of the article that is long enough to be content, with <a href='#'>one link</a> in it."
+    page = f"""<html><head><title> T </title><meta property="article:published_time" content="2024-05-06T07:08:09+08:00"></head><body>
+<nav><p>Home, a long enough line of navigation text here</p></nav><header>Site of long names and more</header><div class="main-ad big">Buy this long advertised thing now or never</div>
+<div id="content"><h1>Title</h1><p>{para}</p><p>Short.</p><p>{para}</p><ul><li><a href=1>a list of links that goes on</a></li><li><a href=2>another list of links here</a></li></ul></div>
+<div class="related links">Related: a long text of other things to read</div><p>lone</p><footer>All rights reserved, a long line of text</footer></body></html>"""
+    plain = "A paragraph of the article that is long enough to be content, with one link in it."
+    rows = [
+        (1, page), (2, "<body><p>too short</p></body>"), (3, None), (4, ""),
+        (5, f"<h1>Only heading</h1><main><p>{para}</p></main><p>Outside of the main part, a long text too</p><time datetime='2024-01-01'>"),
+        (6, f"<article><p>{para}</p></article><div>Outside of the article there is a long text</div><meta content='2024-01-01 10:00' name='pubdate'>"),
+    ]
+    out = {r.page_id: (r.title, r.body, r.publish_s) for r in landed.html_article(spark.createDataFrame([(i, "u", h) for i, h in rows], "page_id int, url string, html string")).collect()}
+    assert out == {1: ("T", f"Title\n{plain}\nShort.\n{plain}", 1714979289), 5: ("Only heading", plain, 1704067200), 6: ("", plain, 1704103200)}
