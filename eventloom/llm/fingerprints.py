@@ -5,11 +5,14 @@ two primes below 2^31. Any two spans are compared in constant time by their diff
 of S, shifted to a common power of B, and the longest common extension of two positions
 is found by binary search over spans.
 
-A fingerprint keeps the prefix array and the one of the reversed text at positions that
-are multiples of a power of two, the smallest that gives at most ``SAMPLES`` of them.
-Grids of different texts are nested, so that fingerprints alone tell which cells of the
-grid agree: the differences of neighbouring samples are equal, counted in place from the
-start and from the end. Cells that are moved against both ends are not told.
+A fingerprint keeps the prefix array in two ways. At anchors, positions that the text itself
+chooses: where the hash of the next ``WINDOW`` code points is small enough that there are
+at most ``ANCHORS`` of them. So equal passages have the same anchors wherever they stand. Of
+two fingerprints, an anchor and the next one make a span; where a span of the one equals one of
+the other, a binary search over the anchors finds how far the texts go on alike.
+And at positions that are multiples of a power of two, from the start and (of the reversed text) from
+the end, at most ``SAMPLES`` of each, as texts that repeat themselves may have no anchors:
+cells of this grid that agree in place are counted. The better count is the likeness.
 """
 
 from __future__ import annotations
@@ -29,23 +32,33 @@ PRIMES = np.array([2147483647, 2147483629], np.uint64)
 BASES = np.array([911382323, 972663749], np.uint64)
 BLOCK = 1 << 15
 SAMPLES = 32
+ANCHORS, WINDOW = 64, 16
 #: Documents go to ranges of about so many, and to at most so many ranges.
 TASK_ROWS, MAX_TASKS = 2_000, 1 << 16
 
 _powers: list[np.ndarray] = []
+_inverses: list[np.ndarray] = []
 
 
-def _power_table() -> list[np.ndarray]:
-    """B^0 .. B^(BLOCK-1) for each prime, by doubling."""
-    if not _powers:
+def _power_table(kept: list[np.ndarray] = _powers, sign: int = 1) -> list[np.ndarray]:
+    """B^0 .. B^(BLOCK-1) for each prime, by doubling; or their inverses."""
+    if not kept:
         for p, b in zip(PRIMES, BASES):
             out = np.ones(1, np.uint64)
-            step = b
+            step = np.uint64(pow(int(b), sign, int(p)))
             while len(out) < BLOCK:
                 out = np.concatenate([out, out * step % p])
                 step = step * step % p
-            _powers.append(out)
-    return _powers
+            kept.append(out)
+    return kept
+
+
+def _inverse_powers(k: int, at: np.ndarray) -> np.ndarray:
+    """B^-i modulo prime k for each position i."""
+    table, prime = _power_table(_inverses, -1)[k], PRIMES[k]
+    high = at // BLOCK
+    lifts = np.array([power(pow(int(BASES[k]), -1, int(prime)), x * BLOCK, prime) for x in range(int(high.max(initial=0)) + 1)], np.uint64)
+    return table[at % BLOCK] * lifts[high] % prime
 
 
 def power(base: int, n: int, prime: int) -> int:
@@ -93,34 +106,105 @@ def longest_common_extension(a: np.ndarray, i: int, b: np.ndarray, j: int) -> in
     return low
 
 
+def _anchors(arrays: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Positions that the text chooses, how many zero bits the mixed hash of the window there begins with, and with how many it is chosen."""
+    m = arrays.shape[1] - WINDOW
+    if m <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+    prime = PRIMES[0]
+    mixed = (arrays[0, WINDOW:] + prime - arrays[0, :m]) % prime * _inverse_powers(0, np.arange(m)) % prime
+    mixed = mixed * np.uint64(0x9E3779B97F4A7C15)
+    mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+    zeros = max(0, m.bit_length() - ANCHORS.bit_length() - 1)
+    at = np.flatnonzero(mixed >> np.uint64(64 - zeros) == 0) if zeros else np.arange(m)
+    level = 64 - np.frexp(mixed[at].astype(float))[1]
+    while len(at) > ANCHORS:
+        zeros += 1
+        at, level = at[level >= zeros], level[level >= zeros]
+    return at, level, zeros
+
+
 class Print:
-    """Length, grid and the sampled prefix hashes from the start and from the end."""
+    """Length, the sampled prefix hashes of the grid from the start and from the end, and the anchors with theirs."""
 
-    __slots__ = ("n", "shift", "head", "tail")
+    __slots__ = ("n", "shift", "head", "tail", "zeros", "at", "level", "sums")
 
     def __init__(self, points: np.ndarray, head: np.ndarray | None = None):
         self.n = len(points)
         self.shift = max(0, (max(1, self.n) - 1).bit_length() - (SAMPLES.bit_length() - 1))
         grid = np.append(np.arange(1 << self.shift, self.n, 1 << self.shift), self.n) if self.n else np.zeros(0, np.int64)
-        self.head = self._sampled(prefix_arrays(points) if head is None else head, grid)
+        arrays = prefix_arrays(points) if head is None else head
+        self.head = self._sampled(arrays, grid)
         self.tail = self._sampled(prefix_arrays(points[::-1]), grid)
+        self.at, self.level, self.zeros = _anchors(arrays)
+        self.sums = arrays[:, self.at]
 
     @staticmethod
     def _sampled(arrays: np.ndarray, grid: np.ndarray) -> list[int]:
         return ((arrays[0, grid] << np.uint64(31)) | arrays[1, grid]).tolist()
 
     def text(self) -> str:
-        return f"{self.n}:{self.shift}:" + "".join(f"{x:016x}" for x in self.head) + ":" + "".join(f"{x:016x}" for x in self.tail)
+        anchors = "".join(f"{i:08x}{z:02x}{x:016x}" for i, z, x in zip(self.at.tolist(), self.level.tolist(), ((self.sums[0] << np.uint64(31)) | self.sums[1]).tolist()))
+        return ":".join([str(self.n), str(self.shift), str(self.zeros), *("".join(f"{x:016x}" for x in part) for part in (self.head, self.tail)), anchors])
 
     @classmethod
     def read(cls, text: str) -> Print:
-        n, shift, head, tail = text.split(":")
+        n, shift, zeros, head, tail, anchors = text.split(":")
         out = cls.__new__(cls)
-        out.n, out.shift = int(n), int(shift)
+        out.n, out.shift, out.zeros = int(n), int(shift), int(zeros)
         out.head, out.tail = ([int(x[i : i + 16], 16) for i in range(0, len(x), 16)] for x in (head, tail))
+        found = [anchors[i : i + 26] for i in range(0, len(anchors), 26)]
+        out.at, out.level = (np.array([int(x[a:b], 16) for x in found], np.int64) for a, b in ((0, 8), (8, 10)))
+        sums = np.array([int(x[10:], 16) for x in found], np.uint64)
+        out.sums = np.stack([sums >> np.uint64(31), sums & np.uint64((1 << 31) - 1)])
         return out
 
 
+class Spans:
+    """The spans between anchors of at least a level, and the text's ends: any run of them is compared by prefix hashes."""
+
+    def __init__(self, p: Print, level: int):
+        keep = p.level >= level
+        inner = p.at[keep] > 0
+        whole = p.head[-1] if p.head else 0
+        self.at = [0, *p.at[keep][inner].tolist(), p.n]
+        sums = [np.concatenate([[0], part[keep][inner], [end]]).astype(np.uint64) for part, end in zip(p.sums, (whole >> 31, whole & ((1 << 31) - 1)))]
+        at = np.array(self.at)
+        self.back = [_inverse_powers(k, at).tolist() for k in range(2)]
+        self.sums = [x.tolist() for x in sums]
+
+    def hash(self, x: int, y: int) -> tuple[int, int, int]:
+        """Of the span from boundary x to boundary y, wherever it stands: its length and both hashes."""
+        first, second = ((self.sums[k][y] - self.sums[k][x]) * self.back[k][x] % int(PRIMES[k]) for k in range(2))
+        return self.at[y] - self.at[x], first, second
+
+
+def _alike(p: Print, q: Print) -> int:
+    """Code points in spans of the one that follow each other in the same order in the other."""
+    level = max(p.zeros, q.zeros)
+    a, b = Spans(p, level), Spans(q, level)
+    places: dict[tuple, list[int]] = {}
+    for y in range(len(b.at) - 1):
+        places.setdefault(b.hash(y, y + 1), []).append(y)
+    found = x = y = 0
+    while x < len(a.at) - 1:
+        start = next((z for z in places.get(a.hash(x, x + 1), ()) if z >= y), None)
+        if start is None or a.at[x + 1] == a.at[x]:
+            x += 1
+            continue
+        # How far both go on alike, by binary search.
+        low, high = 1, min(len(a.at) - 1 - x, len(b.at) - 1 - start)
+        while low < high:
+            middle = (low + high + 1) // 2
+            if a.hash(x, x + middle) == b.hash(start, start + middle):
+                low = middle
+            else:
+                high = middle - 1
+        found += a.at[x + low] - a.at[x]
+        x, y = x + low, start + low
+    return found
+
+
 def _at(samples: list[int], step: int, cells: int) -> np.ndarray:
     """Row k: the prefix hashes modulo prime k before each cell of the coarser grid and behind the last."""
     # The last sample is the whole text, wherever the grid ends.
@@ -148,14 +232,15 @@ def _covered(spans: list[tuple[int, int]]) -> int:
 
 
 def likeness(p: Print, q: Print) -> float:
-    """Share of the longer text in spans that agree with the other in place from the start or the end; 1 for equal texts."""
+    """Share of the longer text in spans that agree with the other, between anchors or in place from the start or the end; 1 for equal texts."""
     if p.n == q.n and p.head[-1:] == q.head[-1:]:
         return 1.0
     if not min(p.n, q.n):
         return 0.0
     head, tail = _agree(p.head, q.head, p, q), _agree(p.tail, q.tail, p, q)
     # What is covered in the one and in the other, as a span may meet two of the other.
-    return min(_covered(head + [(t.n - e, t.n - s) for s, e in tail]) for t in (p, q)) / max(p.n, q.n)
+    in_place = min(_covered(head + [(t.n - e, t.n - s) for s, e in tail]) for t in (p, q))
+    return max(in_place, _alike(p, q)) / max(p.n, q.n)
 
 
 PRINTS = T.StructType(
@@ -167,6 +252,8 @@ PRINTS = T.StructType(
         T.StructField("edited_fingerprint", T.StringType()),
         T.StructField("near_edited", T.DoubleType()),
         T.StructField("near_next", T.DoubleType()),
+        T.StructField("edited_from", T.LongType()),
+        T.StructField("next_from", T.LongType()),
     ]
 )
 
@@ -194,72 +281,81 @@ def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     edited_arrays[k, kept + 1 :] = (edited_arrays[k, kept] + more[k, 1:] * lift) % prime
                 edited_print = Print(np.concatenate([points_[:kept], points[: len(taken)]]), edited_arrays)
                 digest = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
-                out.append((id_, n, digest, print_.text(), edited_print.text(), likeness(print_, edited_print), likeness(print_, own)))
+                # Where the text and the other first differ.
+                froms = (longest_common_extension(arrays_, 0, other, 0) for other in (edited_arrays, arrays))
+                out.append((id_, n, digest, print_.text(), edited_print.text(), likeness(print_, edited_print), likeness(print_, own), *froms))
             before = None if last else (bucket, doc_id, text, points, own, arrays)
         if out:
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=PRINTS.names)
 
 
-def _bucket(bounds: list[int]):
-    """The number of bounds up to an id (null ids before all), by a binary search of so many steps as needed."""
+#: Null ids are before all others.
+NO_ID = -(1 << 63)
+#: Rows with one id are ordered by so many bits of their text's digest, then by text.
+TIE = 1 << 32
+
+
+def _bucket(bounds: list[tuple[int, int]]):
+    """The number of bounds up to a row's (key, tie), by a binary search of so many steps as needed."""
     if not bounds:
         return F.lit(0)
-    # A literal of at most MAX_TASKS numbers.
-    table = F.array_sort(F.lit(bounds))
+    # A literal of at most MAX_TASKS pairs of numbers.
+    keys, ties = (F.lit([int(x[k]) for x in bounds]).cast("array<bigint>") for k in (0, 1))
     steps = len(bounds).bit_length()
+    middle = lambda acc: ((acc["low"] + acc["high"]) / 2).cast("int")
+    up_to = lambda m: (F.get(keys, m) < F.col("key")) | ((F.get(keys, m) == F.col("key")) & (F.get(ties, m) <= F.col("tie")))
     found = F.aggregate(
         F.sequence(F.lit(1), F.lit(steps)),
         F.struct(F.lit(0).alias("low"), F.lit(len(bounds)).alias("high")),
-        lambda acc, _: F.when(
-            acc["low"] < acc["high"],
-            F.when(
-                F.element_at(table, ((acc["low"] + acc["high"]) / 2).cast("int") + 1) <= F.col("doc_id"),
-                F.struct((((acc["low"] + acc["high"]) / 2).cast("int") + 1).alias("low"), acc["high"].alias("high")),
-            ).otherwise(F.struct(acc["low"].alias("low"), ((acc["low"] + acc["high"]) / 2).cast("int").alias("high"))),
-        ).otherwise(acc),
+        lambda acc, _: F.when(acc["low"] < acc["high"], F.when(up_to(middle(acc)), F.struct((middle(acc) + 1).alias("low"), acc["high"].alias("high"))).otherwise(F.struct(acc["low"].alias("low"), middle(acc).alias("high")))).otherwise(acc),
     )
-    return F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(found["low"])
+    return found["low"]
+
+
+def _bounds(source: DataFrame) -> list[tuple[int, int]]:
+    """Where ranges begin, but for the first: quantiles of the keys, and parts of keys that more rows than a task's share."""
+    rows = source.count()
+    tasks = min(MAX_TASKS, max(1, -(-rows // TASK_ROWS)))
+    if tasks == 1:
+        return []
+    share = -(-rows // tasks)
+    shares = [i / tasks for i in range(1, tasks)]
+    found = source.agg(F.percentile_approx("key", shares, max(10_000, 4 * tasks)).alias("q")).first().q or []
+    # At most as many keys as tasks.
+    large = source.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > share).collect()
+    parts = [(r.key, TIE * j // -(-r.n // share)) for r in large for j in range(-(-r.n // share))]
+    return sorted({*((k, 0) for k in found), *parts, *((r.key + 1, 0) for r in large)})
 
 
 def fingerprint(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document (``PRINTS``): its fingerprint, its edited text's, and their likeness.
+    """One row a document (``PRINTS``): its fingerprint, its edited text's, their likeness, and where it first differs from the edited and the next text.
 
     The edited text has its last quarter replaced by the start of the next document's text
     in the order of ids; the last document's next is the first. Null texts are empty. Null
-    ids come first; rows with one id follow each other by text. A single document is its
+    ids come first; rows with one id follow each other in a fixed order of their texts. A single document is its
     own next. Further columns are not read; an empty table gives no rows.
 
-    Documents are dealt by ranges of ids and sorted within; each range also gets the first
-    document of the following one, so no order over all rows is needed in one task.
+    Documents are dealt by ranges of ids and sorted within; an id, or none, that many rows share has
+    several ranges. Each range also gets the first document of the following one, so no
+    order over all rows is needed in one task.
     """
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = source.count()
-    tasks = min(MAX_TASKS, max(1, -(-rows // TASK_ROWS)))
-    bounds: list[int] = []
-    if tasks > 1:
-        shares = [i / tasks for i in range(1, tasks)]
-        found = source.agg(F.percentile_approx("doc_id", shares, max(10_000, 4 * tasks)).alias("q")).first().q or []
-        bounds = sorted(set(found))
-    placed = source.withColumn("bucket", _bucket(bounds))
-    firsts = stash(placed.groupBy("bucket").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("some"), "doc_id")).alias("first")).select("bucket", "first.doc_id"), "firsts")
-    begun = [r.bucket for r in firsts.select("bucket").orderBy("bucket").collect()]  # at most MAX_TASKS numbers
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    key, tie = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), key.alias("key"), tie.alias("tie"))
+    placed = source.withColumn("bucket", _bucket(_bounds(source)))
+    firsts = stash(placed.groupBy("bucket").agg(F.min(F.struct("key", "tie")).alias("first")).select("bucket", "first.key", "first.tie"), "firsts")
+    begun = [r.bucket for r in firsts.select("bucket").orderBy("bucket").collect()]  # some times MAX_TASKS numbers at most
     if not begun:
         return docs.sparkSession.createDataFrame([], PRINTS)
-    ahead = {b: begun[i - 1] for i, b in enumerate(begun)}
-    before = F.element_at(F.create_map(*[F.lit(x) for pair in ahead.items() for x in pair]), F.col("bucket")) if len(ahead) <= 4096 else None
-    if before is None:
-        pairs = docs.sparkSession.createDataFrame(list(ahead.items()), "bucket int, before int")
-        heads = firsts.join(F.broadcast(pairs), "bucket")
-    else:
-        heads = firsts.withColumn("before", before)
-    heads = heads.select(F.col("doc_id").alias("head"), F.col("before").alias("head_before"))
-    # One document a range: at most MAX_TASKS ids.
-    added = source.join(F.broadcast(heads), F.col("doc_id").eqNullSafe(F.col("head"))).groupBy("head_before", "doc_id").agg(F.min("text").alias("text"))
-    added = added.select(F.col("head_before").alias("bucket"), F.lit(True).alias("last"), "doc_id", "text")
-    every = placed.select("bucket", F.lit(False).alias("last"), "doc_id", "text").unionByName(added)
+    pairs = docs.sparkSession.createDataFrame([(b, begun[i - 1]) for i, b in enumerate(begun)], "bucket int, before int")
+    # One document a range.
+    heads = firsts.join(F.broadcast(pairs), "bucket").select("key", "tie", F.col("before").alias("head_before"))
+    added = source.join(F.broadcast(heads), ["key", "tie"]).groupBy("head_before", "doc_id", "key", "tie").agg(F.min("text").alias("text"))
+    added = added.select(F.col("head_before").alias("bucket"), F.lit(True).alias("last"), "doc_id", "text", "key", "tie")
+    every = placed.select("bucket", F.lit(False).alias("last"), "doc_id", "text", "key", "tie").unionByName(added)
     # "bucket" first: a task may hold several ranges.
-    dealt = every.repartition(max(1, len(begun)), "bucket").sortWithinPartitions("bucket", "last", F.col("doc_id").asc_nulls_first(), "text")
+    dealt = every.repartition(max(1, len(begun)), "bucket").sortWithinPartitions("bucket", "last", "key", "tie", "text").select("bucket", "last", "doc_id", "text")
     return dealt.mapInArrow(_in_order, PRINTS)
 
 

@@ -722,6 +722,41 @@ def test_likeness_counts_inner_spans():
     assert fingerprints.likeness(one, fingerprints.Print(fingerprints.points_of(text[::-1]))) < 0.1
 
 
+def test_likeness_finds_moved_spans():
+    rng = random.Random(10)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(4000))
+    own = fingerprints.Print(fingerprints.points_of(text))
+    like = lambda other: fingerprints.likeness(own, fingerprints.Print(fingerprints.points_of(other)))
+    assert like("x" + text + "y") > 0.9 and like(text[:2000] + "xyz" + text[2000:]) > 0.9
+    assert like("x" + text[:1300] + "y" + text[1300:2600] + "z" + text[2600:] + "w") > 0.85
+    assert like(text[2000:] + text[:2000]) > 0.4 and like("".join(rng.choice("abcdefgh ") for _ in range(4000))) < 0.05
+    assert like(text) == 1 and like("") == 0 and 0.4 < like(text[:2000]) <= 0.5 and like(text * 20) <= 0.06
+    # The anchors of a longer text that holds this one are among those of this one, so all spans between them meet.
+    assert like("".join(rng.choice("ijkl") for _ in range(2000)) + text) > 0.55
+    for flat in ("a" * 5000, "word " * 1000):
+        one, two = (fingerprints.Print(fingerprints.points_of(t)) for t in (flat, flat + "x"))
+        assert fingerprints.likeness(one, two) > 0.9 and len(one.at) <= fingerprints.ANCHORS
+        assert fingerprints.Print.read(one.text()).text() == one.text()
+
+
+def test_fingerprints_of_ids_that_many_share(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "TASK_ROWS", 7)
+    rng = random.Random(3)
+    rows = [(None, f"none {rng.random()}") for _ in range(60)] + [(5, f"five {rng.random()}") for _ in range(70)] + [(k, f"text {k} " * 9) for k in range(40)] + [(5, "five again")] * 12
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    digest = lambda t: int(hashlib.md5(t.encode()).hexdigest()[:8], 16)
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, digest(r[1]), r[1]))
+    want = []
+    for k, (doc_id, text) in enumerate(order):
+        after, q = order[(k + 1) % len(order)][1], len(text) // 4
+        edited = text[: len(text) - q] + after[:q]
+        first = next((i for i, (a, b) in enumerate(zip(text, edited)) if a != b), min(len(text), len(edited)))
+        onward = next((i for i, (a, b) in enumerate(zip(text, after)) if a != b), min(len(text), len(after)))
+        want.append((doc_id, hashlib.sha256(edited.encode()).hexdigest(), first, onward))
+    found = fingerprints.fingerprint(df).collect()
+    assert sorted(((r.doc_id, r.edited_sha256, r.edited_from, r.next_from) for r in found), key=repr) == sorted(want, key=repr)
+
+
 def test_fingerprints_equal_the_plain_form(docs, monkeypatch):
     monkeypatch.setattr(fingerprints, "TASK_ROWS", 30)
     rows = sorted((r.doc_id, r.text) for r in docs.collect())
