@@ -47,6 +47,8 @@ ADDED = 0.1
 PRIOR = (1000.0, 4.0)
 #: Tokens of a block, and about so many of a shard.
 BLOCK_TOKENS, SHARD_TOKENS = 1 << 20, 1 << 20
+#: What follows words that stand more often than this lies in several shards.
+SPLIT_TOKENS = 1 << 22
 #: Parts of the vocabulary at most; up to then four for each split of the input.
 PARTS = 4096
 #: Bytes of a text cut into words at once.
@@ -174,7 +176,7 @@ class Counts:
 
     def splits(self, ids: np.ndarray) -> np.ndarray:
         """Over how many shards what follows a word is spread."""
-        return np.maximum(1, -(-self.of(ids) // SHARD_TOKENS))
+        return np.maximum(1, -(-self.of(ids) // SPLIT_TOKENS))
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -303,20 +305,23 @@ class Block:
 
 
 def to_bytes(*columns: np.ndarray) -> bytes:
-    """Whole numbers byte by byte: all first bytes of a column, then all second ones, as many as its largest needs; these compress well."""
-    out = [np.int64(len(columns[0])).tobytes()]
+    """Whole numbers byte by byte, compressed: all first bytes of a column, then all second ones, as many as its largest needs. Begins with how many there are."""
+    out = []
     for c in columns:
         width = max(1, (int(c.max(initial=0)).bit_length() + 7) // 8)
         out += [bytes([width]), np.ascontiguousarray(c.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()]
-    return b"".join(out)
+    raw = b"".join(out)
+    return np.array([len(columns[0]), len(raw)], np.int64).tobytes() + pa.compress(raw, codec="zstd", asbytes=True)
 
 
 def from_bytes(data: bytes, columns: int) -> list[np.ndarray]:
-    n, at, out = int(np.frombuffer(data, np.int64, 1)[0]), 8, []
+    n, size = np.frombuffer(data, np.int64, 2).tolist()
+    raw = pa.decompress(data[16:], size, codec="zstd", asbytes=True)
+    at, out = 0, []
     for _ in range(columns):
-        width = data[at]
+        width = raw[at]
         wide = np.zeros((n, 8), np.uint8)
-        wide[:, :width] = np.frombuffer(data, np.uint8, n * width, at + 1).reshape(width, n).T
+        wide[:, :width] = np.frombuffer(raw, np.uint8, n * width, at + 1).reshape(width, n).T
         out.append(wide.view("<i8").ravel())
         at += 1 + n * width
     return out
@@ -349,7 +354,7 @@ HELD = 1 << 20
 def _packed_table(columns, schema: pa.Schema) -> bytes:
     """Arrow's stream format. Many entries are one row for Spark, which compresses well and costs little to move."""
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, schema) as out:
+    with pa.ipc.new_stream(sink, schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
         out.write_batch(pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema))
     return sink.getvalue().to_pybytes()
 

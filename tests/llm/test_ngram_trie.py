@@ -61,7 +61,7 @@ def test_scores_equal_a_plain_version(spark, sf):
 
 
 def test_many_blocks_shards_and_split_words(spark, sf, monkeypatch):
-    for name, value in (("BLOCK_TOKENS", 3000), ("SHARD_TOKENS", 2000), ("PIECE", 100), ("SLICE", 64), ("SAMPLED", 16)):
+    for name, value in (("BLOCK_TOKENS", 3000), ("SHARD_TOKENS", 2000), ("SPLIT_TOKENS", 2000), ("PIECE", 100), ("SLICE", 64), ("SAMPLED", 16)):
         monkeypatch.setattr(nt, name, value)
     rng = random.Random(1)
     texts = [" ".join(rng.choice(["the", "the", "the", "of", f"w{rng.randrange(300)}"]) for _ in range(rng.randrange(300))) for _ in range(150)] + ["a " * 4000, "the " * 2500]
