@@ -106,17 +106,23 @@ def longest_common_extension(a: np.ndarray, i: int, b: np.ndarray, j: int) -> in
     return low
 
 
-def _anchors(arrays: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """Positions that the text chooses, how many zero bits the mixed hash of the window there begins with, and with how many it is chosen."""
-    m = arrays.shape[1] - WINDOW
-    if m <= 0:
+def window_hashes(points: np.ndarray) -> np.ndarray:
+    """64 mixed bits of the ``WINDOW`` code points from each position on, by doubling."""
+    out, width = points, 1
+    while width < WINDOW:
+        out = (out[:-width] if width < len(out) else out[:0]) * np.uint64(0x9E3779B97F4A7C15 + 4 * width) + out[width:] * np.uint64(0xD6E8FEB86659FD93)
+        out = out ^ (out >> np.uint64(29))
+        width *= 2
+    return out * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def _anchors(mixed: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Positions that the text chooses, how many zero bits the hash of the window there begins with, and with how many it is chosen."""
+    m = len(mixed)
+    if not m:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), 0
-    prime = PRIMES[0]
-    mixed = (arrays[0, WINDOW:] + prime - arrays[0, :m]) % prime * _inverse_powers(0, np.arange(m)) % prime
-    mixed = mixed * np.uint64(0x9E3779B97F4A7C15)
-    mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
     zeros = max(0, m.bit_length() - ANCHORS.bit_length() - 1)
-    at = np.flatnonzero(mixed >> np.uint64(64 - zeros) == 0) if zeros else np.arange(m)
+    at = np.flatnonzero(mixed < np.uint64(1 << (64 - zeros))) if zeros else np.arange(m)
     level = 64 - np.frexp(mixed[at].astype(float))[1]
     while len(at) > ANCHORS:
         zeros += 1
@@ -127,17 +133,18 @@ def _anchors(arrays: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
 class Print:
     """Length, the sampled prefix hashes of the grid from the start and from the end, and the anchors with theirs."""
 
-    __slots__ = ("n", "shift", "head", "tail", "zeros", "at", "level", "sums")
+    __slots__ = ("n", "shift", "head", "tail", "zeros", "at", "level", "sums", "spans")
 
-    def __init__(self, points: np.ndarray, head: np.ndarray | None = None):
+    def __init__(self, points: np.ndarray, head: np.ndarray | None = None, windows: np.ndarray | None = None):
         self.n = len(points)
         self.shift = max(0, (max(1, self.n) - 1).bit_length() - (SAMPLES.bit_length() - 1))
         grid = np.append(np.arange(1 << self.shift, self.n, 1 << self.shift), self.n) if self.n else np.zeros(0, np.int64)
         arrays = prefix_arrays(points) if head is None else head
         self.head = self._sampled(arrays, grid)
         self.tail = self._sampled(prefix_arrays(points[::-1]), grid)
-        self.at, self.level, self.zeros = _anchors(arrays)
+        self.at, self.level, self.zeros = _anchors(window_hashes(points) if windows is None else windows)
         self.sums = arrays[:, self.at]
+        self.spans: dict[int, Spans] = {}
 
     @staticmethod
     def _sampled(arrays: np.ndarray, grid: np.ndarray) -> list[int]:
@@ -157,6 +164,7 @@ class Print:
         out.at, out.level = (np.array([int(x[a:b], 16) for x in found], np.int64) for a, b in ((0, 8), (8, 10)))
         sums = np.array([int(x[10:], 16) for x in found], np.uint64)
         out.sums = np.stack([sums >> np.uint64(31), sums & np.uint64((1 << 31) - 1)])
+        out.spans = {}
         return out
 
 
@@ -170,8 +178,11 @@ class Spans:
         self.at = [0, *p.at[keep][inner].tolist(), p.n]
         sums = [np.concatenate([[0], part[keep][inner], [end]]).astype(np.uint64) for part, end in zip(p.sums, (whole >> 31, whole & ((1 << 31) - 1)))]
         at = np.array(self.at)
-        self.back = [_inverse_powers(k, at).tolist() for k in range(2)]
-        self.sums = [x.tolist() for x in sums]
+        back = [_inverse_powers(k, at) for k in range(2)]
+        each = ((x[1:] + p - x[:-1]) % p * y[:-1] % p for x, y, p in zip(sums, back, PRIMES))
+        #: Of each span from one boundary to the next.
+        self.hashes = list(zip(np.diff(at).tolist(), *(x.tolist() for x in each)))
+        self.back, self.sums = [x.tolist() for x in back], [x.tolist() for x in sums]
 
     def hash(self, x: int, y: int) -> tuple[int, int, int]:
         """Of the span from boundary x to boundary y, wherever it stands: its length and both hashes."""
@@ -182,13 +193,16 @@ class Spans:
 def _alike(p: Print, q: Print) -> int:
     """Code points in spans of the one that follow each other in the same order in the other."""
     level = max(p.zeros, q.zeros)
-    a, b = Spans(p, level), Spans(q, level)
+    for t in (p, q):
+        if level not in t.spans:
+            t.spans[level] = Spans(t, level)
+    a, b = p.spans[level], q.spans[level]
     places: dict[tuple, list[int]] = {}
-    for y in range(len(b.at) - 1):
-        places.setdefault(b.hash(y, y + 1), []).append(y)
+    for y, h in enumerate(b.hashes):
+        places.setdefault(h, []).append(y)
     found = x = y = 0
     while x < len(a.at) - 1:
-        start = next((z for z in places.get(a.hash(x, x + 1), ()) if z >= y), None)
+        start = next((z for z in places.get(a.hashes[x], ()) if z >= y), None)
         if start is None or a.at[x + 1] == a.at[x]:
             x += 1
             continue
@@ -260,15 +274,16 @@ PRINTS = T.StructType(
 
 def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come by bucket and order; each meets the next one. A bucket's last row is the first of the next bucket."""
-    before = None  # bucket, doc_id, text, print, prefix arrays
+    before = None  # bucket, doc_id, text, points, print, prefix arrays, hashes of windows
     for batch in chunks(batches):
         out = []
         for bucket, last, doc_id, text in zip(*(batch.column(k).to_pylist() for k in range(4))):
             points = points_of(text)
             arrays = prefix_arrays(points)
-            own = Print(points, arrays)
+            windows = window_hashes(points)
+            own = Print(points, arrays, windows)
             if before is not None and before[0] == bucket:
-                _, id_, text_, points_, print_, arrays_ = before
+                _, id_, text_, points_, print_, arrays_, windows_ = before
                 n = len(text_)
                 taken = text[: n // 4]
                 kept = n - n // 4
@@ -279,12 +294,16 @@ def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for k, prime in enumerate(PRIMES):
                     lift = np.uint64(power(BASES[k], kept, prime))
                     edited_arrays[k, kept + 1 :] = (edited_arrays[k, kept] + more[k, 1:] * lift) % prime
-                edited_print = Print(np.concatenate([points_[:kept], points[: len(taken)]]), edited_arrays)
+                edited_points = np.concatenate([points_[:kept], points[: len(taken)]])
+                # Windows within either part are known; those over the seam are not.
+                left, right = max(0, kept - WINDOW + 1), max(0, len(taken) - WINDOW + 1)
+                seam = window_hashes(edited_points[left : kept + WINDOW - 1])
+                edited_print = Print(edited_points, edited_arrays, np.concatenate([windows_[:left], seam, windows[:right]]))
                 digest = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
                 # Where the text and the other first differ.
                 froms = (longest_common_extension(arrays_, 0, other, 0) for other in (edited_arrays, arrays))
                 out.append((id_, n, digest, print_.text(), edited_print.text(), likeness(print_, edited_print), likeness(print_, own), *froms))
-            before = None if last else (bucket, doc_id, text, points, own, arrays)
+            before = None if last else (bucket, doc_id, text, points, own, arrays, windows)
         if out:
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=PRINTS.names)
