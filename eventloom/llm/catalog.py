@@ -37,7 +37,7 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.digest(mixing.mix(table(spark, sf_dir, "documents")))
+    return mixing.digest(mixing.mix(table(spark, sf_dir, "documents"), targets=mixing.TARGETS))
 
 
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
