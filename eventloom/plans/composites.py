@@ -253,9 +253,23 @@ def _st_late(s, d):
     return s.read.parquet(f"{path}/rows").select("kind", "user_id")
 
 
+def _in_files(s, d, n=5):
+    """The events' table as files by ranges of time, so that a stream takes several batches."""
+    events = table(s, d, "events")
+    bounds = events.agg(F.percentile_approx(F.unix_micros(F.col("ts").cast("timestamp")), [k / n for k in range(1, n)], 10_000).alias("b")).first().b or []
+    folder, at = f"{shared_folder(s)}/eventloom-events-{uuid.uuid4().hex}", F.unix_micros(F.col("ts").cast("timestamp"))
+    for low, high in zip([None, *bounds], [*bounds, None]):
+        part = events.where(F.lit(True) if low is None else at >= low).where(F.lit(True) if high is None else at < high)
+        part.coalesce(1).write.mode("append").parquet(folder)
+    return folder
+
+
 def _st_bucket(s, d):
-    path = _batched(s, d, lambda x: jobs.bucket(_timed(x)), jobs.replace_table, mode="complete")
-    return s.read.parquet(path).select("event_id", F.unix_seconds("start").alias("start_s"), "cnt")
+    folder = f"{shared_folder(s)}/eventloom-stream-{uuid.uuid4().hex}"
+    source = _in_files(s, d)
+    stream = jobs.ingest(s, source, s.read.parquet(source).schema, files_a_batch=1)
+    jobs.run_batches(jobs.event_buckets(_timed(stream).select("event_id", "publish_time")), jobs.keep_batches(f"{folder}/out"), f"{folder}/checkpoint", "update").awaitTermination()
+    return jobs.bucket_table(s, f"{folder}/out")
 
 
 def _printed(stream):
@@ -340,7 +354,7 @@ SELECT event_id, string_agg(word, ',' ORDER BY rn) AS people FROM (SELECT *, row
  UNION ALL SELECT event_id, 'path', 0, string_agg(platform, ' → ' ORDER BY pos) FROM ({ev.ORACLE["platform_chain"]}) GROUP BY event_id
  UNION ALL SELECT event_id, 'heat', 0, format('{{:,.3f}}', heat) FROM ({sql(["posts"], "SELECT event_id, heat FROM heats", ev._HEAT)})""",
     "st_late": "SELECT event_type AS kind, user_id FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 10 DAY",
-    "st_bucket": "SELECT 'e' || (user_id % 40)::VARCHAR AS event_id, floor(epoch(ts))::BIGINT // 21600 * 21600 AS start_s, count(*) AS cnt FROM events GROUP BY ALL",
+    "st_bucket": sql(["activity"], "SELECT event_id, ix, start_s, cnt FROM buckets", BUCKETS),
     "st_report": sql(["posts"], "SELECT event_id, heat FROM heats", ev._HEAT),
     "sink_raw": sql(["posts"], "SELECT doc_id, platform, md5(content) AS content, publish_s FROM posts"),
     "sink_json": sql(["posts"], "SELECT event_id, heat, words FROM heats JOIN (SELECT event_id, array_to_string(list_sort(list(word)), ',') AS words FROM kw GROUP BY event_id) USING (event_id)", *ev._KW, ev._HEAT),

@@ -6,10 +6,14 @@ Sources are folders of files; checkpoints replace status columns. Sinks that upd
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+from collections import Counter
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import cluster, dedup, vectors
@@ -69,9 +73,74 @@ def bucket(stream: DataFrame, time: str = "publish_time", width: str = "6 hours"
     return stream.groupBy("event_id", w.alias("w")).agg(F.count(F.lit(1)).alias("cnt")).select("event_id", F.col("w.start").alias("start"), "cnt")
 
 
-def replace_table(path: str) -> Callable[[DataFrame, int], None]:
-    """For streams in complete mode: the whole result each time."""
-    return lambda batch, _: batch.write.mode("overwrite").parquet(path)
+BUCKET_ROWS = "event_id string, anchor_s long, ix long, cnt long"
+
+
+def _event_buckets(width: int, idle_ms: int):
+    """An event's state: its first post, whether no earlier one can come, the counts of its buckets, and until then the counts of its times."""
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        held = json.loads(state.get[0]) if state.exists else {"anchor": None, "final": False, "times": {}, "counts": []}
+        new = Counter(int(t) for frame in frames for t in frame["publish_s"])
+        if not new:
+            return
+        before, known = held["anchor"], len(held["counts"])
+        if not held["final"]:
+            for t, n in new.items():
+                held["times"][str(t)] = held["times"].get(str(t), 0) + n
+            held["anchor"] = min(map(int, held["times"]))
+            moved = held["anchor"] != before
+            fresh = Counter({int(t): n for t, n in held["times"].items()}) if moved else new
+            if moved:
+                held["counts"] = []
+        else:
+            moved, fresh = False, new
+        touched = set(range(len(held["counts"]))) if moved else set()
+        for t, n in fresh.items():
+            # What comes too late for the first bucket falls into it.
+            ix = max(0, (t - held["anchor"]) // width)
+            held["counts"] += [0] * (ix + 1 - len(held["counts"]))
+            held["counts"][ix] += n
+            touched.add(ix)
+        touched |= set(range(0 if moved else known, len(held["counts"])))
+        watermark = state.getCurrentWatermarkMs()
+        if watermark > held["anchor"] * 1000:
+            held["final"], held["times"] = True, {}
+        last = held["anchor"] + len(held["counts"]) * width
+        state.update((json.dumps(held),))
+        state.setTimeoutTimestamp(max(watermark, last * 1000) + idle_ms)
+        rows = [(key[0], held["anchor"], ix, held["counts"][ix]) for ix in sorted(touched)]
+        yield pd.DataFrame(rows, columns=["event_id", "anchor_s", "ix", "cnt"])
+
+    return run
+
+
+def event_buckets(stream: DataFrame, hours: int = 6, delay: str = "1 day", idle_days: int = 45) -> DataFrame:
+    """event_id, anchor_s, ix, cnt: buckets of events (``event_id``, ``publish_time``) from their first post on, those that a batch changes or opens, empty ones between included.
+
+    Posts may come out of order by the delay; until the watermark has passed an event's first post
+    its times are kept, as an earlier one may still move the buckets. An event without posts for ``idle_days`` ends and
+    its state goes; one that comes back begins anew. ``bucket_table`` reads what ``keep_batches`` wrote of it.
+    """
+    timed = stream.withWatermark("publish_time", delay).select("event_id", "publish_time", F.unix_seconds("publish_time").alias("publish_s"))
+    run = _event_buckets(hours * 3600, idle_days * 86_400_000)
+    return timed.groupBy("event_id").applyInPandasWithState(run, BUCKET_ROWS, "held string", "update", GroupStateTimeout.EventTimeTimeout)
+
+
+def keep_batches(path: str) -> Callable[[DataFrame, int], None]:
+    """Each batch's rows in a folder of its own, so that one that comes again overwrites itself."""
+    return lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+
+def bucket_table(spark: SparkSession, path: str, hours: int = 6) -> DataFrame:
+    """event_id, ix, start_s, cnt as ``trend.bucket_counts`` has them: of each bucket the last batch's count, by the event's last first post."""
+    rows = spark.read.parquet(path)
+    anchors = rows.groupBy("event_id").agg(F.max_by("anchor_s", "batch").alias("anchor_s"))
+    last = rows.join(anchors, ["event_id", "anchor_s"]).groupBy("event_id", "anchor_s", "ix").agg(F.max_by("cnt", "batch").alias("cnt"))
+    return last.select("event_id", "ix", (F.col("anchor_s") + F.col("ix") * (hours * 3600)).alias("start_s"), "cnt")
 
 
 def upsert(spark: SparkSession, path: str, key: str, merge: Callable[[DataFrame, DataFrame | None], DataFrame]) -> Callable[[DataFrame, int], None]:

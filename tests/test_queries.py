@@ -126,3 +126,28 @@ def test_stored_events_are_replaced_by_key(spark, tmp_path):
     jobs.upsert(spark, path, "event_id", merge)(spark.createDataFrame([("e4", 10), ("e9", 1)], "event_id string, n int"), 0)
     out = {r.event_id: r.n for r in spark.read.parquet(path).collect()}
     assert len(out) == 201 and out["e4"] == 14 and out["e9"] == 10
+
+
+def test_stream_buckets_begin_at_the_first_post(spark, tmp_path):
+    """Batch after batch: an earlier post moves the buckets until the watermark has passed, later ones fall into the first; ended events have no state."""
+    hour, rows = 3600, []
+    batches = [
+        [("a", 100), ("a", 107), ("b", 101)],
+        [("a", 96), ("a", 130), ("b", 101)],  # an earlier first post
+        [("a", 131), ("c", 150), ("b", 125)],
+        [("a", 99), ("a", 160), ("d", 161)],  # behind the watermark: left out
+        [("c", 150), ("d", 170)],
+    ]
+    for k, batch in enumerate(batches):
+        spark.createDataFrame(batch, "event_id string, h long").select("event_id", F.timestamp_seconds(F.col("h") * hour).alias("publish_time")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = jobs.ingest(spark, str(tmp_path / "in"), "event_id string, publish_time timestamp", 1)
+        jobs.run_batches(jobs.event_buckets(stream, delay="24 hours", idle_days=1), jobs.keep_batches(str(tmp_path / "out")), str(tmp_path / "c"), "update").awaitTermination()
+        rows += batch
+    want = {}
+    kept = [r for r in rows if r != ("a", 99)]
+    for name in "abcd":
+        times = [h for e, h in kept if e == name]
+        for ix in range((max(times) - min(times)) // 6 + 1):
+            want[name, ix] = (min(times) + 6 * ix, sum((h - min(times)) // 6 == ix for h in times))
+    out = {(r.event_id, r.ix): (r.start_s // hour, r.cnt) for r in jobs.bucket_table(spark, str(tmp_path / "out")).collect()}
+    assert out == want
