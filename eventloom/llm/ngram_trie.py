@@ -48,7 +48,7 @@ PRIOR = (1000.0, 4.0)
 #: Tokens of a block, and about so many of a shard.
 BLOCK_TOKENS, SHARD_TOKENS = 1 << 20, 1 << 20
 #: What follows words that stand more often than this lies in several shards.
-SPLIT_TOKENS = 1 << 22
+SPLIT_TOKENS = 1 << 21
 #: Parts of the vocabulary at most; up to then four for each split of the input.
 PARTS = 4096
 #: Bytes of a text cut into words at once.
@@ -304,6 +304,9 @@ class Block:
         return asked, place[of], [c[order] for c in (v, u, w, n)], shard[order]
 
 
+_CODEC = pa.Codec("zstd", compression_level=7)
+
+
 def to_bytes(*columns: np.ndarray) -> bytes:
     """Whole numbers byte by byte, compressed: all first bytes of a column, then all second ones, as many as its largest needs. Begins with how many there are."""
     out = []
@@ -311,12 +314,12 @@ def to_bytes(*columns: np.ndarray) -> bytes:
         width = max(1, (int(c.max(initial=0)).bit_length() + 7) // 8)
         out += [bytes([width]), np.ascontiguousarray(c.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()]
     raw = b"".join(out)
-    return np.array([len(columns[0]), len(raw)], np.int64).tobytes() + pa.compress(raw, codec="zstd", asbytes=True)
+    return np.array([len(columns[0]), len(raw)], np.int64).tobytes() + _CODEC.compress(raw, asbytes=True)
 
 
 def from_bytes(data: bytes, columns: int) -> list[np.ndarray]:
     n, size = np.frombuffer(data, np.int64, 2).tolist()
-    raw = pa.decompress(data[16:], size, codec="zstd", asbytes=True)
+    raw = _CODEC.decompress(data[16:], size, asbytes=True)
     at, out = 0, []
     for _ in range(columns):
         width = raw[at]
@@ -547,11 +550,17 @@ def shard_trie(counts: Counts, sent: list[bytes], whole_pairs: tuple, prior: tup
 
     ``whole_pairs``: the pairs of words that are split over shards (last word, the one before, count over all shards).
     """
-    columns = [from_bytes(g, 4) for g in sent]
-    v, u = (np.concatenate(c) for c in zip(*(_pairs_of(c[0], c[1]) for c in columns)))
-    w, n = (np.concatenate([c[k] for c in columns]) for k in (2, 3))
+    parts = []
+    for data in sent:
+        dv, du, w, n = from_bytes(data, 4)
+        # Ids fit 32 bits as a rule; what is held of a shard is then half as large.
+        parts.append([c.astype(np.int32) if c.max(initial=0) < 1 << 31 else c for c in (*_pairs_of(dv, du), w, n)])
+    v, u, w, n = (np.concatenate([p[k] for p in parts]) for k in range(4))
+    del parts
     keys, first, of = np.unique(packed(v, u, w), return_index=True, return_inverse=True)
-    v, u, w, n = v[first], u[first], w[first], np.bincount(of, n, len(keys)).astype(np.int64)
+    n = np.bincount(of, n, len(keys)).astype(np.int64)
+    v, u, w, of = v[first].astype(np.int64), u[first].astype(np.int64), w[first].astype(np.int64), of.astype(np.int32)
+    del keys, first
     real = n > 0
     grams = v[real], u[real], w[real], n[real]
     own = counts.splits(grams[0]) == 1
@@ -631,7 +640,8 @@ def score_documents(docs: DataFrame, *, prior: tuple[float, float] = PRIOR, id_c
     cut = stash(source.mapInArrow(_cut(parts), CUT), "cut")
     words, blocks = cut.where("part is not null").select("part", "block", "words"), cut.where("part is null")
     vocabulary = words.select("part", "words").repartition("part").sortWithinPartitions("part").mapInArrow(_count, "word binary, c long")
-    ids = numbered(vocabulary, F.desc("c"), F.col("word"), name="id").select("word", "c", (F.col("id") - 1 + FIRST_WORD).alias("id"))
+    known = numbered(vocabulary, F.desc("c"), F.col("word"), name="id")
+    ids = known.select("word", "c", (F.col("id") - 1 + FIRST_WORD).alias("id"))
     steps = [(r.c, r.n) for r in ids.groupBy("c").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("c")).collect()]  # at most the root of twice the tokens
     total, trained = blocks.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("trained"), F.lit(0))).first()
     counts = docs.sparkSession.sparkContext.broadcast(Counts(steps, trained))
@@ -641,7 +651,7 @@ def score_documents(docs: DataFrame, *, prior: tuple[float, float] = PRIOR, id_c
     placed = asked.repartition("part").sortWithinPartitions("part", F.col("block").asc_nulls_first()).mapInArrow(_place, PLACED)
     both = placed.unionByName(blocks.select("block", "docs", "tokens"), allowMissingColumns=True).repartition("block").sortWithinPartitions("block")
     sent = stash(both.mapInArrow(_send(counts, shards), SENT), "sent")
-    unstash(cut)
+    unstash(cut, known)
     asked = sent.where("shard >= 0").select("shard", "block", "grams")
     # What follows a split word lies in several shards: the pairs' counts are added up and go to the shards that ask for them.
     pairs = sent.where("shard < 0").select(F.inline("pairs"))
