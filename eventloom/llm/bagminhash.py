@@ -55,7 +55,7 @@ RIGHT_SHINGLES = 1 << 22
 SLICE = 4096
 
 _G1, _G2, _G3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_MEMO_WORDS = 1 << 19
+_MEMO_WORDS = 1 << 17
 
 
 class _Codes(dict):

@@ -15,7 +15,7 @@ BITS = 18
 MAX_ROWS = 20_000
 #: Rows are fitted in groups of about so many side by side; the weights are averaged.
 SHARD_ROWS = 5_000
-MEMO_WORDS = 1 << 19
+MEMO_WORDS = 1 << 17
 
 _WORD = re.compile(r"\w+|[^\w\s]+")
 _LETTERS = re.compile(r"\w+")
