@@ -209,8 +209,10 @@ def html_article(pages: DataFrame, least: int = 30) -> DataFrame:
         html = F.regexp_replace(html, rf"""(?is)<{tag}\b[^>]*\b(?:class|id)\s*=\s*["'](?:[^"']*[\s_-])?(?:{MARKS})(?:[\s_-][^"']*)?["'][^>]*>.*?</{tag}\s*>""", " ")
 
     def inner(tag: str) -> Column:
-        found = F.regexp_extract("clean", rf"(?is)<{tag}\b[^>]*>(.*)</{tag}\s*>", 1)
-        return F.when(F.length(tx.strip_boilerplate(found)) >= least, found)
+        return F.regexp_extract("clean", rf"(?is)<{tag}\b[^>]*>(.*)</{tag}\s*>", 1)
+
+    def enough(part: str) -> Column:
+        return F.when(F.length(tx.strip_boilerplate(F.col(part))) >= least, F.col(part))
 
     def parts(block: Column) -> Column:
         links = F.array_join(F.regexp_extract_all(block, F.lit(r"(?is)<a\b[^>]*>(.*?)</a\s*>"), 1), " ")
@@ -218,31 +220,47 @@ def html_article(pages: DataFrame, least: int = 30) -> DataFrame:
 
     title = F.trim(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1))
     heading = tx.strip_boilerplate(F.regexp_extract("html", r"(?is)<h1\b[^>]*>(.*?)</h1\s*>", 1))
-    rows = pages.select("page_id", "url", F.coalesce(F.nullif(title, F.lit("")), heading).alias("title"), _page_time(F.col("html")).alias("publish_s"), html.alias("clean"))
-    rows = rows.withColumn("main", F.coalesce(inner("article"), inner("main"), "clean"))
-    rows = rows.withColumn("blocks", F.filter(F.transform(F.split("main", rf"(?i)</?(?:{BLOCK_TAGS})\b[^>]*>"), parts), lambda b: b["text"] != ""))
-    rows = rows.withColumn("long", F.transform("blocks", lambda b: (F.length(b["text"]) >= LONG_BLOCK) & (b["linked"] * LINK_SHARE <= F.length(b["text"]))))
+    told = {f"told{n}": F.regexp_extract("html", way, 1) for n, way in enumerate(TIME_WAYS)}
+    rows = _once(pages, ["page_id", "url"], name=title, heading=heading, data=_embedded(F.col("html")), clean=html, **told)
+    rows = _once(rows, ["page_id", "url", "clean"], title=F.coalesce(F.nullif("name", F.lit("")), "heading"), publish_s=_page_time(), article=inner("article"), part=inner("main"))
+    rows = _once(rows, ["page_id", "url", "title", "publish_s"], main=F.coalesce(enough("article"), enough("part"), "clean"))
+    rows = _once(rows, ["page_id", "url", "title", "publish_s"], blocks=F.filter(F.transform(F.split("main", rf"(?i)</?(?:{BLOCK_TAGS})\b[^>]*>"), parts), lambda b: b["text"] != ""))
+    rows = _once(rows, ["page_id", "url", "title", "publish_s", "blocks"], long=F.transform("blocks", lambda b: (F.length(b["text"]) >= LONG_BLOCK) & (b["linked"] * LINK_SHARE <= F.length(b["text"]))))
     beside = lambda i: F.coalesce(F.get("long", i - 1), F.lit(False)) | F.coalesce(F.get("long", i + 1), F.lit(False))
     kept = F.filter("blocks", lambda b, i: F.get("long", i) | ((F.length(b["text"]) < LONG_BLOCK) & (b["linked"] == 0) & beside(i)))
-    body = F.array_join(F.transform(kept, lambda b: b["text"]), "\n")
-    return rows.select("page_id", "url", "title", body.alias("body"), "publish_s").where(F.length("body") >= least)
+    rows = _once(rows, ["page_id", "url", "title", "publish_s"], body=F.array_join(F.transform(kept, lambda b: b["text"]), "\n"))
+    return rows.select("page_id", "url", "title", "body", "publish_s").where(F.length("body") >= least)
+
+
+def _once(df: DataFrame, keep: list[str], **made: Column) -> DataFrame:
+    """``keep`` and new columns, each worked out once a row: no filter and no later column takes their expressions in."""
+    return df.select(*keep, F.inline(F.array(F.struct(*[c.alias(name) for name, c in made.items()]))))
 
 
 #: Names of meta properties that tell when a page was published.
 TIME_NAMES = "article:published_time|datePublished|pubdate|publishdate|og:published_time|date"
 
 
-def _page_time(html: Column) -> Column:
-    """Epoch seconds of the first meta or time tag that tells them, in the page's own clock; else of embedded data."""
+def _ways() -> list[str]:
     quoted = """["']([^"']+)["']"""
     name = rf"""(?:property|name|itemprop)\s*=\s*["'](?:{TIME_NAMES})["']"""
-    ways = [rf"(?is)<meta\b[^>]*{name}[^>]*\bcontent\s*=\s*{quoted}", rf"(?is)<meta\b[^>]*\bcontent\s*=\s*{quoted}[^>]*{name}", rf"(?is)<time\b[^>]*\bdatetime\s*=\s*{quoted}"]
-    found = [tm.parse_publish_time_lenient(F.regexp_extract(F.trim(F.regexp_extract(html, way, 1)), r"^(\d{4}-\d{2}-\d{2}(?:[ T]\d{2}:\d{2}(?::\d{2})?)?)", 1)) for way in ways]
-    return F.coalesce(*found, _embedded_time(html))
+    return [rf"(?is)<meta\b[^>]*{name}[^>]*\bcontent\s*=\s*{quoted}", rf"(?is)<meta\b[^>]*\bcontent\s*=\s*{quoted}[^>]*{name}", rf"(?is)<time\b[^>]*\bdatetime\s*=\s*{quoted}"]
+
+
+TIME_WAYS = _ways()
+
+
+def _page_time() -> Column:
+    """Epoch seconds of the first meta or time tag that tells them (``told0`` and so on), in the page's own clock; else of embedded ``data``."""
+    found = [tm.parse_publish_time_lenient(F.regexp_extract(F.trim(f"told{n}"), r"^(\d{4}-\d{2}-\d{2}(?:[ T]\d{2}:\d{2}(?::\d{2})?)?)", 1)) for n in range(len(TIME_WAYS))]
+    return F.coalesce(*found, _embedded_time(F.col("data")))
+
+
+def _embedded(html: Column) -> Column:
+    return F.regexp_extract(html, r'(?s)<script id="__NEXT_DATA__"[^>]*>(.*?)</script>', 1)
 
 
-def _embedded_time(html: Column) -> Column:
-    data = F.regexp_extract(html, r'(?s)<script id="__NEXT_DATA__"[^>]*>(.*?)</script>', 1)
+def _embedded_time(data: Column) -> Column:
     at = "$.props.pageProps.detailData.contentDetail."
     clock = tm.parse_publish_time_lenient(F.get_json_object(data, at + "pubTime"))
     return F.coalesce(clock, F.floor(F.get_json_object(data, at + "publishTime").try_cast("double") / 1000))
@@ -250,7 +268,7 @@ def _embedded_time(html: Column) -> Column:
 
 def html_embedded_date(pages: DataFrame) -> DataFrame:
     """page_id, publish_s from the page's embedded data: the formatted time, else the milliseconds."""
-    return pages.select("page_id", _embedded_time(F.col("html")).alias("publish_s"))
+    return pages.select("page_id", _embedded_time(_embedded(F.col("html"))).alias("publish_s"))
 
 
 def html_embedded_counts(pages: DataFrame) -> DataFrame:

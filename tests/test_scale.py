@@ -4,6 +4,7 @@
 import pyarrow as pa
 
 from eventloom.operators import entities
+from eventloom.sources import landed
 
 
 def test_segments_go_out_in_pieces(spark, monkeypatch):
@@ -13,3 +14,9 @@ def test_segments_go_out_in_pieces(spark, monkeypatch):
     out = list(entities._segments(["ab", "cd"], [-1.0, -1.0], -5.0)(iter([batch])))
     assert len(out) == 5 and max(b.num_rows for b in out) == 40
     assert [tuple(r.values()) for b in out for r in b.to_pylist()] == [(i, 3 * k + 1, "cd" if k % 2 else "ab") for i in range(2, 30, 3) for k in range(20)]
+
+
+def test_pages_are_cleaned_once(spark):
+    pages = spark.createDataFrame([(1, "u", "<p>text</p>")], "page_id int, url string, html string")
+    plan = landed.html_article(pages)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("<!--.*?-->") == 1
