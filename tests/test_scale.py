@@ -1,12 +1,25 @@
 """What keeps queries right and in bounds on larger tables."""
 
 
+import duckdb
 import pyarrow as pa
 
 from eventloom.operators import entities
+from eventloom.plans import catalog
 from eventloom.sources import landed
 
 
+def test_details_of_days_of_over_a_thousand_posts(spark, tmp_path):
+    # Ids 43,200 apart are posted at the same time.
+    rows = [(k * 43200, f"title words of post {k}\ntext", "en", "src1", 10) for k in range(1200)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    found = [tuple(r) for r in catalog.queries()["event_detail"](spark, str(tmp_path)).collect()]
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert found == db.sql(catalog.oracle_sql()["event_detail"]).fetchall()
+    assert "=1200.0" in found[0][-1]
+
+
 def test_segments_go_out_in_pieces(spark, monkeypatch):
     monkeypatch.setattr(entities, "CUT_CHARS", 100)
     texts = [None, "", "ab cd " * 10] * 10 + [None]
