@@ -1,10 +1,12 @@
 """What keeps queries right and in bounds on larger tables."""
 
+import hashlib
+import random
 
 import duckdb
 import pyarrow as pa
 
-from eventloom.operators import entities
+from eventloom.operators import dedup, entities
 from eventloom.plans import catalog
 from eventloom.sources import landed
 
@@ -33,3 +35,21 @@ def test_pages_are_cleaned_once(spark):
     pages = spark.createDataFrame([(1, "u", "<p>text</p>")], "page_id int, url string, html string")
     plan = landed.html_article(pages)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("<!--.*?-->") == 1
+
+
+def test_remembered_shingles_give_the_same_fingerprints():
+    rng = random.Random(4)
+    letters = "abcdefgh\x00￿ é台风 \n"
+    texts = ["".join(rng.choices(letters, k=rng.randrange(900))) for _ in range(200)] + ["", " ", "abc", "abcd", "a\U0001f600bcdef", "\x00" * 9, "￿" * 9, "\ud800abcd"]
+    for bits in (1, 4, 20):
+        memo = dedup.Shingles(bits)
+        assert [memo.fingerprint(t) for t in texts + texts] == [dedup._fingerprint(t) for t in texts + texts]
+
+
+def test_shingles_are_hashed_once(monkeypatch):
+    hashed = []
+    monkeypatch.setattr(dedup.hashlib, "md5", lambda b, of=hashlib.md5: hashed.append(b) or of(b))
+    memo = dedup.Shingles()
+    for _ in range(50):
+        memo.fingerprint("words that come again and again " * 20)
+    assert len(hashed) <= len(set(hashed)) + 2
