@@ -6,7 +6,7 @@ import random
 import duckdb
 import pyarrow as pa
 
-from eventloom.operators import dedup, entities
+from eventloom.operators import cluster, dedup, entities
 from eventloom.plans import catalog
 from eventloom.sources import landed
 
@@ -53,3 +53,20 @@ def test_shingles_are_hashed_once(monkeypatch):
     for _ in range(50):
         memo.fingerprint("words that come again and again " * 20)
     assert len(hashed) <= len(set(hashed)) + 2
+
+
+def test_every_round_of_single_pass_takes_a_whole_batch(spark, monkeypatch, caplog):
+    """Also with more clusters than a list holds; by lists, where products have no room, results are the same."""
+    monkeypatch.setattr(cluster, "LISTED", 1)
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(40)]
+    rows = [(i, i, rng.choices(words, k=rng.randrange(0, 9))) for i in range(150)]
+    docs = spark.createDataFrame(rows, "seq long, publish_s long, tokens array<string>")
+    monkeypatch.setattr(cluster, "CHUNK", 10)
+    with caplog.at_level("INFO", "eventloom.operators.cluster"):
+        found = {r.seq: r.cluster_id for r in cluster.single_pass(docs, 0.3, batch=50)[0].collect()}
+    assert len([r for r in caplog.records if r.getMessage().startswith("round")]) == 3
+    assert len(set(found.values())) > 10
+    monkeypatch.setattr(cluster, "LISTED", 64)
+    monkeypatch.setattr(cluster, "CELLS", 1)
+    assert {r.seq: r.cluster_id for r in cluster.single_pass(docs, 0.3, batch=50)[0].collect()} == found
