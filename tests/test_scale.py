@@ -2,11 +2,14 @@
 
 import hashlib
 import random
+import time
 
 import duckdb
 import pyarrow as pa
+from pyspark.sql import functions as F
 
-from eventloom.operators import cluster, dedup, entities
+from eventloom.functions import text as tx
+from eventloom.operators import cluster, dedup, entities, vectors
 from eventloom.plans import catalog
 from eventloom.sources import landed
 
@@ -70,3 +73,25 @@ def test_every_round_of_single_pass_takes_a_whole_batch(spark, monkeypatch, capl
     monkeypatch.setattr(cluster, "LISTED", 64)
     monkeypatch.setattr(cluster, "CELLS", 1)
     assert {r.seq: r.cluster_id for r in cluster.single_pass(docs, 0.3, batch=50)[0].collect()} == found
+
+
+def test_words_without_letters_are_passed_over_once(spark):
+    texts = ["é1 12 _a 1a a1b aé é ab洪水ca 洪cb 𝒜a 𝒜𝒜b ²³x a 1 x洪", "1" * 100_000 + " ab", "é" * 100_000 + "a", "", None]
+    began = time.time()
+    out = [r.t for r in spark.createDataFrame([(t,) for t in texts], "text string").select(tx.tokenize(F.col("text")).alias("t")).collect()]
+    assert out == [["_a", "1a", "a1b", "aé", "ab", "ca", "cb", "𝒜a", "𝒜𝒜b", "²³x", "洪水"], ["ab"], ["é" * 100_000 + "a"], [], None]
+    assert time.time() - began < 10
+
+
+def test_only_terms_that_can_be_keywords_become_rows(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(f"e{i % 3}", i % 280, [f"w{int(rng.paretovariate(0.6))}" for _ in range(rng.choice([0, 1, 5, 60, 200]))]) for i in range(300)]  # some ids twice
+    docs = spark.createDataFrame([*rows, ("e0", 500, None), (None, 501, ["a"]), ("none", 502, ["a"])], "event_id string, doc_id int, tokens array<string>")
+    totals = docs.where("event_id <> 'none'").groupBy("event_id").agg(F.count(F.lit(1)).alias("total"))
+    bags, seen, join = vectors.term_bags(docs, "event_id", "doc_id").cache(), [], vectors.doc_keywords
+    everything = vectors.term_counts(docs, "event_id", "doc_id").count()
+    want = sorted(map(tuple, join(vectors.term_counts(docs, "event_id", "doc_id"), totals, 4).collect()))
+    monkeypatch.setattr(vectors, "doc_keywords", lambda counts, *a: seen.append(counts.count()) or join(counts, *a))
+    for heads in (0, 20, 1 << 18):
+        assert sorted(map(tuple, vectors.bag_keywords(bags, totals, 4, heads=heads).collect())) == want
+    assert seen[2] <= seen[1] <= seen[0] < everything and seen[1] < everything / 2
