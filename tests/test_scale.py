@@ -95,3 +95,11 @@ def test_only_terms_that_can_be_keywords_become_rows(spark, monkeypatch):
     for heads in (0, 20, 1 << 18):
         assert sorted(map(tuple, vectors.bag_keywords(bags, totals, 4, heads=heads).collect())) == want
     assert seen[2] <= seen[1] <= seen[0] < everything and seen[1] < everything / 2
+
+
+def test_keywords_are_made_once_a_query(spark, sf, monkeypatch):
+    made, make = [], vectors.event_keywords
+    monkeypatch.setattr(vectors, "event_keywords", lambda *a: made.append(1) or make(*a))
+    for k, name in enumerate(["advice_prompt", "similar_reason"]):
+        catalog.queries()[name](spark, sf)
+        assert len(made) == k + 1, name
