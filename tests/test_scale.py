@@ -103,3 +103,20 @@ def test_keywords_are_made_once_a_query(spark, sf, monkeypatch):
     for k, name in enumerate(["advice_prompt", "similar_reason"]):
         catalog.queries()[name](spark, sf)
         assert len(made) == k + 1, name
+
+
+def test_vectors_and_products_by_row_equal_joins(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(i % 90, [f"w{int(rng.paretovariate(0.6))}" for _ in range(rng.choice([0, 1, 5, 60]))]) for i in range(100)]  # some ids twice
+    docs = spark.createDataFrame([*rows, (500, None), (501, ["a"])], "doc_id int, tokens array<string>")
+    bags, counts, totals = vectors.term_bags(docs, "doc_id").cache(), vectors.term_counts(docs, "doc_id").cache(), docs.agg(F.count(F.lit(1)).alias("total"))
+    idfs = vectors.idf(counts, totals, kept=["df"]).cache()
+    plain = vectors.tfidf_vector(counts, idfs.drop("df"), "doc_id").cache()
+    other = plain.where("doc_id < 50 or doc_id = 501").groupBy((F.col("doc_id") % 7).alias("cluster_id"), "term").agg(F.avg("w").alias("w")).cache()
+    close = lambda df: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.collect())
+    monkeypatch.setattr(vectors, "ROWS", 7)
+    for most in (0, 20, 1 << 18):
+        found = vectors.bag_vectors(bags, idfs, "doc_id", heads=most).cache()
+        assert close(found.select("doc_id", F.inline("terms"))) == close(plain)
+        out = vectors.bag_cosines(found, other, idfs, "doc_id", "cluster_id", weights=most)
+        assert close(out) == close(vectors.cosine_sparse(plain, other, "doc_id", "cluster_id"))
