@@ -120,3 +120,8 @@ def test_vectors_and_products_by_row_equal_joins(spark, monkeypatch):
         assert close(found.select("doc_id", F.inline("terms"))) == close(plain)
         out = vectors.bag_cosines(found, other, idfs, "doc_id", "cluster_id", weights=most)
         assert close(out) == close(vectors.cosine_sparse(plain, other, "doc_id", "cluster_id"))
+
+
+def test_terms_are_counted_once_a_row(spark):
+    plan = vectors.term_counts(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", F.split("text", " ").alias("tokens")), "doc_id").join(spark.range(3).select(F.col("id").cast("string").alias("term")), "term")
+    assert "size(transform" not in plan._jdf.queryExecution().optimizedPlan().toString()
