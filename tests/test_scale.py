@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from eventloom.functions import text as tx
-from eventloom.operators import cluster, dedup, entities, vectors
+from eventloom.operators import cluster, dedup, entities, report, trend, vectors
 from eventloom.plans import catalog
-from eventloom.sources import landed
+from eventloom.sources import landed, views
 
 
 def test_details_of_days_of_over_a_thousand_posts(spark, tmp_path):
@@ -125,3 +125,77 @@ def test_vectors_and_products_by_row_equal_joins(spark, monkeypatch):
 def test_terms_are_counted_once_a_row(spark):
     plan = vectors.term_counts(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", F.split("text", " ").alias("tokens")), "doc_id").join(spark.range(3).select(F.col("id").cast("string").alias("term")), "term")
     assert "size(transform" not in plan._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_shingles_of_many_texts_are_looked_at_together(monkeypatch):
+    rng = random.Random(5)
+    letters = "abcdefgh\x00￿ é台风 \n\U0001f600\ud800"
+    texts = ["".join(rng.choices(letters, [9] * 16 + [1, 1], k=rng.choice([0, 1, 3, 4, 5, 300, 900, 3000]))) for _ in range(200)]
+    want = [dedup._fingerprint(t) for t in texts]
+    for chars in (1, 50, 1 << 17):
+        monkeypatch.setattr(dedup, "TOGETHER", chars)
+        assert dedup.Shingles(8).fingerprints(texts) == want
+    looked, look = [], dedup.Shingles._hashed
+    monkeypatch.setattr(dedup.Shingles, "_hashed", lambda *a: looked.append(1) or look(*a))
+    assert dedup.Shingles().fingerprints(texts) == want and len(looked) < 9
+
+
+def test_texts_are_not_exchanged_for_the_last_posts(spark, sf):
+    rows = views.posts(spark, sf)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20k")  # less than the texts have
+    try:
+        plan = trend.recent_window(rows, 10)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+
+
+def test_terms_and_sentiment_are_counted_in_one_pass(spark, monkeypatch):
+    rng = random.Random(6)
+    monkeypatch.setattr(vectors, "ROWS", 7)
+    rows = [(i % 50, rng.choices(["good day", "bad\nday", "gut", "schlecht", "é洪水", "b"], k=rng.randrange(6))) for i in range(90)]
+    docs = spark.createDataFrame([*rows, (500, None)], "doc_id int, tokens array<string>")
+    for lists in ((["good", "gu"], ["bad", "洪"]), ([], [""]), ([f"w{k}" for k in range(80)] + ["day"], ["chle", "gut"])):
+        out = vectors.term_bags(docs, "doc_id", hits=dict(zip(("pos", "neg"), lists)))
+        want = report.sentiment_dict(docs, *lists).select("doc_id", F.when(F.col("tokens").isNotNull(), F.struct("pos", "neg")), "score", "label")
+        assert sorted(map(tuple, report.sentiment_of(out).select("doc_id", F.when(F.col("terms").isNotNull(), F.struct("pos", "neg")), "score", "label").collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    bags = [(r.doc_id, None if r.terms is None else [tuple(t) for t in r.terms]) for r in out.collect()]
+    assert bags == [*((i, sorted((t, ts.count(t)) for t in set(ts))) for i, ts in rows), (500, None)]
+
+
+def test_first_sentences_are_those_of_the_whole_text(spark):
+    rng = random.Random(7)
+    texts = ["".join(rng.choices("abc 洪。!\n", [5, 5, 5, 3, 5, 1, 1, 1], k=rng.randrange(90))) for _ in range(300)] + ["", "。", "a" * 60, None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for most in (1, 2, 3):
+        for chars in (1, 20, 1000):
+            found = df.select(tx.first_sentences(F.col("t"), most, chars=chars).alias("a"), F.slice(tx.sentences(F.col("t")), 1, most).alias("b")).collect()
+            assert [r.a for r in found] == [r.b for r in found]
+
+
+def test_words_are_counted_before_they_meet_the_gazetteer(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice(["e1", "e2", None]), i, " ".join(rng.choices(["the", "Ann", "a", "Rome", "人民网"], k=rng.randrange(4))), " ".join(rng.choices(["the", "Ann", "Rome", "x1"], k=rng.randrange(5)))) for i in range(80)]
+    docs = spark.createDataFrame(rows, "event_id string, doc_id long, title string, content string")
+    tags = {"Ann": "person", "Rome": "place", "人民网": "person", "a": "org"}
+    want = {}
+    for event, _, title, content in rows:
+        words = f"{title} {content}".split()
+        for before, word in zip([None, *words], words):
+            if word in tags and len(word) > 1:
+                tag = "storm" if before == "the" else "other" if word == "人民网" else tags[word]
+                counts = want.setdefault((event, word), dict.fromkeys(["person", "place", "org", "storm", "other"], 0))
+                counts[tag] += 1
+    out = entities.entity_counts(docs, spark.createDataFrame(list(tags.items()), "word string, tag string"), ["the"])
+    assert {(r.event_id, r.word): {t: r[t] for t in ("person", "place", "org", "storm", "other")} for r in out.collect()} == want
+    assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_many_places_are_not_held_against_each_other(spark):
+    rows = [("e", "Springfield", 9), ("e", "Spring", 8), ("e", "Rome", 7), ("e", "Rome2", 7), ("e", "Oslo", 2)]
+    counts = spark.createDataFrame(rows, "event_id string, word string, place long")
+    many = spark.range(30_000).select(F.lit("e").alias("event_id"), F.format_string("p%05d", "id").alias("word"), F.lit(1).cast("long").alias("place"))
+    began = time.time()
+    assert [r.location for r in entities.location(counts.unionByName(many)).collect()] == ["Springfield、Rome、Oslo"]
+    assert time.time() - began < 8
