@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import time
 
 import duckdb
@@ -146,8 +147,10 @@ def test_texts_are_not_exchanged_for_the_last_posts(spark, sf):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20k")  # less than the texts have
     try:
         plan = trend.recent_window(rows, 10)._jdf.queryExecution().executedPlan().toString()
+        buckets = trend.bucket_counts(rows)._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert not re.search(r"hashpartitioning\(event_id#\d+L?, \d+\)", buckets)
     assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
 
 
