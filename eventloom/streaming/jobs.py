@@ -195,20 +195,19 @@ def live_clusters(spark: SparkSession, path: str, idf: DataFrame, threshold: flo
     reads the assignment. Documents without a known term open a cluster of their own.
     """
 
+    ids = cluster.term_ids(idf)
+
     def apply(batch: DataFrame, number: int) -> None:
-        base = stash(batch.select("seq", "publish_s", "tokens"), "batch")
-        terms = stash(vectors.tfidf_vector(vectors.term_counts(base, "seq"), idf, "seq"), "batch-terms")
+        bags = stash(vectors.term_bags(batch, "seq", "publish_s"), "batch")
         before = _written(spark, f"{path}/sums", number)
-        sums, opened = cluster.Sums(None if before is None else before.select("cluster_id", "term", "s")), 0
-        if before is not None:
-            opened = before.agg(F.coalesce(F.max("cluster_id") + 1, F.lit(0))).first()[0]
-        assigned, _ = cluster.settle(base, terms, sums, threshold, opened)
-        if assigned is None:
-            assigned = spark.createDataFrame([], "seq long, cluster_id long")
-        cluster.entries_of(terms, assigned).write.mode("overwrite").parquet(f"{path}/sums/batch={number}")
+        found = cluster.settle(bags, bags, ids, threshold, None if before is None else before.select("cluster_id", "term", "s"))
+        assigned = spark.createDataFrame([], "seq long, cluster_id long") if found is None else found.assigned.select("seq", "cluster_id")
+        entries = spark.createDataFrame([], "cluster_id long, term string, s double") if found is None else found.entries()
+        entries.write.mode("overwrite").parquet(f"{path}/sums/batch={number}")
         assigned.write.mode("overwrite").parquet(f"{path}/assigned/batch={number}")
-        sums.drop()
-        unstash(base, terms)
+        if found is not None:
+            found.drop()
+        unstash(bags)
 
     return apply
 

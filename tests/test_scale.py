@@ -13,6 +13,7 @@ from eventloom.functions import text as tx
 from eventloom.operators import cluster, dedup, entities, report, trend, vectors
 from eventloom.plans import catalog
 from eventloom.sources import landed, views
+from eventloom.streaming import jobs
 
 
 def test_details_of_days_of_over_a_thousand_posts(spark, tmp_path):
@@ -76,6 +77,37 @@ def test_every_round_of_single_pass_takes_a_whole_batch(spark, monkeypatch, capl
     assert {r.seq: r.cluster_id for r in cluster.single_pass(docs, 0.3, batch=50)[0].collect()} == found
 
 
+def test_single_pass_takes_many_documents_a_round(spark, monkeypatch, caplog):
+    """Thousands of documents are one round, and rounds, pieces and matrices of any size give the same."""
+    rng = random.Random(9)
+    rows = [(i, i % 700, [f"w{int(rng.paretovariate(0.5))}" for _ in range(rng.choice([0, 1, 6, 12]))]) for i in range(5000)]
+    docs = spark.createDataFrame(rows, "seq long, publish_s long, tokens array<string>")
+    found = []
+    for batch in (None, 1300):
+        caplog.clear()
+        with caplog.at_level("INFO", "eventloom.operators.cluster"):
+            assigned, centroids = cluster.single_pass(docs, 0.2, batch=batch)
+        assert len([r for r in caplog.records if r.getMessage().startswith("round")]) == (4 if batch else 1)
+        found.append(({r.seq: r.cluster_id for r in assigned.collect()}, {(r.cluster_id, r.term): round(r.w, 9) for r in centroids.collect()}))
+        for name, value in (("CHUNK", 100), ("ENTRIES", 50), ("LISTED", 2), ("COLUMNS", 7), ("RARE", 3), ("HEADS", 20)):
+            monkeypatch.setattr(cluster, name, value)
+    assert found[0] == found[1] and len(set(found[0][0].values())) > 100
+
+
+def test_live_clusters_go_on_from_what_batches_added(spark, tmp_path):
+    """Batches of a stream, with the sums of those before, settle as one pass does."""
+    rng = random.Random(10)
+    rows = [(i, i, rng.choices([f"w{k}" for k in range(50)], k=rng.randrange(0, 9))) for i in range(120)]
+    docs = spark.createDataFrame(rows, "seq long, publish_s long, tokens array<string>").cache()
+    counts = vectors.term_counts(docs, "seq")
+    idf = vectors.idf(counts, docs.agg(F.count(F.lit(1)).alias("total")))
+    apply = jobs.live_clusters(spark, str(tmp_path), idf, 0.3)
+    for k in range(3):
+        apply(docs.where(f"seq >= {k * 40} and seq < {k * 40 + 40}"), k)
+    want = {r.seq: r.cluster_id for r in cluster.single_pass(docs, 0.3)[0].collect()}
+    assert {r.seq: r.cluster_id for r in jobs.clusters_of(spark, str(tmp_path)).collect()} == want
+
+
 def test_words_without_letters_are_passed_over_once(spark):
     texts = ["é1 12 _a 1a a1b aé é ab洪水ca 洪cb 𝒜a 𝒜𝒜b ²³x a 1 x洪", "1" * 100_000 + " ab", "é" * 100_000 + "a", "", None]
     began = time.time()
