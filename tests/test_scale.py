@@ -234,3 +234,18 @@ def test_many_places_are_not_held_against_each_other(spark):
     began = time.time()
     assert [r.location for r in entities.location(counts.unionByName(many)).collect()] == ["Springfield、Rome、Oslo"]
     assert time.time() - began < 8
+
+
+def test_entities_of_reports_come_from_whole_texts(spark, tmp_path):
+    docs = spark.createDataFrame([("e", 1, "title", "x " * 400 + "the Rome Rome 王 明明 王")], "event_id string, doc_id long, title string, content string")
+    tags = spark.createDataFrame([("Rome", "place"), ("明明", "person"), ("王", "person")], "word string, tag string")
+    for surnames in ("", "王"):
+        found = {r.word: (r.person, r.place, r.storm) for r in entities.entity_counts(docs, tags, ["the"], surnames).collect()}
+        assert found == {"Rome": (0, 1, 1), "明明": (1, 0, 0)}
+    assert entities.entity_counts(docs, tags, ["the"], chars=500).count() == 0
+    # Two places of the titles, the second of which stands more often behind the first 500 characters.
+    a, b = [w for w in (f"place{k}" for k in range(100)) if int(hashlib.md5(w.encode()).hexdigest()[:4], 16) % 3 == 1][:2]
+    rows = [(k, f"{a if k % 2 else b} {' '.join(rng.choices('abcdefgh', k=9))}\n" + " ".join(f"{k}{w}" for w in rng.choices("pqrstuvwxyz", k=300)) + f" {b}" * 2, "en", "src1", 10) for rng in [random.Random(1)] for k in range(1, 12)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("analyze_event", "group_reports"):
+        assert [r.location for r in catalog.queries()[name](spark, str(tmp_path)).collect()] == [f"{b}、{a}"]
