@@ -94,6 +94,21 @@ def test_single_pass_takes_many_documents_a_round(spark, monkeypatch, caplog):
     assert found[0] == found[1] and len(set(found[0][0].values())) > 100
 
 
+def test_nearest_centroids_are_found_in_tasks_or_by_joins(spark, monkeypatch):
+    rng = random.Random(11)
+    rows = [(i % 150, [f"w{int(rng.paretovariate(0.6))}" for _ in range(rng.choice([0, 1, 5, 60]))]) for i in range(160)]  # some ids twice
+    docs = spark.createDataFrame([*rows, (500, None), (None, ["w1"])], "comment_id int, tokens array<string>").cache()
+    ids = cluster.term_ids(vectors.idf(vectors.term_counts(docs, "comment_id"), docs.agg(F.count(F.lit(1)).alias("total"))))
+    centroids = spark.createDataFrame([(c, f"w{k}", rng.random()) for c in range(0, 40, 2) for k in rng.sample(range(60), 9)], "cluster_id long, term string, w double")
+    want = vectors.assign_nearest(vectors.tfidf_vector(vectors.term_counts(docs, "comment_id"), ids.select("term", "idf"), "comment_id"), centroids, docs)
+    for told in (1 << 22, 10):
+        monkeypatch.setattr(cluster, "TOLD", told)
+        out = cluster.assign_nearest(vectors.term_bags(docs, "comment_id").cache(), ids, centroids, docs)
+        assert sorted(map(str, out.collect())) == sorted(map(str, want.collect()))
+        monkeypatch.setattr(cluster, "HEADS", 5)
+        monkeypatch.setattr(cluster, "CHUNK", 7)
+
+
 def test_live_clusters_go_on_from_what_batches_added(spark, tmp_path):
     """Batches of a stream, with the sums of those before, settle as one pass does."""
     rng = random.Random(10)
